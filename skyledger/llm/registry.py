@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import mixing
+from . import mixing, quality
 
-QUERIES = {"op4_mix_sources": mixing.op4}
+QUERIES = {"op4_mix_sources": mixing.op4, "op5_quality_ratio": quality.op5}
 ORACLES = {"op4_mix_sources": mixing.OP4_SQL}
