@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import mixing, quality
+from . import mixing, neardup, quality
 
-QUERIES = {"op4_mix_sources": mixing.op4, "op5_quality_ratio": quality.op5}
+QUERIES = {"op4_mix_sources": mixing.op4, "op5_quality_ratio": quality.op5, "op6_near_duplicates": neardup.op6}
 ORACLES = {"op4_mix_sources": mixing.OP4_SQL}
