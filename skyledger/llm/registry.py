@@ -1,6 +1,12 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import mixing, neardup, quality
+from . import linedup, mixing, neardup, packing, quality
 
-QUERIES = {"op4_mix_sources": mixing.op4, "op5_quality_ratio": quality.op5, "op6_near_duplicates": neardup.op6}
+QUERIES = {
+    "op4_mix_sources": mixing.op4,
+    "op5_quality_ratio": quality.op5,
+    "op6_near_duplicates": neardup.op6,
+    "op7_best_fit_packing": packing.op7,
+    "op8_line_dedup": linedup.op8,
+}
 ORACLES = {"op4_mix_sources": mixing.OP4_SQL}
