@@ -1,12 +1,15 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import linedup, mixing, neardup, packing, quality
+from . import linedup, media, mixing, neardup, packing, quality, toxicity, urlfilter
 
 QUERIES = {
+    "op2_media_columns": media.op2,
+    "op3_toxicity": toxicity.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_ratio": quality.op5,
     "op6_near_duplicates": neardup.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_line_dedup": linedup.op8,
+    "op9_url_filters": urlfilter.op9,
 }
-ORACLES = {"op4_mix_sources": mixing.OP4_SQL}
+ORACLES = {"op4_mix_sources": mixing.OP4_SQL, "op9_url_filters": urlfilter.OP9_SQL}
