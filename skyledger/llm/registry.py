@@ -1,8 +1,9 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import linedup, media, mixing, neardup, packing, quality, toxicity, urlfilter
+from . import contextmix, htmltext, linedup, media, mixing, neardup, packing, quality, toxicity, urlfilter
 
 QUERIES = {
+    "op1_main_text": htmltext.op1,
     "op2_media_columns": media.op2,
     "op3_toxicity": toxicity.op3,
     "op4_mix_sources": mixing.op4,
@@ -11,5 +12,6 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7,
     "op8_line_dedup": linedup.op8,
     "op9_url_filters": urlfilter.op9,
+    "op10_context_mixing": contextmix.op10,
 }
 ORACLES = {"op4_mix_sources": mixing.OP4_SQL, "op9_url_filters": urlfilter.OP9_SQL}
