@@ -8,9 +8,11 @@
    so no task holds an unbounded bucket.
 3. Where members meet, signatures are compared and a spanning forest of the likely pairs is given
    out (union-find inside the task), at most one pair fewer than members. These pairs are verified
-   on the full sets. In a second pass the likely pairs that still lie across components are given
-   out and verified all, so that a pair that failed costs no link.
-4. Links are closed to components on the cluster (components.py).
+   on the full sets and closed to components on the cluster (components.py).
+4. The forests tie together all that is likely, so every link lies inside a component of theirs, a
+   cluster. Where a cluster fell apart because pairs failed, its members meet again, chunk by chunk,
+   with their full sets, and every pair across components is checked in memory: a pair that failed
+   costs no link, and no more than a forest of true links leaves a task.
 
 A pair with similarity s is seen with probability 1 - (1 - s^4)^32: at 0.75 all but 5 in a million.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import M64, MIN_LONG, cut, id_key, map_arrow, mix64, parts, shingles, table
@@ -38,6 +40,8 @@ SLOT_BITS = SLOTS.bit_length() - 1
 LIKELY = 0.60
 #: Members of a bucket that meet in one task; larger buckets meet chunk by chunk.
 CHUNK = 512
+#: Bytes of the full sets in a chunk.
+CHUNK_BYTES = 16 << 20
 
 
 def superminhash(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -112,48 +116,89 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, _k long, n_shingles long, set_hash binary, sig binary, keys array<long>")
 
 
-def _forest(ids: np.ndarray, sigs: np.ndarray, comps: np.ndarray, pair: np.ndarray | None, every: bool):
-    """Likely pairs among members of a bucket: a spanning forest, or all across components.
-    pair: chunk of each member where two chunks meet (pairs inside one chunk are met elsewhere)."""
-    n = len(ids)
-    found: list[tuple[int, int, int]] = []
-    for i in range(n - 1):
-        near = (sigs[i + 1 :] == sigs[i]).sum(1)
-        ok = near >= LIKELY * sigs.shape[1]
-        ok &= comps[i + 1 :] != comps[i]
-        if pair is not None:
-            ok &= pair[i + 1 :] != pair[i]
-        at = np.flatnonzero(ok)
-        # In tenths, so that many near-equal pairs hang on the least member and not on each other.
-        found += zip((-(near[at] * 10 // sigs.shape[1])).tolist(), [i] * len(at), (at + i + 1).tolist(), strict=True)
-    if every:
-        return [(int(ids[i]), int(ids[j])) for _, i, j in found]
-    found.sort()
-    root = list(range(n))
+class Union:
+    """Union-find over 0..n-1; roots are the least members."""
 
-    def top(x: int) -> int:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    out = []
-    for _, i, j in found:
-        a, b = top(i), top(j)
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.top(i), self.top(j)
         if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(ids[i]), int(ids[j])))
+            self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _likely(i: int, sigs: np.ndarray, chunk: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Members behind i that are likely near it, and their equal slots. chunk: of each member where
+    two chunks meet; pairs inside one chunk are met elsewhere."""
+    near = (sigs[i + 1 :] == sigs[i]).sum(1)
+    ok = near >= LIKELY * sigs.shape[1]
+    if chunk is not None:
+        ok &= chunk[i + 1 :] != chunk[i]
+    at = np.flatnonzero(ok)
+    return at + i + 1, near[at]
+
+
+def _forest(t: pa.Table, chunk: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the likely pairs among members of a bucket."""
+    ids, sigs = t["id"].to_numpy(), _matrix(t["sig"])
+    found: list[tuple[int, int, int]] = []
+    for i in range(len(ids) - 1):
+        at, near = _likely(i, sigs, chunk)
+        # In tenths, so that many near-equal pairs hang on the least member and not on each other.
+        found += zip((-(near * 10 // sigs.shape[1])).tolist(), [i] * len(at), at.tolist(), strict=True)
+    found.sort()
+    one = Union(len(ids))
+    return [(int(ids[i]), int(ids[j])) for _, i, j in found if one.join(i, j)]
+
+
+def _links(t: pa.Table, chunk: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the true links across components among members of a cluster."""
+    ids, sigs, comp = t["id"].to_numpy(), _matrix(t["sig"]), t["comp"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in t["words"].to_pylist()]
+    first: dict[int, int] = {}
+    one = Union(len(ids))
+    for i, c in enumerate(comp.tolist()):
+        one.join(first.setdefault(c, i), i)
+    out = []
+    for i in range(len(ids) - 1):
+        at, _ = _likely(i, sigs, chunk)
+        for j in at[comp[at] != comp[i]].tolist():
+            if one.top(i) != one.top(j) and similar(sets[i], sets[j]):
+                one.join(i, j)
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def _meet(members: DataFrame, every: bool) -> DataFrame:
-    """members: key, n (of the bucket), id, comp, sig. Distinct candidate pairs a < b."""
+def _matrix(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def similar(a: np.ndarray, b: np.ndarray, share: int = 75) -> bool:
+    """Whether 100 * intersection >= share * union, of sorted distinct arrays."""
+    if 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= share * (len(a) + len(b) - common)
+
+
+def _meet(members: DataFrame, chunks: Column, pairs_of) -> DataFrame:
+    """members: key, id, sig and what pairs_of reads; chunks: how many the key's members are cut
+    into. Distinct pairs a < b."""
     spark = members.sparkSession
-    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
     m = members.withColumn("_c", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     # Chunk c meets every chunk d; with itself once.
     m = m.withColumn("_d", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    m = m.select("key", F.least("_c", "_d").alias("lo"), F.greatest("_c", "_d").alias("hi"), "_c", "id", "comp", "sig")
+    m = m.select("key", F.least("_c", "_d").alias("lo"), F.greatest("_c", "_d").alias("hi"), "_c", *[c for c in members.columns if c not in ("key", "n", "size")])
     m = m.repartition(parts(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
     def groups(batches):
@@ -162,10 +207,7 @@ def _meet(members: DataFrame, every: bool) -> DataFrame:
 
         def emit(rows):
             t = pa.Table.from_batches(rows)
-            ids, sig = t["id"].to_numpy(), t["sig"].to_pylist()
-            sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(ids), -1)
-            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-            return _forest(ids, sigs, t["comp"].to_numpy(), t["_c"].to_numpy() if lo != hi else None, every)
+            return pairs_of(t, t["_c"].to_numpy() if t["lo"][0].as_py() != t["hi"][0].as_py() else None)
 
         out: list[tuple[int, int]] = []
         for batch in batches:
@@ -197,7 +239,6 @@ def _pairs(rows):
 def verify(pairs: DataFrame, texts: DataFrame, share: int = 75) -> DataFrame:
     """pairs (a, b) with linked: whether 100 * intersection >= share * union on the full sets.
     texts: id, text, one row an id."""
-    spark = texts.sparkSession
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -208,12 +249,9 @@ def verify(pairs: DataFrame, texts: DataFrame, share: int = 75) -> DataFrame:
             for a, x, y in zip(s["a"], s["text_a"], s["text_b"], strict=True):
                 if a != last or left is None:
                     last, left = a, shingles(x)
-                right = shingles(y)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                linked.append(100 * common >= share * (len(left) + len(right) - common))
+                linked.append(similar(left, shingles(y), share))
             yield {"a": s["a"], "b": s["b"], "linked": linked}
 
-    del spark
     return map_arrow(both, run, "a long, b long, linked boolean")
 
 
@@ -225,18 +263,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes)
     banded = classes.select("id", F.explode("keys").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("key", "n")
-    members = cut(banded.join(full, "key").join(classes.select("id", "sig"), "id"))
-    first = cut(_meet(members.withColumn("comp", F.col("id")), every=False))
-    texts = _texts(docs, first)
-    tested = cut(verify(first, texts))
-    comp = components(tested.where("linked"))
-    placed = members.join(comp.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    rest = cut(_meet(placed.join(mixed, "key"), every=True).join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut(verify(rest, _texts(docs, rest)).where("linked"))
+    members = banded.join(full, "key").join(classes.select("id", "sig"), "id")
+    first = cut(_meet(members, F.ceil(F.col("n") / CHUNK).cast("int"), _forest))
+    links = cut(verify(first, _texts(docs, first)).where("linked").select("a", "b"))
+    comp = components(links)
+    # Clusters that fell apart: their members meet again with their full sets.
+    cluster = components(first).withColumnRenamed("node", "id").withColumnRenamed("component", "key")
+    placed = cluster.join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
+    again = cut(placed.join(apart, "key"))
+    if not again.isEmpty():
+        sets = map_arrow(_texts(docs, again.select(F.col("id").alias("a"), F.col("id").alias("b"))), _sets, "id long, words binary")
+        again = again.join(classes.groupBy("id").agg(F.first("sig").alias("sig")), "id").join(sets, "id")
+        sizes = again.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("size"))
+        chunks = F.greatest(F.ceil(F.col("n") / (CHUNK // 2)), F.ceil(F.col("size") / CHUNK_BYTES)).cast("int")
+        more = cut(_meet(again.join(sizes, "key"), chunks, _links))
         if not more.isEmpty():
-            comp = components(tested.where("linked").select("a", "b").union(more.select("a", "b")))
+            comp = components(links.union(more))
     # A class's rows take the component of its least document.
     named = classes.select("set_hash", "id").join(comp, classes["id"] == comp["node"], "left").select("set_hash", F.coalesce("component", "id").alias("_comp"))
     out = signed.select("doc_id", "_k", "n_shingles", "set_hash").join(named, "set_hash", "left")
@@ -245,6 +288,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _sets(slices):
+    for s in slices:
+        yield {"id": s["id"], "words": [shingles(t).tobytes() for t in s["text"]]}
+
+
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, text of the documents in the pairs; of rows that share an id, one text with words."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
