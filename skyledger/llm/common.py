@@ -118,14 +118,32 @@ def _arrow(kind) -> pa.DataType:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with checkpoint(), in the folder that spark.checkpoint.dir names; a folder
-    of our own only where the session has none (tests on one machine)."""
+    """Cuts the lineage: the rows go to a Parquet table in the folder that spark.checkpoint.dir
+    names, which all executors share, and are read from there. A folder of our own only where the
+    session has none (tests on one machine). The tables go when the session ends; Spark is asked to
+    let go of the shuffle files behind them at once."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    jvm = spark._jvm
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/skyledger-{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+        base = f"file://{tempfile.gettempdir()}/skyledger"
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(cut_df: DataFrame) -> None:
+    """Deletes the table behind a result of ``cut`` that nothing reads any more."""
+    spark = cut_df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(cut_df._cut_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, all on DataFrames.
 
 No neighbourhood is gathered in a task: each step is a min per node, joined back to the edges. Every
-step ends in a checkpoint, so the lineage stays short and a lost executor costs one step.
+step ends in a written table, so the lineage stays short and a lost executor costs one step.
 """
 
 from __future__ import annotations

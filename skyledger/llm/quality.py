@@ -125,9 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, n_bits: int = N_BITS, trusted_rows:
         at = np.flatnonzero(raw)
         yield {"b": at.astype(np.int32), "raw": raw[at], "good": good[at]}
 
-    sums = map_arrow(rows, count, "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    sums = map_arrow(rows, count, "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros(size), np.zeros(size)
-    raw[sums["b"]], good[sums["b"]] = sums["raw"], sums["good"]
+    at = sums["b"].to_numpy()
+    raw[at], good[at] = sums["raw"].to_numpy(), sums["good"].to_numpy()
     if not good.sum() or not raw.sum():
         return np.zeros(size, np.float32)
     # Both get the same Dirichlet prior, on the target's scale: a bucket that the corpus holds a few
