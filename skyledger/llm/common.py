@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIN_LONG = -(1 << 63)
 M64 = (1 << 64) - 1
 #: Entries of a memo in a Python worker; it is emptied beyond, which costs time and no result.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def words(text: str | None, lower: bool = True) -> list[bytes]:
@@ -102,13 +102,17 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
 
     def run(batches):
         for out in fn(slices(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 #: Bytes of a slice of rows that is turned into Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _arrow(kind) -> pa.DataType:

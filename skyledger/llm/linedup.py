@@ -28,17 +28,20 @@ through by ``dedup`` and ignored by ``report``.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, id_key, map_arrow, mix64, table, word_hashes
+from .common import cut, id_key, map_arrow, mix64, release, table, word_hashes
 
 #: Words from which a line is compared.
 MIN_WORDS = 5
 #: Words from which one edit is allowed.
 FUZZY_WORDS = 8
+#: Buckets of document ids, the size bound of a broadcast set.
+BUCKETS = 1 << 20
 
 
 def norm(line: str) -> list[bytes]:
@@ -53,16 +56,26 @@ def _signed(x) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
-def half_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the halves that a partner must share: as the shorter line of a pair, and as the
-    longer one of a pair whose shorter line has one word less."""
-    n = len(hashes)
-    place = np.arange(1, n + 1, dtype=np.uint64)
-    # Prefix hashes are sums, so that every half costs a lookup.
-    fore = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15)))])
-    back = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes[::-1] + place * np.uint64(0xC2B2AE3D27D4EB4F)))])
-    out = [mix64(np.array([fore[short // 2] + np.uint64(2 * short), back[short - short // 2] + np.uint64(2 * short + 1)], np.uint64)) for short in (n, n - 1)]
-    return np.concatenate(out).view(np.int64)
+def half_keys(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Keys of the halves that a partner must share, four a line: as the shorter line of a pair, and
+    as the longer one of a pair whose shorter line has one word less. hashes: of the words of all
+    lines, one after the other."""
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = (np.arange(len(hashes)) - starts[row] + 1).astype(np.uint64)
+    rear = lengths[row].astype(np.uint64) - place + np.uint64(1)
+    # Halves' hashes are sums, so that every half costs two lookups.
+    zero = np.zeros(1, np.uint64)
+    fore = np.concatenate([zero, np.cumsum(mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15)))])
+    back = np.concatenate([zero, np.cumsum(mix64(hashes + rear * np.uint64(0xC2B2AE3D27D4EB4F)))])
+    out = np.empty((len(lengths), 4), np.uint64)
+    for i, short in enumerate((lengths, lengths - 1)):
+        tag = 2 * short.astype(np.uint64)
+        half = short // 2
+        out[:, 2 * i] = mix64(fore[starts + half] - fore[starts] + tag)
+        out[:, 2 * i + 1] = mix64(back[ends] - back[ends - (short - half)] + tag + np.uint64(1))
+    return out.view(np.int64)
 
 
 def lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
@@ -70,14 +83,20 @@ def lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
 
     def run(slices):
         for s in slices:
-            k, pos, h, halves = [], [], [], []
+            k, pos, h, sizes, every = [], [], [], [], []
             for doc, text in zip(s["_k"], s["text"], strict=True):
                 for i, line in enumerate((text or "").split("\n")):
                     tokens = norm(line)
                     if len(tokens) >= min_words:
-                        k.append(doc), pos.append(i), h.append(line_hash(tokens))
-                        halves.append(half_keys(word_hashes(tokens)) if len(tokens) >= fuzzy_words else [])
-            yield {"_k": k, "pos": pos, "h": _signed(h), "halves": halves}
+                        k.append(doc), pos.append(i), h.append(line_hash(tokens)), sizes.append(len(tokens))
+                        every += tokens
+            if k:
+                lengths = np.array(sizes)
+                keys = half_keys(word_hashes(every), lengths)
+                fuzzy_line = lengths >= fuzzy_words
+                offsets = np.concatenate([[0], np.cumsum(4 * fuzzy_line)]).astype(np.int32)
+                halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[fuzzy_line].ravel()))
+                yield {"_k": k, "pos": pos, "h": _signed(h), "halves": halves}
 
     return map_arrow(docs.select(id_key(F.col("doc_id")).alias("_k"), "text"), run, "_k long, pos int, h long, halves array<long>")
 
@@ -129,7 +148,10 @@ def fuzzy(docs: DataFrame, first: DataFrame) -> DataFrame:
     alive = halves.join(shared, "key", "left_semi").select("h").distinct()
     alive = cut(first.select("h", "_k", "pos").join(alive, "h"))
     wanted = alive.groupBy("_k").agg(F.collect_list(F.struct("pos", "h")).alias("want"))  # bounded by a document's lines
-    rows = docs.select(id_key(F.col("doc_id")).alias("_k"), "text").join(wanted, "_k")
+    # Documents that share no bucket of ids with a wanted one need not move: BUCKETS rows at most.
+    slot = F.pmod(F.xxhash64("_k"), F.lit(BUCKETS)).alias("_slot")
+    rows = docs.select(id_key(F.col("doc_id")).alias("_k"), "text").withColumn("_slot", slot)
+    rows = rows.join(F.broadcast(alive.select(slot).distinct()), "_slot", "left_semi").drop("_slot").join(wanted, "_k")
 
     def pick(slices):
         for s in slices:
@@ -155,12 +177,15 @@ def fuzzy(docs: DataFrame, first: DataFrame) -> DataFrame:
         for s in slices:
             yield {"h": [h for h, x, y in zip(s["h"], s["x"], s["y"], strict=True) if within_one(norm(x), norm(y))]}
 
-    return map_arrow(both.select("h", "x", "y"), check, "h long").distinct()
+    out = cut(map_arrow(both.select("h", "x", "y"), check, "h long").distinct())
+    for done in (keys, texts, alive):
+        release(done)
+    return out
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """_k, gone: list of (pos, h) of the lines that go, for documents that have any."""
-    every = lines(docs, min_words, fuzzy_words)
+    every = cut(lines(docs, min_words, fuzzy_words))
     when = F.struct("_k", "pos")
     first = every.groupBy("h").agg(F.min(when).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     first = cut(first.select("h", "first._k", "first.pos", "n", "halves"))

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO, cut, map_arrow, parts, table
+from .common import cut, map_arrow, parts, table
 
 SEQUENCE = 2048
 END_ID = 0
+#: Words whose ids a Python worker remembers.
+WORD_MEMO = 450_000
 #: Open bins of a packer.
 OPEN_BINS = 1024
 #: Pieces of a packer, on average. A few bins stay part empty at its end.
@@ -55,7 +57,7 @@ class WordIds(dict):
         """Ids of whole texts, without the end id."""
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         need = set().union(*split).difference(self)
-        if len(self) + len(need) > MEMO:
+        if len(self) + len(need) > WORD_MEMO:
             self.clear()
             need = set().union(*split)
         need = list(need)
