@@ -1 +1,56 @@
+"""Scans of the given tables and of station panels, and sinks."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def panel(spark, path: str, sep: str = ",") -> DataFrame:
+    """A wide panel (date, a column a station) as long observations; NaN and empty become null."""
+    wide = spark.read.csv(path, header=True, sep=sep, inferSchema=True)
+    first, *ids = wide.columns
+    wide = wide.toDF(first.lstrip("﻿").strip().lower(), *ids)
+    out = wide.select(F.to_timestamp("date").alias("date"), *ids).unpivot("date", ids, "station_id", "temp_raw")
+    value = F.col("temp_raw").cast("double")
+    return out.select("date", "station_id", F.when(~F.isnan(value), value).alias("temp_raw"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").csv(path, header=True)
+
+
+def observations(spark, sf_dir: str) -> DataFrame:
+    """Hourly station observations that stand in for station panels: date, station_id, network, temp."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(
+        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("date"),
+        (F.col("user_id") % 10).alias("station_id"),
+        F.when(F.col("user_id") % 3 == 0, "ows").otherwise("cws").alias("network"),
+    ).agg(F.round(F.avg("value"), 4).alias("temp"))
+
+
+def stations(spark, sf_dir: str) -> DataFrame:
+    """Station metadata that stand in from suppliers."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("station_id"), (47 + (k * 7919 % 1000) / 4000.0).alias("lat"), (8 + (k * 104729 % 1000) / 4000.0).alias("long"), (400 + k * 31 % 300).cast("double").alias("elev"), (F.col("s_nationkey") % 5).cast("int").alias("lcz")
+    )
+
+
+def scored(spark, sf_dir: str) -> DataFrame:
+    """Scored rows that stand in from line items: station, risk score p, residual, flags, split."""
+    d = F.col("l_shipdate").cast("date")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("station_id"),
+        F.col("l_orderkey").alias("row_key"),
+        F.col("l_linenumber").alias("line"),
+        F.round(F.col("l_discount") * 8 + F.col("l_tax") * 2, 4).alias("p"),
+        F.round((F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 100, 4).alias("resid"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        F.when(F.col("l_linenumber") % 4 == 0, None).otherwise((F.col("l_returnflag") == "A").cast("int")).alias("lenient"),
+        (F.col("l_linenumber") > 4).cast("int").alias("strict"),
+        F.when(d < F.lit("1995-01-01").cast("date"), "train").when(d < F.lit("1997-01-01").cast("date"), "valid").otherwise("test").alias("split"),
+    )
