@@ -14,7 +14,7 @@ OBS = """obs AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS date, user_
 META = """meta AS (SELECT s_suppkey AS station_id, 47 + (s_suppkey * 7919 % 1000) / 4000.0::DOUBLE AS lat, 8 + (s_suppkey * 104729 % 1000) / 4000.0::DOUBLE AS long,
   CAST(400 + s_suppkey * 31 % 300 AS DOUBLE) AS elev, CAST(s_nationkey % 5 AS INTEGER) AS lcz FROM supplier)"""
 SCORED = """scored AS (SELECT l_suppkey AS station_id, l_orderkey AS row_key, l_linenumber AS line, round(l_discount * 8 + l_tax * 2, 4) AS p,
-  round((l_extendedprice / l_quantity - 1500) / 100, 4) AS resid, CAST(l_returnflag = 'R' AS INTEGER) AS y,
+  (l_extendedprice / l_quantity - 1500) / 100 AS resid, CAST(l_returnflag = 'R' AS INTEGER) AS y,
   CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_returnflag = 'A' AS INTEGER) END AS lenient, CAST(l_linenumber > 4 AS INTEGER) AS strict,
   CASE WHEN CAST(l_shipdate AS DATE) < DATE '1995-01-01' THEN 'train' WHEN CAST(l_shipdate AS DATE) < DATE '1997-01-01' THEN 'valid' ELSE 'test' END AS split FROM lineitem)"""
 S = "PARTITION BY station_id, network ORDER BY date"

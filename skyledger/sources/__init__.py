@@ -48,7 +48,7 @@ def scored(spark, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("row_key"),
         F.col("l_linenumber").alias("line"),
         F.round(F.col("l_discount") * 8 + F.col("l_tax") * 2, 4).alias("p"),
-        F.round((F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 100, 4).alias("resid"),
+        ((F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 100).alias("resid"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
         F.when(F.col("l_linenumber") % 4 == 0, None).otherwise((F.col("l_returnflag") == "A").cast("int")).alias("lenient"),
         (F.col("l_linenumber") > 4).cast("int").alias("strict"),
