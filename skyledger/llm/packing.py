@@ -54,20 +54,38 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, without the end id."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        """Ids of whole texts, without the end id.
+
+        The tokenizer lower-cases, so A-Z may be mapped before the words are looked up (but not
+        where a text may hold one of its special tokens, which it matches as they stand); and a
+        comma or a full stop behind a letter or digit is a token sequence of its own."""
+        split = []
+        for t in texts:
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            split.append((raw if b"<|" in raw else raw.lower()).split())
         need = set().union(*split).difference(self)
         if len(self) + len(need) > WORD_MEMO:
             self.clear()
             need = set().union(*split)
-        need = list(need)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in need], add_special_tokens=False)
-        for word, e in zip(need, found, strict=True):
+        ended, whole = [], {b",", b"."}
+        for w in need:
+            if len(w) > 1 and w[-1] in b",." and w[:-1].decode("utf-8", "replace")[-1].isalnum():
+                ended.append(w)
+                whole.add(w[:-1])
+            else:
+                whole.add(w)
+        self._learn([w for w in whole if w not in self])
+        for w in ended:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+        return [b"".join(map(self.__getitem__, s)) for s in split]
+
+    def _learn(self, found: list[bytes]) -> None:
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)
+        for word, e in zip(found, encoded, strict=True):
             ids = array.array("I", e.ids)
             if sys.byteorder == "big":
                 ids.byteswap()
             self[word] = ids.tobytes()
-        return [b"".join(map(self.__getitem__, s)) for s in split]
 
 
 _MEMOS: dict[str, WordIds] = {}
