@@ -31,7 +31,7 @@ from .common import cut, map_arrow, parts, table
 SEQUENCE = 2048
 END_ID = 0
 #: Words whose ids a Python worker remembers.
-WORD_MEMO = 450_000
+WORD_MEMO = 1_200_000
 #: Open bins of a packer.
 OPEN_BINS = 1024
 #: Pieces of a packer, on average. A few bins stay part empty at its end.
