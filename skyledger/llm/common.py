@@ -26,6 +26,19 @@ def words(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+#: Memos of this process. A Python worker lives on from stage to stage; those of one operator go when
+#: a task of another begins.
+MEMOS: list[dict] = []
+_OWNER = [""]
+
+
+def claim(owner: str) -> None:
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for memo in MEMOS:
+            memo.clear()
+
+
 class WordHashes(dict):
     """Memo from a word to its 64-bit hash."""
 
@@ -37,6 +50,7 @@ class WordHashes(dict):
 
 
 WORD_HASHES = WordHashes()
+MEMOS.append(WORD_HASHES)
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
@@ -100,7 +114,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step).to_pydict()
 
+    owner = fn.__module__
+
     def run(batches):
+        claim(owner)
         for out in fn(slices(batches)):
             yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in target], schema=target)
 

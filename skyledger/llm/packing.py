@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, parts, table
+from .common import MEMOS, cut, map_arrow, parts, table
 
 SEQUENCE = 2048
 END_ID = 0
@@ -94,6 +94,7 @@ _MEMOS: dict[str, WordIds] = {}
 def encoder(path: str) -> WordIds:
     if path not in _MEMOS:
         _MEMOS[path] = WordIds(path)
+        MEMOS.append(_MEMOS[path])
     return _MEMOS[path]
 
 

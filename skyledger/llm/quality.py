@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO, map_arrow, table, windows
+from .common import MEMO, MEMOS, map_arrow, table, windows
 
 N_BITS = 18
 #: Trusted documents at most that are counted for the target, the first by a hash of their id.
@@ -57,6 +57,7 @@ class Tokens(dict):
 
 
 TOKENS = Tokens()
+MEMOS.append(TOKENS)
 
 
 def ngrams(tokens: list[bytes], n_bits: int = N_BITS) -> np.ndarray:
