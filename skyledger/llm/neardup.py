@@ -40,6 +40,8 @@ SLOT_BITS = SLOTS.bit_length() - 1
 LIKELY = 0.60
 #: Members of a bucket that meet in one task; larger buckets meet chunk by chunk.
 CHUNK = 512
+#: Buckets of document ids, the size bound of a broadcast set.
+BUCKETS = 1 << 20
 #: Bytes of the full sets in a chunk.
 CHUNK_BYTES = 16 << 20
 
@@ -296,7 +298,10 @@ def _sets(slices):
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, text of the documents in the pairs; of rows that share an id, one text with words."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(id_key(F.col("doc_id")).alias("id"), "text").join(need, "id")
+    # Documents that share no bucket of ids with a needed one need not move: BUCKETS rows at most.
+    slot = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("_slot")
+    rows = docs.select(id_key(F.col("doc_id")).alias("id"), "text").withColumn("_slot", slot)
+    rows = rows.join(F.broadcast(need.select(slot).distinct()), "_slot", "left_semi").drop("_slot").join(need, "id")
     return cut(rows.groupBy("id").agg(F.max("text").alias("text")))
 
 
