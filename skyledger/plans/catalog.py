@@ -16,7 +16,7 @@ META = """meta AS (SELECT s_suppkey AS station_id, 47 + (s_suppkey * 7919 % 1000
 SCORED = """scored AS (SELECT l_suppkey AS station_id, l_orderkey AS row_key, l_linenumber AS line, round(l_discount * 8 + l_tax * 2, 4) AS p,
   (l_extendedprice / l_quantity - 1500) / 100 AS resid, CAST(l_returnflag = 'R' AS INTEGER) AS y,
   CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_returnflag = 'A' AS INTEGER) END AS lenient, CAST(l_linenumber > 4 AS INTEGER) AS strict,
-  CASE WHEN CAST(l_shipdate AS DATE) < DATE '1995-01-01' THEN 'train' WHEN CAST(l_shipdate AS DATE) < DATE '1997-01-01' THEN 'valid' ELSE 'test' END AS split FROM lineitem)"""
+  CASE WHEN CAST(l_shipdate AS DATE) < DATE '1999-01-01' THEN 'train' WHEN CAST(l_shipdate AS DATE) < DATE '2000-06-01' THEN 'valid' ELSE 'test' END AS split FROM lineitem)"""
 S = "PARTITION BY station_id, network ORDER BY date"
 DAY = "strftime(date, '%Y-%m-%d %H:%M:%S') AS date"
 LEVELS = {"strict": 0.25, "lenient": 0.70}

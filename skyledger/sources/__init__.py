@@ -52,5 +52,5 @@ def scored(spark, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
         F.when(F.col("l_linenumber") % 4 == 0, None).otherwise((F.col("l_returnflag") == "A").cast("int")).alias("lenient"),
         (F.col("l_linenumber") > 4).cast("int").alias("strict"),
-        F.when(d < F.lit("1995-01-01").cast("date"), "train").when(d < F.lit("1997-01-01").cast("date"), "valid").otherwise("test").alias("split"),
+        F.when(d < F.lit("1999-01-01").cast("date"), "train").when(d < F.lit("2000-06-01").cast("date"), "valid").otherwise("test").alias("split"),
     )

@@ -9,7 +9,7 @@ import pytest
 from skyledger.operators import evaluation as ev
 from skyledger.operators import features as ft
 from skyledger.operators import qc
-from skyledger.plans import catalog
+from skyledger.plans import catalog, products
 
 SF = "/root/testdata/sf0.001"
 TABLES = "supplier events lineitem orders".split()
@@ -21,16 +21,19 @@ def text(v):
     return f"{float(v):.7g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+QUERIES, ORACLES = catalog.QUERIES | products.QUERIES, catalog.ORACLES | products.ORACLES
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(tuple(text(r[c]) for c in cols) for r in df.collect())
-    cur = con.execute(catalog.ORACLES[name])
+    cur = con.execute(ORACLES[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == cols
     want = sorted(tuple(text(dict(zip(names, r))[c]) for c in cols) for r in cur.fetchall())
