@@ -2,25 +2,26 @@
 
 A text is a sequence of tokens: its words, A-Z in lower case, then one end. A word is spelled byte by
 byte with a closing blank (the end token is the blank alone), a byte bit by bit. Each bit is
-predicted in four hashed contexts: the last one, two and three bytes, and the word so far. The
+predicted in five hashed contexts: the last one, two and three bytes, the word so far, and the word
+so far behind the text's state (which of the corpus's most frequent words came last; it tells the
+language, and more). The byte contexts hold the state where they reach back to the word's start. The
 predictions are mixed in the logistic domain by weights that a gate picks from how much the longer
 contexts have been seen; an adaptive table then refines the mixed probability. The spelled
 probability is then mixed, token by token, with three word-level ones: the word's share of the
-training corpus, its share of the corpus behind the same state (which of the corpus's most frequent
-words came last; it tells the language, and more), and its share of the text so far. Their weights
-start from fixed ones and follow how well each has done on the text's earlier tokens (online, in
-steps of STEP tokens). So every text has a proper probability, and bits per byte follow from it.
+training corpus, its share of the corpus behind the same state, and its share of the text so far.
+Their weights start from fixed ones and follow how well each has done on the text's earlier tokens
+(online, in steps of EARLY to STEP tokens). So every text has a proper probability, and bits per byte
+follow from it.
 
 Learning is distributed and covers all training documents: (1) counts of (word, state before it),
 summed over the corpus, a table that grows with it; (2) bit counts in hashed tables of fixed size,
-summed over the partitions of the words; (3) mixing weights and the refinement, learned online in
+summed over the partitions of that table; (3) mixing weights and the refinement, learned online in
 every partition - each bit is predicted as if its own occurrence had not been counted - and averaged
-by weight. Words seen once do not enter the longest context (a count cut-off).
+by weight.
 
-The contexts of the bits stay inside the word, so a word of the training corpus is priced once, in
-the table of counts. The distinct words of a block of documents, as 64-bit hashes, are joined with
-that table and meet the block's documents in one task; only words that the table lacks are priced
-there.
+The table of counts also has the pairs of word and state that only held-out rows have, with count 0,
+so every pair is priced once, there. The distinct words of a block of documents, as 64-bit hashes,
+are joined with that table and meet the block's documents in one task.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as the empty text
 for held_out; repeated rows are learned from and scored each; without training documents the model
@@ -43,21 +44,23 @@ from .common import crc_mod, crc_mod_col, cut, map_arrow, mix64, parts, release,
 
 HELD_OUT = (5, 1)
 #: Slots of the hashed tables, one per context, as powers of 2.
-TABLE_BITS = (16, 18, 19, 20)
+TABLE_BITS = (16, 18, 20, 20, 20)
 OFFSETS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 K = len(TABLE_BITS)
-#: Contexts that words seen once do not enter.
-LONG = (3,)
 #: Frequent words that make the state, at most 62, and the state before the first of them.
 STATES = 32
 START = 63
+#: Bytes of a word that decide where it is learned and priced.
+LOCAL = 3
 #: Tokens and distinct words that a task holds before it gives out their counts.
 FLUSH_TOKENS = 4_000_000
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 20 << 20
 FLUSH = 300_000
-#: Distinct words of a task that learns.
-LEARN_WORDS = 400_000
+#: Pairs of word and state of a task that learns or prices, and of a slice of it at least.
+LEARN_PAIRS, CHUNK = 400_000, 8_000
+#: Bytes after which a task that learns renews its weights.
+RENEW = 12_000
 GATES, CELLS, LIMIT = 64, 33, 8.0
 RATE, FIRST_WEIGHT, CELL_PRIOR = 0.02, 0.3, 20.0
 
@@ -103,24 +106,26 @@ class Numbers(dict):
         return np.where(last >= 0, ids[last], START)
 
 
-def spell(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of all words with their blanks, the word of each byte, and a context hash per byte."""
+def spell(tokens: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bytes of all words with their blanks, the word and the place in it of each byte, and its
+    context hashes. before: the states before the words."""
     data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     starts = np.cumsum(lengths) - lengths
     row = np.repeat(np.arange(len(tokens)), lengths)
     place = np.arange(len(data)) - starts[row]
+    state = np.asarray(before).astype(np.uint64)[row] + np.uint64(256)
     last = []
     for j in (1, 2, 3):
         prev = np.concatenate([np.zeros(j, np.uint64), data[:-j]])[: len(data)]
-        last.append(np.where(place >= j, prev, np.where(place == j - 1, np.uint64(256), np.uint64(0))))
+        last.append(np.where(place >= j, prev, np.where(place == j - 1, state, np.uint64(0))))
     h1 = mix64(last[0] + np.uint64(1 << 20))
     h2 = mix64(h1 + last[1] + np.uint64(1 << 21))
     h3 = mix64(h2 + last[2] + np.uint64(1 << 22))
     each = mix64((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1 << 40))
     upto = np.cumsum(each) - each
     prefix = upto - upto[starts][row]
-    return data, row, [h1, h2, h3, mix64(prefix + np.uint64(7))]
+    return data, row, place, [h1, h2, h3, mix64(prefix + np.uint64(7)), mix64(prefix + state * np.uint64(0x9E3779B97F4A7C15))]
 
 
 def bits_of(data: np.ndarray, hashes: list[np.ndarray]):
@@ -135,31 +140,59 @@ def bits_of(data: np.ndarray, hashes: list[np.ndarray]):
 
 
 def count_pairs(docs: DataFrame, states: list[bytes]) -> DataFrame:
-    """w, before, c: how often each word follows each state, over all rows of ``docs``."""
+    """w, before, c: how often each word follows each state in the training rows of ``docs``; 0 for
+    those that only held-out rows have."""
 
     def run(slices):
-        names, held, n = Numbers(states), [], 0
+        names, held, n = Numbers(states), ([], []), 0
 
         def out():
-            key, c = np.unique(np.concatenate(held), return_counts=True)
+            key, c = np.unique(np.concatenate([*held[0], np.empty(0, np.int64)]), return_counts=True)
+            rest = np.setdiff1d(np.concatenate([*held[1], np.empty(0, np.int64)]), key)
+            key, c = np.concatenate([key, rest]), np.concatenate([c, np.zeros(len(rest), np.int64)])
             of = list(names)
             return {"w": [of[i] for i in (key >> 6).tolist()], "before": (key & 63).astype(np.int32), "c": c}
 
         for s in slices:
-            for text in s["text"]:
+            for text, apart in zip(s["text"], s["apart"], strict=True):
                 ids = names.read(text)
-                held.append((ids << 6) | names.before(ids))
+                held[apart].append((ids << 6) | names.before(ids))
                 n += len(ids)
             if n >= FLUSH_TOKENS or len(names) >= 2 * FLUSH:
                 yield out()
-                names, held, n = Numbers(states), [], 0
-        if held:
+                names, held, n = Numbers(states), ([], []), 0
+        if n:
             yield out()
 
-    return map_arrow(docs.select("text"), run, "w binary, before int, c long").groupBy("w", "before").agg(F.sum("c").alias("c"))
+    apart = crc_mod_col(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
+    return map_arrow(docs.select("text", apart.alias("apart")), run, "w binary, before int, c long").groupBy("w", "before").agg(F.sum("c").alias("c"))
 
 
-def count_bits(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def chunks(slices):
+    """Slices of rows sorted by word, cut anew so that words with the same first LOCAL bytes are
+    together: (words, states, counts)."""
+    w, before, c = [], [], []
+    for s in slices:
+        w += s["w"]
+        before += s["before"]
+        c += s["c"]
+        if len(w) >= CHUNK:
+            end = len(w)
+            while end and w[end - 1][:LOCAL] == w[-1][:LOCAL]:
+                end -= 1
+            at = 0
+            while at < end:
+                to = min(at + CHUNK, end)
+                while to < end and w[to][:LOCAL] == w[to - 1][:LOCAL]:
+                    to += 1
+                yield w[at:to], np.array(before[at:to]), np.array(c[at:to])
+                at = to
+            del w[:end], before[:end], c[:end]
+    if w:
+        yield w, np.array(before), np.array(c)
+
+
+def count_bits(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts of 0 and 1 in every slot. What comes to the driver is bounded by the tables' size."""
     size = int(OFFSETS[-1])
 
@@ -168,15 +201,11 @@ def count_bits(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         some = False
         for s in slices:
             some = True
-            data, row, hashes = spell(s["w"])
-            c = np.array(s["c"], np.float32)
-            weight, often = c[row], (c >= 2)[row]
+            data, row, place, hashes = spell(s["w"], s["before"])
+            weight = np.array(s["c"], np.float32)[row]
             for bit, slots in bits_of(data, hashes):
-                for k, at in enumerate(slots):
-                    if k in LONG:
-                        np.add.at(n, (2 * at + bit)[often], weight[often])
-                    else:
-                        np.add.at(n, 2 * at + bit, weight)
+                for at in slots:
+                    np.add.at(n, 2 * at + bit, weight)
         if some:
             n0, n1 = n[::2], n[1::2]
             at = np.flatnonzero(n0 + n1)
@@ -184,7 +213,7 @@ def count_bits(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 part = at[i : i + 500_000]
                 yield {"slot": part.astype(np.int32), "n0": n0[part], "n1": n1[part]}
 
-    got = map_arrow(counts, run, "slot int, n0 float, n1 float").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
+    got = map_arrow(pairs, run, "slot int, n0 float, n1 float").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
     n0, n1 = np.zeros(size, np.float32), np.zeros(size, np.float32)
     for part in got.to_batches():
         at = part["slot"].to_numpy()
@@ -192,11 +221,25 @@ def count_bits(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return n0, n1
 
 
+def seen(tokens: list[bytes], before: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes of the words, the word of each, and counts of 0 and 1 as (bit, context, byte)."""
+    data, row, place, hashes = spell(tokens, before)
+    n0, n1 = (np.empty((8, K, len(data)), np.float32) for _ in range(2))
+    for t, (_, slots) in enumerate(bits_of(data, hashes)):
+        for k, at in enumerate(slots):
+            n0[t, k], n1[t, k] = a0[at], a1[at]
+    return data.astype(np.int64), row, n0, n1
+
+
 def level(n: np.ndarray) -> np.ndarray:
     """0: never seen, 1: once or twice, 2: under 16 times, 3: more."""
     return (n >= 1).astype(np.uint8) + (n >= 3) + (n >= 16)
 
 
+def gate_of(n: np.ndarray) -> np.ndarray:
+    return (level(n[4]) * 16 + level(n[3]) * 4 + level(n[2])).astype(np.int64)
+
+
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).astype(np.float32)
 
@@ -216,28 +259,22 @@ def cells(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CELL_P = squash(np.linspace(-LIMIT, LIMIT, CELLS))
 
 
-def learn_mixing(counts: DataFrame, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (gate, context) and the refined probabilities (gate, cell)."""
-    sent = counts.sparkSession.sparkContext.broadcast((n0, n1))  # bounded by the tables' size
+def learn_mixing(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (gate, context) and the refined probabilities (gate, cell). pairs: sorted by word."""
+    sent = pairs.sparkSession.sparkContext.broadcast((n0, n1))  # bounded by the tables' size
 
     def run(slices):
-        a0, a1 = sent.value
         w = np.full((GATES, K), FIRST_WEIGHT, np.float32)
-        seen, hits, total = np.zeros(GATES), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
-        for s in slices:
-            for i in range(0, len(s["w"]), 1500):
-                c = np.array(s["c"][i : i + 1500], np.float32)
-                data, row, hashes = spell(s["w"][i : i + 1500])
-                weight, often = c[row], (c >= 2)[row]
-                for bit, slots in bits_of(data, hashes):
-                    x, n = np.empty((K, len(bit)), np.float32), []
-                    for k, at in enumerate(slots):
-                        m0, m1 = a0[at], a1[at]
-                        own = often if k in LONG else True
-                        m0, m1 = np.maximum(m0 - ((bit == 0) & own), 0), np.maximum(m1 - ((bit == 1) & own), 0)
-                        x[k] = stretched(m0, m1)
-                        n.append(m0 + m1)
-                    gate = (level(n[3]) * 16 + level(n[2]) * 4 + level(n[1])).astype(np.int64)
+        mass_of, hits, total = np.zeros(GATES), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
+        for tokens, before, c in chunks(slices):
+            data, row, every0, every1 = seen(tokens, before, *sent.value)
+            often = c.astype(np.float32)[row]
+            for i in range(0, len(data), RENEW):
+                weight = often[i : i + RENEW]
+                for t in range(8):
+                    bit = (data[i : i + RENEW] >> (7 - t)) & 1
+                    m0, m1 = np.maximum(every0[t, :, i : i + RENEW] - (bit == 0), 0), np.maximum(every1[t, :, i : i + RENEW] - (bit == 1), 0)
+                    x, gate = stretched(m0, m1), gate_of(m0 + m1)
                     z = sum(w[:, k][gate] * x[k] for k in range(K))
                     err = weight * (bit - squash(z))
                     mass = np.bincount(gate, weight, GATES)
@@ -246,15 +283,15 @@ def learn_mixing(counts: DataFrame, n0: np.ndarray, n1: np.ndarray) -> tuple[np.
                     total += np.bincount(at, weight, GATES * CELLS)
                     for k in range(K):
                         w[:, k] += (RATE * np.bincount(gate, err * x[k], GATES) / (mass + 20)).astype(np.float32)
-                    seen += mass
+                    mass_of += mass
         yield {
             "kind": [0] * (GATES * K) + [1] * (GATES * CELLS),
             "at": [*range(GATES * K), *range(GATES * CELLS)],
-            "value": [*(w * seen[:, None]).ravel(), *hits],
-            "mass": [*np.repeat(seen, K), *total],
+            "value": [*(w * mass_of[:, None]).ravel(), *hits],
+            "mass": [*np.repeat(mass_of, K), *total],
         }
 
-    got = map_arrow(counts, run, "kind int, at int, value double, mass double").groupBy("kind", "at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).collect()
+    got = map_arrow(pairs, run, "kind int, at int, value double, mass double").groupBy("kind", "at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).collect()
     w, refined = np.full(GATES * K, FIRST_WEIGHT), np.tile(CELL_P, GATES)
     for r in got:
         if r["kind"] == 0 and r["mass"] > 0:
@@ -266,8 +303,9 @@ def learn_mixing(counts: DataFrame, n0: np.ndarray, n1: np.ndarray) -> tuple[np.
 
 
 #: Tokens after which the weights of a text's mixture are renewed; the first weights, of corpus,
-#: corpus behind the state, text so far and spelling, and how many tokens they count for.
-STEP, FIRST, FIRST_MASS = 128, np.array([0.2, 0.4, 0.2, 0.2]), 30.0
+#: corpus behind the state, text so far and spelling, and how many tokens they count for. The first
+#: steps are shorter, so that short texts adapt too: EARLY tokens, then as many as all before.
+EARLY, STEP, FIRST, FIRST_MASS = 8, 64, np.array([0.2, 0.4, 0.2, 0.2]), 30.0
 
 
 def earlier(q: np.ndarray) -> np.ndarray:
@@ -285,43 +323,39 @@ def mix_tokens(share: np.ndarray, behind: np.ndarray, spelled: np.ndarray, q: np
     corpus, by the corpus behind their states, and by spelling; q: numbers of its words."""
     e = np.stack([share, behind, earlier(q) / np.maximum(1, np.arange(len(q))), spelled])
     mass, total = FIRST * FIRST_MASS, 0.0
-    for i in range(0, len(q), STEP):
-        part = (mass / mass.sum())[:, None] * e[:, i : i + STEP]
+    i = 0
+    while i < len(q):
+        step = min(max(EARLY, i), STEP)
+        part = (mass / mass.sum())[:, None] * e[:, i : i + step]
         p = part.sum(0)
         total += float(np.log10(p).sum())
         mass = mass + (part / p).sum(1)
+        i += step
     return total
 
 
-#: Words priced at once; their arrays stay in the processor's cache.
-PRICED = 4_000
-
-
 class Model:
-    """Prices words. Tables are of fixed size."""
+    """Prices words behind states."""
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, refined: np.ndarray):
-        self.x, self.level = stretched(n0, n1), level(n0 + n1)
+        self.n0, self.n1 = n0, n1
         self.w, self.refined = w.T.astype(np.float32).copy(), refined.ravel().astype(np.float32)
 
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 probability of each word, as it is spelled."""
-        out = np.zeros(len(tokens))
-        for i in range(0, len(tokens), PRICED):
-            data, row, hashes = spell(tokens[i : i + PRICED])
-            whole = np.ones(len(data))
-            for bit, slots in bits_of(data, hashes):
-                gate = (self.level[slots[3]] * 16 + self.level[slots[2]] * 4 + self.level[slots[1]]).astype(np.int64)
-                z = np.zeros(len(bit), np.float32)
-                for k, at in enumerate(slots):
-                    z += self.w[k][gate] * self.x[at]
-                low, part = cells(z)
-                at = gate * CELLS + low
-                p = 0.5 * squash(z) + 0.5 * (self.refined[at] * (1 - part) + self.refined[at + 1] * part)
-                p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
-                whole *= np.where(bit == 1, p, 1 - p)
-            out[i : i + PRICED] = np.bincount(row, np.log10(whole), len(out[i : i + PRICED]))
-        return out
+    def log10(self, tokens: list[bytes], before: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 probability of each word behind its state, as it is spelled."""
+        data, row, n0, n1 = seen(tokens, before, self.n0, self.n1)
+        whole = np.ones(len(data))
+        for t in range(8):
+            x, gate = stretched(n0[t], n1[t]), gate_of(n0[t] + n1[t])
+            z = np.zeros(len(data), np.float32)
+            for k in range(K):
+                z += self.w[k][gate] * x[k]
+            low, part = cells(z)
+            at = gate * CELLS + low
+            p = 0.5 * squash(z) + 0.5 * (self.refined[at] * (1 - part) + self.refined[at + 1] * part)
+            p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
+            whole *= np.where((data >> (7 - t)) & 1 == 1, p, 1 - p)
+        return np.bincount(row, np.log10(whole), len(tokens))
 
 
 #: Most frequent words whose counts behind each state go with the task, not with the block.
@@ -335,32 +369,38 @@ def hashes_of(tokens) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
 
 
-def price(counts: DataFrame, sent) -> DataFrame:
-    """counts: w, c, by. h, c, spelled (log10, float), by: none for the frequent words."""
+def price(pairs: DataFrame, sent) -> DataFrame:
+    """pairs: sorted by word. h, c, and for each state that the word follows: by (count and state),
+    spelled (log10)."""
 
     def run(slices):
-        model = Model(*sent.value[:4])
-        floor = sent.value[6]
-        for s in slices:
-            yield {"h": hashes_of(s["w"]), "c": s["c"], "spelled": model.log10(s["w"]), "by": [b if c < floor else [] for b, c in zip(s["by"], s["c"], strict=True)]}
+        model = Model(*sent.value)
+        for tokens, before, c in chunks(slices):
+            spelled = model.log10(tokens, before, c).astype(np.float32)
+            start = np.array([i for i, w in enumerate(tokens) if not i or w != tokens[i - 1]])
+            ends = pa.array(np.append(start, len(tokens)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (c * 64 + before, spelled)]
+            yield {"h": hashes_of([tokens[i] for i in start]), "c": np.add.reduceat(c, start), "by": lists[0], "spelled": lists[1]}
 
-    return map_arrow(counts, run, "h long, c long, spelled float, by array<long>")
+    return map_arrow(pairs, run, "h long, c long, by array<long>, spelled array<float>")
 
 
 def pack(batches):
-    """Rows of (block, h, c, spelled, by) as a few rows a block of packed arrays."""
+    """Rows of (block, h, c, by, spelled) as a few rows a block of packed arrays."""
     for batch in batches:
         block = batch["block"].to_numpy()
         order = np.argsort(block, kind="stable")
         t = batch.take(pa.array(order))
         block = block[order]
         ends = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
-        h, c, spelled = (t[n].to_numpy() for n in ("h", "c", "spelled"))
+        h, c = (t[n].to_numpy() for n in ("h", "c"))
         sizes = t["by"].value_lengths().to_numpy().astype(np.int32)
-        flat, starts = t["by"].flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        flat, spelled = (t[n].flatten().to_numpy() for n in ("by", "spelled"))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         cols = [[], [], [], [], [], []]
         for i, j in zip(ends, ends[1:], strict=False):
-            parts_of = (h[i:j], c[i:j], spelled[i:j], sizes[i:j], flat[starts[i] : starts[j]])
+            own = slice(starts[i], starts[j])
+            parts_of = (h[i:j], c[i:j], spelled[own], sizes[i:j], flat[own])
             for col, v in zip(cols, (int(block[i]), *(x.tobytes() for x in parts_of)), strict=True):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "h", "c", "spelled", "sizes", "flat"])
@@ -399,29 +439,34 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     docs = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
     training = docs.where(crc_mod_col(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
     states = top_words(training)
-    pairs = cut(count_pairs(training, states))
+    pairs = cut(count_pairs(docs, states))
+    behind, rows = np.ones(64), 0
+    for r in pairs.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("rows")).collect():
+        behind[r["before"]] = max(1, r["n"])
+        rows += r["rows"]
+    tasks = max(1, -(-rows // LEARN_PAIRS))
+    learn = pairs.where("c > 0")
+    n0, n1 = count_bits(learn.coalesce(max(1, tasks // 3)))
+    # A word goes with the others that begin as it does.
+    laid = [df.repartition(tasks, F.expr(f"substring(w, 1, {LOCAL})")).sortWithinPartitions("w", "before") for df in (learn, pairs)]
+    w, refined = learn_mixing(laid[0], n0, n1)
     # A word has at most as many entries as there are states; count and state share a long.
-    counts = cut(pairs.groupBy("w").agg(F.sum("c").alias("c"), F.collect_list(F.col("c") * 64 + F.col("before")).alias("by")))
-    behind = np.ones(64)
-    for r in pairs.groupBy("before").agg(F.sum("c").alias("n")).collect():
-        behind[r["before"]] = r["n"]
+    priced = cut(price(laid[1], spark.sparkContext.broadcast((n0, n1, w, refined))))  # bounded by the tables' size
     release(pairs)
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    learn = counts.select("w", "c").coalesce(max(1, -(-distinct // LEARN_WORDS)))
-    n0, n1 = count_bits(learn)
-    w, refined = learn_mixing(learn, n0, n1)
+    del n0, n1
+    total, distinct = (int(x or 0) for x in priced.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
     # Bounded by FREQUENT: of words as frequent as the last one, all are left to the blocks.
-    best = counts.orderBy(F.desc("c")).limit(FREQUENT + 1).select("w", "c", "by").collect()
-    floor = best[FREQUENT]["c"] + 1 if len(best) > FREQUENT else 0
+    best = priced.orderBy(F.desc("c")).limit(FREQUENT + 1).select("h", "c", "by", "spelled").collect()
+    floor = best[FREQUENT]["c"] + 1 if len(best) > FREQUENT else 1
     best = [r for r in best if r["c"] >= floor]
-    top_h = hashes_of([bytes(r["w"]) for r in best])
-    top = np.zeros((len(best), 64), np.float32)
+    top_h = np.array([r["h"] for r in best], np.int64)
+    top, top_spelled = np.zeros((len(best), 64), np.float32), np.full((len(best), 64), -300, np.float32)
     for i, r in enumerate(best):
-        for e in r["by"]:
-            top[i, e & 63] = e >> 6
+        for e, x in zip(r["by"], r["spelled"], strict=True):
+            top[i, e & 63], top_spelled[i, e & 63] = e >> 6, x
     order = np.argsort(top_h)
-    sent = spark.sparkContext.broadcast((n0, n1, w, refined, top_h[order], top[order], max(1, floor)))  # bounded by the tables' size and FREQUENT
-    del n0, n1, best
+    sent = spark.sparkContext.broadcast((top_h[order], top[order], top_spelled[order]))  # bounded by FREQUENT
+    del best
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = max(1, -(-size // BLOCK_BYTES))
     mass = total + 0.5 * (distinct + 1)
@@ -436,37 +481,37 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(h, kind="stable")
         at = np.minimum(np.searchsorted(h[order], hashes), max(0, len(h) - 1))
-        known = h[order][at] == hashes if len(h) else np.zeros(len(hashes), bool)
-        at = order[at[known]]
-        c, spelled = np.zeros(len(names)), np.zeros(len(names))
-        c[known], spelled[known] = counted[at], spelling[at]
-        new = [w for w, k in zip(names, known.tolist(), strict=True) if not k]
-        if new:
-            spelled[~known] = Model(*sent.value[:4]).log10(new)
-        # A row of counts by state for each word: of frequent words, then of the block's others.
-        top_h, top = sent.value[4:6]
+        found = h[order][at] == hashes if len(h) else np.zeros(len(hashes), bool)
+        at = order[at[found]]
+        c = np.zeros(len(names))
+        c[found] = counted[at]
+        known = c > 0
+        # Counts and prices by state for each word: of frequent words, then of the block's others.
+        top_h, top, top_spelled = sent.value
         row = np.minimum(np.searchsorted(top_h, hashes), max(0, len(top_h) - 1))
         row = np.where(top_h[row] == hashes, row, -1) if len(top_h) else np.full(len(names), -1)
-        own = np.flatnonzero(known)[lengths[at] > 0]
+        own = np.flatnonzero(found)[lengths[at] > 0]
         at = at[lengths[at] > 0]
         n = lengths[at]
-        key = np.repeat(own, n) * 64 + (flat[np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] & 63)
-        value = flat[np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] >> 6
+        entry = np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.repeat(own, n) * 64 + (flat[entry] & 63)
         by_key = np.argsort(key)
-        key, value = np.append(key[by_key], -1), np.append(value[by_key], 0)  # the last entry is for none
+        # The last entry is for none.
+        key, value, spelled = np.append(key[by_key], -1), np.append(flat[entry][by_key] >> 6, 0), np.append(spelling[entry][by_key], np.float32(-300))
         unigram = np.log10((c + 0.5) / mass)
         share = c / max(1, total)
-        price_of = 10.0 ** np.maximum(spelled, -300)
         sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
         scores = []
         for q, b in zip(seqs, states_of, strict=True):
-            n = np.zeros(len(q))
+            n, spelled_as = np.zeros(len(q)), np.zeros(len(q))
             often = row[q] >= 0
-            n[often] = top[row[q][often], b[often]]
+            at = row[q][often], b[often]
+            n[often], spelled_as[often] = top[at], top_spelled[at]
             want = q[~often] * 64 + b[~often]
             k = np.searchsorted(key[:-1], want)
-            n[~often] = np.where(key[np.minimum(k, len(key) - 1)] == want, value[np.minimum(k, len(key) - 1)], 0)
-            scores.append(mix_tokens(share[q], n / behind[b], price_of[q], q))
+            k = np.where(key[k] == want, k, len(key) - 1)
+            n[~often], spelled_as[~often] = value[k], spelled[k]
+            scores.append(mix_tokens(share[q], n / behind[b], 10.0 ** np.maximum(spelled_as, -300), q))
         ids = [None if pd.isna(d) else int(d) for d in left["doc_id"]]
         return pd.DataFrame(
             {
@@ -481,9 +526,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             }
         )
 
+    lists = [F.when(F.col("c") < floor, F.col(n)).otherwise(F.expr("filter(%s, x -> false)" % n)).alias(n) for n in ("by", "spelled")]
     # Both uses have the same columns, so that the plan has this exchange once (ReusedExchange).
     rows = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(parts(spark), "block")
-    known = map_arrow(rows, distinct_words, "block int, h long").join(price(counts, sent), "h").select("block", "h", "c", "spelled", "by")
+    known = map_arrow(rows, distinct_words, "block int, h long").join(priced.select("h", "c", *lists), "h")
     known = known.mapInArrow(pack, "block int, h binary, c binary, spelled binary, sizes binary, flat binary")
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(score, SCHEMA)
 

@@ -149,3 +149,22 @@ def test_language_model(spark):
         want = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*common.words(t), b""])
         assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want)) and r["train_tokens"] == n and r["score"] < 0
     assert contextmix.lm_scores(docs(spark, [])).count() == 0
+
+
+def test_language_model_spells_behind_a_state(spark):
+    # The held-out "zukxo" is new; only what stands before it tells how it may begin.
+    out = [d for d in range(200) if common.crc_mod(d, 5) == 1][:2]
+    train = [d for d in range(200) if common.crc_mod(d, 5) != 1][:80]
+    rows = [(d, f"der zuk{i} der zuk{i}a" if i % 2 else f"the ban{i} the ban{i}a") for i, d in enumerate(train)]
+    rows += [(out[0], "der zukxo"), (out[1], "the zukxo")]
+    got = {r["doc_id"]: r["score"] for r in contextmix.lm_scores(docs(spark, rows)).collect()}
+    assert got[out[0]] > got[out[1]] + 0.5
+
+
+def test_short_texts_renew_their_weights():
+    import numpy as np
+
+    flat = np.full(40, 1e-3)
+    good = contextmix.mix_tokens(np.full(40, 1e-6), np.full(40, 0.5), flat, np.arange(40))
+    first = contextmix.FIRST / contextmix.FIRST.sum()
+    assert good > 40 * math.log10(first[1] * 0.5 + first[0] * 1e-6 + first[3] * 1e-3) + 1
