@@ -14,8 +14,10 @@ Their weights start from fixed ones and follow how well each has done on the tex
 follow from it.
 
 Learning is distributed and covers all training documents: (1) counts of (word, state before it),
-summed over the corpus, a table that grows with it; (2) bit counts in hashed tables of fixed size,
-summed over the partitions of that table; (3) mixing weights and the refinement, learned online in
+summed over the corpus, a table that grows with it; (2) bit counts: of the byte contexts, whose
+number is bounded, in hashed tables of fixed size; of the word so far, with and without the state, by
+sorting the words that begin alike, which are in one task, so that these grow with the words and
+every context has its own counts; (3) mixing weights and the refinement, learned online in
 every partition - each bit is predicted as if its own occurrence had not been counted - and averaged
 by weight.
 
@@ -43,10 +45,11 @@ from pyspark.sql import functions as F
 from .common import crc_mod, crc_mod_col, cut, map_arrow, mix64, parts, release, table, words
 
 HELD_OUT = (5, 1)
-#: Slots of the hashed tables, one per context, as powers of 2.
-TABLE_BITS = (16, 18, 20, 20, 20)
+#: Slots of the hashed tables, as powers of 2: of the byte contexts, and of the word so far while it
+#: has under LOCAL bytes. How many contexts there are is bounded by the bytes and states.
+TABLE_BITS = (16, 18, 22, 18)
 OFFSETS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
-K = len(TABLE_BITS)
+K = 5
 #: Frequent words that make the state, at most 62, and the state before the first of them.
 STATES = 32
 START = 63
@@ -132,7 +135,7 @@ def bits_of(data: np.ndarray, hashes: list[np.ndarray]):
     """For each of the 8 bits of every byte: the bit and its slot in each context's table."""
     # A context's hash is a place in its table; the bits before in the byte pick a slot around it.
     # Offsets are multiples of 256, so a slot stays in its table.
-    at = [(h >> np.uint64(64 - b)).astype(np.int64) + OFFSETS[k] for k, (h, b) in enumerate(zip(hashes, TABLE_BITS, strict=True))]
+    at = [(h >> np.uint64(64 - b)).astype(np.int64) + OFFSETS[k] for k, (h, b) in enumerate(zip(hashes, TABLE_BITS, strict=False))]
     data = data.astype(np.int64)
     for t in range(8):
         node = (1 << t) | (data >> (8 - t))
@@ -204,8 +207,9 @@ def count_bits(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             data, row, place, hashes = spell(s["w"], s["before"])
             weight = np.array(s["c"], np.float32)[row]
             for bit, slots in bits_of(data, hashes):
-                for at in slots:
-                    np.add.at(n, 2 * at + bit, weight)
+                for k, at in enumerate(slots):
+                    own = place < LOCAL if k == 3 else slice(None)
+                    np.add.at(n, (2 * at + bit)[own], weight[own])
         if some:
             n0, n1 = n[::2], n[1::2]
             at = np.flatnonzero(n0 + n1)
@@ -221,13 +225,35 @@ def count_bits(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return n0, n1
 
 
-def seen(tokens: list[bytes], before: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bytes of the words, the word of each, and counts of 0 and 1 as (bit, context, byte)."""
+def exact(context: np.ndarray, data: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of 0 and 1, as (bit, byte), behind equal contexts and bits of the byte before. A
+    context is told from all others by 56 bits of its hash; the table is as long as the data."""
+    key = (context << np.uint64(8)) | data
+    order = np.argsort(key)
+    s, w = key[order], weight[order].astype(np.float64)
+    n0, n1 = (np.empty((8, len(key)), np.float32) for _ in range(2))
+    for t in range(8):
+        node = s >> np.uint64(8 - t)
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.append(start, len(s)))
+        one = np.add.reduceat(w * ((s >> np.uint64(7 - t)) & np.uint64(1)), start)
+        n0[t, order], n1[t, order] = np.repeat(np.add.reduceat(w, start) - one, size), np.repeat(one, size)
+    return n0, n1
+
+
+def seen(tokens: list[bytes], before: np.ndarray, c: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Bytes of the words, the word of each, and counts of 0 and 1 as (bit, context, byte). Words that
+    share their first LOCAL bytes are all there, so longer prefixes have all their counts here."""
     data, row, place, hashes = spell(tokens, before)
     n0, n1 = (np.empty((8, K, len(data)), np.float32) for _ in range(2))
     for t, (_, slots) in enumerate(bits_of(data, hashes)):
-        for k, at in enumerate(slots):
+        # Behind a state, three bytes hold all that is before in the word while it is short.
+        for k, at in enumerate((*slots, slots[2])):
             n0[t, k], n1[t, k] = a0[at], a1[at]
+    inner = place >= LOCAL
+    for k in (3, 4):
+        for n, own in zip((n0, n1), exact(hashes[k], data, c[row]), strict=True):
+            n[:, k][:, inner] = own[:, inner]
     return data.astype(np.int64), row, n0, n1
 
 
@@ -267,7 +293,7 @@ def learn_mixing(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray) -> tuple[np.n
         w = np.full((GATES, K), FIRST_WEIGHT, np.float32)
         mass_of, hits, total = np.zeros(GATES), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
         for tokens, before, c in chunks(slices):
-            data, row, every0, every1 = seen(tokens, before, *sent.value)
+            data, row, every0, every1 = seen(tokens, before, c, *sent.value)
             often = c.astype(np.float32)[row]
             for i in range(0, len(data), RENEW):
                 weight = often[i : i + RENEW]
@@ -343,7 +369,7 @@ class Model:
 
     def log10(self, tokens: list[bytes], before: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 probability of each word behind its state, as it is spelled."""
-        data, row, n0, n1 = seen(tokens, before, self.n0, self.n1)
+        data, row, n0, n1 = seen(tokens, before, c, self.n0, self.n1)
         whole = np.ones(len(data))
         for t in range(8):
             x, gate = stretched(n0[t], n1[t]), gate_of(n0[t] + n1[t])

@@ -168,3 +168,21 @@ def test_short_texts_renew_their_weights():
     good = contextmix.mix_tokens(np.full(40, 1e-6), np.full(40, 0.5), flat, np.arange(40))
     first = contextmix.FIRST / contextmix.FIRST.sum()
     assert good > 40 * math.log10(first[1] * 0.5 + first[0] * 1e-6 + first[3] * 1e-3) + 1
+
+
+def test_word_contexts_have_their_own_counts():
+    import numpy as np
+
+    # More contexts than any table of fixed size told apart; each was seen once.
+    tokens = [b"abc%06d" % i for i in range(200_000)]
+    size = int(contextmix.OFFSETS[-1])
+    none = np.zeros(size, np.float32)
+    c = np.ones(len(tokens), np.int64)
+    data, row, n0, n1 = contextmix.seen(tokens, np.zeros(len(tokens), np.int64), c, none, none)
+    last = np.flatnonzero(data == 32)  # the blank: all of the word is before it
+    assert len(last) == len(tokens) and ((n0 + n1)[:, 3:, last] == 1).all()
+    a, b = [b"abcd", b"abce", b"abcd"], np.array([1, 1, 2])
+    data, row, n0, n1 = contextmix.seen(a, b, np.array([1, 2, 4]), none, none)
+    at = [3, 8, 13]  # bytes d, e, d behind abc; they part at the last bit
+    assert [n[7, 3, at].tolist() for n in (n0, n1)] == [[5, 5, 5], [2, 2, 2]]
+    assert [n[7, 4, at].tolist() for n in (n0, n1)] == [[1, 1, 4], [2, 2, 0]]
