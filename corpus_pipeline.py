@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: lines that an earlier line repeats go; n_chars follows. A document goes only if
     every word of it went."""
-    out = linedup.dedup(docs)
+    out = linedup.dedup(docs, **linedup.WHOLE)
     left = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     out = out.where((F.col("n_lines_removed") == 0) | left)
     changed = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

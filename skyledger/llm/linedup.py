@@ -40,6 +40,9 @@ from .common import cut, id_key, map_arrow, mix64, release, table, word_hashes
 MIN_WORDS = 5
 #: Words from which one edit is allowed.
 FUZZY_WORDS = 8
+#: What op8 and the pipeline take: every line that has a word is compared, and an edit may be up to a
+#: fifth of a line. (One edit of a line of one word would make all of them the same.)
+WHOLE = {"min_words": 1, "fuzzy_words": 5}
 #: Buckets of document ids, the size bound of a broadcast set.
 BUCKETS = 1 << 20
 
@@ -226,6 +229,6 @@ def op8(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines removed, and the text that stays, as length and digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     before = F.when(F.col("text").isNull(), 0).otherwise(F.length(F.regexp_replace("text", "[^\n]+", "")) + 1)
-    out = dedup(docs.withColumn("n_lines", before.cast("int")))
+    out = dedup(docs.withColumn("n_lines", before.cast("int")), **WHOLE)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_lines_removed", F.length(text).alias("n_chars_kept"), F.md5(text.cast("binary")).alias("text_md5"))

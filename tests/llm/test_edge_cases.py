@@ -186,3 +186,23 @@ def test_word_contexts_have_their_own_counts():
     at = [3, 8, 13]  # bytes d, e, d behind abc; they part at the last bit
     assert [n[7, 3, at].tolist() for n in (n0, n1)] == [[5, 5, 5], [2, 2, 2]]
     assert [n[7, 4, at].tolist() for n in (n0, n1)] == [[1, 1, 4], [2, 2, 0]]
+
+
+def test_short_lines_are_compared(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(0, "}\na b c d\na b c d e\n \nfirst"), (1, "}\n\na b c d\n}\na b c X e\n \nx"), (2, "a  b c d\nz\n}\na b c d e f g"), (3, "}\n}"), (None, "z\na b c")]
+    seen, want, gone = [], {}, {}
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        keep = []
+        for line in text.split("\n"):
+            w = line.split()
+            if not w or not any(s == w or (min(len(s), len(w)) >= 5 and linedup.within_one(s, w)) for s in seen):
+                keep.append(line)
+            seen += [w] if w else []
+        want[doc], gone[doc] = "\n".join(keep), len(text.split("\n")) - len(keep)
+    assert gone == {None: 0, 0: 0, 1: 4, 2: 3, 3: 2}
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_lines_removed"] for r in linedup.op8(spark, str(tmp_path)).collect()} == gone
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, rows).drop("_k"), "").collect()}
+    assert got == {d: t for d, t in want.items() if t.split()}
