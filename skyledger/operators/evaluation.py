@@ -106,7 +106,7 @@ def dominance(df: DataFrame, tops: list[int]) -> DataFrame:
     return g.withColumn("k", F.explode(F.array(*map(F.lit, tops)))).where("_r <= k").groupBy("k").agg(F.sum("c").alias("top"), F.round(F.sum("c") / F.max("_all"), 6).alias("share"))
 
 
-def bootstrap(df: DataFrame, draws: int = 50, seed: str = "2026") -> DataFrame:
+def bootstrap(df: DataFrame, draws: int = 500, seed: str = "2026") -> DataFrame:
     """Stations drawn with replacement; additive sums of blocks, so the rows are read once."""
     blocks = df.groupBy("station_id").agg(F.count("*").alias("n"), F.sum(F.abs("resid")).alias("s"))
     blocks = blocks.withColumn("i", F.row_number().over(W.orderBy("station_id")) - 1)

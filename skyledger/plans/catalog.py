@@ -190,9 +190,13 @@ SELECT station_id, network, gap, strftime(min(date), '%Y-%m-%d %H:%M:%S') AS fir
         f"WITH {SCORED}, g AS (SELECT station_id, sum(CAST(abs(resid) > 2 AS INTEGER)) AS c FROM scored GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY c DESC, station_id) AS r, sum(c) OVER () AS total FROM g) SELECT CAST(k AS INTEGER) AS k, CAST(sum(c) AS BIGINT) AS top, round(sum(c) / max(total), 6) AS share FROM r JOIN unnest([5, 10, 25]) AS t(k) ON r.r <= k GROUP BY 1",
     ),
     "station_bootstrap": (
-        _scored(ev.bootstrap),
+        _scored(lambda s: ev.bootstrap(s, draws=50)),
         f"WITH {SCORED}, g AS (SELECT station_id, count(*) AS n, sum(abs(resid)) AS s FROM scored GROUP BY 1), b AS (SELECT *, row_number() OVER (ORDER BY station_id) - 1 AS i FROM g), d AS (SELECT d.b, CAST('0x' || substr(md5('2026-' || d.b || '-' || b.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS i FROM b, unnest(range(1, 51)) AS d(b)), e AS (SELECT d.b, sum(s) / sum(n) AS mae FROM d JOIN b USING (i) GROUP BY 1) SELECT round(quantile_cont(mae, 0.025), 6) AS low, round(quantile_cont(mae, 0.5), 6) AS mid, round(quantile_cont(mae, 0.975), 6) AS high FROM e",
     ),
+    "station_bootstrap_500": (
+        _scored(ev.bootstrap),
+        f"WITH {SCORED}, g AS (SELECT station_id, count(*) AS n, sum(abs(resid)) AS s FROM scored GROUP BY 1), b AS (SELECT *, row_number() OVER (ORDER BY station_id) - 1 AS i FROM g), d AS (SELECT d.b, CAST('0x' || substr(md5('2026-' || d.b || '-' || b.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS i FROM b, unnest(range(1, 501)) AS d(b)), e AS (SELECT d.b, sum(s) / sum(n) AS mae FROM d JOIN b USING (i) GROUP BY 1) SELECT round(quantile_cont(mae, 0.025), 6) AS low, round(quantile_cont(mae, 0.5), 6) AS mid, round(quantile_cont(mae, 0.975), 6) AS high FROM e",
+    ),
     "split_stations": (
         _scored(ev.split_stations),
         f"WITH {SCORED}, s AS (SELECT DISTINCT station_id FROM scored), r AS (SELECT station_id, row_number() OVER (ORDER BY md5('42|' || station_id), station_id) AS r, count(*) OVER () AS n FROM s) SELECT station_id, CASE WHEN r <= round_even(n * 0.15, 0) THEN 'test' WHEN r <= 2 * round_even(n * 0.15, 0) THEN 'valid' ELSE 'train' END AS part FROM r",

@@ -85,3 +85,18 @@ def test_sigma_has_a_floor(spark):
 def test_reliability_puts_one_in_the_last_bin(spark):
     df = spark.createDataFrame([("test", 1.0, 1)], "split string, p double, y int")
     assert ev.reliability(df).first()["bin"] == 14
+
+
+def test_bootstrap_takes_500_draws(spark):
+    import hashlib
+
+    import numpy as np
+
+    own = {1: (2, 3.0), 2: (1, 5.0), 3: (3, 1.5), 4: (1, 0.25)}
+    df = spark.createDataFrame([(k, s / n) for k, (n, s) in own.items() for _ in range(n)], "station_id long, resid double")
+    maes = []
+    for b in range(1, 501):
+        drawn = [list(own.values())[int(hashlib.md5(f"2026-{b}-{i}".encode()).hexdigest()[:8], 16) % 4] for i in range(4)]
+        maes.append(sum(s for _, s in drawn) / sum(n for n, _ in drawn))
+    got = ev.bootstrap(df).first()
+    assert [got[k] for k in ("low", "mid", "high")] == pytest.approx(np.quantile(maes, [0.025, 0.5, 0.975]).tolist(), abs=2e-6)
