@@ -43,6 +43,8 @@ SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+#: What a head holds; any other tag ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _SILENT_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title")}
 _SPACE = re.compile(r"\s+")
 
@@ -117,6 +119,8 @@ def blocks(page: str | None) -> list[Block]:
                 end = _SILENT_END[tag].search(page, at)
                 at = end.end() if end else len(page)
                 continue
+            if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+                silent, links = _pop(stack, len(stack) - 1, silent, links)
             if tag in BREAKS:
                 flush()
             if tag == "br":
@@ -175,7 +179,7 @@ def vectors(found: list[Block]) -> np.ndarray:
         at += [i] * len(words)
         place += map(_WORDS.__getitem__, words)
         n, chars = len(words), len(b.text)
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 4, min(1.0, b.linked / chars), b.text[-1] in ".!?…", sum(map(b.text.count, ",;:")) / n, sum(map(str.isdigit, b.text[:200])) / min(chars, 200), chars / n / 10)
+        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 4, min(1.0, b.linked / chars), b.text[-1] in ".!?…", sum(map(b.text.count, ",;:")) / n, sum(map(str.isdigit, b.text)) / chars, chars / n / 10)
     if at:
         counts = np.bincount(np.array(at) * WORD_DIM + np.array(place), minlength=len(found) * WORD_DIM).reshape(-1, WORD_DIM)
         x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))

@@ -206,3 +206,14 @@ def test_short_lines_are_compared(spark, tmp_path):
     assert {r["doc_id"]: r["n_lines_removed"] for r in linedup.op8(spark, str(tmp_path)).collect()} == gone
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, rows).drop("_k"), "").collect()}
     assert got == {d: t for d, t in want.items() if t.split()}
+
+
+@pytest.mark.parametrize("page", ["<html><head><title>t</title><meta a=b><body><p>some text", "<head><link x><style>p{}</style><p>some text</p>", "<head><template><div>no</div></template></head><p>some text"])
+def test_open_head_ends(page):
+    assert [b.text for b in htmltext.blocks(page)] == ["some text"]
+
+
+def test_digits_count_over_the_whole_block():
+    tail = "a" * 200 + " " + "1" * 200
+    (b,) = htmltext.blocks(f"<p>{tail}</p>")
+    assert abs(htmltext.vectors([b])[0, htmltext.PATH_DIM + htmltext.WORD_DIM + 4] - 200 / 401) < 1e-6
