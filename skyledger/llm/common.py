@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -141,12 +142,16 @@ def _arrow(kind) -> pa.DataType:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows go to a Parquet table in the folder that spark.checkpoint.dir
     names, which all executors share, and are read from there. A folder of our own only where the
-    session has none (tests on one machine). The tables go when the session ends; Spark is asked to
-    let go of the shuffle files behind them at once."""
+    session has none and all runs in one process (tests); on a cluster that is an error, since
+    executors would write to folders that nobody else sees. Tables that a result no longer needs are
+    let go by ``release``, the others when the session ends; the garbage collection lets Spark's
+    cleaner drop the shuffle files behind the table at once."""
     spark = df.sparkSession
     jvm = spark._jvm
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/skyledger"
@@ -160,11 +165,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(cut_df: DataFrame) -> None:
-    """Deletes the table behind a result of ``cut`` that nothing reads any more."""
-    spark = cut_df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(cut_df._cut_path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def release(*cuts: DataFrame) -> None:
+    """Deletes the tables behind results of ``cut`` that nothing reads any more."""
+    for df in cuts:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns'."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,21 +30,19 @@ def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: longs): the least node it reaches.
-    Null ends and loops are ignored; an empty table gives none."""
+    Null ends and loops are ignored; an empty table gives none. Steps go on until none changes an
+    edge; each step's table replaces the one before."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges)
     before = _state(edges)
-    if not before[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_steps):
-        edges = cut(_star(_star(edges, True), False))
+    while before[0]:
+        last, edges = edges, cut(_star(_star(edges, True), False))
+        release(last)
         after = _state(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components: not stable after the given number of steps")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -1,13 +1,16 @@
 """Operator 4: mixing sources to target weights. DataFrame functions only, no Python on the rows.
 
 Every document has a hash-random key. Within a source the documents are sorted by key: key ranges
-("buckets") are dealt out over the cluster, the sums of the buckets are added up in order, and each
-bucket adds its own documents behind the sum of the buckets before it. No task sees more of a hot
-source than a bucket, and no Python runs.
+("buckets") are dealt out over the cluster by (source, bucket), the sums of the buckets are added up
+in order, in two levels (buckets inside a block of buckets, blocks inside a source), and each bucket
+adds its own documents behind the sum of the buckets before it. No exchange of documents is by source
+alone, so no task sees more of a hot source than its buckets, and no Python runs.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null
-doc_id has the key of the empty text; repeated rows are rows of their own; an empty table gives an
-empty result; columns other than the three that are read are ignored.
+doc_id has the key of the empty text; of rows with equal keys the lesser doc_id, then the lesser size
+comes first; repeated rows are rows of their own, and as ties they may change places; a long text
+counts as a whole; an empty table gives an empty result; columns other than the three that are read
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, parts
 
 WEIGHTS = (5, 2, 1)
 #: Times that a source may be repeated at most.
 MAX_EPOCHS = 3
 #: Documents of a key range, on average.
 BUCKET_ROWS = 2000
+#: Buckets of a block, for the second level of prefix sums.
+BLOCK_BUCKETS = 1000
+#: Sources up to which the table of targets is broadcast; beyond, it is joined in SALTS copies.
+BROADCAST_SOURCES = 10_000
+SALTS = 16
 BIG = "decimal(38,0)"
 
 
@@ -76,16 +84,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     every document; the words that then remain of the budget are cut off exactly in the order of
     the keys, so the document at the cut may give a part. ``before``: words of the source before it.
     """
+    spark = docs.sparkSession
     sized = cut(sizes(docs))
-    goals = targets(sized, weights, max_epochs).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_rows)).cast("long"))
+    goals = cut(targets(sized, weights, max_epochs).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_rows)).cast("long")))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    # The number of sources is far below the number of documents, but not bounded: no broadcast hint.
-    rows = sized.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_key", key)
-    goals = goals.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    rows = rows.join(goals, "_s").withColumn("_b", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_n"), 32))
-    sums = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_sum"))
-    earlier = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    rows = sized.withColumns({"_s": named, "_key": key})
+    goals = goals.withColumn("_s", named).drop("source")
+    if goals.count() <= BROADCAST_SOURCES:
+        rows = rows.join(F.broadcast(goals), "_s")
+    else:
+        spread = goals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.hash("_key"), F.lit(SALTS))).join(spread, ["_s", "_salt"]).drop("_salt")
+    rows = rows.withColumn("_b", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_n"), 32))
+    # Summed before the documents move, and small.
+    sums = cut(rows.groupBy("_s", "_b").agg(F.sum("size").alias("_sum")).withColumn("_c", F.expr(f"_b DIV {BLOCK_BUCKETS}")))
+    rows = rows.repartition(parts(spark), "_s", "_b")
+    earlier = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    blocks = sums.groupBy("_s", "_c").agg(F.sum("_sum").alias("_all"))
+    blocks = blocks.select("_s", "_c", F.coalesce(F.sum("_all").over(earlier("_s").orderBy("_c")), F.lit(0)).alias("_base"))
+    sums = sums.withColumn("_in", F.coalesce(F.sum("_sum").over(earlier("_s", "_c").orderBy("_b")), F.lit(0)))
+    sums = sums.join(blocks, ["_s", "_c"]).select("_s", "_b", (F.col("_in") + F.col("_base")).alias("_before"))
     inside = W.partitionBy("_s", "_b").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(sums, ["_s", "_b"]).withColumn("before", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     epochs = F.expr("CASE WHEN source_size > 0 THEN budget DIV source_size ELSE 0L END")
