@@ -17,8 +17,11 @@
 A pair with similarity s is seen with probability 1 - (1 - s^4)^32: at 0.75 all but 5 in a million.
 
 Defined cases: null and empty texts have no set and link with nothing; a null doc_id is a document
-whose id comes before all others; rows that share a doc_id are one node, so repeated rows are kept
-or dropped together; an empty table gives an empty result; other columns are ignored.
+whose id comes before all others; rows that share a doc_id are one document, so repeated rows are
+kept or dropped together, and where their texts differ each text is a node of its own, linked by its
+own set and tied to the others of its doc_id, so no link is lost; of equal texts and of ties the
+least doc_id stays; a very long text is one set as a whole; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, MIN_LONG, cut, id_key, map_arrow, mix64, parts, shingles, table
+from .common import M64, MIN_LONG, cut, id_key, map_arrow, mix64, parts, release, shingles, table
 from .components import components
 
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 #: Slots are the leading bits of a shingle's hash.
 SLOT_BITS = SLOTS.bit_length() - 1
-#: Share of equal slots from which a pair is verified: 4 standard deviations below 0.75.
-LIKELY = 0.60
+#: Share of equal slots from which a pair is verified on its full sets: over 6 standard deviations
+#: below 0.75, so a link is passed over once in 10^9, far less than by banding. With 0 every pair that
+#: meets is verified.
+LIKELY = 0.50
 #: Members of a bucket that meet in one task; larger buckets meet chunk by chunk.
 CHUNK = 512
 #: Buckets of document ids, the size bound of a broadcast set.
@@ -97,11 +102,12 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _k, n_shingles, set_hash (null without a set), sig (a byte a slot), keys."""
+    """doc_id, _k, _x (hash of the text), n_shingles, set_hash (null without a set), sig (a byte a
+    slot), keys."""
 
     def run(slices):
         for s in slices:
-            out: dict[str, list] = {"doc_id": s["doc_id"], "_k": s["_k"], "n_shingles": [], "set_hash": [], "sig": [], "keys": []}
+            out: dict[str, list] = {"doc_id": s["doc_id"], "_k": s["_k"], "_x": s["_x"], "n_shingles": [], "set_hash": [], "sig": [], "keys": []}
             for text in s["text"]:
                 found = shingles(text)
                 out["n_shingles"].append(len(found))
@@ -114,8 +120,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 out["keys"].append(bands(sig).view(np.int64))
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id")).alias("_k"), "text")
-    return map_arrow(rows, run, "doc_id long, _k long, n_shingles long, set_hash binary, sig binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id")).alias("_k"), F.xxhash64("text").alias("_x"), "text")
+    return map_arrow(rows, run, "doc_id long, _k long, _x long, n_shingles long, set_hash binary, sig binary, keys array<long>")
 
 
 class Union:
@@ -260,14 +266,32 @@ def verify(pairs: DataFrame, texts: DataFrame, share: int = 75) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs))
-    classes = signed.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("_k").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    # Rows that share a doc_id are one node, also if their texts differ.
+    texts = docs.select(id_key(F.col("doc_id")).alias("id"), "text")
+    # Rows that share a doc_id but not the text: each text is a node.
+    many = cut(signed.groupBy("_k").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where("_lo <> _hi").select("_k"))
+    shared = not many.isEmpty()
+    node = F.col("_k")
+    if shared:
+        many = many.withColumn("_many", F.lit(True))
+        node = F.when(F.col("_many"), F.xxhash64("_k", "_x")).otherwise(F.col("_k"))
+        signed = cut(signed.join(many, "_k", "left").withColumn("_node", node))
+        own = F.when(F.col("_many"), F.xxhash64("id", F.xxhash64("text"))).otherwise(F.col("id"))
+        texts = texts.join(many, texts["id"] == many["_k"], "left").select(own.alias("id"), "text")
+        node = F.col("_node")
+    classes = signed.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min(node).alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     classes = cut(classes)
     banded = classes.select("id", F.explode("keys").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("key", "n")
     members = banded.join(full, "key").join(classes.select("id", "sig"), "id")
     first = cut(_meet(members, F.ceil(F.col("n") / CHUNK).cast("int"), _forest))
-    links = cut(verify(first, _texts(docs, first)).where("linked").select("a", "b"))
+    wanted = _texts(texts, first)
+    links = cut(verify(first, wanted).where("linked").select("a", "b"))
+    if shared:
+        # The texts of a doc_id are tied together, by the nodes of their classes.
+        tied = signed.where("_many AND set_hash IS NOT NULL").join(classes.select("set_hash", "id"), "set_hash").select("_k", "id").distinct()
+        least = tied.groupBy("_k").agg(F.min("id").alias("a"))
+        links = cut(links.union(tied.join(least, "_k").where("a <> id").select("a", F.col("id").alias("b"))))
+    release(wanted)
     comp = components(links)
     # Clusters that fell apart: their members meet again with their full sets.
     cluster = components(first).withColumnRenamed("node", "id").withColumnRenamed("component", "key")
@@ -275,17 +299,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
     again = cut(placed.join(apart, "key"))
     if not again.isEmpty():
-        sets = map_arrow(_texts(docs, again.select(F.col("id").alias("a"), F.col("id").alias("b"))), _sets, "id long, words binary")
-        again = again.join(classes.groupBy("id").agg(F.first("sig").alias("sig")), "id").join(sets, "id")
-        sizes = again.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("size"))
+        wanted = _texts(texts, again.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        sets = map_arrow(wanted, _sets, "id long, words binary")
+        met = again.join(classes.groupBy("id").agg(F.first("sig").alias("sig")), "id").join(sets, "id")
+        sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("size"))
         chunks = F.greatest(F.ceil(F.col("n") / (CHUNK // 2)), F.ceil(F.col("size") / CHUNK_BYTES)).cast("int")
-        more = cut(_meet(again.join(sizes, "key"), chunks, _links))
+        more = cut(_meet(met.join(sizes, "key"), chunks, _links))
+        release(wanted)
         if not more.isEmpty():
             comp = components(links.union(more))
-    # A class's rows take the component of its least document.
+    release(first, again)
+    # A class's rows take the component of its least node.
     named = classes.select("set_hash", "id").join(comp, classes["id"] == comp["node"], "left").select("set_hash", F.coalesce("component", "id").alias("_comp"))
     out = signed.select("doc_id", "_k", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.coalesce("_comp", "_k")
+    if shared:
+        # Nodes are not doc_ids: a component is named by the least doc_id that has a text in it. Rows
+        # without a set go with their doc_id.
+        out = cut(out)
+        names = out.where("_comp IS NOT NULL").groupBy("_comp").agg(F.min("_k").alias("_name"))
+        of_id = out.join(names, "_comp").groupBy("_k").agg(F.min("_name").alias("_least"))
+        out = out.join(of_id, "_k", "left")
+        component = F.coalesce("_least", "_k")
     component = F.when(component != MIN_LONG, component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -295,12 +330,12 @@ def _sets(slices):
         yield {"id": s["id"], "words": [shingles(t).tobytes() for t in s["text"]]}
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, text of the documents in the pairs; of rows that share an id, one text with words."""
+def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """texts: id, text. id, text of the documents in the pairs; repeated rows have one text."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Documents that share no bucket of ids with a needed one need not move: BUCKETS rows at most.
     slot = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("_slot")
-    rows = docs.select(id_key(F.col("doc_id")).alias("id"), "text").withColumn("_slot", slot)
+    rows = texts.withColumn("_slot", slot)
     rows = rows.join(F.broadcast(need.select(slot).distinct()), "_slot", "left_semi").drop("_slot").join(need, "id")
     return cut(rows.groupBy("id").agg(F.max("text").alias("text")))
 

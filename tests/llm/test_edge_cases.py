@@ -29,6 +29,31 @@ def test_neardup_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_neardup_shared_ids_lose_no_link(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, None), (9, "alone in the world as it is")]
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (9, 9, True)]
+
+
+def test_neardup_against_brute_force(spark):
+    table = common.table(spark, "/root/testdata/sf0.001", "documents")
+    sets = {r["doc_id"]: common.shingles(r["text"]) for r in table.collect()}
+    root = {d: d for d in sets}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if len(sets[a]) and len(sets[b]) and neardup.similar(sets[a], sets[b]):
+                lo, hi = sorted((top(a), top(b)))
+                root[hi] = lo
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table).collect()}
+    assert got == {d: (len(sets[d]), top(d), top(d) == d) for d in ids}
+
+
 def test_superminhash_estimates_similarity():
     a = common.shingles(" ".join(map(str, range(1000))))
     b = common.shingles(" ".join(map(str, range(100, 1000))))
