@@ -21,8 +21,10 @@ partner and give no variants (a lossless filter: one edit leaves one half as it
 Defined cases: null and empty texts have no lines and stay as they are; lines under ``min_words``
 words are kept and compared with nothing, lines under ``fuzzy_words`` are compared for equality
 only; a null doc_id comes before all others; rows that share a doc_id count as one document, so
-repeated rows keep the same lines; an empty table gives an empty result; other columns are passed
-through by ``dedup`` and ignored by ``report``.
+repeated rows keep the same lines; of lines that could each stay, the one with the least (doc_id,
+line number) does; very long texts and lines are compared as a whole; an empty table gives an empty
+result; other columns are passed through by ``dedup`` whatever their names, and a column that is
+called n_lines_removed is replaced by the count.
 """
 
 from __future__ import annotations
@@ -32,9 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, id_key, map_arrow, mix64, release, table, word_hashes
+from .common import cut, fresh, id_key, map_arrow, mix64, release, table, word_hashes
 
 #: Words from which a line is compared.
 MIN_WORDS = 5
@@ -201,16 +202,17 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZ
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, text without the lines that go, and n_lines_removed."""
-    gone = removed(docs, min_words, fuzzy_words).withColumnRenamed("_k", "_gone_k")
-    rows = docs.withColumn("_k", id_key(F.col("doc_id"))).join(gone, F.col("_k") == F.col("_gone_k"), "left").drop("_k", "_gone_k")
-    kept = [f for f in rows.schema.fields if f.name != "gone"]
-    schema = T.StructType([*kept, T.StructField("n_lines_removed", T.IntegerType())]).simpleString()[len("struct<") : -1]
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_lines_removed"])
+    key, gone_key, gone_col = fresh(docs, "_k", "_gone_k", "_gone")
+    gone = removed(docs, min_words, fuzzy_words).toDF(gone_key, gone_col)
+    rows = docs.withColumn(key, id_key(F.col("doc_id"))).join(gone, F.col(key) == F.col(gone_key), "left").drop(key, gone_key)
+    kept = [f for f in rows.schema.fields if f.name != gone_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_lines_removed int"
 
     def run(slices):
         for s in slices:
             texts, counts = [], []
-            for text, out in zip(s["text"], s.pop("gone"), strict=True):
+            for text, out in zip(s["text"], s.pop(gone_col), strict=True):
                 n = 0
                 if out and text is not None:
                     drop = {(w["pos"], w["h"]) for w in out}

@@ -5,14 +5,16 @@ Reading parses the RIFF index, decodes every intra frame and detects shots where
 two frames' histograms stands out from the differences just before it.
 
 Defined cases: null and empty texts give a payload of 64 zero bytes (n_bytes 0); a null doc_id is
-kept; repeated rows are rows of their own; an empty table gives an empty result; other columns are
-ignored. A file that cannot be parsed raises ValueError in the functions and gives a row with
+kept; repeated rows are rows of their own, and equal texts give equal values; a very long text is
+stored as a whole, in as many frames as it takes; a frame's difference equal to the bar is no cut; an
+empty table gives an empty result; other columns are ignored. A file that cannot be parsed raises ValueError in the functions and gives a row with
 ``error`` set in ``clips``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 
@@ -157,6 +159,12 @@ def shots(hist: np.ndarray) -> list[int]:
     return starts
 
 
+def timed_clips(starts: list[int], n: int, fps: float) -> list[tuple[int, int, int, float, float]]:
+    """clip, first and last frame, start and end in ms of each shot of n frames."""
+    ms = 1000 / fps
+    return [(k, a, b - 1, a * ms, b * ms) for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
+
+
 def clips(movies: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
     """One row per shot of each AVI file: id, clip, first and last frame, start and end in ms."""
     import pyarrow as pa
@@ -175,9 +183,7 @@ def clips(movies: DataFrame, media_col: str = "media", id_col: str = "doc_id") -
                 except (ValueError, KeyError, IndexError, struct.error) as e:
                     rows.append((name, None, None, None, None, None, str(e)))
                     continue
-                starts = [*shots(hist), len(hist)]
-                ms = 1000 / (movie["fps"] or FPS)
-                rows += [(name, k, a, b - 1, a * ms, b * ms, None) for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
+                rows += [(name, *c, None) for c in timed_clips(shots(hist), len(hist), movie["fps"] or FPS)]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             types = [batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "clip", "first_frame", "last_frame", "start_ms", "end_ms", "error"])
@@ -200,20 +206,22 @@ def digest(data: bytes) -> tuple:
     hist = histograms(frames)
     starts = shots(hist)
     feature = f"frames={len(frames)} size={frames.shape[2]}x{frames.shape[1]} shots={','.join(map(str, starts))} luma={'.'.join(map(str, hist.sum(0).tolist()))}"
-    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(starts)
+    timed = json.dumps([{"clip": k, "first_frame": a, "last_frame": b, "start_ms": s, "end_ms": e} for k, a, b, s, e in timed_clips(starts, len(frames), FPS)])
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(starts), timed
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Every whole text stored as media and read back, with features of what was read. The stored
-    form lives for a row only, so nothing but the digests leaves a task."""
+    """Every whole text stored as media and read back, with features of what was read and its clips
+    (JSON: first and last frame, start and end in ms). The stored form lives for a row only, so
+    nothing but the digests leaves a task."""
 
     def run(slices):
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_clips")
+        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_clips", "clips")
         for s in slices:
             rows = [digest(store(*payload_of(t))) for t in s["text"]]
             yield {"doc_id": s["doc_id"], **dict(zip(names, zip(*rows, strict=True), strict=True))}
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips int, clips string"
     return map_arrow(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), run, schema)
 
 

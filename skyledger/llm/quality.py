@@ -8,8 +8,9 @@ is not in lower case also gives its case pattern, so that layout and symbol junk
 vocabulary.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null doc_id is kept as
-it is; repeated rows are scored each; without labels, or with an empty table, every ratio is 0 and
-the base rules decide alone; other columns are ignored.
+it is; repeated rows are scored each; a ratio equal to the threshold keeps the document; a very long
+text is read as a whole; without labels, or with an empty table, every ratio is 0 and the base rules
+decide alone; other columns are ignored or, by ``keep`` and ``passed``, handed on.
 """
 
 from __future__ import annotations
@@ -45,13 +46,13 @@ class Tokens(dict):
         head, core, tail = _SPLIT.match(word.decode("utf-8", "surrogatepass")).groups()
         found = []
         if head:
-            found.append("m" + head[:8])
+            found.append("m" + head)
         if core:
             found.append("w" + core.lower())
             if core != core.lower():
                 found.append("c" + ("U" if core == core.upper() and len(core) > 1 else "T" if core[1:] == core[1:].lower() else "M"))
         if tail:
-            found.append("m" + tail[:8])
+            found.append("m" + tail)
         out = self[word] = np.array([xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) for t in found], "<u4").tobytes()
         return out
 
@@ -139,28 +140,50 @@ def fit(docs: DataFrame, labels: DataFrame, n_bits: int = N_BITS, trusted_rows:
 
 
 def score(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: base counts, base_failed, ratio, kept. ``ratios`` has a fixed size, so
-    it goes with the task. ``keep``: columns of ``docs`` to return beside them instead of doc_id."""
-    n_bits = len(ratios).bit_length() - 1
+    """One row per document: doc_id, base counts, base_failed, ratio, kept. ``ratios`` has a fixed
+    size, so it goes with the task. ``keep``: columns of ``docs`` to return before them instead of
+    doc_id; a kept column with the name of a result is replaced by it."""
+    found = SCHEMA.partition(", ")[2]
+    names = [part.split()[0] for part in found.split(", ")]
+    cols = [c for c in keep or ["doc_id"] if c.lower() not in names]
+    return map_arrow(_with_text(docs, cols), lambda slices: _scores(slices, ratios, threshold, cols, names), f"{_head(docs, cols)}{found}")
+
+
+def passed(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules and the ratio keep."""
+    cols = docs.columns
 
     def run(slices):
-        for s in slices:
-            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")}
-            for text in s["text"]:
-                text = text or ""
-                tokens = text.encode("utf-8", "surrogatepass").split()
-                n, chars, symbols, lines, again = base(text, tokens)
-                grams = ngrams(tokens, n_bits)
-                ratio = float(ratios[grams].mean(dtype=np.float64)) if len(grams) else 0.0
-                failed = n < 20 or 100 * again > 30 * n
-                for k, v in zip(out, (n, chars, symbols, lines, again, failed, ratio, not failed and ratio >= threshold), strict=True):
-                    out[k].append(v)
-            yield out | {k: s[k] for k in s if k not in out}
-
-    cols = keep or ["doc_id"]
-    rows = docs.select("text", *[c for c in cols if c != "text"])
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return map_arrow(rows, run, f"{head}, {SCHEMA.partition(', ')[2]}")
+        for s in _scores(slices, ratios, threshold, cols, [f"\0{i}" for i in range(8)]):
+            ok = s["\0007"]
+            yield {c: [x for x, y in zip(s[c], ok, strict=True) if y] for c in cols}
+
+    return map_arrow(_with_text(docs, cols), run, _head(docs, cols).removesuffix(", "))
+
+
+def _with_text(docs: DataFrame, cols: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in cols], *([] if "text" in cols else ["text"]))
+
+
+def _head(docs: DataFrame, cols: list[str]) -> str:
+    return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
+
+
+def _scores(slices, ratios: np.ndarray, threshold: float, cols: list[str], names: list[str]):
+    """Slices with the columns ``cols`` and the eight results under ``names``."""
+    n_bits = len(ratios).bit_length() - 1
+    for s in slices:
+        out: list[list] = [[] for _ in names]
+        for text in s["text"]:
+            text = text or ""
+            tokens = text.encode("utf-8", "surrogatepass").split()
+            n, chars, symbols, lines, again = base(text, tokens)
+            grams = ngrams(tokens, n_bits)
+            ratio = float(ratios[grams].mean(dtype=np.float64)) if len(grams) else 0.0
+            failed = n < 20 or 100 * again > 30 * n
+            for column, v in zip(out, (n, chars, symbols, lines, again, failed, ratio, not failed and ratio >= threshold), strict=True):
+                column.append(v)
+        yield {c: s[c] for c in cols} | dict(zip(names, out, strict=True))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """Operator 9: URL filters by a temporal list join. DataFrame functions only, no Python on the rows.
 
 A list is a history of dated entries: at a time, a key (a host, a parent domain, or a host with its
-first path segment) is blocked, allowed or cleared. Entries become validity intervals by looking at
-the next entry of their key. Every capture is evaluated against the entries that were active when it
-was fetched; of several active keys the most specific decides, blocked or allowed.
+first path segment) is blocked, allowed or cleared. An entry is valid until the next entry of its key
+(``intervals``). Every capture is evaluated against the entries that were active when it was fetched;
+of several active keys the most specific decides, blocked or allowed.
 
-Captures are first reduced to distinct (host, segment, time), so that a hot host meets the list a
-few times only; the verdicts are then joined back to all rows.
+The as-of join makes no pairs: the distinct (key, time) of the captures and the entries are one
+sequence per key, and each takes the last entry at or before it. A key's sequence is cut into spans of
+time; the last entry of each span is carried into the later ones, so a hot key's captures and history
+are dealt out by (key, span) and met once. Captures are first reduced to distinct (host, segment,
+time); the verdicts are then joined back to all rows, of which Spark splits a hot host's.
 
 Defined cases: a null or malformed URL has no host and matches nothing (verdict 'none'); a null time
 matches nothing; of entries of a key with the same time, 'block' counts before 'allow' before
 'clear', and repeated entries count once; entries with a null key or time are left out; repeated
-captures are rows of their own; empty tables give 'none' for all, or no rows; other columns of the
-captures are passed through.
+captures are rows of their own; very long URLs are read as a whole; empty tables give 'none' for all,
+or no rows; other columns of the captures are passed through, whatever their names, but columns that
+are called host, matched_key, verdict or valid_from are replaced by the results.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, fresh, table
 
 #: Scheme and authority; user, port and the dot of a rooted name are taken off the host.
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#@:]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)"
 ACTIONS = ("block", "allow", "clear")
+#: Length of a span of time, in seconds (or in units of a number).
+SPAN = 30 * 86400
 
 
 def host_of(url):
@@ -39,11 +45,8 @@ def segment_of(url):
 
 def intervals(entries: DataFrame) -> DataFrame:
     """entries: key, at, action. key, valid_from, valid_to (exclusive, null: still valid), action."""
-    rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
-    one = entries.where("key IS NOT NULL AND at IS NOT NULL AND action IN ('block', 'allow', 'clear')")
-    one = one.groupBy(F.lower("key").alias("key"), "at").agg(F.min_by("action", rank).alias("action"))
     to = F.lead("at").over(W.partitionBy("key").orderBy("at"))
-    return one.select("key", F.col("at").alias("valid_from"), to.alias("valid_to"), "action").where("action <> 'clear'")
+    return changes(entries).select("key", F.col("at").alias("valid_from"), to.alias("valid_to"), "action").where("action <> 'clear'")
 
 
 def keys_of(host, segment):
@@ -57,20 +60,56 @@ def keys_of(host, segment):
     return F.when(segment.isNotNull(), F.concat(F.array(own), parents)).otherwise(parents)
 
 
+def changes(entries: DataFrame) -> DataFrame:
+    """key, at, action: one entry per key and time."""
+    rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
+    one = entries.where("key IS NOT NULL AND at IS NOT NULL AND action IN ('block', 'allow', 'clear')")
+    return one.groupBy(F.lower("key").alias("key"), "at").agg(F.min_by("action", rank).alias("action"))
+
+
+def seconds(at, kind: str):
+    """A date, a timestamp or a number as a double that keeps the order."""
+    return (at.cast("timestamp") if kind in ("date", "timestamp", "timestamp_ntz") else at).cast("double")
+
+
+def as_of(points: DataFrame, entries: DataFrame) -> DataFrame:
+    """points: distinct (key, at). key, at, action, valid_from of the last entry at or before it, for
+    points where that one blocks or allows."""
+    span = F.floor(seconds(F.col("at"), dict(points.dtypes)["at"]) / SPAN)
+    listed = cut(changes(entries).select("key", "at", F.lit(True).alias("is_entry"), F.struct("at", "action").alias("entry")))
+    wanted = points.select("key", "at", F.lit(False).alias("is_entry"), F.lit(None).cast(listed.schema["entry"].dataType).alias("entry"))
+    # The last entry of each span, carried over the spans behind it; only spans that have one.
+    ends = listed.groupBy("key", span.alias("span")).agg(F.max("entry").alias("entry"))
+    until = F.lead("span").over(W.partitionBy("key").orderBy("span"))
+    ends = ends.select(F.col("key").alias("k2"), F.col("span").alias("since"), until.alias("until"), F.col("entry").alias("carried"))
+    rows = listed.union(wanted).withColumn("span", span)
+    inside = W.partitionBy("key", "span").orderBy("at", F.col("is_entry").desc()).rowsBetween(W.unboundedPreceding, 0)
+    rows = cut(rows.withColumn("entry", F.last("entry", ignorenulls=True).over(inside)).where("NOT is_entry"))
+    here = rows.where("entry IS NOT NULL").select("key", "at", "entry")
+    # Points before their span's first entry take the one that is carried into the span.
+    spans = rows.where("entry IS NULL").select("key", "span").distinct()
+    met = spans.join(ends, (F.col("key") == F.col("k2")) & (F.col("span") > F.col("since")) & (F.col("until").isNull() | (F.col("span") <= F.col("until"))))
+    later = rows.where("entry IS NULL").select("key", "at", "span").join(met.select("key", "span", "carried"), ["key", "span"]).select("key", "at", F.col("carried").alias("entry"))
+    return here.union(later).where("entry.action <> 'clear'").select("key", "at", "entry.action", F.col("entry.at").alias("valid_from"))
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """All columns of the captures, with host, matched_key, verdict, valid_from."""
-    clash = [c for c in captures.columns if c in ("host", "matched_key", "verdict", "valid_from")]
-    rows = captures.drop(*clash).withColumns({"_h": host_of(F.col(url)), "_g": segment_of(F.col(url)), "_t": F.col(fetched)})
-    each = rows.select("_h", "_g", "_t").where("_h IS NOT NULL AND _t IS NOT NULL").distinct()
-    spread = each.select("*", F.explode(keys_of(F.col("_h"), F.col("_g"))).alias("_k")).select("_h", "_g", "_t", "_k.key", "_k.rank")
-    valid = intervals(entries)
-    on = (spread["key"] == valid["key"]) & (spread["_t"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (spread["_t"] < valid["valid_to"]))
-    met = spread.join(valid, on).select("_h", "_g", "_t", spread["key"], "rank", "action", "valid_from")
-    best = met.groupBy("_h", "_g", "_t").agg(F.min_by(F.struct("key", "action", "valid_from"), "rank").alias("_b"))
-    best = best.select(F.col("_h").alias("_h2"), F.coalesce("_g", F.lit("/")).alias("_g2"), F.col("_t").alias("_t2"), "_b")
-    out = rows.join(best, (F.col("_h") == F.col("_h2")) & (F.coalesce("_g", F.lit("/")) == F.col("_g2")) & (F.col("_t") == F.col("_t2")), "left")
-    verdict = F.coalesce(F.col("_b.action"), F.lit("none"))
-    return out.select(*[c for c in captures.columns if c not in clash], F.col("_h").alias("host"), F.col("_b.key").alias("matched_key"), verdict.alias("verdict"), F.col("_b.valid_from").alias("valid_from"))
+    results = ("host", "matched_key", "verdict", "valid_from")
+    own = [c for c in captures.columns if c.lower() not in results]
+    # Their own names, apart from the captures' columns.
+    h, g, t, h2, g2, t2, found = fresh(captures, "_h", "_g", "_t", "_h2", "_g2", "_t2", "_b")
+    rows = captures.select(*[F.col(f"`{c}`") for c in own], host_of(F.col(f"`{url}`")).alias(h), segment_of(F.col(f"`{url}`")).alias(g), F.col(f"`{fetched}`").alias(t))
+    each = rows.select(F.col(h).alias("_h"), F.col(g).alias("_g"), F.col(t).alias("_t")).where("_h IS NOT NULL AND _t IS NOT NULL").distinct()
+    spread = cut(each.select("*", F.explode(keys_of(F.col("_h"), F.col("_g"))).alias("_k")).select("_h", "_g", "_t", "_k.key", "_k.rank"))
+    active = as_of(spread.select("key", F.col("_t").alias("at")).distinct(), entries)
+    met = spread.join(active, (spread["key"] == active["key"]) & (spread["_t"] == active["at"])).select("_h", "_g", "_t", spread["key"], "rank", "action", "valid_from")
+    best = met.groupBy("_h", "_g", "_t").agg(F.min_by(F.struct("key", "action", "valid_from"), "rank").alias(found))
+    best = best.select(F.col("_h").alias(h2), F.coalesce("_g", F.lit("/")).alias(g2), F.col("_t").alias(t2), found)
+    out = rows.join(best, (F.col(h) == F.col(h2)) & (F.coalesce(g, F.lit("/")) == F.col(g2)) & (F.col(t) == F.col(t2)), "left")
+    b = F.col(found)
+    verdict = F.coalesce(b["action"], F.lit("none"))
+    return out.select(*[F.col(f"`{c}`") for c in own], F.col(h).alias("host"), b["key"].alias("matched_key"), verdict.alias("verdict"), b["valid_from"].alias("valid_from"))
 
 
 def stand_in(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

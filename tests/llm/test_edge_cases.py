@@ -242,3 +242,129 @@ def test_digits_count_over_the_whole_block():
     tail = "a" * 200 + " " + "1" * 200
     (b,) = htmltext.blocks(f"<p>{tail}</p>")
     assert abs(htmltext.vectors([b])[0, htmltext.PATH_DIM + htmltext.WORD_DIM + 4] - 200 / 401) < 1e-6
+
+
+def test_urls_empty_tables_repeats_and_names(spark):
+    caps = spark.createDataFrame([("http://a.com/z", 70 * 86400, 1, 2)] * 2 + [("http://a.com/z", 2, 3, 4)], "url string, fetched int, _h int, `_h2` int")
+    none = spark.createDataFrame([], "key string, at int, action string")
+    assert [r["verdict"] for r in urlfilter.evaluate(caps, none).collect()] == ["none"] * 3
+    # An entry of an earlier span of time is carried; an old one is overruled.
+    lst = spark.createDataFrame([("a.com", 3, "allow"), ("a.com", 4, "block"), ("a.com", 200 * 86400, "clear")], "key string, at int, action string")
+    got = urlfilter.evaluate(caps, lst)
+    assert sorted((r["fetched"], r["verdict"], r["valid_from"], r["_h"], r["_h2"], r["host"]) for r in got.collect()) == [(2, "none", None, 3, 4, "a.com")] + [(70 * 86400, "block", 4, 1, 2, "a.com")] * 2
+    assert urlfilter.evaluate(caps.where("false"), lst).count() == 0
+
+
+def test_urls_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    entries = [(rnd.choice(["a.com", "x.a.com", "x.a.com/p"]), rnd.randrange(400) * 86400, rnd.choice(["block", "allow", "clear"])) for _ in range(60)]
+    caps = [(rnd.choice(["http://x.a.com/p/1", "http://x.a.com/q", "http://a.com/p", "http://b.com/"]), rnd.randrange(400) * 86400) for _ in range(200)]
+
+    def verdict(url, t):
+        host = url.split("/")[2]
+        labels = host.split(".")
+        for key in [host + "/" + url.split("/")[3], *[".".join(labels[i:]) for i in range(max(1, len(labels) - 1))]]:
+            past = [(a, -urlfilter.ACTIONS.index(x), x) for k, a, x in entries if k == key and a <= t]
+            if past and max(past)[2] != "clear":
+                return max(past)[2], key, max(past)[0]
+        return "none", None, None
+
+    got = urlfilter.evaluate(spark.createDataFrame(caps, "url string, fetched int"), spark.createDataFrame(entries, "key string, at int, action string")).collect()
+    assert len(got) == 200
+    assert {(r["url"], r["fetched"]): (r["verdict"], r["matched_key"], r["valid_from"]) for r in got} == {c: verdict(*c) for c in caps}
+
+
+CLASH = "doc_id long, text string, source string, n_chars long, lang string, gone int, _gone_k int, n_lines_removed string, _k int, _gone int, _id int, _copy int, _times int, kept int, ratio int, _removed int, n_words int"
+
+
+def test_clashing_columns_are_handed_on(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    lines = "\n".join(" ".join(words[i : i + 8]) for i in range(0, 40, 8))
+    rest = tuple(range(10, 22))
+    rows = [(1, lines, "s", 5, "en", *rest), (2, lines + "\nnew words in this line here", "s", 5, "en", *rest), (None, None, None, None, None, *rest), (3, "", "s", 0, "en", *rest)]
+    rows = [(*r[:7], "x", *r[8:]) for r in rows]
+    table = spark.createDataFrame(rows, CLASH)
+    out = linedup.dedup(table, **linedup.WHOLE)
+    assert sorted(r["n_lines_removed"] for r in out.collect()) == [0, 0, 0, 5]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (table, table.where("false")):
+            if name == "quality rules":
+                from skyledger.llm import quality as q
+
+                got = q.passed(df, q.fit(df, labels(spark)))
+            else:
+                got = stage(spark, df, "")
+            assert got.columns == table.columns, name
+            for r in got.collect():
+                assert (r["n_lines_removed"], r["gone"], r["_gone"], r["_times"], r["_copy"], r["kept"], r["_removed"]) == ("x", 10, 14, 17, 16, 18, 20), name
+    scored = quality.score(table, quality.np.zeros(1 << 4, "f4"), keep=table.columns)
+    assert "ratio" in scored.columns and scored.count() == 4
+
+
+def test_clips_are_timed():
+    import json
+
+    still = media.np.array([[[9] * 8] * 8] * 4 + [[[200] * 8] * 8] * 3, "u1")
+    assert media.timed_clips(media.shots(media.histograms(still)), 7, 25) == [(0, 0, 3, 0.0, 160.0), (1, 4, 6, 160.0, 280.0)]
+    row = media.digest(media.store(*media.payload_of("a" * 9000 + "Z" * 9000)))
+    timed = json.loads(row[-1])
+    assert [c["clip"] for c in timed] == list(range(row[-2])) and timed[0]["start_ms"] == 0
+
+
+def quality_by_hand(text, raw, good, n_bits=quality.N_BITS):
+    """The mean log ratio of a text's hashed token n-grams, by dictionaries."""
+    total, trusted = sum(raw.values()), sum(good.values())
+    each = [math.log((good[b] + quality.SMOOTHING) / (raw[b] * trusted / total + quality.SMOOTHING)) for b in grams_by_hand(text)]
+    return sum(each) / len(each) if each else 0.0
+
+
+def grams_by_hand(text, n_bits=quality.N_BITS):
+    import re
+
+    import xxhash
+
+    tokens = []
+    for w in (text or "").encode().split():
+        head, core, tail = re.match(r"^(\W*)(.*?)(\W*)$", w.decode(), re.S).groups()
+        tokens += ["m" + head] if head else []
+        if core:
+            tokens.append("w" + core.lower())
+            if core != core.lower():
+                tokens.append("c" + ("U" if core == core.upper() and len(core) > 1 else "T" if core[1:] == core[1:].lower() else "M"))
+        tokens += ["m" + tail] if tail else []
+    h = [xxhash.xxh32_intdigest(t.encode()) for t in tokens]
+    m = (1 << 64) - 1
+    uni = [(x * 0x9E3779B97F4A7C15 & m) >> (64 - n_bits) for x in h]
+    two = [1 if a == b else ((a * 0xC2B2AE3D27D4EB4F + b) * 0x9E3779B97F4A7C15 & m) >> (64 - n_bits) for a, b in zip(h, h[1:], strict=False)]
+    return uni + two
+
+
+def test_quality_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    table, marks = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    trusted = {r["doc_id"] for r in marks.where("quality = 1").collect()}
+    raw, good = Counter(), Counter()
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    for d, t in texts.items():
+        raw.update(grams_by_hand(t))
+        if d in trusted:
+            good.update(grams_by_hand(t))
+    for r in quality.verdicts(table, marks).collect():
+        t = texts[r["doc_id"]]
+        ratio = quality_by_hand(t, raw, good)
+        assert abs(r["ratio"] - ratio) < 1e-5
+        words = (t or "").encode().split()
+        seen, hit = {}, set()
+        for i in range(len(words) - 7):
+            seen.setdefault(tuple(words[i : i + 8]), []).append(i)
+        for at in seen.values():
+            if len(at) > 1:
+                hit.update(x for i in at for x in range(i, i + 8))
+        failed = len(words) < 20 or 100 * len(hit) > 30 * len(words)
+        assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (len(words), len(hit), failed)
+        if abs(ratio - quality.THRESHOLD) > 1e-5:
+            assert r["kept"] == (not failed and ratio >= quality.THRESHOLD)
