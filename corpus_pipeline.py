@@ -1,45 +1,61 @@
 """A corpus from raw documents to packed sequences, in stages. Each stage takes all that the one
-before it kept; all but the last return the columns of documents."""
+before it kept; all but the last return the columns of documents.
+
+Defined cases, for every stage: a null or empty text fails the quality rules and goes there; called by
+itself, line dedup leaves it as it is, near-dedup links it with nothing, mixing drops it (it has no
+words) and packing gives it its end token; a null doc_id is a document that comes before all others;
+repeated rows share a fate, and near-dedup leaves one of them; of ties the least doc_id stays; very
+long texts are read as a whole; an empty table gives an empty result; further columns, whatever their
+names, are handed on as they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm import linedup, mixing, neardup, packing, quality
-from skyledger.llm.common import cut, id_key, table
+from skyledger.llm.common import cut, fresh, id_key, table
+
+
+def same(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the base rules or the likelihood ratio reject go."""
-    ratios = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, ratios, keep=docs.columns).where("kept").select(*docs.columns)
+    return quality.passed(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: lines that an earlier line repeats go; n_chars follows. A document goes only if
     every word of it went."""
-    out = linedup.dedup(docs, **linedup.WHOLE)
+    count, was = fresh(docs, "_removed", "_was")
+    held = docs.withColumnRenamed("n_lines_removed", was) if "n_lines_removed" in docs.columns else docs
+    out = linedup.dedup(held, **linedup.WHOLE).withColumnRenamed("n_lines_removed", count).withColumnRenamed(was, "n_lines_removed")
     left = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = out.where((F.col("n_lines_removed") == 0) | left)
-    changed = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    out = out.where((F.col(count) == 0) | left)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*same(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of near-duplicates the document with the least id stays, once."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(id_key(F.col("doc_id")).alias("_id")).distinct()
-    rows = docs.withColumn("_id", id_key(F.col("doc_id"))).join(kept, "_id", "left_semi")
-    return rows.dropDuplicates(["_id", "text"]).select(*docs.columns)
+    key, other = fresh(docs, "_id", "_kept_id")
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(id_key(F.col("doc_id")).alias(other)).distinct()
+    rows = docs.withColumn(key, id_key(F.col("doc_id"))).join(kept, F.col(key) == F.col(other), "left_semi")
+    return rows.dropDuplicates([key, "text"]).select(*same(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: a document is there as often as the mix takes it; one that the cut falls into is
     there as a whole. Documents without words take nothing and go."""
-    mixed = mixing.mix(docs).where("taken > 0").select(id_key(F.col("doc_id")).alias("_id"), "size", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    mixed = mixed.groupBy("_id").agg(F.max("_times").alias("_times"))
-    rows = docs.withColumn("_id", id_key(F.col("doc_id"))).join(mixed, "_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    key, other, times, copy = fresh(docs, "_id", "_mixed_id", "_times", "_copy")
+    often = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    mixed = mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0").select(id_key(F.col("doc_id")).alias(other), often.alias(times))
+    mixed = mixed.groupBy(other).agg(F.max(times).alias(times))
+    rows = docs.withColumn(key, id_key(F.col("doc_id"))).join(mixed, F.col(key) == F.col(other))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*same(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
