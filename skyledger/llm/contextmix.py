@@ -1,563 +1,853 @@
-"""Operator 10: language-model scores by logistic context mixing.
-
-A text is a sequence of tokens: its words, A-Z in lower case, then one end. A word is spelled byte by
-byte with a closing blank (the end token is the blank alone), a byte bit by bit. Each bit is
-predicted in five hashed contexts: the last one, two and three bytes, the word so far, and the word
-so far behind the text's state (which of the corpus's most frequent words came last; it tells the
-language, and more). The byte contexts hold the state where they reach back to the word's start. The
-predictions are mixed in the logistic domain by weights that a gate picks from how much the longer
-contexts have been seen; an adaptive table then refines the mixed probability. The spelled
-probability is then mixed, token by token, with three word-level ones: the word's share of the
-training corpus, its share of the corpus behind the same state, and its share of the text so far.
-Their weights start from fixed ones and follow how well each has done on the text's earlier tokens
-(online, in steps of EARLY to STEP tokens). So every text has a proper probability, and bits per byte
-follow from it.
-
-Learning is distributed and covers all training documents: (1) counts of (word, state before it),
-summed over the corpus, a table that grows with it; (2) bit counts: of the byte contexts, whose
-number is bounded, in hashed tables of fixed size; of the word so far, with and without the state, by
-sorting the words that begin alike, which are in one task, so that these grow with the words and
-every context has its own counts; (3) mixing weights and the refinement, learned online in
-every partition - each bit is predicted as if its own occurrence had not been counted - and averaged
-by weight.
-
-The table of counts also has the pairs of word and state that only held-out rows have, with count 0,
-so every pair is priced once, there. The distinct words of a block of documents, as 64-bit hashes,
-are joined with that table and meet the block's documents in one task.
-
-Defined cases: null and empty texts are the end token alone; a null doc_id counts as the empty text
-for held_out; repeated rows are learned from and scored each; without training documents the model
-is that of even bits and the base score is log10 of 1 a token (0); an empty table gives an empty
-result; other columns are ignored.
+"""Operator 10: language-model scores by online logistic context mixing.
+
+A text is a sequence of bytes: its words, A-Z in lower case, each with a closing blank, then one more
+blank, the end. Every byte is a path of binary decisions in a code tree (Huffman's, over the corpus's
+bytes, so a common byte takes few decisions; the codes are fixed by the corpus and every byte has
+one). Each decision is predicted in four contexts, all of them behind the text's state:
+
+* the last two, three and four bytes, across words, in hashed tables of counts;
+* the word so far, with exact counts.
+
+The state is the class of what was read: the corpus's frequent words are put into classes by which
+of them follow each other, and the class that the last frequent words of the text speak for is
+the state (0: none came yet). It tells the language and the kind of text, from earlier words only.
+
+The predictions are mixed in the logistic domain. A gate, how often the word so far has been seen in
+front of the decision, picks one of four weight vectors. The weights start from fixed ones and are
+refined online as the text is read: after every window of decisions (128 at first, then an eighth of
+what was read) each vector takes a damped step down the gradient of the coding cost of its decisions.
+An adaptive table of the text then refines the mixed probability by cells of it. So every text has a
+proper probability, and bits per byte follow; a text's score depends on the corpus's counts and on
+its own earlier bytes alone, not on how rows are dealt.
+
+Learning is distributed and covers all training documents: (1) the frequent words, those with at
+least a share FREQUENT of all tokens, found exactly: whatever has that share has a quarter of it in enough
+parts of the rows to be among a bounded number of candidates, and those that are not sure by then are
+counted; (2) counts of which frequent word is the next one after which; (3) counts of (word, state), a table that
+grows with the corpus, and of the byte contexts, whose number is bounded by the bytes and the classes,
+in hashed tables of fixed size, summed as whole numbers. The contexts of the word so far have exact
+counts: words that begin with the same three bytes are in one task, which sorts their contexts. Words
+that only held-out rows have are in the table with count 0. All counts of a decision (of 0 and of 1)
+are kept in one byte, in 16 steps each. The distinct (word, state) of a block of documents are joined
+with the table and meet the block's documents in one task.
+
+Defined cases: null and empty texts are the end alone; a null doc_id counts as the empty text for
+held_out; repeated rows are learned from and scored each, alike; of ties among classes the first
+counts; very long texts are read in pieces of SEGMENT bytes, at word ends, with the state, the bytes
+and the weights carried on; without training documents the model is that of even decisions and the
+base score is log10 of 1 a token (0); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, crc_mod_col, cut, map_arrow, mix64, parts, release, table, words
+from .common import crc_mod, crc_mod_col, cut, map_arrow, mix64, parts, release, table
 
 HELD_OUT = (5, 1)
-#: Slots of the hashed tables, as powers of 2: of the byte contexts, and of the word so far while it
-#: has under LOCAL bytes. How many contexts there are is bounded by the bytes and states.
-TABLE_BITS = (16, 18, 22, 18)
+#: Share of all tokens from which a word is frequent; there are at most 1 / FREQUENT of them.
+FREQUENT = 1 / 1000
+#: Classes of frequent words (states are 0 and 1..CLASSES), steps of their fit, and how many of a text's
+#: last frequent words speak for one.
+CLASSES, FIT_STEPS, RECENT = 7, 200, 32
+#: Slots of the tables of the last two, three and four bytes, as powers of 2.
+TABLE_BITS = (18, 20, 22)
 OFFSETS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
-K = 5
-#: Frequent words that make the state, at most 62, and the state before the first of them.
-STATES = 32
-START = 63
-#: Bytes of a word that decide where it is learned and priced.
+CHUNK_BITS = 16
+#: Counts from which a step begins.
+STEPS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 22, 40, 80, 200, 600, 2500, 15000, 100000])
+#: Bytes of a word that decide where it is learned.
 LOCAL = 3
-#: Tokens and distinct words that a task holds before it gives out their counts.
-FLUSH_TOKENS = 4_000_000
-#: Bytes of text in a block of documents.
-BLOCK_BYTES = 20 << 20
-FLUSH = 300_000
-#: Pairs of word and state of a task that learns or prices, and of a slice of it at least.
-LEARN_PAIRS, CHUNK = 400_000, 8_000
-#: Bytes after which a task that learns renews its weights.
-RENEW = 12_000
-GATES, CELLS, LIMIT = 64, 33, 8.0
-RATE, FIRST_WEIGHT, CELL_PRIOR = 0.02, 0.3, 20.0
-
-
-def top_words(docs: DataFrame, n: int = STATES) -> list[bytes]:
-    """The most frequent words of the corpus. Every slice of rows gives its own most frequent ones
-    (64 times as many), which are summed."""
+#: Tokens of a task, or distinct contexts, after which it gives out its counts.
+FLUSH_TOKENS, FLUSH_KEYS, FLUSH_WORDS = 4_000_000, 4_000_000, 400_000
+#: Bytes of text of a task that learns, of a block of documents that is scored, of a piece of a long
+#: text and of the texts that are read side by side.
+LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 20 << 20, 1 << 20, 1 << 20
+#: Pairs of word and state of a task that counts the words so far, and of a part of it at least.
+TASK_PAIRS, PART_PAIRS = 400_000, 50_000
+#: Decisions of the first window; later ones have an eighth of those before, up to the second figure.
+WINDOW, WINDOW_MOST = 128, 1 << 16
+#: First weights; the steps' size; how many decisions' worth the first weights hold; curvature of one.
+START, RATE, PRIOR, CURVE = np.array([0.15, 0.2, 0.3, 0.5], np.float32), 0.5, 20.0, 0.3
+GATES, K = 4, 4
+#: Cells of the refinement, a unit of the stretched probability each, and the weight of an empty one.
+CELLS, CELL_PRIOR = 24, 20.0
+
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+# --- what is read -----------------------------------------------------------------------------
+
+
+def segments(text: str | None) -> Iterator[list[bytes]]:
+    """The tokens of a text: its words and the end, the empty word; long texts in several lists."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    at = 0
+    while len(raw) - at > SEGMENT and (blank := _BLANK.search(raw, at + SEGMENT)):
+        yield raw[at : blank.start()].split()
+        at = blank.start()
+    yield [*(raw[at:] if at else raw).split(), b""]
+
+
+class Tree:
+    """A code tree over bytes. NODES, BITS: the decisions of all bytes one after the other."""
+
+    def __init__(self, counts: np.ndarray):
+        heap: list[tuple[int, int]] = [(int(c) + 1, b) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        below: list[tuple[int, int]] = []
+        while len(heap) > 1:
+            (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (x + y, 256 + len(below)))
+            below.append((a, b))
+        paths: list = [None] * 256
+        todo = [(heap[0][1], ())]
+        order = []
+        while todo:
+            at, path = todo.pop()
+            if at < 256:
+                paths[at] = path
+                order.append(at)
+            else:
+                todo += [(child, (*path, (at - 256, bit))) for bit, child in ((1, below[at - 256][1]), (0, below[at - 256][0]))]
+        self.length = np.array([len(p) for p in paths])
+        self.first = np.cumsum(self.length) - self.length
+        self.node = np.array([n for p in paths for n, _ in p], np.int64)
+        self.bit = np.array([b for p in paths for _, b in p], np.int64)
+        #: Bytes in the order of the tree's leaves: below a node they are neighbours.
+        self.rank = np.empty(256, np.uint64)
+        self.rank[order] = np.arange(256, dtype=np.uint64)
+        self.of_rank = np.array(order)
+
+    def decisions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all decisions of the bytes: the byte's place in data, the place in node and bit."""
+        n = self.length[data]
+        end = np.cumsum(n)
+        byte = np.repeat(np.arange(len(data)), n)
+        return byte, np.arange(len(byte)) + np.repeat(self.first[data] - end + n, n)
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Counts as their steps, 0 to 15."""
+    return (np.searchsorted(STEPS, n, side="right") - 1).astype(np.uint8)
+
+
+def state_byte(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return (level_of(n0) << 4) | level_of(n1)
+
+
+_N0, _N1 = np.repeat(STEPS, 16), np.tile(STEPS, 16)
+#: Of a state byte: the stretched probability of 1, and the gate.
+STRETCH = np.log((_N1 + 0.4) / (_N0 + 0.4)).astype(np.float32)
+GATE = np.searchsorted([1, 3, 9], np.maximum(_N0, _N1), side="right").astype(np.uint8)
+
+
+def squeeze(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges start..start + length, one range after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
+# --- frequent words and their classes -----------------------------------------------------------
+
+
+def tokens_in(docs: DataFrame) -> DataFrame:
+    """docs: text, apart (not learned from). Sums over the rows, told apart by ``what``: 0: w, c, n:
+    words with a quarter of the share FREQUENT in a part of the rows, their counts there and its
+    tokens, summed over the parts; 1: n, the number of all tokens; 2: b, c, how often each byte is
+    read; 3: c, the bytes of all texts, those apart too."""
 
     def run(slices):
         held: Counter = Counter()
+        n, size, every = 0, 0, np.zeros(256, np.int64)
+
+        def out():
+            often = {w: c for w, c in held.items() if w and 4 * c >= FREQUENT * n}
+            m = len(often)
+            yield {"what": [0] * m + [1], "w": [*often, None], "b": [0] * (m + 1), "c": [*often.values(), 0], "n": [n] * (m + 1)}
+
         for s in slices:
-            own: Counter = Counter()
-            for text in s["text"]:
-                own.update(words(text))
-            held.update(dict(own.most_common(64 * n)))
-        yield {"w": list(held), "c": list(held.values())}
+            for text, apart in zip(s["text"], s["apart"], strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                size += len(raw)
+                if apart:
+                    continue
+                every += np.bincount(np.frombuffer(raw.lower(), np.uint8), minlength=256)
+                for tokens in segments(text):
+                    held.update(tokens)
+                    n += len(tokens)
+                if n >= FLUSH_TOKENS // 2 or len(held) > FLUSH_WORDS:
+                    yield from out()
+                    held.clear()
+                    n = 0
+        if n:
+            yield from out()
+        yield {"what": [2] * 256 + [3], "w": [None] * 257, "b": [*range(256), 0], "c": [*every, size], "n": [0] * 257}
+
+    return cut(map_arrow(docs, run, "what int, w binary, b int, c long, n long").groupBy("what", "w", "b").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+
+
+def frequent(docs: DataFrame, found: DataFrame, total: int) -> tuple[list[bytes], np.ndarray]:
+    """The frequent words in order, and how often each is the next frequent word after each."""
+    # Parts that did not give a word have less than a quarter of the share of it: at most
+    # 4 / 3 / FREQUENT words are left, and most are sure.
+    rest = FREQUENT / 4 * (total - F.col("n"))
+    rows = found.where("what = 0").where(F.col("c") + rest >= FREQUENT * total).select("w", "c").collect()
+    sure = {bytes(r["w"]) for r in rows if r["c"] >= FREQUENT * total}
+    if open_words := {bytes(r["w"]) for r in rows} - sure:
+
+        def count(slices):
+            n: Counter = Counter()
+            for s in slices:
+                for text in s["text"]:
+                    for tokens in segments(text):
+                        n.update(w for w in tokens if w in open_words)
+            yield {"w": list(n), "c": list(n.values())}
+
+        sums = map_arrow(docs.select("text"), count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")).collect()
+        sure |= {bytes(r["w"]) for r in sums if r["c"] >= FREQUENT * total}
+    names = sorted(sure)
+    size = len(names)
+    if not size:
+        return [], np.zeros((0, 0))
 
-    best = map_arrow(docs.select("text"), run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(n)
-    return [bytes(r["w"]) for r in best.collect()]
+    def run(slices):
+        follows = np.zeros(size * size, np.int64)
+        get = {w: i for i, w in enumerate(names)}.get
+        for s in slices:
+            for text in s["text"]:
+                last = -1
+                for tokens in segments(text):
+                    ids = np.array([last, *[i for i in map(get, tokens) if i is not None]])
+                    pairs = ids[:-1] * size + ids[1:]
+                    np.add.at(follows, pairs[ids[:-1] >= 0], 1)
+                    last = int(ids[-1])
+        at = np.flatnonzero(follows)
+        yield {"at": at, "c": follows[at]}
+
+    sums = map_arrow(docs.select("text"), run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    follows = np.zeros(size * size)
+    follows[sums["at"].to_numpy()] = sums["c"].to_numpy()
+    return names, follows.reshape(size, size)
+
+
+def classes(near: np.ndarray, n: int = CLASSES, steps: int = FIT_STEPS) -> np.ndarray:
+    """log P(word | class) as (word, class): expectation-maximisation on the pairs of words that
+    follow each other, each pair of one class. It starts from words that differ most in what stands
+    beside them."""
+    if not len(near):
+        return np.zeros((0, n))
+    joint = near + near.T + 1e-9
+    joint /= joint.sum()
+    rows, mass = joint / joint.sum(1, keepdims=True), joint.sum(1)
+    seeds = [int(mass.argmax())]
+    for _ in range(1, n):
+        seeds.append(int((np.min([np.abs(rows - rows[s]).sum(1) for s in seeds], 0) * np.sqrt(mass)).argmax()))
+    p, share = rows[seeds].T + 1e-6, np.full(n, 1 / n)
+    p /= p.sum(0)
+    for _ in range(steps):
+        # Classes one by one, so that no more than words x words is held.
+        ratio = joint / np.maximum((p * share) @ p.T, 1e-300)
+        new = p * share * (ratio @ p)
+        share = new.sum(0)
+        p = new + 1e-9
+        p /= p.sum(0)
+    return np.round(np.log(p), 6)
+
+
+class States:
+    """States before the tokens of texts."""
+
+    def __init__(self, names: list[bytes], logs: np.ndarray):
+        self.index, self.logs = {w: i for i, w in enumerate(names)}, logs
+
+    def before(self, number: np.ndarray, starts: np.ndarray, carried: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """number: of each token's frequent word, else -1. starts: where texts begin. carried: the
+        frequent words before the first text. The states, and the words to carry on."""
+        carried = np.empty(0, np.int64) if carried is None else carried
+        some = number >= 0
+        own = np.concatenate([carried, number[some]])
+        total = np.concatenate([np.zeros((1, self.logs.shape[1])), np.cumsum(self.logs[own], 0)])
+        seen = len(carried) + np.cumsum(some) - some
+        first = seen[starts].copy()
+        first[0] = 0
+        low = np.maximum(seen - RECENT, np.repeat(first, np.diff(np.append(starts, len(number)))))
+        # Differences of sums are rounded, so that ties do not depend on what stood before.
+        state = np.where(seen > low, np.round(total[seen] - total[low], 4).argmax(1) + 1, 0)
+        return state.astype(np.uint8), own[-RECENT:]
+
+
+# --- counts -------------------------------------------------------------------------------------
+
+
+def spans(tokens: list[list[bytes]], carried: bytes = b"    ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts, the length of each token with its blank, and the four bytes before each byte
+    as one number, last one lowest; before a text (but the carried first one) stand blanks."""
+    data = np.frombuffer(b" ".join([w for t in tokens for w in t]) + b" ", np.uint8)
+    lengths = np.fromiter((len(w) + 1 for t in tokens for w in t), np.int64, sum(map(len, tokens)))
+    ends = np.cumsum(lengths)[np.cumsum([len(t) for t in tokens]) - 1]
+    wide = np.concatenate([np.frombuffer(carried, np.uint8), data]).astype(np.uint64)
+    n = len(data)
+    last = [wide[4 - j : 4 - j + n] for j in (1, 2, 3, 4)]
+    starts = ends[:-1]
+    for j in (1, 2, 3, 4):
+        if len(starts):
+            at = (starts[:, None] + np.arange(j)).ravel()
+            last[j - 1] = last[j - 1].copy()
+            last[j - 1][at[at < n]] = 32
+    return data, lengths, last[0] | (last[1] << np.uint64(8)) | (last[2] << np.uint64(16)) | (last[3] << np.uint64(24))
+
+
+def slots(last: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
+    """Places of the last two, three and four bytes behind the states in the joined tables. The
+    decision's node picks a slot around it (exclusive or); offsets are multiples of 256."""
+    out = []
+    for k, bits in enumerate(TABLE_BITS):
+        key = (last & np.uint64((1 << (8 * (k + 2))) - 1)) | (state.astype(np.uint64) << np.uint64(32))
+        out.append((mix64(key * GOLDEN + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) + OFFSETS[k])
+    return out
 
 
 class Numbers(dict):
-    """Numbers words in the order in which they come; the words of the states come first."""
-
-    def __init__(self, states: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(states))
-        self.states = len(states)
+    """Numbers words in the order in which they come."""
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
-    def read(self, text: str | None) -> np.ndarray:
-        """Numbers of a text's tokens; the end is the empty word."""
-        tokens = words(text)
-        tokens.append(b"")
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-
-    def before(self, ids: np.ndarray) -> np.ndarray:
-        """State before each token: the number of the last word that has one, else START."""
-        last = np.maximum.accumulate(np.where(ids < self.states, np.arange(len(ids)), -1))
-        last = np.concatenate([[-1], last[:-1]])
-        return np.where(last >= 0, ids[last], START)
-
-
-def spell(tokens: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of all words with their blanks, the word and the place in it of each byte, and its
-    context hashes. before: the states before the words."""
-    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    starts = np.cumsum(lengths) - lengths
-    row = np.repeat(np.arange(len(tokens)), lengths)
-    place = np.arange(len(data)) - starts[row]
-    state = np.asarray(before).astype(np.uint64)[row] + np.uint64(256)
-    last = []
-    for j in (1, 2, 3):
-        prev = np.concatenate([np.zeros(j, np.uint64), data[:-j]])[: len(data)]
-        last.append(np.where(place >= j, prev, np.where(place == j - 1, state, np.uint64(0))))
-    h1 = mix64(last[0] + np.uint64(1 << 20))
-    h2 = mix64(h1 + last[1] + np.uint64(1 << 21))
-    h3 = mix64(h2 + last[2] + np.uint64(1 << 22))
-    each = mix64((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1 << 40))
-    upto = np.cumsum(each) - each
-    prefix = upto - upto[starts][row]
-    return data, row, place, [h1, h2, h3, mix64(prefix + np.uint64(7)), mix64(prefix + state * np.uint64(0x9E3779B97F4A7C15))]
-
-
-def bits_of(data: np.ndarray, hashes: list[np.ndarray]):
-    """For each of the 8 bits of every byte: the bit and its slot in each context's table."""
-    # A context's hash is a place in its table; the bits before in the byte pick a slot around it.
-    # Offsets are multiples of 256, so a slot stays in its table.
-    at = [(h >> np.uint64(64 - b)).astype(np.int64) + OFFSETS[k] for k, (h, b) in enumerate(zip(hashes, TABLE_BITS, strict=False))]
-    data = data.astype(np.int64)
-    for t in range(8):
-        node = (1 << t) | (data >> (8 - t))
-        yield (data >> (7 - t)) & 1, [a ^ node for a in at]
 
-
-def count_pairs(docs: DataFrame, states: list[bytes]) -> DataFrame:
-    """w, before, c: how often each word follows each state in the training rows of ``docs``; 0 for
-    those that only held-out rows have."""
+def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
+    """Two kinds of rows: (w, before, c), how often each word follows each state in the training rows
+    of ``docs``, 0 for those that only held-out rows have; and (chunk, data), counts of the slots of
+    the byte contexts, a part of a table a row."""
+    size = int(OFFSETS[-1])
 
     def run(slices):
-        names, held, n = Numbers(states), ([], []), 0
+        names, held, n, keys = Numbers(), ([], []), 0, []
 
-        def out():
+        def words_out():
             key, c = np.unique(np.concatenate([*held[0], np.empty(0, np.int64)]), return_counts=True)
             rest = np.setdiff1d(np.concatenate([*held[1], np.empty(0, np.int64)]), key)
             key, c = np.concatenate([key, rest]), np.concatenate([c, np.zeros(len(rest), np.int64)])
             of = list(names)
-            return {"w": [of[i] for i in (key >> 6).tolist()], "before": (key & 63).astype(np.int32), "c": c}
+            for i in range(0, len(key), 100_000):
+                k = key[i : i + 100_000]
+                yield {"w": [of[j] for j in (k >> 3).tolist()], "before": (k & 7).astype(np.int32), "c": c[i : i + 100_000], "chunk": [None] * len(k), "data": [None] * len(k)}
+
+        def slots_out():
+            key, c = merged(keys)
+            count = np.zeros((2, size), np.int64)
+            for i in range(0, len(key), 1 << 19):
+                k, weight = key[i : i + (1 << 19)], c[i : i + (1 << 19)]
+                byte, at = tree.decisions((k & np.uint64(255)).astype(np.int64))
+                node, bit, weight = tree.node[at], tree.bit[at], weight[byte]
+                for place in slots((k >> np.uint64(8)) & np.uint64(0xFFFFFFFF), k >> np.uint64(40)):
+                    np.add.at(count, (bit, place[byte] ^ node), weight)
+            for chunk in range(size >> CHUNK_BITS):
+                part = count[:, chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
+                at = np.flatnonzero(part.any(0))
+                if len(at):
+                    yield {"w": [None], "before": [None], "c": [None], "chunk": [chunk], "data": [at.astype(np.uint16).tobytes() + part[:, at].astype(np.int64).tobytes()]}
 
         for s in slices:
-            for text, apart in zip(s["text"], s["apart"], strict=True):
-                ids = names.read(text)
-                held[apart].append((ids << 6) | names.before(ids))
-                n += len(ids)
-            if n >= FLUSH_TOKENS or len(names) >= 2 * FLUSH:
-                yield out()
-                names, held, n = Numbers(states), ([], []), 0
+            for apart in (False, True):
+                for group, lasts in batches([t for t, a in zip(s["text"], s["apart"], strict=True) if a == apart]):
+                    flat = [w for t in group for w in t]
+                    ids = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))
+                    before = lasts(group, flat, states)
+                    held[apart].append((ids << 3) | before)
+                    n += len(ids)
+                    if not apart:
+                        data, lengths, last = spans(group, lasts.bytes)
+                        key = (np.repeat(before.astype(np.uint64), lengths) << np.uint64(40)) | (last << np.uint64(8)) | data
+                        keys.append(counted(key))
+                    lasts.end(group)
+            if sum(len(k) for k, _ in keys) > FLUSH_KEYS:
+                keys = [merged(keys)]
+                if len(keys[0][0]) > FLUSH_KEYS:
+                    yield from slots_out()
+                    keys = []
+            if n >= FLUSH_TOKENS or len(names) >= FLUSH_WORDS:
+                yield from words_out()
+                names, held, n = Numbers(), ([], []), 0
         if n:
-            yield out()
-
-    apart = crc_mod_col(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
-    return map_arrow(docs.select("text", apart.alias("apart")), run, "w binary, before int, c long").groupBy("w", "before").agg(F.sum("c").alias("c"))
+            yield from words_out()
+        if keys:
+            yield from slots_out()
+
+    return map_arrow(docs, run, "w binary, before int, c long, chunk int, data binary")
+
+
+class Carried:
+    """What is carried from piece to piece of a long text: the last frequent words and bytes."""
+
+    def __init__(self):
+        self.words, self.bytes = None, b"    "
+
+    def __call__(self, group: list[list[bytes]], flat: list[bytes], states: States) -> np.ndarray:
+        get = states.index.get
+        number = np.array([get(w, -1) for w in flat], np.int64)
+        starts = np.cumsum([0, *(len(t) for t in group[:-1])])
+        state, self.words = states.before(number, starts, self.words)
+        return state
+
+    def end(self, group: list[list[bytes]]) -> None:
+        self.bytes = (self.bytes + b" ".join(group[-1][-5:]) + b" ")[-4:]
+
+
+def batches(texts: list) -> Iterator[tuple[list[list[bytes]], Carried]]:
+    """Groups of texts of BATCH_BYTES together, as lists of tokens; a long text piece by piece, with
+    what is carried from one to the next."""
+    group, size = [], 0
+    for text in texts:
+        if text is not None and len(text) > SEGMENT // 4:
+            carried = Carried()
+            for tokens in segments(text):
+                yield [tokens], carried
+            continue
+        group.append(next(segments(text)))
+        size += len(text or "") + 1
+        if size >= BATCH_BYTES:
+            yield group, Carried()
+            group, size = [], 0
+    if group:
+        yield group, Carried()
+
+
+def counted(key: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their counts."""
+    if c is None:
+        key = np.sort(key)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[start], np.diff(np.append(start, len(key)))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[start], np.add.reduceat(c[order], start)
+
+
+def merged(keys: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return keys[0] if len(keys) == 1 else counted(np.concatenate([k for k, _ in keys]), np.concatenate([c for _, c in keys]))
+
+
+def tables(parts_of: DataFrame, n: int) -> np.ndarray:
+    """The state byte of every slot. What comes to the driver has the tables' fixed size."""
+
+    def run(found):
+        held: dict[int, np.ndarray] = {}
+        for s in found:
+            for chunk, data in zip(s["chunk"], s["data"], strict=True):
+                m = len(data) // 18
+                at, c = np.frombuffer(data, np.uint16, m).astype(np.int64), np.frombuffer(data, np.int64, 2 * m, 2 * m).reshape(2, m)
+                own = held.setdefault(chunk, np.zeros((2, 1 << CHUNK_BITS), np.int64))
+                own[:, at] += c
+        for chunk, (n0, n1) in held.items():
+            yield {"chunk": [chunk], "states": [state_byte(n0, n1).tobytes()]}
+
+    out = np.zeros(int(OFFSETS[-1]), np.uint8)
+    for r in map_arrow(parts_of.repartition(n, "chunk"), run, "chunk int, states binary").collect():
+        out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["states"], np.uint8)
+    return out
 
 
-def chunks(slices):
-    """Slices of rows sorted by word, cut anew so that words with the same first LOCAL bytes are
-    together: (words, states, counts)."""
+def exact(context: np.ndarray, data: np.ndarray, weight: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """The state bytes of all decisions of the bytes, counted behind equal contexts (told apart by 56
+    bits), and where each byte's decisions begin. The bytes of a node's subtree are neighbours in the
+    order of the leaves, so a sorted run is a node."""
+    key = (context << np.uint64(8)) | tree.rank[data]
+    order = np.argsort(key)
+    key, w = key[order], weight[order].astype(np.float64)
+    sym = data[order].astype(np.int64)
+    length, first = tree.length[sym], tree.first[sym]
+    ends = np.cumsum(tree.length[data])
+    begin = ends - tree.length[data]
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    ctx = key >> np.uint64(8)
+    at = np.arange(len(sym))
+    for t in range(int(length.max()) if len(sym) else 0):
+        at = at[length[at] > t]
+        place = first[at] + t
+        node = tree.node[place]
+        start = np.flatnonzero(np.concatenate([[True], (ctx[at][1:] != ctx[at][:-1]) | (node[1:] != node[:-1])]))
+        every, one = np.add.reduceat(w[at], start), np.add.reduceat(w[at] * tree.bit[place], start)
+        out[begin[order[at]] + t] = np.repeat(state_byte(every - one, one), np.diff(np.append(start, len(at))))
+    return out, begin
+
+
+def prefixes(tokens: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words with their blanks, the word of each, its place, and the hash of the state
+    and the word so far."""
+    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    starts = np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(tokens)), lengths)
+    place = np.arange(len(data)) - starts[row]
+    each = mix64((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1 << 40))
+    upto = np.cumsum(each) - each
+    return data, row, place, mix64(upto - upto[starts][row] + (np.asarray(before).astype(np.uint64)[row] + np.uint64(1)) * GOLDEN)
+
+
+def keys_of(tokens: list[bytes], before) -> np.ndarray:
+    """64-bit hashes of pairs of word and state."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    return mix64(h + (np.asarray(before).astype(np.uint64) + np.uint64(1)) * GOLDEN)
+
+
+class Heads:
+    """State bytes of the first LOCAL bytes of words, counted over the whole corpus."""
+
+    def __init__(self, rows: list, tree: Tree):
+        # The state 0 counts all words, whatever stood before them.
+        every: Counter = Counter()
+        for r in rows:
+            every[bytes(r["head"]), 0] += r["c"]
+            if r["before"]:
+                every[bytes(r["head"]), r["before"]] += r["c"]
+        heads, before = [h for h, _ in every], np.array([b for _, b in every], np.int64)
+        # Heads end with their word's blank or go on; either way their bytes are all that is read.
+        data, row, place, ctx = prefixes(heads, before)
+        own = place < np.fromiter(map(len, heads), np.int64, len(heads))[row]
+        states, begin = exact(ctx[own], data[own], np.fromiter(every.values(), np.int64, len(every))[row[own]], tree)
+        starts = np.flatnonzero(np.concatenate([[True], row[own][1:] != row[own][:-1]])) if len(heads) else np.empty(0, np.int64)
+        key = keys_of(heads, before)
+        order = np.argsort(key)
+        self.key, self.begin, self.states = key[order], begin[starts][order], states
+
+    def fill(self, out: np.ndarray, begin: np.ndarray, size: np.ndarray, heads: list[bytes], before: np.ndarray) -> None:
+        """Writes the states of the heads' decisions to ``out`` at ``begin``, ``size`` of each."""
+        at = self.begin[np.searchsorted(self.key, keys_of(heads, before))]
+        out[squeeze(begin, size)] = self.states[squeeze(at, size)]
+
+
+def parts_by_head(slices):
+    """Rows sorted by word, cut anew so that words with the same first LOCAL bytes are together."""
     w, before, c = [], [], []
     for s in slices:
         w += s["w"]
         before += s["before"]
         c += s["c"]
-        if len(w) >= CHUNK:
+        if len(w) >= PART_PAIRS:
             end = len(w)
             while end and w[end - 1][:LOCAL] == w[-1][:LOCAL]:
                 end -= 1
-            at = 0
-            while at < end:
-                to = min(at + CHUNK, end)
-                while to < end and w[to][:LOCAL] == w[to - 1][:LOCAL]:
-                    to += 1
-                yield w[at:to], np.array(before[at:to]), np.array(c[at:to])
-                at = to
-            del w[:end], before[:end], c[:end]
+            if end:
+                yield w[:end], np.array(before[:end]), np.array(c[:end])
+                del w[:end], before[:end], c[:end]
     if w:
         yield w, np.array(before), np.array(c)
 
 
-def count_bits(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 0 and 1 in every slot. What comes to the driver is bounded by the tables' size."""
-    size = int(OFFSETS[-1])
-
-    def run(slices):
-        n = np.zeros(2 * size, np.float32)
-        some = False
-        for s in slices:
-            some = True
-            data, row, place, hashes = spell(s["w"], s["before"])
-            weight = np.array(s["c"], np.float32)[row]
-            for bit, slots in bits_of(data, hashes):
-                for k, at in enumerate(slots):
-                    own = place < LOCAL if k == 3 else slice(None)
-                    np.add.at(n, (2 * at + bit)[own], weight[own])
-        if some:
-            n0, n1 = n[::2], n[1::2]
-            at = np.flatnonzero(n0 + n1)
-            for i in range(0, len(at), 500_000):
-                part = at[i : i + 500_000]
-                yield {"slot": part.astype(np.int32), "n0": n0[part], "n1": n1[part]}
-
-    got = map_arrow(pairs, run, "slot int, n0 float, n1 float").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).toArrow()
-    n0, n1 = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    for part in got.to_batches():
-        at = part["slot"].to_numpy()
-        n0[at], n1[at] = part["n0"].to_numpy(), part["n1"].to_numpy()
-    return n0, n1
-
-
-def exact(context: np.ndarray, data: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 0 and 1, as (bit, byte), behind equal contexts and bits of the byte before. A
-    context is told from all others by 56 bits of its hash; the table is as long as the data."""
-    key = (context << np.uint64(8)) | data
-    order = np.argsort(key)
-    s, w = key[order], weight[order].astype(np.float64)
-    n0, n1 = (np.empty((8, len(key)), np.float32) for _ in range(2))
-    for t in range(8):
-        node = s >> np.uint64(8 - t)
-        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        size = np.diff(np.append(start, len(s)))
-        one = np.add.reduceat(w * ((s >> np.uint64(7 - t)) & np.uint64(1)), start)
-        n0[t, order], n1[t, order] = np.repeat(np.add.reduceat(w, start) - one, size), np.repeat(one, size)
-    return n0, n1
-
-
-def seen(tokens: list[bytes], before: np.ndarray, c: np.ndarray, a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bytes of the words, the word of each, and counts of 0 and 1 as (bit, context, byte). Words that
-    share their first LOCAL bytes are all there, so longer prefixes have all their counts here."""
-    data, row, place, hashes = spell(tokens, before)
-    n0, n1 = (np.empty((8, K, len(data)), np.float32) for _ in range(2))
-    for t, (_, slots) in enumerate(bits_of(data, hashes)):
-        # Behind a state, three bytes hold all that is before in the word while it is short.
-        for k, at in enumerate((*slots, slots[2])):
-            n0[t, k], n1[t, k] = a0[at], a1[at]
-    inner = place >= LOCAL
-    for k in (3, 4):
-        for n, own in zip((n0, n1), exact(hashes[k], data, c[row]), strict=True):
-            n[:, k][:, inner] = own[:, inner]
-    return data.astype(np.int64), row, n0, n1
-
-
-def level(n: np.ndarray) -> np.ndarray:
-    """0: never seen, 1: once or twice, 2: under 16 times, 3: more."""
-    return (n >= 1).astype(np.uint8) + (n >= 3) + (n >= 16)
-
-
-def gate_of(n: np.ndarray) -> np.ndarray:
-    return (level(n[4]) * 16 + level(n[3]) * 4 + level(n[2])).astype(np.int64)
-
-
-def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).astype(np.float32)
-
-
-def squash(z: np.ndarray) -> np.ndarray:
-    one = z.dtype.type(1)
-    return one / (one + np.exp(-np.clip(z, -18, 18)))
-
-
-def cells(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of a stretched probability, and how far it lies towards the next one."""
-    at = (np.clip(z, -LIMIT, LIMIT * 0.9999) + LIMIT) * ((CELLS - 1) / (2 * LIMIT))
-    low = at.astype(np.int64)
-    return low, (at - low).astype(z.dtype)
-
-
-CELL_P = squash(np.linspace(-LIMIT, LIMIT, CELLS))
-
-
-def learn_mixing(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (gate, context) and the refined probabilities (gate, cell). pairs: sorted by word."""
-    sent = pairs.sparkSession.sparkContext.broadcast((n0, n1))  # bounded by the tables' size
-
-    def run(slices):
-        w = np.full((GATES, K), FIRST_WEIGHT, np.float32)
-        mass_of, hits, total = np.zeros(GATES), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
-        for tokens, before, c in chunks(slices):
-            data, row, every0, every1 = seen(tokens, before, c, *sent.value)
-            often = c.astype(np.float32)[row]
-            for i in range(0, len(data), RENEW):
-                weight = often[i : i + RENEW]
-                for t in range(8):
-                    bit = (data[i : i + RENEW] >> (7 - t)) & 1
-                    m0, m1 = np.maximum(every0[t, :, i : i + RENEW] - (bit == 0), 0), np.maximum(every1[t, :, i : i + RENEW] - (bit == 1), 0)
-                    x, gate = stretched(m0, m1), gate_of(m0 + m1)
-                    z = sum(w[:, k][gate] * x[k] for k in range(K))
-                    err = weight * (bit - squash(z))
-                    mass = np.bincount(gate, weight, GATES)
-                    at = gate * CELLS + np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((CELLS - 1) / (2 * LIMIT))).astype(np.int64)
-                    hits += np.bincount(at, weight * bit, GATES * CELLS)
-                    total += np.bincount(at, weight, GATES * CELLS)
-                    for k in range(K):
-                        w[:, k] += (RATE * np.bincount(gate, err * x[k], GATES) / (mass + 20)).astype(np.float32)
-                    mass_of += mass
-        yield {
-            "kind": [0] * (GATES * K) + [1] * (GATES * CELLS),
-            "at": [*range(GATES * K), *range(GATES * CELLS)],
-            "value": [*(w * mass_of[:, None]).ravel(), *hits],
-            "mass": [*np.repeat(mass_of, K), *total],
-        }
-
-    got = map_arrow(pairs, run, "kind int, at int, value double, mass double").groupBy("kind", "at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).collect()
-    w, refined = np.full(GATES * K, FIRST_WEIGHT), np.tile(CELL_P, GATES)
-    for r in got:
-        if r["kind"] == 0 and r["mass"] > 0:
-            w[r["at"]] = r["value"] / r["mass"]
-        elif r["kind"] == 1:
-            refined[r["at"]] = (r["value"] + CELL_PRIOR * refined[r["at"]]) / (r["mass"] + CELL_PRIOR)
-    # Sums over partitions may differ in their last digits between runs.
-    return np.round(w, 9).reshape(GATES, K), np.round(refined, 9).reshape(GATES, CELLS)
-
-
-#: Tokens after which the weights of a text's mixture are renewed; the first weights, of corpus,
-#: corpus behind the state, text so far and spelling, and how many tokens they count for. The first
-#: steps are shorter, so that short texts adapt too: EARLY tokens, then as many as all before.
-EARLY, STEP, FIRST, FIRST_MASS = 8, 64, np.array([0.2, 0.4, 0.2, 0.2]), 30.0
-
-
-def earlier(q: np.ndarray) -> np.ndarray:
-    """For each place the number of equal values before it."""
-    order = np.argsort(q, kind="stable")
-    s = q[order]
-    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    out = np.empty(len(q), np.int64)
-    out[order] = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
-    return out
-
-
-def mix_tokens(share: np.ndarray, behind: np.ndarray, spelled: np.ndarray, q: np.ndarray) -> float:
-    """log10 probability of a text. share, behind, spelled: probabilities of its tokens by the
-    corpus, by the corpus behind their states, and by spelling; q: numbers of its words."""
-    e = np.stack([share, behind, earlier(q) / np.maximum(1, np.arange(len(q))), spelled])
-    mass, total = FIRST * FIRST_MASS, 0.0
-    i = 0
-    while i < len(q):
-        step = min(max(EARLY, i), STEP)
-        part = (mass / mass.sum())[:, None] * e[:, i : i + step]
-        p = part.sum(0)
-        total += float(np.log10(p).sum())
-        mass = mass + (part / p).sum(1)
-        i += step
-    return total
-
-
-class Model:
-    """Prices words behind states."""
-
-    def __init__(self, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, refined: np.ndarray):
-        self.n0, self.n1 = n0, n1
-        self.w, self.refined = w.T.astype(np.float32).copy(), refined.ravel().astype(np.float32)
-
-    def log10(self, tokens: list[bytes], before: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 probability of each word behind its state, as it is spelled."""
-        data, row, n0, n1 = seen(tokens, before, c, self.n0, self.n1)
-        whole = np.ones(len(data))
-        for t in range(8):
-            x, gate = stretched(n0[t], n1[t]), gate_of(n0[t] + n1[t])
-            z = np.zeros(len(data), np.float32)
-            for k in range(K):
-                z += self.w[k][gate] * x[k]
-            low, part = cells(z)
-            at = gate * CELLS + low
-            p = 0.5 * squash(z) + 0.5 * (self.refined[at] * (1 - part) + self.refined[at + 1] * part)
-            p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
-            whole *= np.where((data >> (7 - t)) & 1 == 1, p, 1 - p)
-        return np.bincount(row, np.log10(whole), len(tokens))
-
-
-#: Most frequent words whose counts behind each state go with the task, not with the block.
-FREQUENT = 1 << 16
-
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-
-
-def hashes_of(tokens) -> np.ndarray:
-    """64-bit hashes of the words, as longs."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
-
-
 def price(pairs: DataFrame, sent) -> DataFrame:
-    """pairs: sorted by word. h, c, and for each state that the word follows: by (count and state),
-    spelled (log10)."""
+    """pairs: w, before, c, sorted by word. key, c (of the word, whatever stood before it), states: of
+    the decisions of the word behind the state."""
 
     def run(slices):
-        model = Model(*sent.value)
-        for tokens, before, c in chunks(slices):
-            spelled = model.log10(tokens, before, c).astype(np.float32)
-            start = np.array([i for i, w in enumerate(tokens) if not i or w != tokens[i - 1]])
-            ends = pa.array(np.append(start, len(tokens)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (c * 64 + before, spelled)]
-            yield {"h": hashes_of([tokens[i] for i in start]), "c": np.add.reduceat(c, start), "by": lists[0], "spelled": lists[1]}
-
-    return map_arrow(pairs, run, "h long, c long, by array<long>, spelled array<float>")
-
-
-def pack(batches):
-    """Rows of (block, h, c, by, spelled) as a few rows a block of packed arrays."""
-    for batch in batches:
+        heads, tree = sent.value
+        for tokens, before, c in parts_by_head(slices):
+            first = np.flatnonzero([not i or w != tokens[i - 1] for i, w in enumerate(tokens)])
+            total = np.add.reduceat(c, first)
+            word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tokens))))
+            # Behind the state 0 all of a word's counts; behind the others its own.
+            own = np.flatnonzero(before > 0)
+            every = [tokens[i] for i in first] + [tokens[i] for i in own]
+            behind = np.concatenate([np.zeros(len(first), np.int64), before[own]])
+            weight = np.concatenate([total, c[own]])
+            wanted = np.concatenate([np.isin(np.arange(len(first)), word[before == 0]), np.ones(len(own), bool)])
+            data, row, place, ctx = prefixes(every, behind)
+            size = np.bincount(row, tree.length[data], len(every)).astype(np.int64)
+            ends = np.cumsum(size)
+            out = np.zeros(int(ends[-1]), np.uint8)
+            late = place >= LOCAL
+            early_size = np.bincount(row[~late], tree.length[data[~late]], len(every)).astype(np.int64)
+            states, _ = exact(ctx[late], data[late], weight[row[late]], tree)
+            out[squeeze(ends - size + early_size, size - early_size)] = states
+            heads.fill(out, ends - size, early_size, [(w + b" ")[:LOCAL] for w in every], behind)
+            count = np.concatenate([total, total[word[own]]])
+            for i in range(0, len(every), 20_000):
+                j = min(len(every), i + 20_000)
+                rows = np.flatnonzero(wanted[i:j]) + i
+                if len(rows):
+                    flat = out[squeeze((ends - size)[rows], size[rows])]
+                    offsets = np.concatenate([[0], np.cumsum(size[rows])]).astype(np.int32)
+                    column = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+                    yield {"key": keys_of([every[r] for r in rows.tolist()], behind[rows]).view(np.int64), "c": count[rows], "states": column}
+
+    return map_arrow(pairs, run, "key long, c long, states binary")
+
+
+# --- scores -------------------------------------------------------------------------------------
+
+
+class Readers:
+    """The weights and refinements of texts that are read side by side."""
+
+    def __init__(self, n: int):
+        self.weight = np.tile(START, (n * GATES, 1))
+        self.seen = np.zeros(n * GATES, np.float32)
+        self.shift = np.zeros(n * CELLS, np.float32)
+        self.mass = np.full(n * CELLS, CELL_PRIOR, np.float32)
+        self.cost = np.zeros(n)
+        self.read = np.zeros(n, np.int64)
+
+    def window(self, x: np.ndarray, sign: np.ndarray, lengths: np.ndarray) -> None:
+        """Reads decisions: x (context, decision) stretched predictions, sign 1 or -1; lengths: of
+        the runs of each (text, gate), in order. Then takes the steps."""
+        own = np.flatnonzero(lengths)
+        lengths = lengths[own]
+        starts = np.cumsum(lengths) - lengths
+        text = own // GATES
+        w = self.weight[own]
+        z = np.repeat(w[:, 0], lengths) * x[0]
+        for k in range(1, K):
+            z += np.repeat(w[:, k], lengths) * x[k]
+        cell = np.clip(z + np.float32(CELLS // 2), 0, CELLS - 1).astype(np.int64)
+        cell += np.repeat(text * CELLS, lengths)
+        z += self.shift[cell]
+        np.clip(z, -30, 30, out=z)
+        z *= -sign
+        np.exp(z, out=z)  # odds against what came
+        np.add.at(self.cost, text, np.add.reduceat(np.log1p(z), starts, dtype=np.float64))
+        away = z / (1 + z)
+        bend = away / (1 + z)
+        away *= sign
+        self.seen[own] += lengths
+        step = RATE / (PRIOR + CURVE * self.seen[own])
+        for k in range(K):
+            self.weight[own, k] += (step * np.add.reduceat(away * x[k], starts)).astype(np.float32)
+        low, high = int(text[0]) * CELLS, (int(text[-1]) + 1) * CELLS
+        cell -= low
+        self.mass[low:high] += np.bincount(cell, bend, high - low).astype(np.float32)
+        self.shift[low:high] += (RATE * np.bincount(cell, away, high - low) / self.mass[low:high]).astype(np.float32)
+
+
+def borders(start: int, end: int) -> list[int]:
+    """Ends of the windows of a text in which ``start`` decisions were read, up to ``end``."""
+    out, at = [0], 0
+    while at < end:
+        at += min(max(WINDOW, at // 8), WINDOW_MOST)
+        if at > start:
+            out.append(at)
+    return [start, *out[1:]]
+
+
+def read(readers: Readers, tree: Tree, table_of: np.ndarray, data: np.ndarray, at_slot: list[np.ndarray], words: np.ndarray, begin: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> None:
+    """Reads texts side by side. data: their bytes; at_slot: places in the tables for each byte;
+    words: state bytes of words, of which each token's are ``size`` from ``begin``; sizes: decisions
+    of each text."""
+    byte, path = tree.decisions(data)
+    spelled = squeeze(begin, size)
+    done = int(readers.read[0])
+    edge = np.array(borders(done, done + int(sizes.max()))) - done
+    # Runs of (window, text), then within them by gate.
+    lows, highs = np.minimum(edge[:-1, None], sizes), np.minimum(edge[1:, None], sizes)
+    runs = (highs - lows).ravel()
+    order = squeeze((lows + (np.cumsum(sizes) - sizes)).ravel(), runs)
+    gate = GATE[words[spelled[order]]]
+    run = np.repeat(np.arange(len(runs)), runs)
+    cells = np.bincount(run * GATES + gate, minlength=len(runs) * GATES)
+    to = np.cumsum(cells) - cells
+    place = np.empty(len(order), np.int64)
+    for g in range(GATES):
+        own = np.flatnonzero(gate == g)
+        place[squeeze(to[g::GATES], cells[g::GATES])] = order[own]
+    del order, gate, run
+    cells = cells.reshape(len(edge) - 1, -1)
+    ends = np.concatenate([[0], np.cumsum(cells.sum(1))])
+    for i in range(len(edge) - 1):
+        own = place[ends[i] : ends[i + 1]]
+        x = np.empty((K, len(own)), np.float32)
+        b, p = byte[own], path[own]
+        node = tree.node[p]
+        for k in range(K - 1):
+            np.take(STRETCH, table_of[at_slot[k][b] ^ node], out=x[k], mode="clip")
+        np.take(STRETCH, words[spelled[own]], out=x[K - 1], mode="clip")
+        readers.window(x, (2 * tree.bit[p] - 1).astype(np.float32), cells[i])
+    readers.read += sizes
+
+
+class Block:
+    """Scores the documents of a block. keys, counts, states: of the pairs of word and state."""
+
+    def __init__(self, model, keys: np.ndarray, counts: np.ndarray, begin: np.ndarray, states: np.ndarray):
+        self.states, self.tree, self.table, self.total, self.distinct = model
+        order = np.argsort(keys)
+        self.keys, self.counts, self.begin, self.words = keys[order], counts[order], begin[order], states
+        self.names = Numbers()
+        self.found = np.full((1024, CLASSES + 1), -1, np.int64)
+        self.size = np.zeros(1024, np.int64)
+
+    def grow(self, of: list[bytes], since: int) -> None:
+        """Room for new words, and their decisions."""
+        if len(of) > len(self.size):
+            more = max(len(of), 2 * len(self.size)) - len(self.size)
+            self.found = np.concatenate([self.found, np.full((more, CLASSES + 1), -1, np.int64)])
+            self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
+        new = of[since:]
+        if new:
+            data = np.frombuffer(b" ".join(new) + b" ", np.uint8)
+            lengths = np.fromiter(map(len, new), np.int64, len(new)) + 1
+            self.size[since : len(of)] = np.add.reduceat(self.tree.length[data], np.cumsum(lengths) - lengths)
+
+    def places(self, flat: list[bytes], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens' words, and the place of each (word, state) in the table."""
+        since = len(self.names)
+        ids = np.fromiter(map(self.names.__getitem__, flat), np.int64, len(flat))
+        if len(self.names) > since:
+            self.grow(list(self.names), since)
+        at = self.found[ids, state]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            _, first = np.unique(ids[new] * 8 + state[new], return_index=True)
+            first = new[first]
+            key = keys_of([flat[i] for i in first.tolist()], state[first])
+            self.found[ids[first], state[first]] = np.searchsorted(self.keys, key)
+            at = self.found[ids, state]
+        return ids, at
+
+    def score(self, texts: list) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
+        mass = self.total + 0.5 * (self.distinct + 1)
+        readers, sums = None, np.zeros((4, 0))
+
+        def give():
+            if readers is not None:
+                score = -readers.cost / np.log(10)
+                out["n_tokens"] += sums[0].astype(int).tolist()
+                out["n_known"] += sums[1].astype(int).tolist()
+                out["base_score"] += sums[2].tolist()
+                out["score"] += score.tolist()
+                out["bits_per_byte"] += (-score / np.log10(2) / sums[3]).tolist()
+
+        before = None
+        for group, carried in batches(texts):
+            if carried is not before:
+                give()
+                readers, sums, before = Readers(len(group)), np.zeros((4, len(group))), carried
+            flat = [w for t in group for w in t]
+            state = carried(group, flat, self.states)
+            _, at = self.places(flat, state)
+            data, lengths, last = spans(group, carried.bytes)
+            size = self.size[_]
+            starts = np.cumsum([0, *(len(t) for t in group[:-1])])
+            # An empty piece of a long text has no tokens but the text's end.
+            c = self.counts[at]
+            for row, v in zip(sums, (np.ones(len(flat)), c > 0, np.log10((c + 0.5) / mass), lengths), strict=True):
+                row += np.add.reduceat(np.asarray(v, np.float64), starts)
+            read(readers, self.tree, self.table, data, slots(last, np.repeat(state, lengths)), self.words, self.begin[at], size, np.add.reduceat(size, starts))
+            carried.end(group)
+        give()
+        return out
+
+
+def together(found):
+    """Rows of (block, key, c, states) as a few rows a block of packed arrays."""
+    for batch in found:
         block = batch["block"].to_numpy()
         order = np.argsort(block, kind="stable")
         t = batch.take(pa.array(order))
         block = block[order]
         ends = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
-        h, c = (t[n].to_numpy() for n in ("h", "c"))
-        sizes = t["by"].value_lengths().to_numpy().astype(np.int32)
-        flat, spelled = (t[n].flatten().to_numpy() for n in ("by", "spelled"))
+        key, c, sizes = t["key"].to_numpy(), t["c"].to_numpy(), None
+        sizes = np.diff(np.frombuffer(t["states"].buffers()[1], np.int32, len(block) + 1, t["states"].offset * 4)) if len(block) else np.empty(0, np.int32)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        cols = [[], [], [], [], [], []]
+        flat = np.frombuffer(t["states"].buffers()[2], np.uint8) if len(block) and starts[-1] else np.empty(0, np.uint8)
+        cols: list[list] = [[], [], [], [], []]
         for i, j in zip(ends, ends[1:], strict=False):
-            own = slice(starts[i], starts[j])
-            parts_of = (h[i:j], c[i:j], spelled[own], sizes[i:j], flat[own])
-            for col, v in zip(cols, (int(block[i]), *(x.tobytes() for x in parts_of)), strict=True):
+            for col, v in zip(cols, (int(block[i]), key[i:j].tobytes(), c[i:j].tobytes(), sizes[i:j].astype(np.int32).tobytes(), flat[starts[i] : starts[j]].tobytes()), strict=True):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "h", "c", "spelled", "sizes", "flat"])
-
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "key", "c", "sizes", "states"])
 
-def unpack(right: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    kinds = {"h": np.int64, "c": np.int64, "spelled": np.float32, "sizes": np.int32, "flat": np.int64}
-    return tuple(np.frombuffer(b"".join(right[n]), k) for n, k in kinds.items())
 
+def wanted_pairs(states: States):
+    """block, key of the distinct (word, state) of each block, as far as a task sees them."""
 
-def distinct_words(slices):
-    """block, h of the distinct words of each block, as far as a task sees it."""
-    held: dict[int, set] = {}
+    def run(slices):
+        held: dict[int, set] = {}
+        n = 0
 
-    def out():
-        return {"block": np.repeat(np.array(list(held), np.int32), [len(ws) for ws in held.values()]), "h": np.concatenate([hashes_of(ws) for ws in held.values()])}
+        def out():
+            return {"block": np.repeat(np.array(list(held), np.int32), [len(x) for x in held.values()]), "key": np.concatenate([keys_of(*map(list, zip(*x, strict=True))) for x in held.values()]).view(np.int64)}
 
-    n = 0
-    for s in slices:
-        for block, text in zip(s["block"], s["text"], strict=True):
-            own = held.setdefault(block, {b""})
-            n -= len(own)
-            own.update(words(text))
-            n += len(own)
-            if n >= FLUSH:
+        for s in slices:
+            texts: dict[int, list] = {}
+            for block, text in zip(s["block"], s["text"], strict=True):
+                texts.setdefault(block, []).append(text)
+            for block, own in texts.items():
+                pairs = held.setdefault(block, set())
+                n -= len(pairs)
+                for group, carried in batches(own):
+                    flat = [w for t in group for w in t]
+                    pairs.update(zip(flat, carried(group, flat, states).tolist(), strict=True))
+                n += len(pairs)
+            if n >= FLUSH_WORDS:
                 yield out()
                 held.clear()
                 n = 0
-    if held:
-        yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text")
-    training = docs.where(crc_mod_col(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
-    states = top_words(training)
-    pairs = cut(count_pairs(docs, states))
-    behind, rows = np.ones(64), 0
-    for r in pairs.groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("rows")).collect():
-        behind[r["before"]] = max(1, r["n"])
-        rows += r["rows"]
-    tasks = max(1, -(-rows // LEARN_PAIRS))
-    learn = pairs.where("c > 0")
-    n0, n1 = count_bits(learn.coalesce(max(1, tasks // 3)))
-    # A word goes with the others that begin as it does.
-    laid = [df.repartition(tasks, F.expr(f"substring(w, 1, {LOCAL})")).sortWithinPartitions("w", "before") for df in (learn, pairs)]
-    w, refined = learn_mixing(laid[0], n0, n1)
-    # A word has at most as many entries as there are states; count and state share a long.
-    priced = cut(price(laid[1], spark.sparkContext.broadcast((n0, n1, w, refined))))  # bounded by the tables' size
+    apart = crc_mod_col(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
+    marked = docs.select("text", apart.alias("apart"))
+    found = tokens_in(marked)
+    sums = {(r["what"], r["b"]): (r["c"], r["n"]) for r in found.where("what > 0").collect()}
+    size = sums.get((3, 0), (0, 0))[0]
+    names, near = frequent(docs.where(~apart), found, sums.get((1, 0), (0, 0))[1])
+    release(found)
+    states = States(names, classes(near))
+    tree = Tree(np.array([sums.get((2, b), (0, 0))[0] for b in range(256)]))
+    learned = cut(learn(marked.coalesce(max(1, -(-size // LEARN_BYTES), 2)), states, tree))
+    table_of = tables(learned.where("chunk IS NOT NULL").select("chunk", "data"), min(8, parts(spark)))
+    pairs = cut(learned.where("w IS NOT NULL").groupBy("w", "before").agg(F.sum("c").alias("c")))
+    release(learned)
+    # Bounded by the bytes and states: LOCAL bytes a head.
+    head = F.expr(f"substring(concat(w, binary(' ')), 1, {LOCAL})").alias("head")
+    heads = Heads(pairs.groupBy(head, "before").agg(F.sum("c").alias("c")).orderBy("head", "before").collect(), tree)
+    tasks = max(1, -(-pairs.count() // TASK_PAIRS))
+    laid = pairs.repartition(tasks, F.expr(f"substring(w, 1, {LOCAL})")).sortWithinPartitions("w", "before")
+    totals = pairs.groupBy("w").agg(F.sum("c").alias("c")).agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    total, distinct = (int(x or 0) for x in totals)
+    priced = cut(price(laid, spark.sparkContext.broadcast((heads, tree))))
     release(pairs)
-    del n0, n1
-    total, distinct = (int(x or 0) for x in priced.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
-    # Bounded by FREQUENT: of words as frequent as the last one, all are left to the blocks.
-    best = priced.orderBy(F.desc("c")).limit(FREQUENT + 1).select("h", "c", "by", "spelled").collect()
-    floor = best[FREQUENT]["c"] + 1 if len(best) > FREQUENT else 1
-    best = [r for r in best if r["c"] >= floor]
-    top_h = np.array([r["h"] for r in best], np.int64)
-    top, top_spelled = np.zeros((len(best), 64), np.float32), np.full((len(best), 64), -300, np.float32)
-    for i, r in enumerate(best):
-        for e, x in zip(r["by"], r["spelled"], strict=True):
-            top[i, e & 63], top_spelled[i, e & 63] = e >> 6, x
-    order = np.argsort(top_h)
-    sent = spark.sparkContext.broadcast((top_h[order], top[order], top_spelled[order]))  # bounded by FREQUENT
-    del best
-    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    model = spark.sparkContext.broadcast((states, tree, table_of, total, distinct))  # the tables' fixed size
     blocks = max(1, -(-size // BLOCK_BYTES))
-    mass = total + 0.5 * (distinct + 1)
-
-    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = Numbers(states)
-        seqs = [names.read(t) for t in left["text"]]
-        states_of = [names.before(q) for q in seqs]
-        # Counts and prices of the block's words, by number.
-        hashes = hashes_of(names)
-        h, counted, spelling, lengths, flat = unpack(right)
-        starts = np.cumsum(lengths) - lengths
-        order = np.argsort(h, kind="stable")
-        at = np.minimum(np.searchsorted(h[order], hashes), max(0, len(h) - 1))
-        found = h[order][at] == hashes if len(h) else np.zeros(len(hashes), bool)
-        at = order[at[found]]
-        c = np.zeros(len(names))
-        c[found] = counted[at]
-        known = c > 0
-        # Counts and prices by state for each word: of frequent words, then of the block's others.
-        top_h, top, top_spelled = sent.value
-        row = np.minimum(np.searchsorted(top_h, hashes), max(0, len(top_h) - 1))
-        row = np.where(top_h[row] == hashes, row, -1) if len(top_h) else np.full(len(names), -1)
-        own = np.flatnonzero(found)[lengths[at] > 0]
-        at = at[lengths[at] > 0]
-        n = lengths[at]
-        entry = np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        key = np.repeat(own, n) * 64 + (flat[entry] & 63)
-        by_key = np.argsort(key)
-        # The last entry is for none.
-        key, value, spelled = np.append(key[by_key], -1), np.append(flat[entry][by_key] >> 6, 0), np.append(spelling[entry][by_key], np.float32(-300))
-        unigram = np.log10((c + 0.5) / mass)
-        share = c / max(1, total)
-        sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
-        scores = []
-        for q, b in zip(seqs, states_of, strict=True):
-            n, spelled_as = np.zeros(len(q)), np.zeros(len(q))
-            often = row[q] >= 0
-            at = row[q][often], b[often]
-            n[often], spelled_as[often] = top[at], top_spelled[at]
-            want = q[~often] * 64 + b[~often]
-            k = np.searchsorted(key[:-1], want)
-            k = np.where(key[k] == want, k, len(key) - 1)
-            n[~often], spelled_as[~often] = value[k], spelled[k]
-            scores.append(mix_tokens(share[q], n / behind[b], 10.0 ** np.maximum(spelled_as, -300), q))
-        ids = [None if pd.isna(d) else int(d) for d in left["doc_id"]]
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(ids, dtype="Int64"),
-                "held_out": [crc_mod(d, HELD_OUT[0]) == HELD_OUT[1] for d in ids],
-                "n_tokens": list(map(len, seqs)),
-                "n_known": [int(known[q].sum()) for q in seqs],
-                "train_tokens": total,
-                "base_score": [float(unigram[q].sum()) for q in seqs],
-                "score": scores,
-                "bits_per_byte": [-x / float(np.log10(2)) / int(sizes[q].sum()) for x, q in zip(scores, seqs, strict=True)],
-            }
-        )
-
-    lists = [F.when(F.col("c") < floor, F.col(n)).otherwise(F.expr("filter(%s, x -> false)" % n)).alias(n) for n in ("by", "spelled")]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {"key": np.uint64, "c": np.int64, "sizes": np.int32, "states": np.uint8}
+        key, c, sizes, flat = (np.frombuffer(b"".join(right[n].to_pylist()), kind) for n, kind in kinds.items())
+        found = Block(model.value, key, c, np.cumsum(sizes) - sizes, flat)
+        # Long texts first, then the others by size, so that texts read side by side are alike.
+        texts = left["text"]
+        order = np.argsort([-(len(t.as_py() or "")) for t in texts], kind="stable")
+        left = left.take(pa.array(order))
+        ids = left["doc_id"].to_pylist()
+        cols = found.score(left["text"].to_pylist())
+        held_out = [crc_mod(d, HELD_OUT[0]) == HELD_OUT[1] for d in ids]
+        rest = [pa.array(cols[n], t) for n, t in (("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(held_out), pa.array(cols["n_tokens"], pa.int64()), pa.array(cols["n_known"], pa.int64()), pa.array([total] * len(ids), pa.int64()), *rest], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
     # Both uses have the same columns, so that the plan has this exchange once (ReusedExchange).
     rows = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(parts(spark), "block")
-    known = map_arrow(rows, distinct_words, "block int, h long").join(priced.select("h", "c", *lists), "h")
-    known = known.mapInArrow(pack, "block int, h binary, c binary, spelled binary, sizes binary, flat binary")
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(score, SCHEMA)
+    known = map_arrow(rows, wanted_pairs(states), "block int, key long").join(priced, "key").select("block", "key", "c", "states")
+    known = known.mapInArrow(together, "block int, key binary, c binary, sizes binary, states binary")
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCHEMA)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
