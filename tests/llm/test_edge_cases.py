@@ -176,7 +176,7 @@ def test_language_model(spark):
     assert contextmix.lm_scores(docs(spark, [])).count() == 0
 
 
-def test_language_model_spells_behind_a_state(spark):
+def test_language_model_knows_the_state(spark):
     # The held-out "zukxo" is new; only what stands before it tells how it may begin.
     out = [d for d in range(200) if common.crc_mod(d, 5) == 1][:2]
     train = [d for d in range(200) if common.crc_mod(d, 5) != 1][:80]
@@ -186,31 +186,160 @@ def test_language_model_spells_behind_a_state(spark):
     assert got[out[0]] > got[out[1]] + 0.5
 
 
-def test_short_texts_renew_their_weights():
-    import numpy as np
+def mixed_by_hand(rows):
+    """Scores of all rows, with dictionaries, one decision after the other."""
+    m64, golden = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    assert int(common.mix64(contextmix.np.array([12345], "u8"))[0]) == mix(12345)
+    read = [([*common.words(t), b""], common.crc_mod(d, 5) != 1) for d, t in rows]
+    count, raw = Counter(), [0] * 256
+    for (_, text), (tokens, learned) in zip(rows, read, strict=True):
+        if learned:
+            count.update(tokens)
+            for b in (text or "").encode().lower():
+                raw[b] += 1
+    total = sum(count.values())
+    names = sorted(w for w, c in count.items() if w and c >= contextmix.FREQUENT * total)
+    follows = contextmix.np.zeros((len(names), len(names)))
+    for tokens, learned in read:
+        own = [names.index(w) for w in tokens if w in names]
+        for a, b in zip(own, own[1:], strict=False):
+            follows[a, b] += learned
+    logs = contextmix.classes(follows)
+    tree = contextmix.Tree(contextmix.np.array(raw))
+    spelled = [[(int(tree.node[i]), int(tree.bit[i])) for i in range(tree.first[b], tree.first[b] + tree.length[b])] for b in range(256)]
+
+    def decisions(tokens):
+        """(keys of the four contexts, bit) of all decisions."""
+        past, last = [], b"    "
+        for w in tokens:
+            recent = past[-contextmix.RECENT :]
+            sums = [round(sum(logs[i][g] for i in recent), 4) for g in range(contextmix.CLASSES)]
+            state = 1 + sums.index(max(sums)) if recent else 0
+            for at, b in enumerate(w + b" "):
+                four = int.from_bytes(last, "big")
+                for t, (node, bit) in enumerate(spelled[b]):
+                    keys = []
+                    for k, bits in enumerate(contextmix.TABLE_BITS):
+                        key = (four & ((1 << (8 * (k + 2))) - 1)) | (state << 32)
+                        keys.append((k, (mix((key * golden + k) & m64) >> (64 - bits)) ^ node))
+                    yield [*keys, (state, w[:at], node, t)], bit, state
+                last = last[1:] + bytes([b])
+            if w in names:
+                past.append(names.index(w))
+
+    seen = Counter()
+    for tokens, learned in read:
+        for keys, bit, state in decisions(tokens) if learned else ():
+            for key in keys:
+                seen[key, bit] += 1
+            if state:
+                seen[(0, *keys[3][1:]), bit] += 1
+    steps = contextmix.STEPS.tolist()
+    step = lambda n: max(s for s in steps if s <= n)
+    scores = []
+    for tokens, _ in read:
+        weight = [[float(x) for x in contextmix.START] for _ in range(4)]
+        used, shift, mass = [0] * 4, [0.0] * contextmix.CELLS, [contextmix.CELL_PRIOR] * contextmix.CELLS
+        every, at, cost = list(decisions(tokens)), 0, 0.0
+        while at < len(every):
+            window = every[at : at + min(max(contextmix.WINDOW, at // 8), contextmix.WINDOW_MOST)]
+            at += len(window)
+            pull, times, errs, bends = [[0.0] * 4 for _ in range(4)], [0] * 4, [0.0] * contextmix.CELLS, [0.0] * contextmix.CELLS
+            for keys, bit, _ in window:
+                pairs = [(step(seen[key, 0]), step(seen[key, 1])) for key in keys]
+                x = [math.log((b + 0.4) / (a + 0.4)) for a, b in pairs]
+                most = max(pairs[3])
+                gate = sum(most >= n for n in (1, 3, 9))
+                z = sum(w * v for w, v in zip(weight[gate], x, strict=True))
+                cell = int(min(max(z + contextmix.CELLS // 2, 0), contextmix.CELLS - 1))
+                p = 1 / (1 + math.exp(-(z + shift[cell])))
+                cost += math.log(p if bit else 1 - p)
+                for k in range(4):
+                    pull[gate][k] += (bit - p) * x[k]
+                times[gate] += 1
+                errs[cell] += bit - p
+                bends[cell] += p * (1 - p)
+            for g in range(4):
+                used[g] += times[g]
+                for k in range(4):
+                    weight[g][k] += contextmix.RATE * pull[g][k] / (contextmix.PRIOR + contextmix.CURVE * used[g])
+            for c in range(contextmix.CELLS):
+                mass[c] += bends[c]
+                shift[c] += contextmix.RATE * errs[c] / mass[c]
+        scores.append(cost / math.log(10))
+    return scores
+
+
+def some_texts():
+    import random
+
+    rnd = random.Random(3)
+    kinds = [["the", "of", "and", "bird", "Tree", "water"], ["der", "die", "und", "vogel", "baum", "straße"]]
+    texts = ["", None, "the", " \n", "end", "Zz" * 40]
+    for i in range(60):
+        kind = kinds[i % 2]
+        texts.append(" ".join(rnd.choice(kind) + rnd.choice(["", "", "", str(rnd.randrange(30)), "s"]) for _ in range(rnd.choice([3, 30, 120]))))
+    return texts
+
 
-    flat = np.full(40, 1e-3)
-    good = contextmix.mix_tokens(np.full(40, 1e-6), np.full(40, 0.5), flat, np.arange(40))
-    first = contextmix.FIRST / contextmix.FIRST.sum()
-    assert good > 40 * math.log10(first[1] * 0.5 + first[0] * 1e-6 + first[3] * 1e-3) + 1
+def test_language_model_against_brute_force(spark):
+    rows = list(enumerate(some_texts()))
+    want = mixed_by_hand(rows)
+    got = {r["doc_id"]: r["score"] for r in contextmix.lm_scores(docs(spark, rows)).collect()}
+    for (d, _), w in zip(rows, want, strict=True):
+        assert abs(got[d] - w) < 2e-4 * max(1, abs(w)), d
+
+
+def test_language_model_does_not_depend_on_the_cut(spark, monkeypatch):
+    rows = list(enumerate(some_texts()))
+    want = {r["doc_id"]: r["score"] for r in contextmix.lm_scores(docs(spark, rows)).collect()}
+    for name, value in (("FLUSH_TOKENS", 100), ("FLUSH_KEYS", 50), ("BLOCK_BYTES", 700), ("PART_PAIRS", 20), ("TASK_PAIRS", 60), ("BATCH_BYTES", 900), ("LEARN_BYTES", 5000)):
+        monkeypatch.setattr(contextmix, name, value)
+    got = {r["doc_id"]: r["score"] for r in contextmix.lm_scores(docs(spark, rows)).collect()}
+    assert all(abs(got[d] - want[d]) < 1e-4 * max(1, abs(want[d])) for d in want)
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    long = " ".join(some_texts()[7].split() * 300)
+    whole = list(contextmix.segments(long))
+    monkeypatch.setattr(contextmix, "SEGMENT", 1000)
+    pieces = list(contextmix.segments(long))
+    assert len(whole) == 1 and len(pieces) > 3 and [w for p in pieces for w in p] == whole[0]
+    # What is before each byte, and the states, are the same in pieces.
+    states = contextmix.States([b"the", b"der"], contextmix.np.log(contextmix.np.array([[0.9, 0.1], [0.2, 0.8]])))
+    own, carried = contextmix.Carried(), contextmix.Carried()
+    at_once = own([whole[0]], whole[0], states)
+    before = contextmix.spans([whole[0]])[2]
+    got, after = [], []
+    for p in pieces:
+        got += carried([p], p, states).tolist()
+        after += contextmix.spans([p], carried.bytes)[2].tolist()
+        carried.end([p])
+    assert got == at_once.tolist() and after == before.tolist()
 
 
 def test_word_contexts_have_their_own_counts():
     import numpy as np
 
+    tree = contextmix.Tree(np.arange(256))
     # More contexts than any table of fixed size told apart; each was seen once.
     tokens = [b"abc%06d" % i for i in range(200_000)]
-    size = int(contextmix.OFFSETS[-1])
-    none = np.zeros(size, np.float32)
-    c = np.ones(len(tokens), np.int64)
-    data, row, n0, n1 = contextmix.seen(tokens, np.zeros(len(tokens), np.int64), c, none, none)
-    last = np.flatnonzero(data == 32)  # the blank: all of the word is before it
-    assert len(last) == len(tokens) and ((n0 + n1)[:, 3:, last] == 1).all()
+    data, row, place, ctx = contextmix.prefixes(tokens, np.zeros(len(tokens), np.int64))
+    states, begin = contextmix.exact(ctx, data, np.ones(len(data), np.int64), tree)
+    last = begin[data == 32]  # the blank: all of the word is before it
+    assert len(last) == len(tokens) and (contextmix._N0 + contextmix._N1)[states[last]].max() == 1
     a, b = [b"abcd", b"abce", b"abcd"], np.array([1, 1, 2])
-    data, row, n0, n1 = contextmix.seen(a, b, np.array([1, 2, 4]), none, none)
-    at = [3, 8, 13]  # bytes d, e, d behind abc; they part at the last bit
-    assert [n[7, 3, at].tolist() for n in (n0, n1)] == [[5, 5, 5], [2, 2, 2]]
-    assert [n[7, 4, at].tolist() for n in (n0, n1)] == [[1, 1, 4], [2, 2, 0]]
+    data, row, place, ctx = contextmix.prefixes(a, b)
+    states, begin = contextmix.exact(ctx, data, np.array([1, 2, 4])[row], tree)
+    of = lambda word, at: [(int(contextmix._N0[x]), int(contextmix._N1[x])) for x in states[begin[(row == word) & (place == at)][0] :][: tree.length[a[word][at]]]]
+    assert sum(of(0, 3)[0]) == 3 and sum(of(1, 3)[0]) == 3 and sum(of(2, 3)[0]) == 4
+    assert {sum(x) for x in of(0, 0)} == {3} and {sum(x) for x in of(2, 0)} == {4}
 
 
 def test_short_lines_are_compared(spark, tmp_path):
