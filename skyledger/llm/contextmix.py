@@ -44,6 +44,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ LOCAL = 3
 FLUSH_TOKENS, FLUSH_KEYS, FLUSH_WORDS = 4_000_000, 4_000_000, 400_000
 #: Bytes of text of a task that learns, of a block of documents that is scored, of a piece of a long
 #: text and of the texts that are read side by side.
-LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 20 << 20, 1 << 20, 1 << 20
+LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 20 << 20, 1 << 20, 1 << 19
 #: Pairs of word and state of a task that counts the words so far, and of a part of it at least.
 TASK_PAIRS, PART_PAIRS = 400_000, 50_000
 #: Decisions of the first window; later ones have an eighth of those before, up to the second figure.
@@ -79,6 +80,8 @@ WINDOW, WINDOW_MOST = 128, 1 << 16
 #: First weights; the steps' size; how many decisions' worth the first weights hold; curvature of one.
 START, RATE, PRIOR, CURVE = np.array([0.15, 0.2, 0.3, 0.5], np.float32), 0.5, 20.0, 0.3
 GATES, K = 4, 4
+#: Times that the word so far went one way and never the other from which a decision is settled.
+SETTLED = 200
 #: Cells of the refinement, a unit of the stretched probability each, and the weight of an empty one.
 CELLS, CELL_PRIOR = 24, 20.0
 
@@ -123,6 +126,7 @@ class Tree:
         self.first = np.cumsum(self.length) - self.length
         self.node = np.array([n for p in paths for n, _ in p], np.int64)
         self.bit = np.array([b for p in paths for _, b in p], np.int64)
+        self.node32, self.bit8 = self.node.astype(np.int32), self.bit.astype(np.uint8)
         #: Bytes in the order of the tree's leaves: below a node they are neighbours.
         self.rank = np.empty(256, np.uint64)
         self.rank[order] = np.arange(256, dtype=np.uint64)
@@ -149,6 +153,11 @@ _N0, _N1 = np.repeat(STEPS, 16), np.tile(STEPS, 16)
 #: Of a state byte: the stretched probability of 1, and the gate.
 STRETCH = np.log((_N1 + 0.4) / (_N0 + 0.4)).astype(np.float32)
 GATE = np.searchsorted([1, 3, 9], np.maximum(_N0, _N1), side="right").astype(np.uint8)
+SIGN = np.array([-1, 1], np.float32)
+#: Whether a context has settled a decision: SETTLED times or more one way, never the other; and the
+#: cost (in nats) of a settled decision, by bit and state byte.
+SURE = (np.minimum(_N0, _N1) == 0) & (np.maximum(_N0, _N1) >= SETTLED)
+SURE_COST = np.stack([np.log1p(np.exp(STRETCH)), np.log1p(np.exp(-STRETCH))]).astype(np.float32)
 
 
 def squeeze(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -263,12 +272,23 @@ def classes(near: np.ndarray, n: int = CLASSES, steps: int = FIT_STEPS) -> np.nd
     return np.round(np.log(p), 6)
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class States:
     """States before the tokens of texts."""
 
     def __init__(self, names: list[bytes], logs: np.ndarray):
         self.index, self.logs = {w: i for i, w in enumerate(names)}, logs
 
+    def names(self) -> Numbers:
+        return Numbers(self.index)
+
     def before(self, number: np.ndarray, starts: np.ndarray, carried: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """number: of each token's frequent word, else -1. starts: where texts begin. carried: the
         frequent words before the first text. The states, and the words to carry on."""
@@ -291,39 +311,33 @@ class States:
 def spans(tokens: list[list[bytes]], carried: bytes = b"    ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts, the length of each token with its blank, and the four bytes before each byte
     as one number, last one lowest; before a text (but the carried first one) stand blanks."""
-    data = np.frombuffer(b" ".join([w for t in tokens for w in t]) + b" ", np.uint8)
-    lengths = np.fromiter((len(w) + 1 for t in tokens for w in t), np.int64, sum(map(len, tokens)))
-    ends = np.cumsum(lengths)[np.cumsum([len(t) for t in tokens]) - 1]
-    wide = np.concatenate([np.frombuffer(carried, np.uint8), data]).astype(np.uint64)
+    data = np.frombuffer(b" ".join(chain.from_iterable(tokens)) + b" ", np.uint8)
+    blanks = np.flatnonzero(data == 32)
+    lengths = np.diff(blanks, prepend=-1)
+    starts = blanks[np.cumsum([len(t) for t in tokens]) - 1][:-1] + 1
+    wide = np.concatenate([np.frombuffer(carried, np.uint8), data])
     n = len(data)
-    last = [wide[4 - j : 4 - j + n] for j in (1, 2, 3, 4)]
-    starts = ends[:-1]
+    last = np.zeros(n, np.uint32)
     for j in (1, 2, 3, 4):
+        own = wide[4 - j : 4 - j + n].astype(np.uint32)
         if len(starts):
             at = (starts[:, None] + np.arange(j)).ravel()
-            last[j - 1] = last[j - 1].copy()
-            last[j - 1][at[at < n]] = 32
-    return data, lengths, last[0] | (last[1] << np.uint64(8)) | (last[2] << np.uint64(16)) | (last[3] << np.uint64(24))
+            own[at[at < n]] = 32
+        last |= own << np.uint32(8 * (j - 1))
+    return data, lengths, last
 
 
 def slots(last: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
     """Places of the last two, three and four bytes behind the states in the joined tables. The
     decision's node picks a slot around it (exclusive or); offsets are multiples of 256."""
     out = []
+    high = state.astype(np.uint64) << np.uint64(32)
     for k, bits in enumerate(TABLE_BITS):
-        key = (last & np.uint64((1 << (8 * (k + 2))) - 1)) | (state.astype(np.uint64) << np.uint64(32))
-        out.append((mix64(key * GOLDEN + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) + OFFSETS[k])
+        key = (last & np.uint32((1 << (8 * (k + 2))) - 1)) | high
+        out.append((mix64(key * GOLDEN + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int32) + np.int32(OFFSETS[k]))
     return out
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
     """Two kinds of rows: (w, before, c), how often each word follows each state in the training rows
     of ``docs``, 0 for those that only held-out rows have; and (chunk, data), counts of the slots of
@@ -331,7 +345,7 @@ def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
     size = int(OFFSETS[-1])
 
     def run(slices):
-        names, held, n, keys = Numbers(), ([], []), 0, []
+        names, held, n, keys = states.names(), ([], []), 0, []
 
         def words_out():
             key, c = np.unique(np.concatenate([*held[0], np.empty(0, np.int64)]), return_counts=True)
@@ -349,7 +363,7 @@ def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
                 k, weight = key[i : i + (1 << 19)], c[i : i + (1 << 19)]
                 byte, at = tree.decisions((k & np.uint64(255)).astype(np.int64))
                 node, bit, weight = tree.node[at], tree.bit[at], weight[byte]
-                for place in slots((k >> np.uint64(8)) & np.uint64(0xFFFFFFFF), k >> np.uint64(40)):
+                for place in slots(((k >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), k >> np.uint64(40)):
                     np.add.at(count, (bit, place[byte] ^ node), weight)
             for chunk in range(size >> CHUNK_BITS):
                 part = count[:, chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
@@ -360,14 +374,12 @@ def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
         for s in slices:
             for apart in (False, True):
                 for group, lasts in batches([t for t, a in zip(s["text"], s["apart"], strict=True) if a == apart]):
-                    flat = [w for t in group for w in t]
-                    ids = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat))
-                    before = lasts(group, flat, states)
+                    ids, before = lasts(group, names, states)
                     held[apart].append((ids << 3) | before)
                     n += len(ids)
                     if not apart:
                         data, lengths, last = spans(group, lasts.bytes)
-                        key = (np.repeat(before.astype(np.uint64), lengths) << np.uint64(40)) | (last << np.uint64(8)) | data
+                        key = (np.repeat(before.astype(np.uint64), lengths) << np.uint64(40)) | (last.astype(np.uint64) << np.uint64(8)) | data
                         keys.append(counted(key))
                     lasts.end(group)
             if sum(len(k) for k, _ in keys) > FLUSH_KEYS:
@@ -377,7 +389,7 @@ def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
                     keys = []
             if n >= FLUSH_TOKENS or len(names) >= FLUSH_WORDS:
                 yield from words_out()
-                names, held, n = Numbers(), ([], []), 0
+                names, held, n = states.names(), ([], []), 0
         if n:
             yield from words_out()
         if keys:
@@ -392,12 +404,14 @@ class Carried:
     def __init__(self):
         self.words, self.bytes = None, b"    "
 
-    def __call__(self, group: list[list[bytes]], flat: list[bytes], states: States) -> np.ndarray:
-        get = states.index.get
-        number = np.array([get(w, -1) for w in flat], np.int64)
+    def __call__(self, group: list[list[bytes]], names: Numbers, states: States) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens' words, and the states before them. names: with the frequent words
+        first, as ``states.names()`` begins it."""
+        n = sum(map(len, group))
+        ids = np.fromiter(map(names.__getitem__, chain.from_iterable(group)), np.int64, n)
         starts = np.cumsum([0, *(len(t) for t in group[:-1])])
-        state, self.words = states.before(number, starts, self.words)
-        return state
+        state, self.words = states.before(np.where(ids < len(states.index), ids, -1), starts, self.words)
+        return ids, state
 
     def end(self, group: list[list[bytes]]) -> None:
         self.bytes = (self.bytes + b" ".join(group[-1][-5:]) + b" ")[-4:]
@@ -590,42 +604,42 @@ class Readers:
     """The weights and refinements of texts that are read side by side."""
 
     def __init__(self, n: int):
-        self.weight = np.tile(START, (n * GATES, 1))
+        self.weight = np.tile(START[:, None], (1, n * GATES))
         self.seen = np.zeros(n * GATES, np.float32)
         self.shift = np.zeros(n * CELLS, np.float32)
         self.mass = np.full(n * CELLS, CELL_PRIOR, np.float32)
         self.cost = np.zeros(n)
         self.read = np.zeros(n, np.int64)
 
-    def window(self, x: np.ndarray, sign: np.ndarray, lengths: np.ndarray) -> None:
-        """Reads decisions: x (context, decision) stretched predictions, sign 1 or -1; lengths: of
-        the runs of each (text, gate), in order. Then takes the steps."""
-        own = np.flatnonzero(lengths)
-        lengths = lengths[own]
+    def window(self, x: list[np.ndarray], sign: np.ndarray, gate: np.ndarray, text: np.ndarray, lengths: np.ndarray) -> None:
+        """Reads decisions: x: for each context the stretched predictions; sign 1 or -1; gate; text:
+        numbers of the texts in order, lengths: decisions of each. Then takes the steps."""
         starts = np.cumsum(lengths) - lengths
-        text = own // GATES
-        w = self.weight[own]
-        z = np.repeat(w[:, 0], lengths) * x[0]
+        first, n = int(text[0]), int(text[-1]) + 1 - int(text[0])
+        own = np.repeat(text - first, lengths)
+        vector = own * GATES + gate
+        part = slice(first * GATES, (first + n) * GATES)
+        weight = self.weight[:, part]
+        z = weight[0].take(vector, mode="clip") * x[0]
         for k in range(1, K):
-            z += np.repeat(w[:, k], lengths) * x[k]
+            z += weight[k].take(vector, mode="clip") * x[k]
         cell = np.clip(z + np.float32(CELLS // 2), 0, CELLS - 1).astype(np.int64)
-        cell += np.repeat(text * CELLS, lengths)
-        z += self.shift[cell]
+        cell += own * CELLS
+        cells = slice(first * CELLS, (first + n) * CELLS)
+        z += self.shift[cells].take(cell, mode="clip")
         np.clip(z, -30, 30, out=z)
         z *= -sign
         np.exp(z, out=z)  # odds against what came
-        np.add.at(self.cost, text, np.add.reduceat(np.log1p(z), starts, dtype=np.float64))
+        self.cost[text] += np.add.reduceat(np.log1p(z), starts, dtype=np.float64)
         away = z / (1 + z)
         bend = away / (1 + z)
         away *= sign
-        self.seen[own] += lengths
-        step = RATE / (PRIOR + CURVE * self.seen[own])
+        self.seen[part] += np.bincount(vector, minlength=n * GATES)
+        step = RATE / (PRIOR + CURVE * self.seen[part])
         for k in range(K):
-            self.weight[own, k] += (step * np.add.reduceat(away * x[k], starts)).astype(np.float32)
-        low, high = int(text[0]) * CELLS, (int(text[-1]) + 1) * CELLS
-        cell -= low
-        self.mass[low:high] += np.bincount(cell, bend, high - low).astype(np.float32)
-        self.shift[low:high] += (RATE * np.bincount(cell, away, high - low) / self.mass[low:high]).astype(np.float32)
+            weight[k] += (step * np.bincount(vector, away * x[k], n * GATES)).astype(np.float32)
+        self.mass[cells] += np.bincount(cell, bend, n * CELLS).astype(np.float32)
+        self.shift[cells] += (RATE * np.bincount(cell, away, n * CELLS) / self.mass[cells]).astype(np.float32)
 
 
 def borders(start: int, end: int) -> list[int]:
@@ -638,38 +652,35 @@ def borders(start: int, end: int) -> list[int]:
     return [start, *out[1:]]
 
 
-def read(readers: Readers, tree: Tree, table_of: np.ndarray, data: np.ndarray, at_slot: list[np.ndarray], words: np.ndarray, begin: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> None:
+def read(readers: Readers, tree: Tree, table_of: np.ndarray, data: np.ndarray, at_slot: list[np.ndarray], words: np.ndarray, begin: np.ndarray, size: np.ndarray, ends: np.ndarray) -> None:
     """Reads texts side by side. data: their bytes; at_slot: places in the tables for each byte;
-    words: state bytes of words, of which each token's are ``size`` from ``begin``; sizes: decisions
-    of each text."""
+    words: state bytes of words, of which each token's are ``size`` from ``begin``; ends: of each
+    text's tokens."""
     byte, path = tree.decisions(data)
-    spelled = squeeze(begin, size)
+    bit = tree.bit8[path]
+    word = words[squeeze(begin, size)]
+    # Decisions that the word so far has settled are priced by its counts alone.
+    sure = SURE[word]
+    texts = np.concatenate([[0], np.cumsum(size)[ends - 1]])
+    readers.cost += np.add.reduceat(np.where(sure, SURE_COST[bit, word], np.float32(0)), texts[:-1], dtype=np.float64)
+    own = np.flatnonzero(~sure)
+    upto = np.searchsorted(own, texts)
+    sizes = np.diff(upto)
+    byte, bit, node = byte[own], bit[own], tree.node32[path[own]]
+    states = np.empty((K, len(own)), np.uint8)
+    for k in range(K - 1):
+        np.take(table_of, at_slot[k].take(byte) ^ node, out=states[k], mode="clip")
+    states[K - 1] = word[own]
+    del byte, path, node, own, word, sure
     done = int(readers.read[0])
     edge = np.array(borders(done, done + int(sizes.max()))) - done
-    # Runs of (window, text), then within them by gate.
-    lows, highs = np.minimum(edge[:-1, None], sizes), np.minimum(edge[1:, None], sizes)
-    runs = (highs - lows).ravel()
-    order = squeeze((lows + (np.cumsum(sizes) - sizes)).ravel(), runs)
-    gate = GATE[words[spelled[order]]]
-    run = np.repeat(np.arange(len(runs)), runs)
-    cells = np.bincount(run * GATES + gate, minlength=len(runs) * GATES)
-    to = np.cumsum(cells) - cells
-    place = np.empty(len(order), np.int64)
-    for g in range(GATES):
-        own = np.flatnonzero(gate == g)
-        place[squeeze(to[g::GATES], cells[g::GATES])] = order[own]
-    del order, gate, run
-    cells = cells.reshape(len(edge) - 1, -1)
-    ends = np.concatenate([[0], np.cumsum(cells.sum(1))])
-    for i in range(len(edge) - 1):
-        own = place[ends[i] : ends[i + 1]]
-        x = np.empty((K, len(own)), np.float32)
-        b, p = byte[own], path[own]
-        node = tree.node[p]
-        for k in range(K - 1):
-            np.take(STRETCH, table_of[at_slot[k][b] ^ node], out=x[k], mode="clip")
-        np.take(STRETCH, words[spelled[own]], out=x[K - 1], mode="clip")
-        readers.window(x, (2 * tree.bit[p] - 1).astype(np.float32), cells[i])
+    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        text = np.flatnonzero(sizes > low)
+        lengths = np.minimum(sizes[text], high) - low
+        at = squeeze(upto[text] + low, lengths)
+        own = states.take(at, axis=1)
+        x = [STRETCH.take(own[k], mode="clip") for k in range(K)]
+        readers.window(x, SIGN.take(bit.take(at)), GATE.take(own[K - 1]), text, lengths)
     readers.read += sizes
 
 
@@ -678,39 +689,40 @@ class Block:
 
     def __init__(self, model, keys: np.ndarray, counts: np.ndarray, begin: np.ndarray, states: np.ndarray):
         self.states, self.tree, self.table, self.total, self.distinct = model
+        states_of = self.states
         order = np.argsort(keys)
         self.keys, self.counts, self.begin, self.words = keys[order], counts[order], begin[order], states
-        self.names = Numbers()
-        self.found = np.full((1024, CLASSES + 1), -1, np.int64)
+        self.names = states_of.names()
+        self.known = 0
+        self.found = np.full((1024, CLASSES + 1), -1, np.int32)
         self.size = np.zeros(1024, np.int64)
 
-    def grow(self, of: list[bytes], since: int) -> None:
+    def grow(self, new: list[bytes]) -> None:
         """Room for new words, and their decisions."""
-        if len(of) > len(self.size):
-            more = max(len(of), 2 * len(self.size)) - len(self.size)
-            self.found = np.concatenate([self.found, np.full((more, CLASSES + 1), -1, np.int64)])
+        since, self.known = self.known, self.known + len(new)
+        if self.known > len(self.size):
+            more = max(self.known, 2 * len(self.size)) - len(self.size)
+            self.found = np.concatenate([self.found, np.full((more, CLASSES + 1), -1, np.int32)])
             self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
-        new = of[since:]
-        if new:
-            data = np.frombuffer(b" ".join(new) + b" ", np.uint8)
-            lengths = np.fromiter(map(len, new), np.int64, len(new)) + 1
-            self.size[since : len(of)] = np.add.reduceat(self.tree.length[data], np.cumsum(lengths) - lengths)
-
-    def places(self, flat: list[bytes], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens' words, and the place of each (word, state) in the table."""
-        since = len(self.names)
-        ids = np.fromiter(map(self.names.__getitem__, flat), np.int64, len(flat))
-        if len(self.names) > since:
-            self.grow(list(self.names), since)
+        data = np.frombuffer(b" ".join(new) + b" ", np.uint8)
+        ends = np.flatnonzero(data == 32) + 1
+        self.size[since : self.known] = np.add.reduceat(self.tree.length[data], np.concatenate([[0], ends[:-1]]))
+
+    def places(self, group: list[list[bytes]], carried: Carried) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the tokens' words, the states, and the place of each (word, state) in the table."""
+        ids, state = carried(group, self.names, self.states)
+        if len(self.names) > self.known:
+            self.grow(list(islice(self.names, self.known, None)))
         at = self.found[ids, state]
         new = np.flatnonzero(at < 0)
         if len(new):
-            _, first = np.unique(ids[new] * 8 + state[new], return_index=True)
+            code, first = np.unique(ids[new] * 8 + state[new], return_index=True)
             first = new[first]
+            flat = list(chain.from_iterable(group))
             key = keys_of([flat[i] for i in first.tolist()], state[first])
             self.found[ids[first], state[first]] = np.searchsorted(self.keys, key)
             at = self.found[ids, state]
-        return ids, at
+        return ids, state, at
 
     def score(self, texts: list) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
@@ -731,17 +743,14 @@ class Block:
             if carried is not before:
                 give()
                 readers, sums, before = Readers(len(group)), np.zeros((4, len(group))), carried
-            flat = [w for t in group for w in t]
-            state = carried(group, flat, self.states)
-            _, at = self.places(flat, state)
+            ids, state, at = self.places(group, carried)
             data, lengths, last = spans(group, carried.bytes)
-            size = self.size[_]
-            starts = np.cumsum([0, *(len(t) for t in group[:-1])])
+            ends = np.cumsum([len(t) for t in group])
             # An empty piece of a long text has no tokens but the text's end.
             c = self.counts[at]
-            for row, v in zip(sums, (np.ones(len(flat)), c > 0, np.log10((c + 0.5) / mass), lengths), strict=True):
-                row += np.add.reduceat(np.asarray(v, np.float64), starts)
-            read(readers, self.tree, self.table, data, slots(last, np.repeat(state, lengths)), self.words, self.begin[at], size, np.add.reduceat(size, starts))
+            for row, v in zip(sums, (np.ones(len(ids)), c > 0, np.log10((c + 0.5) / mass), lengths), strict=True):
+                row += np.add.reduceat(np.asarray(v, np.float64), np.concatenate([[0], ends[:-1]]))
+            read(readers, self.tree, self.table, data, slots(last, np.repeat(state, lengths)), self.words, self.begin[at], self.size[ids], ends)
             carried.end(group)
         give()
         return out
@@ -770,29 +779,29 @@ def wanted_pairs(states: States):
     """block, key of the distinct (word, state) of each block, as far as a task sees them."""
 
     def run(slices):
-        held: dict[int, set] = {}
-        n = 0
+        names, held, n = states.names(), {}, 0
 
         def out():
-            return {"block": np.repeat(np.array(list(held), np.int32), [len(x) for x in held.values()]), "key": np.concatenate([keys_of(*map(list, zip(*x, strict=True))) for x in held.values()]).view(np.int64)}
+            of = list(names)
+            for block, codes in held.items():
+                code = np.unique(np.concatenate(codes))
+                yield {"block": np.full(len(code), block, np.int32), "key": keys_of([of[i] for i in (code >> 3).tolist()], code & 7).view(np.int64)}
 
         for s in slices:
             texts: dict[int, list] = {}
             for block, text in zip(s["block"], s["text"], strict=True):
                 texts.setdefault(block, []).append(text)
             for block, own in texts.items():
-                pairs = held.setdefault(block, set())
-                n -= len(pairs)
                 for group, carried in batches(own):
-                    flat = [w for t in group for w in t]
-                    pairs.update(zip(flat, carried(group, flat, states).tolist(), strict=True))
-                n += len(pairs)
-            if n >= FLUSH_WORDS:
-                yield out()
-                held.clear()
-                n = 0
+                    ids, before = carried(group, names, states)
+                    code = np.unique((ids << 3) | before)
+                    held.setdefault(block, []).append(code)
+                    n += len(code)
+            if n >= FLUSH_TOKENS or len(names) >= FLUSH_WORDS:
+                yield from out()
+                names, held, n = states.names(), {}, 0
         if held:
-            yield out()
+            yield from out()
 
     return run
 

@@ -246,7 +246,13 @@ def mixed_by_hand(rows):
     for tokens, _ in read:
         weight = [[float(x) for x in contextmix.START] for _ in range(4)]
         used, shift, mass = [0] * 4, [0.0] * contextmix.CELLS, [contextmix.CELL_PRIOR] * contextmix.CELLS
-        every, at, cost = list(decisions(tokens)), 0, 0.0
+        every, at, cost = [], 0, 0.0
+        for keys, bit, state in decisions(tokens):
+            a, b = (step(seen[keys[3], i]) for i in (0, 1))
+            if min(a, b) == 0 and max(a, b) >= contextmix.SETTLED:
+                cost += math.log(((b if bit else a) + 0.4) / (a + b + 0.8))
+            else:
+                every.append((keys, bit, state))
         while at < len(every):
             window = every[at : at + min(max(contextmix.WINDOW, at // 8), contextmix.WINDOW_MOST)]
             at += len(window)
@@ -314,11 +320,11 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     # What is before each byte, and the states, are the same in pieces.
     states = contextmix.States([b"the", b"der"], contextmix.np.log(contextmix.np.array([[0.9, 0.1], [0.2, 0.8]])))
     own, carried = contextmix.Carried(), contextmix.Carried()
-    at_once = own([whole[0]], whole[0], states)
+    at_once = own([whole[0]], states.names(), states)[1]
     before = contextmix.spans([whole[0]])[2]
     got, after = [], []
     for p in pieces:
-        got += carried([p], p, states).tolist()
+        got += carried([p], states.names(), states)[1].tolist()
         after += contextmix.spans([p], carried.bytes)[2].tolist()
         carried.end([p])
     assert got == at_once.tolist() and after == before.tolist()
