@@ -5,19 +5,21 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .features import robust_sigma
+from .ranks import attach, quantiles, running
 
 
 def residual_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     """Eleven figures of the residuals, by group; null residuals are left out first."""
     r, a = F.col("resid"), F.abs("resid")
-    out = {"bias": F.avg(r), "mae": F.avg(a), "rmse": F.sqrt(F.avg(r * r))}
-    out |= {n: F.percentile(a, F.lit(q)) for n, q in (("median_abs", 0.5), ("p90_abs", 0.9), ("p95_abs", 0.95), ("p99_abs", 0.99))}
-    out |= {f"over_{k}": F.avg((a > k).cast("int")) for k in (1, 2, 3)}
-    return df.where(r.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *(F.round(c, 6).alias(n) for n, c in out.items()))
+    out = {"bias": F.avg(r), "mae": F.avg(a), "rmse": F.sqrt(F.avg(r * r))} | {f"over_{k}": F.avg((a > k).cast("int")) for k in (1, 2, 3)}
+    df = df.where(r.isNotNull())
+    at = {"median_abs": 0.5, "p90_abs": 0.9, "p95_abs": 0.95, "p99_abs": 0.99}
+    q = quantiles(df.select(*by, a.alias("_abs")), by, "_abs", at)
+    g = attach(df.groupBy(*by).agg(F.count("*").alias("n"), *(F.round(c, 6).alias(n) for n, c in out.items())), q.drop("n"), by)
+    return g.withColumns({n: F.round(n, 6) for n in at})
 
 
 def with_sigma(df: DataFrame, levels: list[list[str]], least: int = 200, floor: float = 0.2) -> DataFrame:
@@ -49,14 +51,13 @@ def sigma_sql(name: str, cols: list[str], floor: float = 0.2) -> str:
 
 def matched_frontier(df: DataFrame, flags: list[str]) -> DataFrame:
     """Per flag: the score threshold that keeps, on valid rows, the share that the flag keeps, and
-    what it keeps of the test rows. Counts per distinct score come first, so the window runs over
-    scores and not over rows; the quantile is interpolated."""
+    what it keeps of the test rows. The quantile is exact and interpolated (ranks.running)."""
     valid = df.where("split = 'valid'")
     share = valid.agg(*(F.avg((F.coalesce(F.col(c), F.lit(0)) == 0).cast("int")).alias(c) for c in flags))
     share = share.unpivot([], flags, "level", "target")
-    g = valid.where("p IS NOT NULL").groupBy("p").agg(F.count("*").alias("n"))
-    g = g.withColumns({"upto": F.sum("n").over(W.orderBy("p")), "all": F.sum("n").over(W.partitionBy())})
-    at = g.join(F.broadcast(share)).withColumn("pos", F.col("target") * (F.col("all") - 1))  # a row a flag
+    g = valid.where("p IS NOT NULL").groupBy(F.lit(1).alias("_one"), "p").agg(F.count("*").alias("n"))
+    all_rows = g.agg(F.sum("n").alias("all"))  # one row
+    at = running(g, ["_one"], "p", {"upto": "n"}).join(F.broadcast(all_rows)).join(F.broadcast(share)).withColumn("pos", F.col("target") * (F.col("all") - 1))  # a row a flag
     value = lambda k: F.min(F.when(F.col("upto") > k, F.col("p")))
     cut = at.groupBy("level", "target", "pos").agg(value(F.floor("pos")).alias("a"), value(F.ceil("pos")).alias("b"))
     cut = cut.select("level", "target", F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos")), 6).alias("threshold"))

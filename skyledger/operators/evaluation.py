@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import attach, quantiles, running
+
 
 def weak_label(strict: str, lenient: str):
     s, n = F.col(strict), F.col(lenient)
@@ -24,12 +26,11 @@ def ece(df: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def curve(df: DataFrame) -> DataFrame:
-    """Cumulative counts by descending score: counts per distinct score first, so that the window
-    runs over scores and not over rows."""
+    """Cumulative counts by descending score, over counts per distinct score; the running sums are
+    dealt out over the cluster (ranks.running)."""
     g = df.groupBy("split", "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = W.partitionBy("split").orderBy(F.desc("p"))
-    every = W.partitionBy("split")
-    return g.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "all_pos": F.sum("pos").over(every), "all": F.sum("n").over(every)})
+    total = g.groupBy("split").agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all"))
+    return attach(running(g, ["split"], "p", {"tp": "pos", "seen": "n"}, descending=True), total, ["split"])
 
 
 def auroc(df: DataFrame) -> DataFrame:
@@ -44,10 +45,22 @@ def auprc(df: DataFrame) -> DataFrame:
 
 
 def best_f1(df: DataFrame) -> DataFrame:
+    """The score threshold with the best F1, by split."""
     c = curve(df).withColumn("f1", F.round(2 * F.col("tp") / (F.col("seen") + F.col("all_pos")), 9))
     return c.groupBy("split").agg(F.max_by("p", F.struct(F.col("f1"), -F.col("p"))).alias("threshold"), F.round(F.max("f1"), 6).alias("f1"))
 
 
+def f1_on_validation(df: DataFrame) -> DataFrame:
+    """The threshold fitted on valid rows only, and precision, recall and F1 that it gives in each
+    split. Denominators are 1 at least."""
+    fit = best_f1(df.where("split = 'valid'")).select("threshold")  # one row
+    hit, y = F.col("p") >= F.col("threshold"), F.col("y") == 1
+    g = df.join(F.broadcast(fit)).groupBy("split", "threshold").agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"))
+    one = F.lit(1)
+    precision, recall = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), one), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), one)
+    return g.select("split", "threshold", "tp", "fp", "fn", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(2 * precision * recall / (precision + recall + 1e-12), 6).alias("f1"))
+
+
 def confusion(df: DataFrame, threshold: float) -> DataFrame:
     hit, y = F.col("p") >= threshold, F.col("y") == 1
     return df.groupBy("split").agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"))
@@ -55,8 +68,17 @@ def confusion(df: DataFrame, threshold: float) -> DataFrame:
 
 def retention(df: DataFrame, shares: list[float]) -> DataFrame:
     """Residuals of what is kept under the score's quantiles, by split."""
-    cut = df.groupBy("split").agg(F.percentile("p", F.array(*map(F.lit, shares))).alias("_q")).select("split", F.posexplode("_q").alias("step", "cutoff")).withColumn("cutoff", F.round("cutoff", 6))
-    return df.join(F.broadcast(cut), "split").where("p <= cutoff").groupBy("split", "step").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("resid")), 6).alias("mae"), F.round(F.sqrt(F.avg(F.col("resid") * F.col("resid"))), 6).alias("rmse"), F.round(F.avg("resid"), 6).alias("bias"))
+    cut = quantiles(df, ["split"], "p", {f"q{i}": q for i, q in enumerate(shares)})
+    cut = cut.select("split", F.posexplode(F.array(*(F.col(f"q{i}") for i in range(len(shares))))).alias("step", "cutoff")).withColumn("cutoff", F.round("cutoff", 6))
+    # A row a split and share. Each row goes to the least step that keeps it; steps are then added up.
+    first = attach(df, cut.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("step", "cutoff"))).alias("_cuts")), ["split"])
+    first = first.withColumn("_from", F.size(F.filter("_cuts", lambda x: x["cutoff"] < F.col("p")))).where(F.col("_from") < len(shares))
+    a = F.abs("resid")
+    part = first.groupBy("split", F.col("_from").alias("step")).agg(F.count("*").alias("n"), F.count("resid").alias("_m"), F.sum(a).alias("_a"), F.sum(F.col("resid") * F.col("resid")).alias("_q"), F.sum("resid").alias("_s"))
+    upto = W.partitionBy("split").orderBy("step")  # a row a step
+    every = cut.select("split", "step").join(part, ["split", "step"], "left").withColumns({c: F.sum(c).over(upto) for c in ("n", "_m", "_a", "_q", "_s")})
+    mean = lambda c: F.try_divide(F.col(c), F.col("_m"))
+    return every.where("n > 0").select("split", "step", "n", F.round(mean("_a"), 6).alias("mae"), F.round(F.sqrt(mean("_q")), 6).alias("rmse"), F.round(mean("_s"), 6).alias("bias"))
 
 
 def station_bias(df: DataFrame, least: int = 24) -> DataFrame:
@@ -100,10 +122,11 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def dominance(df: DataFrame, tops: list[int]) -> DataFrame:
-    """Share of all large residuals that the k most affected stations hold."""
-    g = df.groupBy("station_id").agg(F.sum((F.abs("resid") > 2).cast("int")).alias("c"))
-    g = g.withColumns({"_r": F.row_number().over(W.orderBy(F.desc("c"), "station_id")), "_all": F.sum("c").over(W.partitionBy())})
-    return g.withColumn("k", F.explode(F.array(*map(F.lit, tops)))).where("_r <= k").groupBy("k").agg(F.sum("c").alias("top"), F.round(F.sum("c") / F.max("_all"), 6).alias("share"))
+    """Share of the sum of absolute residuals that the k stations with the largest contribution hold.
+    A contribution is MAE times n: the mean is over residuals, n counts all rows."""
+    g = df.groupBy("station_id").agg((F.avg(F.abs("resid")) * F.count("*")).alias("c"))
+    g = g.withColumns({"_r": F.row_number().over(W.orderBy(F.desc_nulls_last(F.round("c", 6)), "station_id")), "_all": F.sum("c").over(W.partitionBy())})
+    return g.withColumn("k", F.explode(F.array(*map(F.lit, tops)))).where("_r <= k").groupBy("k").agg(F.round(F.sum("c"), 4).alias("top"), F.round(F.sum("c") / F.max("_all"), 6).alias("share"))
 
 
 def bootstrap(df: DataFrame, draws: int = 500, seed: str = "2026") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .qc import KEY, series
+from .ranks import attach, quantiles
 
 EARTH_KM = 6371.0088
 
@@ -70,14 +73,47 @@ def haversine(lat1, lon1, lat2, lon2):
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+#: Sides of the grid's cells: the radius, doubled so often.
+LEVELS = 13
+
+
+def _cells(df: DataFrame, km: float, widest: float, spread: int) -> DataFrame:
+    """A row per level and cell of the grid, or per cell around it."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    side = F.lit(km / 110.0) * F.pow(F.lit(2.0), F.col("level"))
+    df = df.withColumn("level", level).withColumns({"_y": F.floor(F.col("lat") / side), "_x": F.floor(F.col("long") * F.lit(widest) / side)})
+    near = F.sequence(F.lit(-spread), F.lit(spread))
+    return df.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumns({"_y": F.col("_y") + F.col("_dy"), "_x": F.col("_x") + F.col("_dx")}).drop("_dy", "_dx")
+
+
 def neighbours(targets: DataFrame, sources: DataFrame, k: int = 5, radius_km: float = 5) -> DataFrame:
     """Pairs of target and source: the k nearest in the radius, or the k nearest if none is in it.
-    Stations are a dimension of thousands; the distance join is over them only."""
-    s = sources.select(F.col("station_id").alias("source_id"), F.col("lat").alias("lat2"), F.col("long").alias("long2"), F.col("elev").alias("elev2"), F.col("lcz").alias("lcz2"))
-    p = targets.join(s, targets["station_id"] != s["source_id"]).withColumn("km", F.round(haversine(F.col("lat"), F.col("long"), F.col("lat2"), F.col("long2")), 6))
+
+    No target meets all sources: stations are put into cells of a grid, and a target meets the cells
+    around its own, which hold all within the radius. For a target without one, the counts of cells
+    tell how coarse a grid must be that the cells around it hold k stations; two levels further up
+    they hold the k nearest. Stations must not lie across the 180th meridian."""
+    s = sources.select(F.col("station_id").alias("source_id"), "lat", "long", F.col("elev").alias("elev2"), F.col("lcz").alias("lcz2")).where("lat IS NOT NULL AND long IS NOT NULL")
+    t = targets.where("lat IS NOT NULL AND long IS NOT NULL")
+    far = t.select("lat").union(s.select("lat")).agg(F.max(F.abs("lat"))).first()[0]
+    # A degree of longitude is shortest where stations are farthest from the equator.
+    widest = max(0.01, math.cos(math.radians(min(89.0, (far or 0.0) + 1))))
+    grid = _cells(s, radius_km, widest, 0).withColumnsRenamed({"lat": "lat2", "long": "long2"})
+    around = _cells(t.select("station_id", "lat", "long", "elev", "lcz"), radius_km, widest, 1)
+
+    def met(rows: DataFrame) -> DataFrame:
+        p = rows.join(grid, ["level", "_y", "_x"]).where(F.col("station_id") != F.col("source_id"))
+        return p.withColumn("km", F.round(haversine(F.col("lat"), F.col("long"), F.col("lat2"), F.col("long2")), 6))
+
+    inside = met(around.where("level = 0")).where(F.col("km") <= radius_km)
+    alone = around.join(inside.select("station_id").distinct(), "station_id", "left_anti")
+    held = grid.groupBy("level", "_y", "_x").agg(F.count("*").alias("_held"))
+    # One more than k, for the target may be a source itself.
+    enough = alone.join(held, ["level", "_y", "_x"]).groupBy("station_id", "level").agg(F.sum("_held").alias("_held"))
+    level = enough.groupBy("station_id").agg(F.least(F.lit(LEVELS), F.coalesce(F.min(F.when(F.col("_held") > k, F.col("level"))) + 2, F.lit(LEVELS))).alias("_level"))
+    outside = met(alone.join(level, "station_id").where("level = _level").drop("_level"))
     own = W.partitionBy("station_id")
-    p = p.withColumns({"rank": F.row_number().over(own.orderBy("km", "source_id")), "n_in": F.count_if(F.col("km") <= radius_km).over(own)})
-    p = p.where((F.col("rank") <= k) & ((F.col("km") <= radius_km) | (F.col("n_in") == 0)))
+    p = inside.unionByName(outside).withColumn("rank", F.row_number().over(own.orderBy("km", "source_id"))).where(F.col("rank") <= k)
     p = p.withColumn("weight", 1 / F.pow(F.greatest("km", F.lit(0.05)), 2))
     return p.select("station_id", "source_id", "rank", "km", F.round(F.col("weight") / F.sum("weight").over(own), 6).alias("weight"), F.round(F.col("elev") - F.col("elev2"), 6).alias("elev_diff"), (F.col("lcz") == F.col("lcz2")).cast("int").alias("same_lcz"))
 
@@ -92,9 +128,9 @@ def local_reference(pairs: DataFrame, obs: DataFrame) -> DataFrame:
 
 def robust_sigma(df: DataFrame, by: list[str], value: str, floor: float = 0.2) -> DataFrame:
     """1.4826 MAD by group; population deviation where it is 0; the floor at least. Groups of null meet."""
-    med = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    med = med.select(*[F.col(c).alias(f"_{c}") for c in by], "_med")
-    on = [df[c].eqNullSafe(med[f"_{c}"]) for c in by]
-    g = df.join(med, on).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"), F.stddev_pop(value).alias("_sd"), F.count(value).alias("n"))
+    med = quantiles(df, by, value, {"_med": 0.5}).drop("n")
+    away = attach(df, med, by).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_away"))
+    mad = quantiles(away, by, "_away", {"_mad": 0.5}).drop("n")
+    g = attach(df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd"), F.count(value).alias("n")), mad, by)
     mad = 1.4826 * F.col("_mad")
     return g.select(*by, "n", F.round(F.greatest(F.when(mad > 0, mad).otherwise(F.col("_sd")), F.lit(floor)), 6).alias("sigma"))

@@ -8,19 +8,12 @@ from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import qc
 from ..sources import observations, scored, stations
+from .stand_ins import DAY, META, OBS, SCORED, S
 
-OBS = """obs AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS date, user_id % 10 AS station_id,
-  CASE WHEN user_id % 3 = 0 THEN 'ows' ELSE 'cws' END AS network, round(avg(value), 4) AS temp FROM events GROUP BY 1, 2, 3)"""
-META = """meta AS (SELECT s_suppkey AS station_id, 47 + (s_suppkey * 7919 % 1000) / 4000.0::DOUBLE AS lat, 8 + (s_suppkey * 104729 % 1000) / 4000.0::DOUBLE AS long,
-  CAST(400 + s_suppkey * 31 % 300 AS DOUBLE) AS elev, CAST(s_nationkey % 5 AS INTEGER) AS lcz FROM supplier)"""
-SCORED = """scored AS (SELECT l_suppkey AS station_id, l_orderkey AS row_key, l_linenumber AS line, round(l_discount * 8 + l_tax * 2, 4) AS p,
-  (l_extendedprice / l_quantity - 1500) / 100 AS resid, CAST(l_returnflag = 'R' AS INTEGER) AS y,
-  CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_returnflag = 'A' AS INTEGER) END AS lenient, CAST(l_linenumber > 4 AS INTEGER) AS strict,
-  CASE WHEN CAST(l_shipdate AS DATE) < DATE '1999-01-01' THEN 'train' WHEN CAST(l_shipdate AS DATE) < DATE '2000-06-01' THEN 'valid' ELSE 'test' END AS split FROM lineitem)"""
-S = "PARTITION BY station_id, network ORDER BY date"
-DAY = "strftime(date, '%Y-%m-%d %H:%M:%S') AS date"
 LEVELS = {"strict": 0.25, "lenient": 0.70}
-SHARES = [0.5, 0.8, 0.9, 1.0]
+#: Twenty fractions from one half to 0.99.
+SHARES = [round(0.5 + 0.49 * i / 19, 3) for i in range(20)]
+TOPS = [5, 10, 25, 50, 100]
 
 
 def _stamp(df, *cols):
@@ -173,7 +166,7 @@ SELECT station_id, network, gap, strftime(min(date), '%Y-%m-%d %H:%M:%S') AS fir
     ),
     "retention_curve": (
         _scored(lambda s: ev.retention(s, SHARES)),
-        f"WITH {SCORED}, q AS (SELECT split, quantile_cont(p, {SHARES}) AS q FROM scored GROUP BY 1), k AS (SELECT split, CAST(i - 1 AS INTEGER) AS step, round(q[i], 6) AS cutoff FROM q, unnest([1, 2, 3, 4]) AS t(i)) SELECT s.split, step, count(*) AS n, round(avg(abs(resid)), 6) AS mae, round(sqrt(avg(resid * resid)), 6) AS rmse, round(avg(resid), 6) AS bias FROM scored s JOIN k ON s.split = k.split AND p <= cutoff GROUP BY 1, 2",
+        f"WITH {SCORED}, q AS (SELECT split, quantile_cont(p, {SHARES}) AS q FROM scored GROUP BY 1), k AS (SELECT split, CAST(i - 1 AS INTEGER) AS step, round(q[i], 6) AS cutoff FROM q, unnest({list(range(1, 21))}) AS t(i)) SELECT s.split, step, count(*) AS n, round(avg(abs(resid)), 6) AS mae, round(sqrt(avg(resid * resid)), 6) AS rmse, round(avg(resid), 6) AS bias FROM scored s JOIN k ON s.split = k.split AND p <= cutoff GROUP BY 1, 2",
     ),
     "station_bias": (
         _scored(ev.station_bias),
@@ -186,8 +179,9 @@ SELECT station_id, network, gap, strftime(min(date), '%Y-%m-%d %H:%M:%S') AS fir
     ),
     "qc_crosstab": (_scored(lambda s: ev.crosstab(_classified(s), "category", "lenient")), f"WITH {SCORED}, c AS (SELECT {_CAT} AS category, lenient FROM scored WHERE lenient IS NOT NULL), g AS (SELECT category, lenient, count(*) AS n FROM c GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY category), 6) AS share FROM g"),
     "dominance_topk": (
-        _scored(lambda s: ev.dominance(s, [5, 10, 25])),
-        f"WITH {SCORED}, g AS (SELECT station_id, sum(CAST(abs(resid) > 2 AS INTEGER)) AS c FROM scored GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY c DESC, station_id) AS r, sum(c) OVER () AS total FROM g) SELECT CAST(k AS INTEGER) AS k, CAST(sum(c) AS BIGINT) AS top, round(sum(c) / max(total), 6) AS share FROM r JOIN unnest([5, 10, 25]) AS t(k) ON r.r <= k GROUP BY 1",
+        _scored(lambda s: ev.dominance(s, TOPS)),
+        f"""WITH {SCORED}, g AS (SELECT station_id, avg(abs(resid)) * count(*) AS c FROM scored GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY round(c, 6) DESC NULLS LAST, station_id) AS r, sum(c) OVER () AS total FROM g)
+SELECT CAST(k AS INTEGER) AS k, round(sum(c), 4) AS top, round(sum(c) / max(total), 6) AS share FROM r JOIN unnest({TOPS}) AS t(k) ON r <= k GROUP BY 1""",
     ),
     "station_bootstrap": (
         _scored(lambda s: ev.bootstrap(s, draws=50)),

@@ -11,10 +11,8 @@ from ..operators import models
 from ..operators import qc
 from ..operators import timeline as tl
 from ..sources import observations, scored, stations, table
+from .stand_ins import DAY, OBS, RAW, SCORED, S
 
-OBS = """obs AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS date, user_id % 10 AS station_id,
-  CASE WHEN user_id % 3 = 0 THEN 'ows' ELSE 'cws' END AS network, round(avg(value), 4) AS temp FROM events GROUP BY 1, 2, 3)"""
-RAW = "raw AS (SELECT CAST(ts AS TIMESTAMP) AS date, user_id % 10 AS station_id, CASE WHEN user_id % 3 = 0 THEN 'ows' ELSE 'cws' END AS network, value AS temp FROM events)"
 EVIDENCE = """evidence AS (SELECT l_suppkey AS station_id, l_orderkey AS row_key, l_linenumber AS line, l_suppkey % 12 AS km, CAST(l_suppkey % 5 - 2 AS DOUBLE) AS bias,
   (l_extendedprice / l_quantity - 1500) / 100 AS resid, CASE WHEN l_linenumber = 7 THEN NULL ELSE 20 + (l_extendedprice / l_quantity - 1500) / 100 END AS temp,
   CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE least(round(l_discount * 8 + l_tax * 2, 4), 1) END AS p_model, 1 - exp(-abs((l_extendedprice / l_quantity - 1500) / 100) / 10) AS p_resid,
@@ -32,11 +30,6 @@ fused AS (SELECT *, CASE WHEN p_model IS NULL OR temp IS NULL THEN '{fu.MISSING}
   WHEN p_any >= 0.3 AND explained >= 0.55 AND rad < 0.6 AND env < 0.55 THEN '{fu.SYSTEMIC}' WHEN err AND qc_any THEN '{fu.CONFIRMED}' WHEN err THEN '{fu.MISSED}'
   WHEN p_any >= 0.15 AND (explained >= 0.35 OR micro >= 0.35 OR rad >= 0.4) AND p_reject < 0.7 THEN '{fu.CAUTION}' WHEN p_reject <= 0.3 AND issue <= 0.3 AND p_qc < 0.2 THEN '{fu.VALID}'
   WHEN unc >= 0.8 AND p_any >= 0.3 THEN '{fu.LIMITED}' ELSE '{fu.REVIEW}' END AS category FROM s4)"""
-SCORED = """scored AS (SELECT l_suppkey AS station_id, l_orderkey AS row_key, round(l_discount * 8 + l_tax * 2, 4) AS p, (l_extendedprice / l_quantity - 1500) / 100 AS resid,
-  CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_returnflag = 'A' AS INTEGER) END AS lenient, CAST(l_linenumber > 4 AS INTEGER) AS strict, l_linenumber AS line,
-  CASE WHEN CAST(l_shipdate AS DATE) < DATE '1999-01-01' THEN 'train' WHEN CAST(l_shipdate AS DATE) < DATE '2000-06-01' THEN 'valid' ELSE 'test' END AS split FROM lineitem)"""
-S = "PARTITION BY station_id, network ORDER BY date"
-DAY = "strftime(date, '%Y-%m-%d %H:%M:%S') AS date"
 HALF = f"""{RAW}, g AS (SELECT station_id, network, to_timestamp(floor((epoch(date) - 1800) / 1800) * 1800) AT TIME ZONE 'UTC' AS date, avg(temp) AS temp FROM raw GROUP BY ALL),
 a AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 30 MINUTE)) AS date FROM g), f AS (SELECT a.date, k.station_id, k.network, g.temp FROM a CROSS JOIN (SELECT DISTINCT station_id, network FROM g) k
   LEFT JOIN g ON g.date = a.date AND g.station_id = k.station_id AND g.network = k.network),

@@ -1,4 +1,4 @@
-"""Scans of the given tables and of station panels, and sinks."""
+"""Scans of the given tables, and the station data that stands in from them. Files: panels.py."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,20 +8,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def panel(spark, path: str, sep: str = ",") -> DataFrame:
-    """A wide panel (date, a column a station) as long observations; NaN and empty become null."""
-    wide = spark.read.csv(path, header=True, sep=sep, inferSchema=True)
-    first, *ids = wide.columns
-    wide = wide.toDF(first.lstrip("﻿").strip().lower(), *ids)
-    out = wide.select(F.to_timestamp("date").alias("date"), *ids).unpivot("date", ids, "station_id", "temp_raw")
-    value = F.col("temp_raw").cast("double")
-    return out.select("date", "station_id", F.when(~F.isnan(value), value).alias("temp_raw"))
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").csv(path, header=True)
-
-
 def observations(spark, sf_dir: str) -> DataFrame:
     """Hourly station observations that stand in for station panels: date, station_id, network, temp."""
     e = table(spark, sf_dir, "events")
@@ -42,8 +28,12 @@ def stations(spark, sf_dir: str) -> DataFrame:
 
 def scored(spark, sf_dir: str) -> DataFrame:
     """Scored rows that stand in from line items: station, risk score p, residual, flags, split."""
+    return table(spark, sf_dir, "lineitem").select(*_scored_columns())
+
+
+def _scored_columns() -> list:
     d = F.col("l_shipdate").cast("date")
-    return table(spark, sf_dir, "lineitem").select(
+    return [
         F.col("l_suppkey").alias("station_id"),
         F.col("l_orderkey").alias("row_key"),
         F.col("l_linenumber").alias("line"),
@@ -53,4 +43,28 @@ def scored(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 4 == 0, None).otherwise((F.col("l_returnflag") == "A").cast("int")).alias("lenient"),
         (F.col("l_linenumber") > 4).cast("int").alias("strict"),
         F.when(d < F.lit("1999-01-01").cast("date"), "train").when(d < F.lit("2000-06-01").cast("date"), "valid").otherwise("test").alias("split"),
+    ]
+
+
+def context(spark, sf_dir: str) -> DataFrame:
+    """Scored rows with surroundings that stand in from the line items' other numbers."""
+    part = lambda c, m: (F.col(c) % m).cast("double")
+    n = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        *_scored_columns(),
+        F.col("l_shipdate").cast("date").alias("day"),
+        F.month("l_shipdate").alias("month"),
+        (F.col("l_quantity") * 20).alias("solar"),
+        F.when(n != 3, F.col("l_tax") * 100).alias("wind"),
+        (n % 2).cast("int").alias("is_day"),
+        part("l_suppkey", 12).alias("km"),
+        (F.col("l_orderkey") % 9).cast("int").alias("n_refs"),
+        F.when(n != 5, F.col("l_discount") * 60).alias("spread"),
+        (part("l_orderkey", 4) / 3).alias("lcz_differs"),
+        (part("l_orderkey", 5) / 4).alias("cover_differs"),
+        part("l_partkey", 300).alias("elev_gap"),
+        part("l_partkey", 25).alias("building_gap"),
+        (part("l_partkey", 17) - 8).alias("lst_diff"),
+        (part("l_partkey", 301) - 150).alias("elev_diff"),
+        (part("l_partkey", 15) / 10 - 0.7).alias("ndvi_diff"),
     )
