@@ -46,6 +46,32 @@ def qn_scale(column: str):
     return F.pandas_udf(scale, "double")(column)
 
 
+def t_quantile(q: float, df: int) -> float:
+    """Quantile of Student's t: the distribution function's integral is a finite sum in the angle
+    atan(t / sqrt(df)), and is inverted by bisection."""
+
+    def inside(t: float) -> float:
+        """Probability of -t..t."""
+        a = np.arctan(t / np.sqrt(df))
+        c = np.cos(a)
+        k = np.arange(1, df // 2 if df % 2 == 0 else (df - 1) // 2)
+        ratios = np.concatenate([[1.0], np.cumprod((2 * k - 1) / (2 * k) if df % 2 == 0 else 2 * k / (2 * k + 1))])
+        if df % 2 == 0:
+            return float(np.sin(a) * (ratios * c ** (2 * np.arange(len(ratios)))).sum())
+        tail = np.sin(a) * (ratios * c ** (2 * np.arange(len(ratios)) + 1)).sum() if df > 1 else 0.0
+        return float(2 / np.pi * (a + tail))
+
+    if q < 0.5:
+        return -t_quantile(1 - q, df)
+    low, high = 0.0, 1.0
+    while inside(high) < 2 * q - 1:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if inside(mid) < 2 * q - 1 else (low, mid)
+    return high
+
+
 def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline through (x, y), x ascending, with not-a-knot ends; through two points a line,
     through three a parabola."""

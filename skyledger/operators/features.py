@@ -73,13 +73,50 @@ def haversine(lat1, lon1, lat2, lon2):
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def geodesic(lat1, lon1, lat2, lon2):
+    """Metres along the WGS-84 ellipsoid by Lambert's formula: exact to a few centimetres over city
+    distances."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b1, b2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q), 2) / F.pow(F.cos(s / 2), 2)
+    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q), 2) / F.nullif(F.pow(F.sin(s / 2), 2), F.lit(0.0))
+    return a * (s - f / 2 * (x + F.coalesce(y, F.lit(0.0))))
+
+
+def near(targets: DataFrame, sources: DataFrame, km: float) -> DataFrame:
+    """Pairs of two stations in neighbouring cells of a grid, which hold all within ``km``, with their
+    heights and geodesic distance in metres, up to ``km``."""
+    s = sources.select(F.col("station_id").alias("source_id"), "lat", "long", F.col("elev").alias("elev2")).where("lat IS NOT NULL AND long IS NOT NULL")
+    t = targets.select("station_id", "lat", "long", "elev").where("lat IS NOT NULL AND long IS NOT NULL")
+    widest = _narrowest(t, s)
+    grid = _cells(s, km, widest, 0, 0).withColumnsRenamed({"lat": "lat2", "long": "long2"})
+    p = _cells(t, km, widest, 1, 0).join(grid, ["level", "_y", "_x"]).where(F.col("station_id") != F.col("source_id"))
+    p = p.withColumn("metres", geodesic(F.col("lat"), F.col("long"), F.col("lat2"), F.col("long2"))).where(F.col("metres") <= km * 1000)
+    return p.select("station_id", "source_id", "elev", "elev2", "metres")
+
+
+def radius_counts(targets: DataFrame, sources: DataFrame, km: float = 2.5) -> DataFrame:
+    """Per target: how many sources are in the radius, and which. Targets without one have 0."""
+    g = near(targets, sources, km).groupBy("station_id").agg(F.count("*").alias("n_near"), F.array_sort(F.collect_list("source_id")).alias("near_ids"))
+    return targets.select("station_id").join(g, "station_id", "left").select("station_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "near_ids")
+
+
+def _narrowest(t: DataFrame, s: DataFrame) -> float:
+    """A degree of longitude is shortest where stations are farthest from the equator: its share there."""
+    far = t.select("lat").union(s.select("lat")).agg(F.max(F.abs("lat"))).first()[0]
+    return max(0.01, math.cos(math.radians(min(89.0, (far or 0.0) + 1))))
+
+
 #: Sides of the grid's cells: the radius, doubled so often.
 LEVELS = 13
 
 
-def _cells(df: DataFrame, km: float, widest: float, spread: int) -> DataFrame:
+def _cells(df: DataFrame, km: float, widest: float, spread: int, levels: int = LEVELS) -> DataFrame:
     """A row per level and cell of the grid, or per cell around it."""
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
     side = F.lit(km / 110.0) * F.pow(F.lit(2.0), F.col("level"))
     df = df.withColumn("level", level).withColumns({"_y": F.floor(F.col("lat") / side), "_x": F.floor(F.col("long") * F.lit(widest) / side)})
     near = F.sequence(F.lit(-spread), F.lit(spread))
@@ -95,9 +132,7 @@ def neighbours(targets: DataFrame, sources: DataFrame, k: int = 5, radius_km: fl
     they hold the k nearest. Stations must not lie across the 180th meridian."""
     s = sources.select(F.col("station_id").alias("source_id"), "lat", "long", F.col("elev").alias("elev2"), F.col("lcz").alias("lcz2")).where("lat IS NOT NULL AND long IS NOT NULL")
     t = targets.where("lat IS NOT NULL AND long IS NOT NULL")
-    far = t.select("lat").union(s.select("lat")).agg(F.max(F.abs("lat"))).first()[0]
-    # A degree of longitude is shortest where stations are farthest from the equator.
-    widest = max(0.01, math.cos(math.radians(min(89.0, (far or 0.0) + 1))))
+    widest = _narrowest(t, s)
     grid = _cells(s, radius_km, widest, 0).withColumnsRenamed({"lat": "lat2", "long": "long2"})
     around = _cells(t.select("station_id", "lat", "long", "elev", "lcz"), radius_km, widest, 1)
 
@@ -122,6 +157,10 @@ def local_reference(pairs: DataFrame, obs: DataFrame) -> DataFrame:
     """Weighted reference of each target and hour from its sources' values."""
     o = obs.select("date", F.col("station_id").alias("source_id"), "temp").where("temp IS NOT NULL")
     return pairs.join(o, "source_id").groupBy("station_id", "date").agg(
+        F.round(F.stddev_samp("temp"), 6).alias("std"),
+        F.min("temp").alias("low"),
+        F.max("temp").alias("high"),
+        F.round(F.max("temp") - F.min("temp"), 6).alias("spread"),
         F.count("*").alias("n"), F.round(F.try_divide(F.sum(F.col("weight") * F.col("temp")), F.sum("weight")), 5).alias("idw"), F.round(F.percentile("temp", F.lit(0.5)), 6).alias("median"), F.min_by("temp", F.struct("rank", "km")).alias("nearest")
     )
 

@@ -46,12 +46,6 @@ def z_score_test(obs: DataFrame, least: int = 5, bound: float = 1.28155156554460
     return obs.withColumn("temp", F.when((F.count("temp").over(at) >= least) & (F.abs(z) < bound), F.col("temp")))
 
 
-def month_trust(obs: DataFrame, flag: str, most: float = 0.2) -> DataFrame:
-    """Station-months whose share of flagged rows is over ``most``."""
-    g = obs.groupBy(*KEY, F.date_trunc("month", "date").alias("month")).agg(F.sum(flag).alias("flagged"), F.count("*").alias("n"))
-    return g.withColumn("dropped", F.col("flagged") / F.col("n") > most)
-
-
 def month_correlation(obs: DataFrame, least: float = 0.9) -> DataFrame:
     """Correlation of each station with the median of all, by month number; null is kept."""
     med = obs.groupBy("date").agg(F.percentile("temp", F.lit(0.5)).alias("median"))

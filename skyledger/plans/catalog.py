@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chain as ch
 from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import qc
@@ -98,8 +99,9 @@ SELECT {DAY}, station_id, network, CASE WHEN mh = 0 THEN temp END AS temp FROM m
         f"WITH {OBS}, z AS (SELECT *, (temp - avg(temp) OVER w) / nullif(stddev_pop(temp) OVER w, 0) AS z, count(temp) OVER w AS n FROM obs WINDOW w AS (PARTITION BY date)) SELECT {DAY}, station_id, network, CASE WHEN n >= 5 AND abs(z) < 1.2815515655446004 THEN temp END AS temp FROM z",
     ),
     "trust_month": (
-        lambda spark, d: _stamp(qc.month_trust(observations(spark, d).withColumn("flag", (F.col("temp") > 60).cast("int")), "flag"), "month"),
-        f"WITH {OBS} SELECT station_id, network, strftime(date_trunc('month', date), '%Y-%m-%d %H:%M:%S') AS month, CAST(sum(CAST(temp > 60 AS INTEGER)) AS BIGINT) AS flagged, count(*) AS n, sum(CAST(temp > 60 AS INTEGER)) / count(*) > 0.2 AS dropped FROM obs GROUP BY ALL",
+        lambda spark, d: _stamp(ch.trust_table(observations(spark, d).withColumn("flag", (F.col("temp") > 60).cast("int")), "flag"), "month"),
+        f"""WITH {OBS}, h AS (SELECT date_trunc('month', date) AS month, count(DISTINCT date) AS hours FROM obs GROUP BY 1)
+SELECT station_id, network, strftime(h.month, '%Y-%m-%d %H:%M:%S') AS month, CAST(sum(CAST(temp > 60 AS INTEGER)) AS BIGINT) AS flagged, max(hours) AS hours, sum(CAST(temp > 60 AS INTEGER)) / max(hours) > 0.2 AS dropped FROM obs JOIN h ON h.month = date_trunc('month', date) GROUP BY ALL""",
     ),
     "correlation_month": (
         lambda spark, d: qc.month_correlation(observations(spark, d)).withColumn("r", F.round("r", 6)),
@@ -126,7 +128,7 @@ SELECT station_id, network, gap, strftime(min(date), '%Y-%m-%d %H:%M:%S') AS fir
     "knn_radius_fallback": (_targets, f"WITH {_NEAR} SELECT * FROM pairs"),
     "idw_local": (
         lambda spark, d: _stamp(ft.local_reference(_targets(spark, d), observations(spark, d).groupBy("date", "station_id").agg(F.round(F.avg("temp"), 6).alias("temp")))),
-        f"WITH {OBS}, {_NEAR}, o AS (SELECT date, station_id AS source_id, round(avg(temp), 6) AS temp FROM obs GROUP BY 1, 2) SELECT p.station_id, {DAY}, count(*) AS n, round(sum(weight * temp) / sum(weight), 5) AS idw, round(quantile_cont(temp, 0.5), 6) AS median, arg_min(temp, rank) AS nearest FROM pairs p JOIN o USING (source_id) GROUP BY p.station_id, o.date",
+        f"WITH {OBS}, {_NEAR}, o AS (SELECT date, station_id AS source_id, round(avg(temp), 6) AS temp FROM obs GROUP BY 1, 2) SELECT p.station_id, {DAY}, count(*) AS n, round(sum(weight * temp) / sum(weight), 5) AS idw, round(quantile_cont(temp, 0.5), 6) AS median, arg_min(temp, rank) AS nearest, round(stddev_samp(temp), 6) AS std, min(temp) AS low, max(temp) AS high, round(max(temp) - min(temp), 6) AS spread FROM pairs p JOIN o USING (source_id) GROUP BY p.station_id, o.date",
     ),
     "asof_backward": (_asof("backward"), _asof_sql("rd DESC", "rd <= date")),
     "asof_forward": (_asof("forward"), _asof_sql("rd", "rd >= date")),
