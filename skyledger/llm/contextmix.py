@@ -49,6 +49,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +70,10 @@ STEPS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 22, 40, 80, 200, 600, 2500, 15000, 10
 #: Bytes of a word that decide where it is learned.
 LOCAL = 3
 #: Tokens of a task, or distinct contexts, after which it gives out its counts.
-FLUSH_TOKENS, FLUSH_KEYS, FLUSH_WORDS = 4_000_000, 4_000_000, 400_000
+FLUSH_TOKENS, FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 2_500_000, 300_000
 #: Bytes of text of a task that learns, of a block of documents that is scored, of a piece of a long
 #: text and of the texts that are read side by side.
-LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 20 << 20, 1 << 20, 1 << 19
+LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 32 << 20, 1 << 20, 1 << 19
 #: Pairs of word and state of a task that counts the words so far, and of a part of it at least.
 TASK_PAIRS, PART_PAIRS = 400_000, 50_000
 #: Decisions of the first window; later ones have an eighth of those before, up to the second figure.
@@ -193,7 +194,7 @@ def tokens_in(docs: DataFrame) -> DataFrame:
                 for tokens in segments(text):
                     held.update(tokens)
                     n += len(tokens)
-                if n >= FLUSH_TOKENS // 2 or len(held) > FLUSH_WORDS:
+                if n >= FLUSH_TOKENS or len(held) > FLUSH_WORDS // 3:
                     yield from out()
                     held.clear()
                     n = 0
@@ -358,18 +359,18 @@ def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
 
         def slots_out():
             key, c = merged(keys)
-            count = np.zeros((2, size), np.int64)
+            count = np.zeros((2, size), np.int32)  # of one flush; sums over flushes are longs
             for i in range(0, len(key), 1 << 19):
                 k, weight = key[i : i + (1 << 19)], c[i : i + (1 << 19)]
                 byte, at = tree.decisions((k & np.uint64(255)).astype(np.int64))
-                node, bit, weight = tree.node[at], tree.bit[at], weight[byte]
+                node, bit, weight = tree.node[at], tree.bit[at], weight[byte].astype(np.int32)
                 for place in slots(((k >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), k >> np.uint64(40)):
                     np.add.at(count, (bit, place[byte] ^ node), weight)
             for chunk in range(size >> CHUNK_BITS):
                 part = count[:, chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
                 at = np.flatnonzero(part.any(0))
                 if len(at):
-                    yield {"w": [None], "before": [None], "c": [None], "chunk": [chunk], "data": [at.astype(np.uint16).tobytes() + part[:, at].astype(np.int64).tobytes()]}
+                    yield {"w": [None], "before": [None], "c": [None], "chunk": [chunk], "data": [at.astype(np.uint16).tobytes() + part[:, at].tobytes()]}
 
         for s in slices:
             for apart in (False, True):
@@ -459,8 +460,8 @@ def tables(parts_of: DataFrame, n: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for s in found:
             for chunk, data in zip(s["chunk"], s["data"], strict=True):
-                m = len(data) // 18
-                at, c = np.frombuffer(data, np.uint16, m).astype(np.int64), np.frombuffer(data, np.int64, 2 * m, 2 * m).reshape(2, m)
+                m = len(data) // 10
+                at, c = np.frombuffer(data, np.uint16, m).astype(np.int64), np.frombuffer(data, np.int32, 2 * m, 2 * m).reshape(2, m)
                 own = held.setdefault(chunk, np.zeros((2, 1 << CHUNK_BITS), np.int64))
                 own[:, at] += c
         for chunk, (n0, n1) in held.items():
@@ -757,7 +758,8 @@ class Block:
 
 
 def together(found):
-    """Rows of (block, key, c, states) as a few rows a block of packed arrays."""
+    """Rows of (block, key, c, states) as a few rows a block of packed, compressed arrays."""
+    squash = zstandard.ZstdCompressor(level=1).compress
     for batch in found:
         block = batch["block"].to_numpy()
         order = np.argsort(block, kind="stable")
@@ -770,7 +772,8 @@ def together(found):
         flat = np.frombuffer(t["states"].buffers()[2], np.uint8) if len(block) and starts[-1] else np.empty(0, np.uint8)
         cols: list[list] = [[], [], [], [], []]
         for i, j in zip(ends, ends[1:], strict=False):
-            for col, v in zip(cols, (int(block[i]), key[i:j].tobytes(), c[i:j].tobytes(), sizes[i:j].astype(np.int32).tobytes(), flat[starts[i] : starts[j]].tobytes()), strict=True):
+            packed = (squash(x.tobytes()) for x in (key[i:j], c[i:j], sizes[i:j].astype(np.int32), flat[starts[i] : starts[j]]))
+            for col, v in zip(cols, (int(block[i]), *packed), strict=True):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "key", "c", "sizes", "states"])
 
@@ -840,7 +843,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"key": np.uint64, "c": np.int64, "sizes": np.int32, "states": np.uint8}
-        key, c, sizes, flat = (np.frombuffer(b"".join(right[n].to_pylist()), kind) for n, kind in kinds.items())
+        key, c, sizes, flat = (np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, right[n].to_pylist())), kind) for n, kind in kinds.items())
         found = Block(model.value, key, c, np.cumsum(sizes) - sizes, flat)
         # Long texts first, then the others by size, so that texts read side by side are alike.
         texts = left["text"]

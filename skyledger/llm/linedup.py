@@ -89,8 +89,8 @@ def lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
         for s in slices:
             k, pos, h, sizes, every = [], [], [], [], []
             for doc, text in zip(s["_k"], s["text"], strict=True):
-                for i, line in enumerate((text or "").split("\n")):
-                    tokens = norm(line)
+                for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                    tokens = line.split()
                     if len(tokens) >= min_words:
                         k.append(doc), pos.append(i), h.append(line_hash(tokens)), sizes.append(len(tokens))
                         every += tokens

@@ -27,7 +27,7 @@ BIN_EDGES = {
 MOST_REFS, FAR_KM, WIDE_SPREAD, HIGH_ELEV, HIGH_BUILDING = 6, 5.0, 4.0, 150.0, 20.0
 CLASS_EDGES, CLASSES = (0.25, 0.5, 0.75), ("easy", "moderate", "hard", "very_hard")
 # Weights of the QC levels.
-LEVEL_WEIGHTS = {"ultra": 0.95, "lenient": 0.70, "strict": 0.25}
+LEVEL_WEIGHTS = {"lenient": 0.95, "strict": 0.70, "ultra_strict": 0.25}
 
 
 def cut_bins(value: Column, edges: tuple[float, ...]) -> Column:
@@ -61,14 +61,17 @@ def support(df: DataFrame) -> DataFrame:
     df = df.withColumns(parts).withColumn("support", mean_of(*map(F.col, parts)))
     names = F.array(*map(F.lit, CLASSES))
     at = cut_bins(F.col("support"), CLASS_EDGES)
-    return df.withColumn("support_class", F.when(at.isNull(), "unknown").otherwise(F.get(names, at)))
+    return df.withColumn("support_class", F.when(at.isNull(), "Missing").otherwise(F.get(names, at)))
 
 
 def reference_class(df: DataFrame) -> DataFrame:
-    """How near references are: outside if there is none or none in reach, low, moderate, high;
-    unknown without a count."""
-    n, km = F.col("n_refs"), F.col("km")
-    return df.withColumn("reference_class", F.when(n.isNull(), "unknown").when((n == 0) | (km > 10), "outside").when((n < 2) | (km > 5), "low").when((n < 4) | (km > 2), "moderate").otherwise("high"))
+    """How well references are placed: outside, low, high or moderate support; unknown if distance,
+    number and spread all are. What is null speaks for nothing."""
+    km, n, spread = F.col("km"), F.col("n_refs"), F.col("spread")
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    known = F.coalesce(km.cast("double"), n.cast("double"), spread.cast("double")).isNotNull()
+    rules = F.when(~known, "unknown").when(holds(km > 10) | holds(n <= 0), "outside").when(holds(km > 5) | holds(n <= 1) | holds(spread > 4), "low")
+    return df.withColumn("reference_class", rules.when(holds(km <= 2) & holds(n >= 4) & (spread.isNull() | (spread <= 2)), "high").otherwise("moderate"))
 
 
 def qc_evidence(df: DataFrame, weights: dict[str, float] = LEVEL_WEIGHTS) -> DataFrame:
@@ -116,28 +119,39 @@ def expected_bias(df: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.withColumn("bias", bias).withColumn("explained", explained_share(F.col("resid"), F.col("bias"))).drop(*[c for c in stations.columns if c != "station_id"])
 
 
-def radiation_score(df: DataFrame) -> DataFrame:
-    """How much a warm residual looks like sun on a badly aired sensor: high sun, daylight, low wind
-    (from the train rows' quartiles), and the station's share of such rows among its warm ones."""
+def logistic(c: Column) -> Column:
+    return 1 / (1 + F.exp(-c))
+
+
+def radiation_score(df: DataFrame, stations: DataFrame) -> DataFrame:
+    """How much a warm residual looks like sun on a badly aired sensor: high sun (the train rows' upper
+    quartile), daylight and low wind (how far under their lower quartile), and how much warmer the
+    station is by sun on train rows. stations: of ``conditional_bias``."""
     train = df.where("split = 'train'")
     cuts = quantiles(train, [], "solar", {"_sun": 0.75}).select("_sun").join(quantiles(train, [], "wind", {"_calm": 0.25}).select("_calm"))
-    df = df.join(F.broadcast(cuts))  # one row
+    df = df.join(F.broadcast(cuts)).join(stations.select("station_id", "bias_all", "bias_sun", "bias_shade"), "station_id", "left")  # cuts: one row
     sun = F.coalesce((F.col("solar") >= F.col("_sun")).cast("double"), F.lit(0.0))
-    calm = F.coalesce((F.col("wind") <= F.col("_calm")).cast("double"), F.lit(0.0))
+    calm = F.coalesce(logistic((F.col("_calm") - F.col("wind")) / F.greatest(F.lit(0.35), F.abs("_calm") * 0.35)), F.lit(0.5))
     day = F.coalesce(F.col("is_day").cast("double"), F.lit(0.0))
-    warm = (F.col("resid") > 1) & (F.col("split") == "train")
-    trained = df.groupBy("station_id").agg(F.coalesce(F.try_divide(F.count_if(warm & (sun == 1)).cast("double"), F.count_if(warm).cast("double")), F.lit(0.0)).alias("trained"))
-    df = df.join(trained, "station_id")
-    return df.withColumn("rad", F.coalesce(radiation(F.col("resid"), sun, day, calm, F.col("trained")), F.lit(0.0))).drop("_sun", "_calm")
+    excess = F.coalesce(F.col("bias_sun") - F.col("bias_shade"), F.col("bias_sun") - F.col("bias_all"))
+    trained = F.coalesce(max_of(logistic((excess - 0.5) * 2), logistic((F.col("bias_sun") - 0.5) * 2)), F.lit(0.25))
+    df = df.withColumn("trained", trained)
+    rad = F.coalesce(radiation(F.col("resid"), sun, day, calm, F.col("trained")), F.lit(0.0))
+    return df.withColumn("rad", rad).drop("_sun", "_calm", "bias_all", "bias_sun", "bias_shade")
 
 
 def reference_uncertainty(df: DataFrame) -> DataFrame:
-    """The support score against the upper end of the train rows' (its .95 quantile); without one the
-    mean of distance, spread and lack of references."""
+    """With a support score: that score against the upper end of the train rows' (its .95 quantile; the
+    greatest score where that is 0; null stays null). Without one: the mean of distance, spread and
+    lack of references."""
+    if "support" not in df.columns:
+        lack = F.when(F.col("n_refs").isNotNull(), 1 - unit(F.col("n_refs") / 8))
+        return df.withColumn("unc", unit(mean_of(unit(F.col("km") / 8), unit(F.col("spread") / 3), lack)))
     top = quantiles(df.where("split = 'train'"), [], "support", {"_top": 0.95}).select("_top")
-    df = df.join(F.broadcast(top), F.lit(True), "left")  # one row
-    rough = mean_of(unit(F.col("km") / 8), unit(F.col("spread") / 3), unit(1 - F.col("n_refs") / 8))
-    return df.withColumn("unc", F.coalesce(unit(F.try_divide(F.col("support"), F.col("_top"))), rough, F.lit(0.0))).drop("_top")
+    most = df.agg(F.max("support").alias("_most"))
+    df = df.join(F.broadcast(most.join(top, F.lit(True), "left")))  # one row
+    base = F.when(F.col("_top") > 0, F.col("_top")).when(F.col("_most") > 0, F.col("_most")).otherwise(1.0)
+    return df.withColumn("unc", unit(F.col("support") / base)).drop("_top", "_most")
 
 
 def microclimate(df: DataFrame) -> DataFrame:

@@ -85,11 +85,11 @@ def _bins_sql() -> str:
 
 
 def _evidence(df):
-    return su.qc_evidence(df.withColumn("ultra", F.when(F.col("n_refs") > 0, (F.col("n_refs") > 6).cast("int"))))
+    return su.qc_evidence(df.withColumn("ultra_strict", F.when(F.col("n_refs") > 0, (F.col("n_refs") > 6).cast("int"))))
 
 
 _EVIDENCE = f"""{CONTEXT}, e AS (SELECT *, CASE WHEN n_refs > 0 THEN CAST(n_refs > 6 AS INTEGER) END AS ultra FROM context),
-evident AS (SELECT *, (coalesce(ultra, 0) * 0.95 + coalesce(lenient, 0) * 0.70 + strict * 0.25) / 1.9 AS p_qc, coalesce(ultra, 0) + coalesce(lenient, 0) + strict AS n_flags, coalesce(ultra, 0) + coalesce(lenient, 0) > 0 AS qc_strong FROM e)"""
+evident AS (SELECT *, (coalesce(lenient, 0) * 0.95 + strict * 0.70 + coalesce(ultra, 0) * 0.25) / 1.9 AS p_qc, coalesce(ultra, 0) + coalesce(lenient, 0) + strict AS n_flags, coalesce(lenient, 0) + strict > 0 AS qc_strong FROM e)"""
 
 _SUITE: dict = {
     "support_components": (
@@ -101,7 +101,7 @@ _SUITE: dict = {
         f"""WITH {_SUPPORT}, k AS (SELECT *, CASE WHEN row_key % 13 != 0 THEN s_km END AS k1, CASE WHEN row_key % 13 != 0 THEN km END AS k2 FROM supported),
 v AS (SELECT *, (s_density + coalesce(k1, 0) + coalesce(s_spread, 0) + s_lcz + s_cover + s_elev + s_building) / (5 + CAST(k1 IS NOT NULL AS INTEGER) + CAST(s_spread IS NOT NULL AS INTEGER)) AS score FROM k)
 SELECT CASE WHEN score <= 0.25 THEN 'easy' WHEN score <= 0.5 THEN 'moderate' WHEN score <= 0.75 THEN 'hard' ELSE 'very_hard' END AS support_class,
-  CASE WHEN n_refs = 0 OR coalesce(k2 > 10, false) THEN 'outside' WHEN n_refs < 2 OR coalesce(k2 > 5, false) THEN 'low' WHEN n_refs < 4 OR coalesce(k2 > 2, false) THEN 'moderate' ELSE 'high' END AS reference_class, count(*) AS n, round(avg(abs(resid)), 6) AS mae FROM v GROUP BY 1, 2""",
+  CASE WHEN coalesce(k2 > 10, false) OR n_refs <= 0 THEN 'outside' WHEN coalesce(k2 > 5, false) OR n_refs <= 1 OR coalesce(spread > 4, false) THEN 'low' WHEN coalesce(k2 <= 2, false) AND n_refs >= 4 AND coalesce(spread <= 2, true) THEN 'high' ELSE 'moderate' END AS reference_class, count(*) AS n, round(avg(abs(resid)), 6) AS mae FROM v GROUP BY 1, 2""",
     ),
     "context_bins": (_bins, _bins_sql()),
     "qc_evidence": (
@@ -115,16 +115,21 @@ SELECT split, b.bin, count(*) AS n, round(avg(coalesce(rate, p)), 6) AS p_calibr
     ),
     "expected_bias": (lambda spark, d: _rows(lambda c: su.expected_bias(c, su.conditional_bias(c)), "bias", "explained")(spark, d), f"WITH {_BIAS} " + _rows_sql("biased", "bias", "explained")),
     "radiation_score": (
-        _rows(su.radiation_score, "trained", "rad"),
-        f"""WITH {CONTEXT}, {_CUTS.format("")}, f AS (SELECT *, coalesce(CAST(solar >= sun_cut AS INTEGER), 0) AS sun, coalesce(CAST(wind <= calm_cut AS INTEGER), 0) AS calm FROM context, cuts),
-tr AS (SELECT station_id, coalesce(count(*) FILTER (resid > 1 AND split = 'train' AND sun = 1) / nullif(count(*) FILTER (resid > 1 AND split = 'train'), 0)::DOUBLE, 0) AS trained FROM f GROUP BY 1),
-rated AS (SELECT f.*, trained, coalesce(least(greatest((0.45 * sun + 0.25 * is_day + 0.30 * calm) * (CASE WHEN resid > 0 THEN 1 / (1 + exp(-1.25 * (resid - 0.75))) ELSE 0 END) * (0.45 + 0.55 * trained), 0), 1), 0) AS rad FROM f JOIN tr USING (station_id)) """
+        _rows(lambda c: su.radiation_score(c, su.conditional_bias(c)), "trained", "rad"),
+        f"""WITH {_BIAS}, c2 AS (SELECT quantile_cont(solar, 0.75) AS sun_cut, quantile_cont(wind, 0.25) AS calm_cut FROM context WHERE split = 'train'),
+f AS (SELECT c.*, coalesce(CAST(solar >= sun_cut AS INTEGER), 0) AS sun, coalesce(1 / (1 + exp(-(calm_cut - wind) / greatest(0.35, abs(calm_cut) * 0.35))), 0.5) AS calm,
+  CASE WHEN n_train >= 24 THEN bias_sun END AS hi, CASE WHEN n_train >= 24 THEN coalesce(bias_sun - bias_shade, bias_sun - bias_all) END AS ex FROM context c LEFT JOIN st USING (station_id), c2),
+tr AS (SELECT *, coalesce(greatest(1 / (1 + exp(-(ex - 0.5) * 2)), 1 / (1 + exp(-(hi - 0.5) * 2))), 0.25) AS trained FROM f),
+rated AS (SELECT *, coalesce(least(greatest((0.45 * sun + 0.25 * is_day + 0.30 * calm) * (CASE WHEN resid > 0 THEN 1 / (1 + exp(-1.25 * (resid - 0.75))) ELSE 0 END) * (0.45 + 0.55 * trained), 0), 1), 0) AS rad FROM tr) """
         + _rows_sql("rated", "trained", "rad"),
     ),
     "reference_uncertainty": (
-        _rows(lambda c: su.reference_uncertainty(su.support(c).withColumn("support", F.when(F.col("row_key") % 10 != 0, F.col("support")))), "unc"),
-        f"""WITH {_SUPPORT}, v AS (SELECT *, CASE WHEN row_key % 10 != 0 THEN support END AS sc FROM supported), q AS (SELECT quantile_cont(sc, 0.95) AS top FROM v WHERE split = 'train'),
-u AS (SELECT v.*, CASE WHEN sc IS NOT NULL AND top IS NOT NULL THEN least(greatest(sc / top, 0), 1) ELSE (least(km / 8, 1) + (CASE WHEN spread IS NULL THEN 0 ELSE least(spread / 3, 1) END) + least(greatest(1 - n_refs / 8.0::DOUBLE, 0), 1)) / (CASE WHEN spread IS NULL THEN 2 ELSE 3 END) END AS unc FROM v, q) """
+        _rows(lambda c: su.reference_uncertainty(su.support(c)), "unc"),
+        f"WITH {_SUPPORT}, q AS (SELECT quantile_cont(support, 0.95) AS top FROM supported WHERE split = 'train'), u AS (SELECT s.*, least(greatest(support / top, 0), 1) AS unc FROM supported s, q) " + _rows_sql("u", "unc"),
+    ),
+    "reference_uncertainty_rough": (
+        _rows(su.reference_uncertainty, "unc"),
+        f"""WITH {CONTEXT}, u AS (SELECT *, (least(km / 8, 1) + (CASE WHEN spread IS NULL THEN 0 ELSE least(spread / 3, 1) END) + 1 - least(n_refs / 8.0::DOUBLE, 1)) / (CASE WHEN spread IS NULL THEN 2 ELSE 3 END) AS unc FROM context) """
         + _rows_sql("u", "unc"),
     ),
     "microclimate": (_rows(su.microclimate, "mismatch", "env_dir", "env"), f"WITH {_MICRO} " + _rows_sql("micro", "mismatch", "env_dir", "env")),
