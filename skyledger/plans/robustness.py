@@ -14,11 +14,14 @@ from ..sources import context, observations, scored, stations
 from .products import FUSED, fused
 from .stand_ins import CONTEXT, DAY, META, OBS, SCORED, S
 
-RULES = {"all": F.lit(True), "low_risk": F.col("p") <= 0.3, "unflagged": F.col("strict") == 0, "lenient_ok": F.col("lenient") == 0}
-RULES_SQL = {"all": "true", "low_risk": "p <= 0.3", "unflagged": "strict = 0", "lenient_ok": "lenient = 0"}
+RULES = {"all": "true", "low_risk": "p <= 0.3", "unflagged": "strict = 0", "lenient_ok": "lenient = 0"}
 SEEDS = ["11", "22", "33", "44", "55"]
 
 
+def _rules():
+    return {name: F.expr(rule) for name, rule in RULES.items()}
+
+
 def _scored(fn):
     return lambda spark, d: fn(scored(spark, d))
 
@@ -47,7 +50,7 @@ pa AS (SELECT b, {group}, sum(w * n) AS n, sum(w * a) AS a, sum(w * q) AS q, sum
 SELECT {group}, count(*) AS draws, {_bounds("share", "mae", "rmse", "bias")} FROM me GROUP BY 1"""
 
 
-_EACH = " UNION ALL ".join(f"SELECT '{n}' AS policy, * FROM scored WHERE coalesce({c}, false)" for n, c in RULES_SQL.items())
+_EACH = " UNION ALL ".join(f"SELECT '{n}' AS policy, * FROM scored WHERE coalesce({c}, false)" for n, c in RULES.items())
 _ROUNDED = "CAST(CASE WHEN x - floor(x) = 0.5 THEN 2 * round(x / 2) ELSE round(x) END AS BIGINT)"
 
 
@@ -79,7 +82,7 @@ t AS (SELECT p AS threshold FROM c ORDER BY f1 DESC, p LIMIT 1), k AS (SELECT sp
 m AS (SELECT *, tp / greatest(tp + fp, 1) AS pr, tp / greatest(tp + fn, 1) AS re FROM k) SELECT split, threshold, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re + 1e-12), 6) AS f1 FROM m""",
     ),
     "policy_bootstrap": (
-        _scored(lambda s: ro.bootstrap_policies(s, RULES)),
+        _scored(lambda s: ro.bootstrap_policies(s, _rules())),
         f"""WITH {SCORED}, wh AS (SELECT CAST(station_id AS VARCHAR) AS block, count(*) AS m FROM scored WHERE resid IS NOT NULL GROUP BY 1), {_drawn("wh")}, ke AS (SELECT CAST(station_id AS VARCHAR) AS block, policy, count(*) AS n, sum(abs(resid)) AS a FROM ({_EACH}) WHERE resid IS NOT NULL GROUP BY 1, 2),
 tt AS (SELECT b, sum(w * m) AS m FROM dw JOIN wh USING (block) GROUP BY 1), pa AS (SELECT b, policy, sum(w * n) / max(m) AS retention, sum(w * a) / sum(w * n) AS mae FROM dw JOIN ke USING (block) JOIN tt USING (b) GROUP BY 1, 2)
 SELECT policy, count(*) AS draws, {_bounds("retention", "mae")} FROM pa GROUP BY 1""",
@@ -116,8 +119,8 @@ SELECT g.column, g.split, g.n, round(g.mean, 6) AS mean, round(g.std, 6) AS std,
         f"""WITH {CONTEXT}, g AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, count(resid) AS n, round(avg(abs(resid)), 6) AS mae FROM context GROUP BY 2" for c in _TAIL)}) SELECT col AS "column", value, n, mae FROM g WHERE n >= 500 ORDER BY mae DESC, col, value LIMIT 100""",
     ),
     "proxy_metrics": (
-        _scored(lambda s: ro.proxy_metrics(s, RULES)),
-        f"""WITH {SCORED}, e AS ({" UNION ALL ".join(f"SELECT '{n}' AS policy, y, NOT coalesce({c}, false) AS gone FROM scored" for n, c in RULES_SQL.items())}), k AS (SELECT policy, count(*) FILTER (gone AND y = 1) AS tp, count(*) FILTER (gone AND y = 0) AS fp, count(*) FILTER (NOT gone AND y = 1) AS fn, count(*) FILTER (NOT gone AND y = 0) AS tn FROM e GROUP BY 1),
+        _scored(lambda s: ro.proxy_metrics(s, _rules())),
+        f"""WITH {SCORED}, e AS ({" UNION ALL ".join(f"SELECT '{n}' AS policy, y, NOT coalesce({c}, false) AS gone FROM scored" for n, c in RULES.items())}), k AS (SELECT policy, count(*) FILTER (gone AND y = 1) AS tp, count(*) FILTER (gone AND y = 0) AS fp, count(*) FILTER (NOT gone AND y = 1) AS fn, count(*) FILTER (NOT gone AND y = 0) AS tn FROM e GROUP BY 1),
 m AS (SELECT *, tp / greatest(tp + fp, 1) AS pr, tp / greatest(tp + fn, 1) AS re FROM k) SELECT policy, tp, fp, fn, tn, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / greatest(pr + re, 1e-12), 6) AS f1 FROM m""",
     ),
     "correction_coverage": (
