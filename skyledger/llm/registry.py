@@ -1,6 +1,6 @@
 """Queries of the training-data operators, by name, and SQL for those that SQL can express."""
 
-from . import contextmix, htmltext, linedup, media, mixing, neardup, packing, quality, toxicity, urlfilter
+from . import contextmix, htmltext, linedup, media, mixing, neardup, packing, pieces, quality, toxicity, urlfilter, whitening
 
 QUERIES = {
     "op1_main_text": htmltext.op1,
@@ -13,5 +13,7 @@ QUERIES = {
     "op8_line_dedup": linedup.op8,
     "op9_url_filters": urlfilter.op9,
     "op10_context_mixing": contextmix.op10,
+    "op11_pieces": pieces.op11,
+    "op12_whitening": whitening.op12,
 }
 ORACLES = {"op4_mix_sources": mixing.OP4_SQL, "op9_url_filters": urlfilter.OP9_SQL}
