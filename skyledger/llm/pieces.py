@@ -5,8 +5,8 @@ A text is normalised by the model's own compiled character map: at each place th
 map (a double-array trie of bytes) is replaced, other characters stay, spaces are escaped and the
 dummy prefix comes first, all as the model's flags say. While that is done an alignment is kept: for
 every normalised byte the original byte that it comes from. The normalised text is split into pieces
-by the model's merges (best score first, then leftmost), characters without a piece into byte pieces,
-and the alignment projects each piece to its span of original bytes: [begin, end).
+by the model's merges (the library's, with its own normaliser off), characters without a piece into
+byte pieces, and the alignment projects each piece to its span of original bytes: [begin, end).
 
 Characters that stand side by side in some piece of the vocabulary form classes (letters of a script,
 signs); no merge crosses from one class to another, or into the spaces before a word from its left. So
@@ -16,15 +16,14 @@ the last has its span and the others are empty, as in the library.
 Takes BPE models with whitespace as a prefix and without user-defined or unused pieces; refuses others.
 
 Defined cases: null counts as empty, which has no pieces and decodes to the empty text; texts of any
-length are encoded whole; equal texts have equal rows, and repeated rows each have theirs; of equal
-scores the leftmost merge is first; an empty table gives an empty result; further columns are ignored.
+length are encoded whole; equal texts have equal rows, and repeated rows each have theirs; of equally
+good merges the leftmost comes first; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import array
 import hashlib
-import heapq
 import re
 import zlib
 
@@ -36,10 +35,8 @@ from pyspark.sql import functions as F
 from .common import MEMOS, map_arrow, table
 
 SPACE = "▁"
-#: Bytes of the longest part that a memo keeps.
-SHORT = 64
 #: Parts whose ids a Python worker remembers.
-PARTS = 500_000
+PARTS = 300_000
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2  # of the model file's format
 
 
@@ -128,6 +125,7 @@ class Encoder(dict):
     (32 bit)."""
 
     def __init__(self, path: str | None = None, proto: bytes | None = None):
+        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
         if proto is None:
@@ -141,28 +139,26 @@ class Encoder(dict):
             raise ValueError("only BPE models with whitespace as a prefix, without user-defined or unused pieces")
         self.prefix, self.squeeze, self.escape = norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces
         self.map = CharMap(norm.precompiled_charsmap)
-        self.pieces = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.sizes = np.array([len(p.piece.encode()) * (p.type == NORMAL) for p in model.pieces])
-        self.bytes, self.values = [0] * 256, np.full(len(model.pieces), -1)
-        for i, p in enumerate(model.pieces):
-            if p.type == BYTE:
-                self.values[i] = int(p.piece[3:5], 16)
-                self.bytes[self.values[i]] = i
-        self.fallback = trainer.byte_fallback
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        bare = [p.lstrip(SPACE) for p in self.pieces]
-        if self.fallback and not any(SPACE in p for p in bare):
+        self.values = np.array([int(p.piece[3:5], 16) if p.type == BYTE else -1 for p in model.pieces])
+        bare = [p.piece.lstrip(SPACE) for p in model.pieces if p.type == NORMAL]
+        self.parts = None  # neighbouring unknowns are one piece, or pieces hold spaces inside: texts stay whole
+        if trainer.byte_fallback and not any(SPACE in p for p in bare):
             runs = [f"{SPACE}*{char_class(c)}+" for c in classes(bare)]
             self.parts = re.compile("|".join([*runs, f"{SPACE}*.", f"{SPACE}+"]), re.DOTALL)
-        else:  # neighbouring unknowns are one piece, or pieces hold spaces inside: the whole text is one part
-            self.parts = re.compile(".+", re.DOTALL)
+        #: The library with the model's pieces and merges, but without a normaliser.
+        model.normalizer_spec.Clear()
+        model.normalizer_spec.name = "identity"
+        for flag in ("add_dummy_prefix", "remove_extra_whitespaces", "escape_whitespaces"):
+            setattr(model.normalizer_spec, flag, False)
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and the original byte of each of its bytes, with the end behind."""
         raw = text.encode("utf-8", "surrogatepass")
         if not raw:
             return "", np.zeros(1, np.int64)
-        out, align, fixed, at, done = [], [], [], 0, 0  # bytes, their origins, whether a space must stay
+        out, align, fixed, done = [], [], [], 0  # bytes, their origins, whether a space must stay
         if self.map.starts is not None:
             char, byte = 0, 0
             for m in self.map.starts.finditer(text):
@@ -182,15 +178,15 @@ class Encoder(dict):
                 byte = done = byte + length
         out.append(raw[done:])
         align.append(np.arange(done, len(raw)))
-        fixed.append(np.zeros(len(raw) - done, bool))
-        data, origin = np.frombuffer(b"".join(out), np.uint8), np.concatenate(align)
+        data, origin = np.frombuffer(b"".join(out), np.uint8), np.concatenate(align) if done else align[0]
         end = len(raw)
         if self.squeeze:
             space = data == 0x20
             behind = np.concatenate([[True], space[:-1]]) if len(space) else space
-            keep = ~(space & behind & ~np.concatenate(fixed))
+            keep = ~(space & behind)
+            keep[: sum(map(len, fixed))] |= np.concatenate([np.zeros(0, bool), *fixed])
             data, origin = data[keep], origin[keep]
-        norm = data.tobytes().decode("utf-8", "surrogatepass")
+        norm = data.tobytes().decode("utf-8", "surrogatepass") if done or self.squeeze else text
         if self.escape:
             origin = np.repeat(origin, np.where(data == 0x20, 3, 1))
             norm = norm.replace(" ", SPACE)
@@ -205,94 +201,47 @@ class Encoder(dict):
             end, origin = int(origin[last]), origin[:last]
         return norm, np.append(origin, end)
 
-    def split(self, part: str) -> list[str]:
-        """The pieces of a normalised text: neighbours with the best-scored joint piece merge first."""
-        if len(part) > SHORT:
-            return self.split_long(part)
-        get, none = self.pieces.get, (float("inf"), 0)
-        symbols = list(part)
-        costs = [get(a + b, none)[0] for a, b in zip(symbols, symbols[1:])]
-        while costs and (best := min(costs)) < none[0]:
-            i = costs.index(best)
-            symbols[i : i + 2] = [both] = [symbols[i] + symbols[i + 1]]
-            del costs[i]
-            if i:
-                costs[i - 1] = get(symbols[i - 1] + both, none)[0]
-            if i < len(costs):
-                costs[i] = get(both + symbols[i + 1], none)[0]
-        return symbols
-
-    def split_long(self, part: str) -> list[str]:
-        """The same with a heap, so the time stays in proportion to n log n."""
-        symbols: list[str | None] = list(part)
-        before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        waiting: list[tuple[float, int, int, int]] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right < len(symbols):
-                both = symbols[left] + symbols[right]
-                found = self.pieces.get(both)
-                if found:
-                    heapq.heappush(waiting, (found[0], left, right, len(both)))
-
-        for i in range(len(symbols) - 1):
-            offer(i, i + 1)
-        while waiting:
-            _, left, right, size = heapq.heappop(waiting)
-            a, b = symbols[left], symbols[right]
-            if a is None or b is None or len(a) + len(b) != size:
-                continue
-            symbols[left], symbols[right] = a + b, None
-            nxt = after[left] = after[right]
-            if nxt < len(symbols):
-                before[nxt] = left
-            offer(before[left], left)
-            offer(left, nxt)
-        return [s for s in symbols if s is not None]
-
-    def __missing__(self, part: str) -> bytes:
-        ids, get = array.array("i"), self.pieces.get
-        for piece in self.split(part):
-            found = get(piece)
-            if found:
-                ids.append(found[1])
-            elif self.fallback:
-                ids.extend([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")])
-            elif not ids or ids[-1] != self.unknown:  # neighbours are one piece
-                ids.append(self.unknown)
-        got = ids.tobytes()
-        if len(part) <= SHORT:
-            if len(self) >= PARTS:
-                self.clear()
-            self[part] = got
-        return got
-
-    def lengths(self, ids: np.ndarray, norm: str) -> np.ndarray:
+    def learn(self, parts: list[list[str]]) -> None:
+        """Puts what the memo lacks into it."""
+        need = set().union(*parts).difference(self)
+        if len(self) + len(need) > PARTS:
+            self.clear()
+            need = set().union(*parts)
+        for part, ids in zip(need, self.merges.encode(list(need), num_threads=1), strict=True):
+            self[part] = array.array("i", ids).tobytes()
+
+    def lengths(self, ids: np.ndarray) -> np.ndarray:
         """Normalised bytes of each piece."""
-        out = self.sizes[ids]
-        if self.fallback:  # a character's byte pieces: all is with the last
-            byte = self.values[ids]
-            lead = np.flatnonzero((byte >= 0) & (byte & 0xC0 != 0x80))
-            width = np.select([byte[lead] >= 0xF0, byte[lead] >= 0xE0, byte[lead] >= 0xC0], [4, 3, 2], 1)
-            out[lead + width - 1] = width
-        elif (ids == self.unknown).any():
-            at, of = 0, self.split_long(norm)
-            for i, one in enumerate(ids.tolist()):
-                out[i] = 0
-                while at < len(of) and (one == self.unknown) == (of[at] not in self.pieces):
-                    out[i] += len(of[at].encode("utf-8", "surrogatepass"))
-                    at += 1
-                    if one != self.unknown:
-                        break
+        out, byte = self.sizes[ids], self.values[ids]
+        # Of a character's byte pieces the last has all.
+        lead = np.flatnonzero((byte >= 0) & (byte & 0xC0 != 0x80))
+        width = np.select([byte[lead] >= 0xF0, byte[lead] >= 0xE0, byte[lead] >= 0xC0], [4, 3, 2], 1)
+        out[lead + width - 1] = width
         return out
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, begins and ends: the pieces of a whole text and their spans of its UTF-8 bytes."""
-        norm, origin = self.normalise(text or "")
-        ids = np.frombuffer(b"".join(map(self.__getitem__, self.parts.findall(norm))), np.int32)
-        sizes = self.lengths(ids, norm)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        return ids, origin[ends - sizes], origin[ends]
+    def segment(self, norms: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of normalised texts, and the normalised bytes of each piece."""
+        if self.parts is None:
+            from sentencepiece import sentencepiece_pb2
+
+            out = []
+            for norm in norms:
+                held = sentencepiece_pb2.SentencePieceText.FromString(self.merges.encode(norm, out_type="serialized_proto"))
+                out.append((np.array([p.id for p in held.pieces], np.int32), np.array([p.end - p.begin for p in held.pieces], np.int64)))
+            return out
+        parts = [self.parts.findall(n) for n in norms]
+        self.learn(parts)
+        ids = [np.frombuffer(b"".join(map(self.__getitem__, p)), np.int32) for p in parts]
+        return [(i, self.lengths(i)) for i in ids]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """ids, begins and ends of whole texts: the pieces and their spans of the UTF-8 bytes."""
+        found = [self.normalise(t or "") for t in texts]
+        out = []
+        for (_, origin), (ids, sizes) in zip(found, self.segment([norm for norm, _ in found]), strict=True):
+            ends = np.cumsum(sizes, dtype=np.int64)
+            out.append((ids, origin[ends - sizes], origin[ends]))
+        return out
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -327,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(slices):
         model = encoder(path)
         for s in slices:
-            found = [model.encode(t) for t in s["text"]]
+            found = model.encode(s["text"])
             yield {"doc_id": s["doc_id"], **{c: _lists([f[k] for f in found]) for k, c in enumerate(("ids", "begins", "ends"))}}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -346,26 +295,30 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """What identifies an encoding: doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (bytes of
-    the text that pieces cover), spans_crc32 (of begins, then ends, as little-endian 32 bit)."""
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """What identifies a document's encoding, in the pass that makes it: doc_id, n_tokens, ids_sha256,
+    decoded_sha256, span_bytes (bytes of the text that pieces cover), spans_crc32 (of begins, then
+    ends, as little-endian 32 bit)."""
     path = path or model_path()
 
     def run(slices):
-        model = decoder(path)
+        model, back = encoder(path), decoder(path)
+        names = [str(i) for i in range(back.get_piece_size())]
         for s in slices:
             out: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "spans_crc32")}
-            for doc, ids, begins, ends in zip(s["doc_id"], s["ids"], s["begins"], s["ends"], strict=True):
-                b, e = np.array(begins, "<i4"), np.array(ends, "<i4")
-                own = hashlib.sha256(",".join(map(str, ids)).encode())
-                back = hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass"))
-                row = doc, len(ids), own.hexdigest(), back.hexdigest(), int((e - b).sum()), zlib.crc32(e.tobytes(), zlib.crc32(b.tobytes()))
+            for doc, (ids, begins, ends) in zip(s["doc_id"], model.encode(s["text"]), strict=True):
+                ids = ids.tolist()
+                own = hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest()
+                decoded = hashlib.sha256(back.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+                spans = zlib.crc32(ends.astype("<i4").tobytes(), zlib.crc32(begins.astype("<i4").tobytes()))
+                row = doc, len(ids), own, decoded, int((ends - begins).sum()), spans
                 for c, v in zip(out, row, strict=True):
                     out[c].append(v)
             yield out
 
-    return map_arrow(encoded, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_crc32 long")
 
 
 def op11(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))
