@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .qc import KEY, series
-from .ranks import attach, quantiles
+from .ranks import attach, counted, quantiles
 
 EARTH_KM = 6371.0088
 
@@ -166,10 +166,12 @@ def local_reference(pairs: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def robust_sigma(df: DataFrame, by: list[str], value: str, floor: float = 0.2) -> DataFrame:
-    """1.4826 MAD by group; population deviation where it is 0; the floor at least. Groups of null meet."""
-    med = quantiles(df, by, value, {"_med": 0.5}).drop("n")
-    away = attach(df, med, by).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_away"))
-    mad = quantiles(away, by, "_away", {"_mad": 0.5}).drop("n")
-    g = attach(df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd"), F.count(value).alias("n")), mad, by)
-    mad = 1.4826 * F.col("_mad")
+    """1.4826 MAD by group; population deviation where it is 0; the floor at least. Groups of null meet;
+    a group without values has no row. All comes from the counts of each value about the group's median: the rows are read once."""
+    counts = counted(df, by, value)
+    away = attach(counts, quantiles(counts, by, "_v", {"_med": 0.5}, "_n").drop("n"), by).select(*by, "_n", (F.col("_v") - F.col("_med")).alias("_off"))
+    n, total, square = (F.sum(c) for c in (F.col("_n"), F.col("_n") * F.col("_off"), F.col("_n") * F.col("_off") * F.col("_off")))
+    g = away.groupBy(*by).agg(n.alias("n"), F.sqrt(F.greatest(F.lit(0.0), square / n - (total / n) * (total / n))).alias("_sd"))
+    mad = quantiles(away.withColumn("_off", F.abs("_off")), by, "_off", {"_mad": 0.5}, "_n").drop("n")
+    mad, g = 1.4826 * F.col("_mad"), attach(g, mad, by)
     return g.select(*by, "n", F.round(F.greatest(F.when(mad > 0, mad).otherwise(F.col("_sd")), F.lit(floor)), 6).alias("sigma"))

@@ -1,9 +1,11 @@
-"""Order statistics and running sums that no single task has to hold.
+"""Order statistics and running sums that no single task has to hold, as lazy plans.
 
-Rows are first counted per distinct value, with a map-side combine. The values of a group are then cut
-into buckets at approximate quantiles (bounded arrays); buckets are dealt out over the cluster, their
-sums are added up in order, and each bucket adds its own values behind the sum of those before it. The
-cuts only balance the work: the results are exact.
+Rows are first counted per distinct value, with a map-side combine; all that follows reads that one
+exchange. The values of a group are cut into buckets by a rule that keeps their order and needs no
+look at the data (so many to every doubling of the magnitude); the buckets' sums are added up in
+order, at most some ten thousand a group, and each bucket adds its own values behind the sum of those
+before it. The buckets only balance the work: the results are exact. They balance badly where all
+values of a large group differ by less than a thousandth of their size; subtract an offset then.
 """
 
 from __future__ import annotations
@@ -14,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-#: Groups up to which the table of cuts (BUCKETS values a group) is broadcast.
-BROADCAST_GROUPS = 10_000
+#: Buckets to a doubling of the magnitude, and the magnitude around 0 below which values are not told apart.
+PER_OCTAVE, SMALL = 512, 2.0**-20
 
 
 def _same(left: DataFrame, right: DataFrame, by: list[str], prefix: str) -> Column:
@@ -28,47 +29,68 @@ def _renamed(df: DataFrame, by: list[str], prefix: str) -> DataFrame:
 
 
 def attach(df: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Joins a table with a row a group, null-safely. With few groups it is computed once, here, and
-    broadcast; else it is joined as it is."""
-    rows = small.limit(BROADCAST_GROUPS + 1).collect()
-    if len(rows) <= BROADCAST_GROUPS:
-        small = F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    """Joins a table with a row a group, null-safely. Whether it is broadcast follows from the size that
+    it turns out to have; without keys it is one row and always is."""
     s = _renamed(small, by, "_of_")
-    return df.join(s, _same(df, s, by, "_of_"), how).drop(*(f"_of_{c}" for c in by))
+    return df.join(s if by else F.broadcast(s), _same(df, s, by, "_of_"), how).drop(*(f"_of_{c}" for c in by))
+
+
+def bucket(value: Column) -> Column:
+    """A whole number that does not fall as the value rises."""
+    x = value.cast("double")
+    return (F.signum(x) * F.floor(PER_OCTAVE * F.log2(1 + F.abs(x) / SMALL))).cast("long")
+
+
+def _before(counts: DataFrame, by: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """A row per group and bucket: for each pair the bucket's own sum, that of the buckets before it, and
+    that of the group."""
+    each = counts.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_own_{n}") for n, c in sums.items()))
+    order = F.desc("_bucket") if descending else F.asc("_bucket")
+    whole = W.partitionBy(*by)
+    before = whole.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    found = {f"_before_{n}": F.coalesce(F.sum(f"_own_{n}").over(before), F.lit(0)) for n in sums}
+    return each.withColumns(found | {f"_all_{n}": F.sum(f"_own_{n}").over(whole) for n in sums})
+
+
+def _inside(counts: DataFrame, each: DataFrame, by: list[str], value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """The rows of the buckets in ``each`` with their running sums."""
+    order = F.desc(value) if descending else F.asc(value)
+    inside = W.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return attach(counts, each, [*by, "_bucket"]).withColumns({n: F.col(f"_before_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
 
 
 def running(counts: DataFrame, by: list[str], value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """counts: one row per group and value. Adds, for each pair (new column: summed column), the sum
     over the values up to and including the row's, in order."""
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS))), F.lit(1000)).alias("_cuts"))
-    rows = attach(counts, cuts, by)
-    rows = rows.withColumn("_bucket", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
-    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    each = rows.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_own_{n}") for n, c in sums.items()))
-    before = W.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    each = each.select(*by, "_bucket", *(F.coalesce(F.sum(f"_own_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
-    e = _renamed(each, [*by, "_bucket"], "_of_")
-    inside = W.partitionBy(*by, "_bucket").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.join(e, _same(rows, e, [*by, "_bucket"], "_of_"))
-    rows = rows.withColumns({n: F.col(f"_before_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
-    return rows.drop("_bucket", *(f"_of_{c}" for c in [*by, "_bucket"]), *(f"_before_{n}" for n in sums))
-
-
-def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    rows = counts.withColumn("_bucket", bucket(F.col(value)))
+    each = _before(rows, by, sums, descending).select(*by, "_bucket", *(f"_before_{n}" for n in sums))
+    return _inside(rows, each, by, value, sums, descending).drop("_bucket", *(f"_before_{n}" for n in sums))
+
+
+def counted(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """by, _v, _n: how often each group has each value that is not null; or the sums of ``weight``."""
+    n = F.sum(weight) if weight else F.count("*")
+    return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(n.alias("_n"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of the values that are not null: a row a group with a
-    column for each name in ``at``, and n, the number of values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
-    rows = attach(running(counts, by, "_v", {"_upto": "_n"}), total, by)
-    # A value is of interest if one of the wanted places lies in its run of places.
-    low = F.col("_upto") - F.col("_n")
-    places = {name: F.lit(q) * (F.col("n") - 1) for name, q in at.items()}
-    holds = lambda place: (place >= low) & (place < F.col("_upto"))
-    hit = [(F.floor(p), F.ceil(p)) for p in places.values()]
-    rows = rows.where(reduce(lambda a, b: a | b, [holds(x) | holds(y) for x, y in hit]))
-    ends = {}
-    for name, (x, y) in zip(places, hit, strict=True):
-        ends |= {f"_a_{name}": F.max(F.when(holds(x), F.col("_v"))), f"_b_{name}": F.max(F.when(holds(y), F.col("_v")))}
-    g = rows.groupBy(*by, "n").agg(*(c.alias(k) for k, c in ends.items()))
-    between = lambda name, p: F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (p - F.floor(p))
-    return g.select(*by, "n", *(between(name, p).alias(name) for name, p in places.items()))
+    column for each name in ``at``, and n, the number of values. With ``weight`` a row counts so often."""
+    counts = counted(df, by, value, weight).withColumn("_bucket", bucket(F.col("_v")))
+    each = _before(counts, by, {"_upto": "_n"})
+    # The wanted places, from 0, as data: the plan does not grow with their number.
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at.values())))
+    place = lambda x: x["q"] * (F.col("_all__upto") - 1)
+    held = lambda p, low, high: (p >= low) & (p < high)
+    within = lambda x, low, high: held(F.floor(place(x)), low, high) | held(F.ceil(place(x)), low, high)
+    # Only the buckets that one of the places lies in are looked into, then only such values.
+    first = F.col("_before__upto")
+    each = each.where(F.exists(wanted, lambda x: within(x, first, first + F.col("_own__upto")))).drop("_own__upto")
+    rows = _inside(counts, each, by, "_v", {"_upto": "_n"})
+    low, high = F.col("_upto") - F.col("_n"), F.col("_upto")
+    rows = rows.select(*by, "_all__upto", "_v", "_upto", "_n", F.explode(F.filter(wanted, lambda x: within(x, low, high))).alias("_w"))
+    w = F.col("_w")
+    ends = rows.groupBy(*by, "_all__upto", "_w").agg(*(F.max(F.when(held(end(place(w)), low, high), F.col("_v"))).alias(n) for n, end in (("_a", F.floor), ("_b", F.ceil))))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place(w) - F.floor(place(w)))
+    g = ends.groupBy(*by, "_all__upto").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_w.i"), value.alias("v")))).alias("_found"))
+    return g.select(*by, F.col("_all__upto").alias("n"), *(F.col("_found")[i].alias(name) for i, name in enumerate(at)))

@@ -63,3 +63,24 @@ def test_queries_without_sql(spark, name):
     assert df.count() > 0
     if name.startswith("risk"):
         assert df.where("risk < 0 OR risk > 1 OR risk IS NULL").count() == 0
+
+
+def test_order_statistics_are_lazy_and_scan_once(spark, monkeypatch):
+    from skyledger.operators import features, ranks
+
+    df = spark.createDataFrame([(g, float(v), g) for g in ("a", None) for v in (-5, -1e-9, 0, 0, 0, 3, 7e9)] + [("b", None, "b")], "g string, v double, h string")
+
+    def no_job(*_):
+        raise AssertionError("a job ran while the plan was made")
+
+    for name in ("collect", "count", "first", "take", "head"):
+        monkeypatch.setattr(type(df), name, no_job)
+    made = ranks.quantiles(df, ["g"], "v", {"low": 0.0, "q": 0.75, "high": 1.0}), features.robust_sigma(df, ["g"], "v"), ranks.running(ranks.counted(df, ["g"], "v"), ["g"], "_v", {"upto": "_n"}, descending=True)
+    monkeypatch.undo()
+    q, sigma, run = ([tuple(r) for r in m.collect()] for m in made)
+    assert sorted(q, key=str) == sorted([("a", 7, -5.0, 1.5, 7e9), (None, 7, -5.0, 1.5, 7e9)], key=str)
+    assert {r[0] for r in sigma} == {"a", None} and all(abs(s - 1.4826 * 1e-9) < 1 and s == 0.2 or s > 1 for _, _, s in sigma)
+    assert sorted(r[-1] for r in run if r[0] == "a") == [1, 2, 5, 6, 7]
+    plan = made[1]._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("Scan ExistingRDD") + final.count("LocalTableScan") <= 1
