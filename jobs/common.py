@@ -6,9 +6,6 @@ import argparse
 import json
 import logging
 import pathlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,16 +35,6 @@ def stream_path(spark: SparkSession, path: str) -> str:
     return path
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the shared one of the session; a local one only in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/skyledger"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def main(run: Callable[[SparkSession, str, str, dict], DataFrame], default: str, about: str) -> None:
     """The command line: the only place that creates and stops a session."""
     p = argparse.ArgumentParser(description=about)
@@ -56,7 +43,8 @@ def main(run: Callable[[SparkSession, str, str, dict], DataFrame], default: str,
     p.add_argument("--config", help="a JSON file of settings that differ from the job's own")
     args = p.parse_args()
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
-    spark = SparkSession.builder.appName(run.__module__).getOrCreate()
+    logging.getLogger("py4j").setLevel(logging.WARNING)
+    spark = SparkSession.builder.appName(about.splitlines()[0]).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         run(spark, args.source, args.out, config(spark, args.config, default))
     finally:

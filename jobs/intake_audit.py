@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from skyledger.operators import reports
 from skyledger.sources import panels
 
-from .common import LOG, main, new_folder, write
+from .common import LOG, main, write
 from .common import config as read_config
 
 CONFIG = "intake_audit.json"
@@ -82,7 +82,7 @@ def result(spark: SparkSession, out: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the given tables into one new folder; the reports after the second."""
-    out = new_folder(spark, "intake-audit")
+    out = panels.work_folder(spark, "intake-audit")
     c = read_config(spark, None, CONFIG)
     for _ in range(2):
         found = run(spark, sf_dir, out, c)

@@ -31,8 +31,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.operators import qc
+from skyledger.sources import panels
 
-from .common import LOG, main, new_folder, stream_path, write
+from .common import LOG, main, stream_path, write
 from .common import config as read_config
 
 CONFIG = "station_hours.json"
@@ -124,7 +125,7 @@ def run(spark: SparkSession, source: str, out: str, c: dict | None = None) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over all events into one new folder; the hours after the second."""
-    out = new_folder(spark, "station-hours")
+    out = panels.work_folder(spark, "station-hours")
     c = read_config(spark, None, CONFIG) | QUERY_SETTINGS
     for _ in range(2):
         hours = run(spark, f"{sf_dir}/events.parquet", out, c)
