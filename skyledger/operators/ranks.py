@@ -90,7 +90,13 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], we
     low, high = F.col("_upto") - F.col("_n"), F.col("_upto")
     rows = rows.select(*by, "_all__upto", "_v", "_upto", "_n", F.explode(F.filter(wanted, lambda x: within(x, low, high))).alias("_w"))
     w = F.col("_w")
-    ends = rows.groupBy(*by, "_all__upto", "_w").agg(*(F.max(F.when(held(end(place(w)), low, high), F.col("_v"))).alias(n) for n, end in (("_a", F.floor), ("_b", F.ceil))))
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place(w) - F.floor(place(w)))
-    g = ends.groupBy(*by, "_all__upto").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_w.i"), value.alias("v")))).alias("_found"))
-    return g.select(*by, F.col("_all__upto").alias("n"), *(F.col("_found")[i].alias(name) for i, name in enumerate(at)))
+    ends = [F.when(held(end(place(w)), low, high), F.col("_v")) for end in (F.floor, F.ceil)]
+    g = rows.select(*by, "_all__upto", w["i"].alias("_i"), place(w).alias("_p"), *(e.alias(n) for n, e in zip(("_a", "_b"), ends, strict=True)))
+    g = g.groupBy(*by, F.col("_all__upto").alias("n")).agg(F.collect_list(F.struct("_i", "_p", "_a", "_b")).alias("_found"))  # two entries a place at most
+
+    def value(i: int) -> Column:
+        own = F.filter("_found", lambda x: x["_i"] == i)
+        a, b, p = (F.array_max(own[c]) for c in ("_a", "_b", "_p"))
+        return a + (b - a) * (p - F.floor(p))
+
+    return g.select(*by, "n", *(value(i).alias(name) for i, name in enumerate(at)))

@@ -16,8 +16,9 @@ def _rows(spark, d):
 
 
 def _applied(spark, d):
+    # The tables have some 400 rows and are read more than once: they are kept when they are first made.
     rows = _rows(spark, d)
-    return un.apply_sigma(rows, un.sigma_tables(rows.where(_TRAIN)))
+    return un.apply_sigma(rows, un.sigma_tables(rows.where(_TRAIN)).persist())
 
 
 def _bands(spark, d):
