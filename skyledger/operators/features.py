@@ -48,12 +48,14 @@ def forward_fill(obs: DataFrame) -> DataFrame:
 
 def asof(left: DataFrame, right: DataFrame, value: str, direction: str = "backward", hours: float = 3) -> DataFrame:
     """Joins each left row (date, station_id) with the right row nearest in time in a direction, up to
-    and including ``hours``; a tie goes back. One union and one window, no range join."""
-    r = right.groupBy("station_id", "date").agg(F.max(value).alias(value))
-    both = left.select("*", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_left")).unionByName(r.select("date", "station_id", F.col(value).alias("_v"), F.lit(0).alias("_left")), allowMissingColumns=True)
+    and including ``hours``; a tie goes back. Stations of two networks may share an id: where both sides
+    have a network, it must be the same. One union and one window, no range join."""
+    keys = ["station_id", *(["network"] if "network" in left.columns and "network" in right.columns else [])]
+    r = right.groupBy(*keys, "date").agg(F.max(value).alias(value))
+    both = left.select("*", F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_left")).unionByName(r.select("date", *keys, F.col(value).alias("_v"), F.lit(0).alias("_left")), allowMissingColumns=True)
     here = F.when(F.col("_left") == 0, F.struct(F.col("date").alias("t"), F.col("_v").alias("v")))
-    past = W.partitionBy("station_id").orderBy(F.col("date"), F.col("_left")).rowsBetween(W.unboundedPreceding, 0)
-    next_ = W.partitionBy("station_id").orderBy(F.col("date"), F.desc("_left")).rowsBetween(0, W.unboundedFollowing)
+    past = W.partitionBy(*keys).orderBy(F.col("date"), F.col("_left")).rowsBetween(W.unboundedPreceding, 0)
+    next_ = W.partitionBy(*keys).orderBy(F.col("date"), F.desc("_left")).rowsBetween(0, W.unboundedFollowing)
     both = both.withColumns({"_b": F.last(here, ignorenulls=True).over(past), "_f": F.first(here, ignorenulls=True).over(next_)}).where("_left = 1")
     age = lambda c: F.abs(F.unix_seconds(F.col("date")) - F.unix_seconds(F.col(f"{c}.t"))) / 3600
     ok = lambda c: F.coalesce(age(c) <= hours, F.lit(False))

@@ -9,11 +9,11 @@ import pytest
 from skyledger.operators import evaluation as ev
 from skyledger.operators import features as ft
 from skyledger.operators import qc
-from skyledger.plans import catalog, chain, context, intake, learning, products, robustness, uncertainty
+from skyledger.plans import catalog, chain, context, environment, intake, learning, products, robustness, uncertainty
 
 SF = "/root/testdata/sf0.01"
 TABLES = "supplier events lineitem orders".split()
-PLANS = (catalog, products, context, chain, robustness, learning, intake, uncertainty)
+PLANS = (catalog, products, context, chain, robustness, learning, intake, uncertainty, environment)
 
 
 def text(v):
