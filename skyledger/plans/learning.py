@@ -4,11 +4,16 @@ answer is known."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import columns as cl
+from ..operators import encoding as enc
 from ..operators import features as ft
 from ..operators import learning as le
+from ..operators import reports
 from ..sources import context, observations, scored, stations
 from .stand_ins import CONTEXT, SCORED
 
@@ -29,20 +34,24 @@ def risk_rows(spark, d):
     return out.withColumns({"temp_raw": 20 + r, "ref_mu": F.lit(20.0), "season_lg": F.when(F.col("month") % 5 != 0, F.concat(F.lit("s"), (F.col("month") % 4).cast("string"))), "target_ref_risk_band_z": band})
 
 
+def _with_fill(names, rows):
+    """Names of features with the rows that have a value of them, counted in one pass over all."""
+    filled = reports.missingness(rows).select(F.col("column").alias("feature"), (F.col("n_rows") - F.col("n_null") - F.col("n_blank") - F.col("n_unusable")).alias("n_filled"))
+    return names.join(F.broadcast(filled), "feature")  # a row a column
+
+
 def _chosen(spark, d):
-    rows = []
+    rows, out = risk_rows(spark, d), []
     for mode in cl.MODES:
-        features, categories = cl.risk_features(risk_rows(spark, d), mode)
-        rows += [(mode, f, f in categories) for f in features]
-    return spark.createDataFrame(rows, "feature_mode string, feature string, is_category boolean")
+        features, categories = cl.risk_features(rows, mode)
+        out += [(mode, f, f in categories) for f in features]
+    return _with_fill(spark.createDataFrame(out, "feature_mode string, feature string, is_category boolean"), rows)
 
 
 def _audits(spark, d):
-    names = ("wind", "temp_raw", "ref_mu", "ref_sigma", "station_ref_bias_train", "target_ref_risk", "abs_cws_ref_resid", "risk_band_fixed", "ref_local_mean_c", "t_minus_lst")
-    out = [cl.leakage_audit(spark, names, m) for m in (*cl.MODES, *cl.ALIASES)]
-    for other in out[1:]:
-        out[0] = out[0].unionByName(other)
-    return out[0]
+    rows = risk_rows(spark, d)
+    out = [cl.leakage_audit(spark, rows.columns, m) for m in (*cl.MODES, *cl.ALIASES)]
+    return _with_fill(reduce(DataFrame.unionByName, out), rows)
 
 
 def _risk(spark, d, mode):
@@ -66,18 +75,24 @@ def _reference(spark, d):
 
 _NUMBERS = "elev_diff elev_gap building_gap cover_differs is_day km lcz_differs lst_diff month n_refs ndvi_diff solar spread wind".split()
 _TABLE = ", ".join(f"('{m}', '{f}', {str(f == 'season_lg').upper()})" for m in cl.MODES for f in (*_NUMBERS, "season_lg", *(() if m == cl.STATIC_MODE else ("station_ref_bias_train", "station_ref_n_train")), *(("temp_raw", "ref_mu") if m in (cl.OPERATIONAL_MODE, cl.DIAGNOSTIC_MODE) else ())))
+_COLUMNS = "station_id row_key line p resid y lenient strict split day".split()
+_NAMED = "station_id row_id line_id pred_ref_risk_prob cws_ref_resid target_ref_risk qc_flag_lenient qc_flag_strict split date".split()
+_DERIVED = {"temp_raw": "20 + resid", "ref_mu": "20", "season_lg": "CASE WHEN month % 5 <> 0 THEN month END", "target_ref_risk_band_z": BAND}
+_FILLED = f"""WITH {CONTEXT}, {HISTORY}, rows AS (SELECT c.*, h.station_ref_bias_train, h.station_ref_n_train FROM context c LEFT JOIN h ON h.station_id = c.station_id),
+filled AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, count({c}) AS n_filled FROM rows" for n, c in [*zip(_NAMED, _COLUMNS, strict=True), *((x, x) for x in (*_NUMBERS, "station_ref_bias_train", "station_ref_n_train")), *_DERIVED.items()])})"""
 _DIRECT = f"feature_mode IN ('{cl.OPERATIONAL_MODE}', '{cl.DIAGNOSTIC_MODE}')"
-_CURRENT = "feature IN ('temp_raw', 'ref_mu', 'ref_sigma', 'ref_local_mean_c', 't_minus_lst')"
+_CURRENT = "feature IN ('temp_raw', 'ref_mu')"
+_TOLD = "feature IN ('target_ref_risk', 'pred_ref_risk_prob', 'target_ref_risk_band_z')"
+_PAST = "feature IN ('station_ref_bias_train', 'station_ref_n_train')"
 
 _SUITE: dict = {
-    "feature_modes": (_chosen, f"SELECT * FROM (VALUES {_TABLE}) t(feature_mode, feature, is_category)"),
+    "feature_modes": (_chosen, f"{_FILLED} SELECT t.*, n_filled FROM (VALUES {_TABLE}) t(feature_mode, feature, is_category) JOIN filled USING (feature)"),
     "leakage_audit": (
         _audits,
-        f"""WITH m AS (SELECT unnest(['{"', '".join((*cl.MODES, *cl.ALIASES))}']) AS feature_mode), f AS (SELECT unnest(['wind', 'temp_raw', 'ref_mu', 'ref_sigma', 'station_ref_bias_train', 'target_ref_risk', 'abs_cws_ref_resid', 'risk_band_fixed', 'ref_local_mean_c', 't_minus_lst']) AS feature)
-SELECT feature_mode, feature, CASE WHEN feature IN ('target_ref_risk', 'risk_band_fixed') THEN 'target_or_risk_column' WHEN feature = 'abs_cws_ref_resid' THEN 'direct_residual_column' WHEN {_CURRENT} THEN 'current_temp_or_reference_temperature'
-  WHEN feature = 'wind' THEN 'ok' ELSE 'train_only_station_residual_history' END AS audit_category,
-CASE WHEN feature IN ('target_ref_risk', 'risk_band_fixed', 'abs_cws_ref_resid') THEN 'fatal' WHEN {_CURRENT} AND {_DIRECT} THEN 'diagnostic' WHEN {_CURRENT} THEN 'fatal' WHEN feature = 'wind' THEN 'ok'
-  WHEN feature_mode = '{cl.STATIC_MODE}' THEN 'fatal' ELSE 'warning' END AS severity FROM m, f""",
+        f"""{_FILLED}, m AS (SELECT unnest(['{"', '".join((*cl.MODES, *cl.ALIASES))}']) AS feature_mode)
+SELECT feature_mode, feature, n_filled, CASE WHEN {_TOLD} THEN 'target_or_risk_column' WHEN feature = 'cws_ref_resid' THEN 'direct_residual_column' WHEN {_CURRENT} THEN 'current_temp_or_reference_temperature'
+  WHEN {_PAST} THEN 'train_only_station_residual_history' ELSE 'ok' END AS audit_category,
+CASE WHEN {_TOLD} OR feature = 'cws_ref_resid' THEN 'fatal' WHEN {_CURRENT} AND {_DIRECT} THEN 'diagnostic' WHEN {_CURRENT} THEN 'fatal' WHEN {_PAST} AND feature_mode = '{cl.STATIC_MODE}' THEN 'fatal' WHEN {_PAST} THEN 'warning' ELSE 'ok' END AS severity FROM m, filled""",
     ),
     "group_folds": (
         lambda spark, d: le.group_folds(scored(spark, d), "station_id"),
@@ -102,6 +117,15 @@ SELECT station_id, n_rows, fold FROM g WHERE i > 0""",
         lambda spark, d: risk_rows(spark, d).groupBy("station_id").agg(F.max("station_ref_bias_train").alias("bias"), F.max("station_ref_n_train").alias("n_train"), F.count("*").alias("n")),
         f"WITH {CONTEXT}, {HISTORY} SELECT c.station_id, max(station_ref_bias_train) AS bias, max(station_ref_n_train) AS n_train, count(*) AS n FROM context c LEFT JOIN h ON h.station_id = c.station_id GROUP BY 1",
     ),
+    "ordered_target": (
+        lambda spark, d: enc.ordered_target(scored(spark, d), "station_id", "y", ["row_key", "line"], "code").groupBy("station_id", "split").agg(F.count("*").alias("n"), F.round(F.avg("code"), 8).alias("code"), F.round(F.avg(F.col("code") * F.col("y")), 8).alias("code_y")),
+        f"""WITH {SCORED}, o AS (SELECT *, CAST('0x' || substr(md5('0|' || row_key || '|' || line), 1, 13) AS BIGINT) AS place FROM scored), w AS (SELECT *, (coalesce(sum(y) OVER b, 0) + 0.5) / (count(y) OVER b + 1) AS code FROM o WINDOW b AS (PARTITION BY station_id ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT station_id, split, count(*) AS n, round(avg(code), 8) AS code, round(avg(code * y), 8) AS code_y FROM w GROUP BY 1, 2""",
+    ),
+    "category_means": (
+        lambda spark, d: enc.category_means(scored(spark, d).where("split = 'train'"), "station_id", "y", "code").withColumn("code", F.round("code", 8)),
+        f"WITH {SCORED} SELECT CAST(station_id AS VARCHAR) AS station_id, round((sum(y) + 0.5) / (count(y) + 1), 8) AS code FROM scored WHERE split = 'train' GROUP BY 1",
+    ),
     "importance_stability": (
         lambda spark, d: _rounded(le.importance_stability(_runs(spark, d), ["split"], top=3)),
         f"""WITH {SCORED}, r AS (SELECT split, 'line_' || line AS feature, row_key % 5 AS seed, avg(p) AS importance FROM scored GROUP BY ALL), g AS (SELECT split, feature, count(DISTINCT seed) AS n_runs, avg(importance) AS mean, stddev_samp(importance) AS std, min(importance) AS least, max(importance) AS most FROM r GROUP BY 1, 2),

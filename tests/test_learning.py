@@ -78,3 +78,36 @@ def test_targets(spark):
     assert [(r[name], r["is_model_labeled"]) for r in hard.collect()] == [(1.0, 1), (None, 0), (None, 0), (0.0, 1)]
     with pytest.raises(KeyError):
         le.training_target(df.drop("target_ref_risk"), "hard")
+
+
+def test_ordered_target_does_not_leak(spark):
+    import random
+
+    from skyledger.operators import encoding
+
+    rng = random.Random(3)
+    # A category of its own for every row, and one that holds half of the rows: neither tells the target.
+    rows = [(i, f"own{i}" if i % 2 else "big", rng.randint(0, 1) if i % 7 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, c string, y int")
+    got = {r["id"]: r["code"] for r in encoding.ordered_target(df, "c", "y", ["id"], "code").collect()}
+    assert len(got) == 2000 and {got[i] for i in range(1, 2000, 2)} == {0.5}
+    places = {r["id"]: r["p"] for r in df.select("id", encoding.place(df.id).alias("p")).collect()}
+    order = sorted((i for i in range(0, 2000, 2)), key=places.get)
+    n = s = 0
+    for i in order:
+        assert got[i] == pytest.approx((s + 0.5) / (n + 1))
+        y = rows[i][2]
+        n, s = n + (y is not None), s + (y or 0)
+    leaky = {r["c"]: r["code"] for r in encoding.category_means(df, "c", "y", "code").collect()}
+    assert leaky["big"] == pytest.approx((s + 0.5) / (n + 1))
+    odd = [(got[i], rows[i][2]) for i in range(1, 2000, 2) if rows[i][2] is not None]
+    assert len({c for c, _ in odd}) == 1, "with a plain mean each of these would be its own target"
+
+
+def test_ordered_target_of_missing_categories_and_shared_keys(spark):
+    from skyledger.operators import encoding
+
+    df = spark.createDataFrame([(1, None, 1), (1, None, 0), (2, None, 1)], "id long, c string, y int")
+    got = encoding.ordered_target(df, "c", "y", ["id"], "code").collect()
+    assert len(got) == 3 and len({r["code"] for r in got if r["id"] == 1}) == 1
+    assert encoding.ordered_target(df.limit(0), "c", "y", ["id"], "code").count() == 0
