@@ -73,8 +73,9 @@ def band(value: Column, low: Column, high: Column) -> Column:
 
 
 def with_bands(scored: DataFrame, limits: DataFrame, resid: str = "resid") -> DataFrame:
-    """risk_abs, risk_z (1 above the high threshold; 0 for null) and the bands of both."""
-    rows = scored.join(F.broadcast(limits))  # one row
+    """risk_abs, risk_z (1 above the high threshold; 0 for null) and the bands of both. Without any
+    threshold there are no bands."""
+    rows = scored.join(F.broadcast(limits), F.lit(True), "left")  # one row, or none
     out = {}
     for name, value in (("abs", F.abs(resid)), ("z", F.abs("z"))):
         low, high = (F.col(f"{'resid' if name == 'abs' else 'z'}_{k}") for k in ("low", "high"))

@@ -13,7 +13,7 @@ from ..operators import columns as cl
 from ..operators import encoding as enc
 from ..operators import features as ft
 from ..operators import learning as le
-from ..operators import reports
+from ..operators import reports, sgd
 from ..sources import context, observations, scored, stations
 from .stand_ins import CONTEXT, SCORED
 
@@ -73,6 +73,12 @@ def _reference(spark, d):
     return out.select("date", "station_id", "fold", "temp_raw", F.round("ref_mu_learned", 6).alias("ref_mu_learned"), F.round("ref_resid_learned", 6).alias("ref_resid_learned"))
 
 
+def _sgd(spark, d):
+    rows = context(spark, d)
+    model = sgd.fit_logistic(rows.where("split = 'train'"), "y", ["solar", "wind", "km", "n_refs", "spread", "elev_gap"], ["lcz_differs", "month", "station_id"])
+    return model.risk(rows).select("station_id", "row_key", "line", "split", "y", F.round("risk", 6).alias("risk"))
+
+
 _NUMBERS = "elev_diff elev_gap building_gap cover_differs is_day km lcz_differs lst_diff month n_refs ndvi_diff solar spread wind".split()
 _TABLE = ", ".join(f"('{m}', '{f}', {str(f == 'season_lg').upper()})" for m in cl.MODES for f in (*_NUMBERS, "season_lg", *(() if m == cl.STATIC_MODE else ("station_ref_bias_train", "station_ref_n_train")), *(("temp_raw", "ref_mu") if m in (cl.OPERATIONAL_MODE, cl.DIAGNOSTIC_MODE) else ())))
 _COLUMNS = "station_id row_key line p resid y lenient strict split day".split()
@@ -133,6 +139,7 @@ k AS (SELECT *, dense_rank() OVER (PARTITION BY split ORDER BY round(mean, 12) D
     ),
     "reference_regression": (_reference, None),
     "risk_context_history": (_risk_scores(cl.HISTORY_MODE), None),
+    "risk_sgd": (_sgd, None),
     "risk_importance": (lambda spark, d: _risk(spark, d, cl.STATIC_MODE)[1].importance(spark), None),
 }
 

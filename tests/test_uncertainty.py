@@ -37,6 +37,8 @@ def test_bands_and_null_residuals(spark):
     got = {r["resid"]: (r["risk_abs"], r["risk_z"], r["band_abs"], r["band_z"]) for r in un.with_bands(df, limits).collect()}
     assert got[95.0] == (0, 0, un.BANDS[0], un.BANDS[0]) and got[99.0][2] == un.BANDS[1] and got[100.0] == (1, 1, un.BANDS[2], un.BANDS[2])
     assert got[None] == (0, 0, None, None)
+    none = un.with_bands(df, un.thresholds(df.limit(0)))
+    assert none.count() == 101 and none.where("risk_abs = 1 OR band_z IS NOT NULL").count() == 0
 
 
 def test_no_calibration_rows_give_the_floor(spark):
