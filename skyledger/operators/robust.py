@@ -18,10 +18,24 @@ def log_loss(df: DataFrame, least: float = 1e-6) -> DataFrame:
     return df.where("p IS NOT NULL AND y IS NOT NULL").groupBy("split").agg(F.when(F.countDistinct("y") > 1, F.round(F.avg(loss), 6)).alias("log_loss"))
 
 
+def with_block(df: DataFrame, unit: str = "station", name: str = "block") -> DataFrame:
+    """The rows with the block that they are drawn by: their network's station, or that on one day."""
+    day = {"station": [], "station_day": [F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("NaT"))]}
+    if unit not in day:
+        raise ValueError(f"unit {unit}: station or station_day")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("Missing"))
+    return df.withColumn(name, F.concat_ws("::", part("network"), part("station_id"), *day[unit]))
+
+
 def drawn(blocks: DataFrame, draws: int = DRAWS, seed: str = SEED) -> DataFrame:
-    """blocks: distinct ``block``, numbered in order. b, block, w: how often each draw (with replacement,
-    as many as there are) has each block. Blocks are stations or their months, not rows."""
-    numbered = blocks.withColumn("i", F.row_number().over(W.orderBy("block")) - 1)
+    """blocks: distinct ``block``. b, block, w: how often each draw (with replacement, as many as there
+    are) has each block. Blocks are numbered by their hash: within the 4,096 ranges of its first digits,
+    behind the counts of the ranges before, so that no task sees them all."""
+    hashed = blocks.withColumn("_h", F.md5(F.coalesce("block", F.lit("")).cast("binary"))).withColumn("_range", F.substring("_h", 1, 3))
+    before = hashed.groupBy("_range").agg(F.count("*").alias("_n"))  # 4,096 rows at most
+    before = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("_h", "block")) - 1
+    numbered = hashed.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(*blocks.columns, (F.col("_before") + F.col("_inside")).alias("i"))
     size = blocks.agg(F.count("*").alias("m"))  # one row
     slots = numbered.select(F.col("i").alias("slot")).join(F.broadcast(size)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "slot").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("m")

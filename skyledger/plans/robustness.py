@@ -36,7 +36,7 @@ def _obs(fn):
 
 def _drawn(of: str) -> str:
     """The draws over the distinct blocks of a table, in SQL."""
-    return f"""nb AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS i FROM (SELECT DISTINCT block FROM {of})), dr AS (SELECT t.b, CAST('0x' || substr(md5('2026-' || t.b || '-' || nb.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM nb) AS i FROM nb, unnest(range(1, 501)) AS t(b)),
+    return f"""nb AS (SELECT block, row_number() OVER (ORDER BY md5(block), block) - 1 AS i FROM (SELECT DISTINCT block FROM {of})), dr AS (SELECT t.b, CAST('0x' || substr(md5('2026-' || t.b || '-' || nb.i), 1, 8) AS BIGINT) % (SELECT count(*) FROM nb) AS i FROM nb, unnest(range(1, 501)) AS t(b)),
 dw AS (SELECT b, block, count(*) AS w FROM dr JOIN nb USING (i) GROUP BY 1, 2)"""
 
 
@@ -96,6 +96,10 @@ SELECT policy, count(*) AS draws, {_bounds("retention", "mae")} FROM pa GROUP BY
         lambda spark, d: ro.bootstrap_metrics(context(spark, d).withColumn("unit", F.concat_ws("@", "station_id", "month")), "unit", "split"),
         f"WITH {CONTEXT}, v AS (SELECT *, station_id || '@' || month AS unit FROM context), " + _boot_sql("v", "unit", "split"),
     ),
+    "station_day_bootstrap": (
+        lambda spark, d: ro.bootstrap_metrics(ro.with_block(observations(spark, d).withColumn("resid", F.col("temp") - 50), "station_day", "unit"), "unit", "network"),
+        f"WITH {OBS}, v AS (SELECT *, temp - 50 AS resid, network || '::' || station_id || '::' || strftime(date, '%Y-%m-%d') AS unit FROM obs), " + _boot_sql("v", "unit", "network"),
+    ),
     "holdout_runs": (
         _scored(lambda s: ro.holdout_runs(s, SEEDS).select("seed", "stations", "n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias", "over_2")))),
         f"WITH {SCORED}, {_holdout(SEEDS)} SELECT seed, stations, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(bias, 6) AS bias, round(over_2, 6) AS over_2 FROM ru",

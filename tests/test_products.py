@@ -84,3 +84,17 @@ def test_order_statistics_are_lazy_and_scan_once(spark, monkeypatch):
     plan = made[1]._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert final.count("Scan ExistingRDD") + final.count("LocalTableScan") <= 1
+
+
+def test_blocks_are_numbered_without_a_gap_and_drawn_by_day(spark):
+    from skyledger.operators import robust
+
+    rows = [("cws", s, f"2024-01-0{d} 05:00:00") for s in range(40) for d in (1, 2)] + [("ows", None, None)]
+    df = spark.createDataFrame(rows, "network string, station_id long, date string").withColumn("date", F.col("date").cast("timestamp"))
+    assert robust.with_block(df).select("block").distinct().count() == 41
+    blocks = robust.with_block(df, "station_day").select("block").distinct()
+    got = robust.drawn(blocks, 20).groupBy("b").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
+    assert len(got) == 20 and {r["w"] for r in got} == {81} and all(30 < r["n"] < 81 for r in got)
+    assert "ows::Missing::NaT" in {r[0] for r in blocks.collect()}
+    with pytest.raises(ValueError, match="unit"):
+        robust.with_block(df, "month")
