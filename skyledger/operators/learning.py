@@ -157,10 +157,14 @@ def fit_reference(df: DataFrame, target: str, features: list[str], categories: l
     return _fit(rows, features, categories, lambda **k: GBTRegressor(labelCol="_label", **k), None, rounds, rate, depth, seed)
 
 
-def held_out_reference(df: DataFrame, target: str, features: list[str], categories: list[str], station: str = "station_id", n: int | None = FOLDS, rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH, seed: int = SEED) -> tuple[DataFrame, list[Fitted]]:
+def held_out_reference(df: DataFrame, target: str, features: list[str], categories: list[str], station: str = "station_id", n: int | None = FOLDS, rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH, seed: int = SEED, stop: str = "held") -> tuple[DataFrame, list[Fitted]]:
     """All rows with fold, ref_mu_learned (by a model that saw no row of the station; null without a
-    target), ref_resid_learned and abs_ref_resid_learned; and the folds' models. The held rows end the
-    rounds of their fold."""
+    target), ref_resid_learned and abs_ref_resid_learned; and the folds' models. What
+    ends a model's rounds is its own held rows (``stop`` "held"), which makes their residuals a little
+    too good, or a tenth of the other folds' rows by their hash ("others"): then the held rows have no
+    part in it at all."""
+    if stop not in ("held", "others"):
+        raise ValueError(f"stop {stop}: held or others")
     sizes = group_folds(df.where(F.col(target).isNotNull()), station, n)
     table = sizes.select(station, F.col("fold").alias("_fold")).collect()  # a row a station
     if len(table) < 2:
@@ -169,8 +173,10 @@ def held_out_reference(df: DataFrame, target: str, features: list[str], categori
     rows = df.join(F.broadcast(folds) if len(table) <= 100_000 else folds, station, "left").withColumnRenamed("_fold", "fold")
     rows = rows.withColumn("fold", F.when(F.col(target).isNotNull(), F.col("fold")))
     models, mu = [], []
+    stops = F.pmod(F.xxhash64(station, target, *(F.col(f"`{c}`") for c in features)), F.lit(10)) == 0
     for fold in sorted({r["_fold"] for r in table}):
-        own = rows.where(F.col(target).isNotNull()).withColumns({"_held": F.col("fold") == fold, "_label": F.col(target).cast("double")})
+        mine = F.col("fold") == fold
+        own = rows.where(F.col(target).isNotNull() & (~mine if stop == "others" else F.lit(True))).withColumns({"_held": stops if stop == "others" else mine, "_label": F.col(target).cast("double")})
         models.append(_fit(own, features, categories, lambda **k: GBTRegressor(labelCol="_label", **k), "_held", rounds, rate, depth, seed + fold))
         mu.append(models[-1].predict(rows.where(F.col("fold") == fold)))
     mu.append(rows.where("fold IS NULL").withColumn("ref_mu_learned", F.lit(None).cast("double")))

@@ -111,3 +111,16 @@ def test_ordered_target_of_missing_categories_and_shared_keys(spark):
     got = encoding.ordered_target(df, "c", "y", ["id"], "code").collect()
     assert len(got) == 3 and len({r["code"] for r in got if r["id"] == 1}) == 1
     assert encoding.ordered_target(df.limit(0), "c", "y", ["id"], "code").count() == 0
+
+
+def test_held_rows_have_no_part_in_their_model(spark):
+    # Another answer in one station changes what is predicted for the others, never for itself.
+    rows = [(s, float(i % 10), (i % 10) + s % 3 + (i * 7 % 5) / 10) for s in range(1, 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "station_id long, x double, temp_raw double")
+    other = df.withColumn("temp_raw", F.when(F.col("station_id") == 2, 100 - F.col("temp_raw")).otherwise(F.col("temp_raw")))
+    mu = []
+    for d in (df, other):
+        out, _ = le.held_out_reference(d, "temp_raw", ["x"], [], n=3, stop="others", **(QUICK | {"rounds": 5}))
+        mu.append({(r["station_id"], r["x"]): r["ref_mu_learned"] for r in out.select("station_id", "x", "ref_mu_learned").distinct().collect()})
+    assert all(mu[0][k] == pytest.approx(mu[1][k]) for k in mu[0] if k[0] == 2)
+    assert any(abs(mu[0][k] - mu[1][k]) > 1 for k in mu[0] if k[0] != 2)
