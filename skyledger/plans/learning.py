@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators import columns as cl
 from ..operators import encoding as enc
 from ..operators import features as ft
@@ -19,6 +20,9 @@ from .stand_ins import CONTEXT, SCORED
 
 #: Rounds and depth of the queries' models; the operators' own are 1,200 and 8, which is hours.
 QUICK = {"rounds": 20, "rate": 0.2, "depth": 5}
+#: Rounds of the queries' own boosting and its patience; the operator's own are 1,200 and 100. Trees are
+#: as large as the operator's own: depth 8, or 96 leaves.
+ROUNDS = {"rounds": 8, "rate": 0.2, "patience": 4}
 BAND = f"CASE WHEN abs(resid) >= 3 THEN '{le.HIGH_BAND}' WHEN abs(resid) <= 1 THEN '{le.LOW_BAND}' WHEN resid IS NOT NULL THEN 'ambiguous' END"
 HISTORY = """h AS (SELECT station_id, round(avg(resid), 6) AS station_ref_bias_train, count(resid) AS station_ref_n_train FROM context WHERE split = 'train' GROUP BY 1)"""
 
@@ -79,6 +83,14 @@ def _sgd(spark, d):
     return model.risk(rows).select("station_id", "row_key", "line", "split", "y", F.round("risk", 6).alias("risk"))
 
 
+def _boosted(spark, d, **growth):
+    """Learned on the bands that are sure, from what a risk model without history sees."""
+    rows, target = le.training_target(risk_rows(spark, d), "high_confidence_bands")
+    features, categories = cl.checked_features(rows, cl.STATIC_MODE)
+    model = boosting.fit_boosted(rows, target, [f for f in features if f not in categories], categories, ["row_id", "line_id"], **ROUNDS, **growth)
+    return model.risk(rows).select("row_id", "line_id", "station_id", "split", F.col(target).alias("y"), F.round("risk", 6).alias("risk"))
+
+
 _NUMBERS = "elev_diff elev_gap building_gap cover_differs is_day km lcz_differs lst_diff month n_refs ndvi_diff solar spread wind".split()
 _TABLE = ", ".join(f"('{m}', '{f}', {str(f == 'season_lg').upper()})" for m in cl.MODES for f in (*_NUMBERS, "season_lg", *(() if m == cl.STATIC_MODE else ("station_ref_bias_train", "station_ref_n_train")), *(("temp_raw", "ref_mu") if m in (cl.OPERATIONAL_MODE, cl.DIAGNOSTIC_MODE) else ())))
 _COLUMNS = "station_id row_key line p resid y lenient strict split day".split()
@@ -140,6 +152,8 @@ k AS (SELECT *, dense_rank() OVER (PARTITION BY split ORDER BY round(mean, 12) D
     "reference_regression": (_reference, None),
     "risk_context_history": (_risk_scores(cl.HISTORY_MODE), None),
     "risk_sgd": (_sgd, None),
+    "risk_boosted": (lambda spark, d: _boosted(spark, d), None),
+    "risk_leafwise": (lambda spark, d: _boosted(spark, d, depth=None, leaves=boosting.LEAVES, penalty=0.0, share=boosting.SHARE, least=boosting.LEAST), None),
     "risk_importance": (lambda spark, d: _risk(spark, d, cl.STATIC_MODE)[1].importance(spark), None),
 }
 
