@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators import frontier as fr
 from ..operators import fusion as fu
 from ..operators import robust as ro
 from ..operators import support as su
@@ -73,7 +74,48 @@ def _near(spark, d):
     return tb.fill_chain(o.where("network = 'cws'").select("date", "station_id", "network"), o.where("network = 'ows' AND temp < 60").groupBy("date", "station_id").agg(F.max("temp").alias("near")), 2)
 
 
+_LEVELS, _SCORES = {"lenient": "lenient", "strict": "strict"}, {"reject": "p", "spread": "spread"}
+_RESIDUALS = {"raw": "resid", "station_bias": "resid_corrected"}
+
+
+def _corrected(spark, d):
+    """Scored rows with their residual less its mean over the station's train rows."""
+    rows = context(spark, d)
+    bias = rows.where("split = 'train'").groupBy("station_id").agg(F.round(F.avg("resid"), 6).alias("bias"))
+    return rows.join(bias, "station_id", "left").withColumns({"resid_corrected": F.col("resid") - F.col("bias"), "block": F.col("station_id")})
+
+
+def _frontier(spark, d, result):
+    rows = _corrected(spark, d)
+    specs = fr.matched_specs(rows.where("split = 'valid'"), _LEVELS, _SCORES, _RESIDUALS)
+    out = result(rows.where("split = 'test'"), specs, [*_LEVELS.values(), *_SCORES.values()], list(_RESIDUALS.values()))
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+_SPECS = f"""{CONTEXT}, bi AS (SELECT station_id, round(avg(resid), 6) AS bias FROM context WHERE split = 'train' GROUP BY 1), v AS (SELECT c.*, resid - bias AS resid_corrected FROM context c LEFT JOIN bi USING (station_id)),
+tg AS ({" UNION ALL ".join(f"SELECT '{k}' AS level, avg(CAST(coalesce({c}, 0) = 0 AS INTEGER)) AS target FROM v WHERE split = 'valid'" for k, c in _LEVELS.items())}),
+li AS ({" UNION ALL ".join(f"SELECT '{k}' AS name, '{c}' AS score, list({c} ORDER BY {c}) AS l FROM v WHERE split = 'valid' AND {c} IS NOT NULL" for k, c in _SCORES.items())}),
+po AS (SELECT *, target * (len(l) - 1) AS pos FROM tg, li), cu AS (SELECT name, level, score, target, round(l[CAST(floor(pos) AS BIGINT) + 1] + (l[CAST(ceil(pos) AS BIGINT) + 1] - l[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos)), 9) AS threshold FROM po),
+ba AS (SELECT 'flag_' || level AS base, level, level AS score, CAST(NULL AS DOUBLE) AS threshold, target FROM tg UNION ALL SELECT name || '_matched_to_' || level, level, score, threshold, target FROM cu),
+sp AS (SELECT base || '__' || suffix AS method, level, score, threshold, target, residual FROM ba, (VALUES {", ".join(f"('{k}', '{c}')" for k, c in _RESIDUALS.items())}) r(suffix, residual)),
+te AS (SELECT * FROM v WHERE split = 'test'), lg AS ({" UNION ALL ".join(f"SELECT station_id, row_key, line, '{c}' AS score, CAST({c} AS DOUBLE) AS x, resid, resid_corrected FROM te" for c in [*_LEVELS.values(), *_SCORES.values()])}),
+us AS (SELECT CAST(station_id AS VARCHAR) AS block, method, CASE WHEN residual = 'resid' THEN resid ELSE resid_corrected END AS r FROM lg JOIN sp USING (score) WHERE CASE WHEN threshold IS NULL THEN coalesce(x, 0) = 0 ELSE x <= threshold END)"""
+_KEPT = "count(*) AS n, sum(r) AS s, sum(abs(r)) AS a, sum(r * r) AS q, sum(CAST(abs(r) > 1 AS INTEGER)) AS o1, sum(CAST(abs(r) > 2 AS INTEGER)) AS o2, sum(CAST(abs(r) > 3 AS INTEGER)) AS o3 FROM us WHERE r IS NOT NULL"
+_FIGURES = {"retention": "n / n_total", "bias": "s / n", "mae": "a / n", "rmse": "sqrt(q / n)", "over_1": "o1 / n", "over_2": "o2 / n", "over_3": "o3 / n"}
+
 _SUITE: dict = {
+    "frontier_matched": (
+        lambda spark, d: _frontier(spark, d, fr.frontier),
+        f"""WITH {_SPECS}, k AS (SELECT method, {_KEPT} GROUP BY 1), th AS ({" UNION ALL ".join(f"SELECT '{c}' AS score, avg(CAST({c} IS NOT NULL AS INTEGER)) AS score_there, count(*) AS n_total FROM te" for c in [*_LEVELS.values(), *_SCORES.values()])})
+SELECT method, level, score, round(threshold, 6) AS threshold, round(target, 6) AS target, residual, round(score_there, 6) AS score_there, n_total, coalesce(n, 0) AS n_used, {", ".join(f"round({x}, 6) AS {m}" for m, x in _FIGURES.items())} FROM sp JOIN th USING (score) LEFT JOIN k USING (method)""",
+    ),
+    "frontier_bootstrap": (
+        lambda spark, d: _frontier(spark, d, fr.bootstrap_frontier),
+        f"""WITH {_SPECS}, wh AS (SELECT CAST(station_id AS VARCHAR) AS block, count(*) AS m FROM te GROUP BY 1), {_drawn("wh")}, pk AS (SELECT b, block, w FROM dw UNION ALL SELECT 0, block, 1 FROM wh), su AS (SELECT block, method, {_KEPT} GROUP BY 1, 2),
+tt AS (SELECT b, sum(w * m) AS n_total, count(*) AS n_blocks FROM pk JOIN wh USING (block) GROUP BY 1), pa AS (SELECT b, method, {", ".join(f"sum(w * {c}) AS {c}" for c in fr.SUMS)} FROM pk JOIN su USING (block) GROUP BY 1, 2),
+me AS (SELECT b, method, CAST(n AS BIGINT) AS n, CAST(n_total AS BIGINT) AS n_total, n_blocks, {", ".join(f"{x} AS {m}" for m, x in _FIGURES.items())} FROM pa JOIN tt USING (b))
+SELECT method, count(*) FILTER (b > 0) AS draws, max(n_blocks) FILTER (b = 0) AS n_blocks, max(n_total) FILTER (b = 0) AS n_total, max(n) FILTER (b = 0) AS n_used, {", ".join(f"round(max({m}) FILTER (b = 0), 6) AS {m}, " + ", ".join(f"round(quantile_cont({m}, {q}) FILTER (b > 0), 6) AS {m}_{k}" for k, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))) for m in fr.METRICS)} FROM me GROUP BY 1""",
+    ),
     "log_loss": (_scored(ro.log_loss), f"WITH {SCORED} SELECT split, CASE WHEN count(DISTINCT y) > 1 THEN round(avg(-CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-6), 1 - 1e-6)) ELSE ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) END), 6) END AS log_loss FROM scored GROUP BY 1"),
     "f1_on_validation": (
         _scored(ev.f1_on_validation),
