@@ -13,6 +13,7 @@ from ..operators import boosting
 from ..operators import columns as cl
 from ..operators import encoding as enc
 from ..operators import features as ft
+from ..operators import holdouts as ho
 from ..operators import learning as le
 from ..operators import reports, sgd
 from ..sources import context, observations, scored, stations
@@ -20,6 +21,9 @@ from .stand_ins import CONTEXT, SCORED
 
 #: Rounds and depth of the queries' models; the operators' own are 1,200 and 8, which is hours.
 QUICK = {"rounds": 20, "rate": 0.2, "depth": 5}
+#: Small trees for the five refits that a holdout query makes, and the refits' seeds.
+HELD = {"rounds": 4, "rate": 0.3, "depth": 3}
+SEEDS = ["11", "22", "33", "44", "55"]
 #: Rounds of the queries' own boosting and its patience; the operator's own are 1,200 and 100. Trees are
 #: as large as the operator's own: depth 8, or 96 leaves.
 ROUNDS = {"rounds": 8, "rate": 0.2, "patience": 4}
@@ -91,6 +95,18 @@ def _boosted(spark, d, **growth):
     return model.risk(rows).select("row_id", "line_id", "station_id", "split", F.col(target).alias("y"), F.round("risk", 6).alias("risk"))
 
 
+def _holdouts(spark, d):
+    rows, target = le.training_target(risk_rows(spark, d), "high_confidence_bands")
+    features, categories = cl.checked_features(rows, cl.STATIC_MODE)
+    return target, ho.station_holdouts(rows.drop("split"), target, [f for f in features if f not in categories], categories, ["row_id", "line_id"], SEEDS, **HELD)
+
+
+def _holdout_metrics(spark, d):
+    target, runs = _holdouts(spark, d)
+    out = ho.run_metrics(runs.scores, target)
+    return out.join(F.broadcast(runs.runs.select("seed", "status", "trees", "rounds")), "seed")  # a row a seed
+
+
 _NUMBERS = "elev_diff elev_gap building_gap cover_differs is_day km lcz_differs lst_diff month n_refs ndvi_diff solar spread wind".split()
 _TABLE = ", ".join(f"('{m}', '{f}', {str(f == 'season_lg').upper()})" for m in cl.MODES for f in (*_NUMBERS, "season_lg", *(() if m == cl.STATIC_MODE else ("station_ref_bias_train", "station_ref_n_train")), *(("temp_raw", "ref_mu") if m in (cl.OPERATIONAL_MODE, cl.DIAGNOSTIC_MODE) else ())))
 _COLUMNS = "station_id row_key line p resid y lenient strict split day".split()
@@ -152,6 +168,8 @@ k AS (SELECT *, dense_rank() OVER (PARTITION BY split ORDER BY round(mean, 12) D
     "reference_regression": (_reference, None),
     "risk_context_history": (_risk_scores(cl.HISTORY_MODE), None),
     "risk_sgd": (_sgd, None),
+    "holdout_refits": (_holdout_metrics, None),
+    "holdout_importance": (lambda spark, d: _rounded(le.importance_stability(_holdouts(spark, d)[1].importance, [])), None),
     "risk_boosted": (lambda spark, d: _boosted(spark, d), None),
     "risk_leafwise": (lambda spark, d: _boosted(spark, d, depth=None, leaves=boosting.LEAVES, penalty=0.0, share=boosting.SHARE, least=boosting.LEAST), None),
     "risk_importance": (lambda spark, d: _risk(spark, d, cl.STATIC_MODE)[1].importance(spark), None),
