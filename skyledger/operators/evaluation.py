@@ -89,26 +89,6 @@ def station_bias(df: DataFrame, least: int = 24) -> DataFrame:
     return df.where("split = 'train'").groupBy("station_id").agg(F.count("*").alias("n"), F.when(ok, F.round(F.percentile(r, F.lit(0.5)), 6)).alias("median"), F.when(ok, F.round(F.percentile(r, F.lit(0.75)) - F.percentile(r, F.lit(0.25)), 6)).alias("iqr"), F.when(ok, F.round(F.avg((F.abs(r) > 2).cast("int")), 6)).alias("large_share"), F.when(ok, F.round(slope, 5)).alias("slope"))
 
 
-def qc_evidence(weights: dict[str, float]):
-    """Share of the weighted flags that are set; a missing flag is no evidence."""
-    return sum(F.coalesce(F.col(c), F.lit(0)) * w for c, w in weights.items()) / sum(weights.values())
-
-
-def category(p_qc, low: float = 0.15, high: float = 0.5):
-    """First match decides."""
-    p, r = F.col("p"), F.abs("resid")
-    flagged = (F.coalesce("lenient", F.lit(0)) + F.col("strict")) > 0
-    return (
-        F.when(p.isNull() | r.isNull(), "missing_or_unscored")
-        .when((p <= low) & (r <= 2.05) & flagged, "rescue")
-        .when((p <= low) & (r <= 2.05), "high_confidence")
-        .when((p >= high) & (p_qc >= 0.5), "confirmed_error")
-        .when((p >= high) & ~flagged, "missed_error")
-        .when((p <= 0.3) & (p_qc < 0.2), "likely_valid")
-        .otherwise("ambiguous_review")
-    )
-
-
 def policies(df: DataFrame, rules: dict) -> DataFrame:
     """Rows may pass several rules: one pass over the data, one row a rule."""
     named = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())

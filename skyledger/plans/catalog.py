@@ -11,7 +11,6 @@ from ..operators import qc
 from ..sources import observations, scored, stations
 from .stand_ins import DAY, META, OBS, SCORED, S
 
-LEVELS = {"strict": 0.25, "lenient": 0.70}
 #: Twenty fractions from one half to 0.99.
 SHARES = [round(0.5 + 0.49 * i / 19, 3) for i in range(20)]
 TOPS = [5, 10, 25, 50, 100]
@@ -61,14 +60,6 @@ pairs AS (SELECT station_id, source_id, CAST(rank AS INTEGER) AS rank, km, round
   FROM p1 WHERE rank <= 5 AND (km <= 5 OR n_in = 0))"""
 _CURVE = f"""{SCORED}, g AS (SELECT split, p, sum(y) AS pos, count(*) AS n FROM scored GROUP BY 1, 2), c AS (
   SELECT *, sum(pos) OVER (PARTITION BY split ORDER BY p DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY p DESC) AS seen, sum(pos) OVER (PARTITION BY split) AS all_pos, sum(n) OVER (PARTITION BY split) AS total FROM g)"""
-_PQC = "(coalesce(strict, 0) * 0.25 + coalesce(lenient, 0) * 0.7) / 0.95"
-_CAT = f"""CASE WHEN p IS NULL OR resid IS NULL THEN 'missing_or_unscored' WHEN p <= 0.15 AND abs(resid) <= 2.05 AND coalesce(lenient, 0) + strict > 0 THEN 'rescue'
-  WHEN p <= 0.15 AND abs(resid) <= 2.05 THEN 'high_confidence' WHEN p >= 0.5 AND {_PQC} >= 0.5 THEN 'confirmed_error' WHEN p >= 0.5 AND coalesce(lenient, 0) + strict = 0 THEN 'missed_error'
-  WHEN p <= 0.3 AND {_PQC} < 0.2 THEN 'likely_valid' ELSE 'ambiguous_review' END"""
-
-
-def _classified(d):
-    return d.withColumn("p_qc", ev.qc_evidence(LEVELS)).withColumn("category", ev.category(F.col("p_qc")))
 
 
 _SUITE: dict = {
@@ -174,12 +165,10 @@ SELECT station_id, network, gap, strftime(min(date), '%Y-%m-%d %H:%M:%S') AS fir
         _scored(ev.station_bias),
         f"WITH {SCORED} SELECT station_id, count(*) AS n, CASE WHEN count(*) >= 24 THEN round(quantile_cont(resid, 0.5), 6) END AS median, CASE WHEN count(*) >= 24 THEN round(quantile_cont(resid, 0.75) - quantile_cont(resid, 0.25), 6) END AS iqr, CASE WHEN count(*) >= 24 THEN round(avg(CAST(abs(resid) > 2 AS INTEGER)), 6) END AS large_share, CASE WHEN count(*) >= 24 THEN round(regr_slope(resid, p), 5) END AS slope FROM scored WHERE split = 'train' GROUP BY 1",
     ),
-    "categories": (_scored(lambda s: _classified(s).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("p_qc"), 6).alias("p_qc"))), f"WITH {SCORED} SELECT {_CAT} AS category, count(*) AS n, round(avg({_PQC}), 6) AS p_qc FROM scored GROUP BY 1"),
     "policy_table": (
         _scored(lambda s: ev.policies(s, {"all": F.lit(True), "low_risk": F.col("p") <= 0.3, "unflagged": F.col("strict") == 0, "lenient_ok": F.col("lenient") == 0})),
         f"WITH {SCORED}, r AS (SELECT 'all' AS policy, resid FROM scored UNION ALL SELECT 'low_risk', resid FROM scored WHERE p <= 0.3 UNION ALL SELECT 'unflagged', resid FROM scored WHERE strict = 0 UNION ALL SELECT 'lenient_ok', resid FROM scored WHERE lenient = 0) SELECT policy, count(*) AS n, round(avg(abs(resid)), 6) AS mae, round(count(*) / (SELECT count(*) FROM scored), 6) AS retention FROM r GROUP BY 1",
     ),
-    "qc_crosstab": (_scored(lambda s: ev.crosstab(_classified(s), "category", "lenient")), f"WITH {SCORED}, c AS (SELECT {_CAT} AS category, lenient FROM scored WHERE lenient IS NOT NULL), g AS (SELECT category, lenient, count(*) AS n FROM c GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY category), 6) AS share FROM g"),
     "dominance_topk": (
         _scored(lambda s: ev.dominance(s, TOPS)),
         f"""WITH {SCORED}, g AS (SELECT station_id, avg(abs(resid)) * count(*) AS c FROM scored GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY round(c, 6) DESC NULLS LAST, station_id) AS r, sum(c) OVER () AS total FROM g)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import qn_scale
 from ..operators import calibration as cal
+from ..operators import evaluation as ev
 from ..operators import fusion as fu
 from ..operators import models
 from ..operators import qc
@@ -74,6 +75,14 @@ def _correction(df):
 _RESID = "round(avg(resid), 6) AS bias, round(avg(abs(resid)), 6) AS mae, round(sqrt(avg(resid * resid)), 6) AS rmse, round(quantile_cont(abs(resid), 0.5), 6) AS median_abs, round(quantile_cont(abs(resid), 0.9), 6) AS p90_abs, round(quantile_cont(abs(resid), 0.95), 6) AS p95_abs, round(quantile_cont(abs(resid), 0.99), 6) AS p99_abs, round(avg(CAST(abs(resid) > 1 AS INTEGER)), 6) AS over_1, round(avg(CAST(abs(resid) > 2 AS INTEGER)), 6) AS over_2, round(avg(CAST(abs(resid) > 3 AS INTEGER)), 6) AS over_3"
 
 _SUITE: dict = {
+    "categories": (
+        lambda spark, d: fused(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("p_qc"), 6).alias("p_qc")),
+        f"WITH {FUSED} SELECT category, count(*) AS n, round(avg(p_qc), 6) AS p_qc FROM fused GROUP BY 1",
+    ),
+    "qc_crosstab": (
+        lambda spark, d: ev.crosstab(fused(spark, d), "category", "qc_strong"),
+        f"WITH {FUSED}, g AS (SELECT category, qc_strong, count(*) AS n FROM fused GROUP BY 1, 2) SELECT *, round(n / sum(n) OVER (PARTITION BY category), 6) AS share FROM g",
+    ),
     "fusion_categories": (
         lambda spark, d: fused(spark, d).select("row_key", "line", "station_id", *(F.round(c, 9).alias(c) for c in ("p_any", "p_unexplained", "p_reject", "p_preserve")), "category"),
         f"WITH {FUSED} SELECT row_key, line, station_id, round(p_any, 9) AS p_any, round(p_unexplained, 9) AS p_unexplained, round(p_reject, 9) AS p_reject, round(p_preserve, 9) AS p_preserve, category FROM fused",
