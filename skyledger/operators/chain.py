@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import qn_scale, t_quantile
 from . import qc
-from .features import near
+from .features import near_places, placed, station_pairs
 from .qc import KEY
 
 # Bounds of the buddy test, and its least number of buddies, reach and height.
@@ -71,10 +71,29 @@ def with_heights(test: Callable[[DataFrame], DataFrame], meta: DataFrame, lapse:
 
 
 def buddy_pairs(meta: DataFrame, metres: float = BUDDY_METRES, height: float = BUDDY_HEIGHT, least: int = BUDDIES) -> DataFrame:
-    """station_id, buddy_id: stations within reach and height, of those that have enough."""
-    pairs = near(meta, meta, metres / 1000).where((F.col("metres") <= metres) & (F.abs(F.col("elev") - F.col("elev2")) <= height))
-    n = F.count("*").over(W.partitionBy("station_id"))
-    return pairs.select("station_id", F.col("source_id").alias("buddy_id"), n.alias("_n")).where(F.col("_n") >= least).drop("_n")
+    """station_id, buddy_id: stations within reach and height, of those that have enough. Distances and
+    numbers are of places; stations come in at the end, so no exchange holds their pairs."""
+    m = placed(meta)
+    places = _reach(m, metres, height)
+    return station_pairs(places, _with_enough(m, places, least), m).withColumnRenamed("source_id", "buddy_id")
+
+
+def _reach(m: DataFrame, metres: float, height: float) -> DataFrame:
+    """_place, _place2: places of ``placed`` stations that are within reach and height of one another."""
+    own = m.select("_place").distinct().withColumn("_at", F.struct("_place.lat", "_place.long"))
+    flat = own.select(F.col("_at").alias("_place"))
+    met = near_places(flat, flat, metres / 1000).where(F.col("metres") <= metres).withColumnsRenamed({"_place": "_at", "_place2": "_at2"})
+    met = met.join(own, "_at").join(own.withColumnsRenamed({"_at": "_at2", "_place": "_place2"}), "_at2")
+    return met.where(F.abs(F.col("_place.elev") - F.col("_place2.elev")) <= height).select("_place", "_place2").repartition("_place")
+
+
+def _with_enough(m: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """The stations that have enough others in reach: the sizes of the places less the station itself."""
+    sizes = m.groupBy(F.col("_place").alias("_place2")).agg(F.count("*").alias("_n"))
+    reach = places.join(sizes, "_place2").groupBy("_place").agg(F.sum("_n").alias("_n"))
+    itself = m.join(m.withColumnRenamed("_place", "_place2"), "station_id").join(places, ["_place", "_place2"]).groupBy("station_id").agg(F.count("*").alias("_self"))
+    n = m.join(reach, "_place").groupBy("station_id").agg(F.sum("_n").alias("_n")).join(itself, "station_id", "left")
+    return m.join(n.where(F.col("_n") - F.coalesce("_self", F.lit(0)) >= least), "station_id", "left_semi")
 
 
 def buddy_test(obs: DataFrame, pairs: DataFrame) -> DataFrame:

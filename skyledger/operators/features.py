@@ -88,22 +88,58 @@ def geodesic(lat1, lon1, lat2, lon2):
     return a * (s - f / 2 * (x + F.coalesce(y, F.lit(0.0))))
 
 
-def near(targets: DataFrame, sources: DataFrame, km: float) -> DataFrame:
-    """Pairs of two stations in neighbouring cells of a grid, which hold all within ``km``, with their
-    heights and geodesic distance in metres, up to ``km``."""
-    s = sources.select(F.col("station_id").alias("source_id"), "lat", "long", F.col("elev").alias("elev2")).where("lat IS NOT NULL AND long IS NOT NULL")
-    t = targets.select("station_id", "lat", "long", "elev").where("lat IS NOT NULL AND long IS NOT NULL")
+#: Stations of one place that stand in one row of a list.
+LISTED = 256
+
+
+def placed(stations: DataFrame, cols: tuple[str, ...] = ("lat", "long", "elev")) -> DataFrame:
+    """station_id and _place, what tells its place, of the stations that have one."""
+    return stations.where("lat IS NOT NULL AND long IS NOT NULL").select("station_id", F.struct(*cols).alias("_place"))
+
+
+def near_places(targets: DataFrame, sources: DataFrame, km: float) -> DataFrame:
+    """_place, _place2, metres: distinct places of two ``placed`` tables up to ``km`` apart, their geodesic
+    distance in metres. Places meet in neighbouring cells of a grid, which hold all within ``km``; stations
+    that share a place are not told apart, so the work grows with the places and not with the stations."""
+    apart = lambda df: df.select("_place").distinct().select("_place", "_place.lat", "_place.long")
+    t, s = apart(targets), apart(sources)
     widest = _narrowest(t, s)
-    grid = _cells(s, km, widest, 0, 0).withColumnsRenamed({"lat": "lat2", "long": "long2"})
-    p = _cells(t, km, widest, 1, 0).join(grid, ["level", "_y", "_x"]).where(F.col("station_id") != F.col("source_id"))
+    grid = _cells(s, km, widest, 0, 0).withColumnsRenamed({"_place": "_place2", "lat": "lat2", "long": "long2"})
+    p = _cells(t, km, widest, 1, 0).join(grid, ["level", "_y", "_x"])
     p = p.withColumn("metres", geodesic(F.col("lat"), F.col("long"), F.col("lat2"), F.col("long2"))).where(F.col("metres") <= km * 1000)
-    return p.select("station_id", "source_id", "elev", "elev2", "metres")
+    return p.select("_place", "_place2", "metres")
+
+
+def _listed(stations: DataFrame, ids: str) -> DataFrame:
+    """The stations of a place as lists of some ``LISTED``, so that a crowded place is many rows."""
+    n = stations.groupBy("_place").agg(F.count("*").alias("_n"))
+    chunk = F.pmod(F.xxhash64("station_id"), F.ceil(F.col("_n") / LISTED))
+    return stations.join(n, "_place").groupBy("_place", chunk.alias("_chunk")).agg(F.collect_list("station_id").alias(ids)).drop("_chunk")
+
+
+def station_pairs(pairs: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """station_id, source_id of every pair of places (_place, _place2), but for a station and itself. The
+    pairs come out of lists, behind the last exchange."""
+    met = pairs.join(_listed(targets, "_ids"), "_place").join(_listed(sources, "_ids2").withColumnRenamed("_place", "_place2"), "_place2")
+    met = met.select(F.explode("_ids").alias("station_id"), "_ids2")
+    return met.select("station_id", F.explode("_ids2").alias("source_id")).where("station_id <> source_id")
 
 
 def radius_counts(targets: DataFrame, sources: DataFrame, km: float = 2.5) -> DataFrame:
-    """Per target: how many sources are in the radius, and which. Targets without one have 0."""
-    g = near(targets, sources, km).groupBy("station_id").agg(F.count("*").alias("n_near"), F.array_sort(F.collect_list("source_id")).alias("near_ids"))
-    return targets.select("station_id").join(g, "station_id", "left").select("station_id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "near_ids")
+    """Per target: how many sources are in the radius, and which. Targets without one have 0. The list of a
+    place is made once and goes to its targets, less the target itself."""
+    flat = ("lat", "long")
+    t, s = placed(targets, flat), placed(sources, flat)
+    met = near_places(t, s, km).join(_listed(s, "_ids").withColumnRenamed("_place", "_place2"), "_place2")
+    lists = met.groupBy("_place").agg(F.array_sort(F.flatten(F.collect_list("_ids"))).alias("_ids"))
+    # An id at several places has the sources of all of them.
+    places = t.groupBy("station_id").agg(F.collect_list("_place").alias("_places"))
+    one = places.where(F.size("_places") == 1).select("station_id", F.col("_places")[0].alias("_place")).join(lists, "_place").drop("_place")
+    more = places.where(F.size("_places") > 1).select("station_id", F.explode("_places").alias("_place")).join(lists, "_place")
+    more = more.groupBy("station_id").agg(F.array_sort(F.flatten(F.collect_list("_ids"))).alias("_ids"))
+    near_ids = F.filter("_ids", lambda x: x != F.col("station_id"))
+    g = one.unionByName(more).select("station_id", near_ids.alias("near_ids")).where(F.size("near_ids") > 0)
+    return targets.select("station_id").join(g, "station_id", "left").select("station_id", F.coalesce(F.size("near_ids").cast("long"), F.lit(0).cast("long")).alias("n_near"), "near_ids")
 
 
 def _narrowest(t: DataFrame, s: DataFrame) -> float:
