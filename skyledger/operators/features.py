@@ -164,27 +164,41 @@ def _cells(df: DataFrame, km: float, widest: float, spread: int, levels: int = L
 def neighbours(targets: DataFrame, sources: DataFrame, k: int = 5, radius_km: float = 5) -> DataFrame:
     """Pairs of target and source: the k nearest in the radius, or the k nearest if none is in it.
 
-    No target meets all sources: stations are put into cells of a grid, and a target meets the cells
-    around its own, which hold all within the radius. For a target without one, the counts of cells
+    No target meets all sources: places are put into cells of a grid, and a target's place meets the
+    cells around its own, which hold all within the radius. For a target without one, the counts of cells
     tell how coarse a grid must be that the cells around it hold k stations; two levels further up
-    they hold the k nearest. Stations must not lie across the 180th meridian."""
-    s = sources.select(F.col("station_id").alias("source_id"), "lat", "long", F.col("elev").alias("elev2"), F.col("lcz").alias("lcz2")).where("lat IS NOT NULL AND long IS NOT NULL")
-    t = targets.where("lat IS NOT NULL AND long IS NOT NULL")
-    widest = _narrowest(t, s)
-    grid = _cells(s, radius_km, widest, 0).withColumnsRenamed({"lat": "lat2", "long": "long2"})
-    around = _cells(t.select("station_id", "lat", "long", "elev", "lcz"), radius_km, widest, 1)
+    they hold the k nearest. Stations must not lie across the 180th meridian.
+
+    Targets of one place have the same sources but for themselves, and of the sources of one place only
+    the first k + 1 ids can be among a target's k: distances are taken of places, so the work grows with
+    these, and a target meets k + 1 ids."""
+    place = F.struct("lat", "long")
+    by_id = lambda *o: F.dense_rank().over(W.partitionBy("_place").orderBy(*o))
+    t = targets.where("lat IS NOT NULL AND long IS NOT NULL").withColumn("_place", place).select("station_id", "_place", "elev", "lcz")
+    s = sources.where("lat IS NOT NULL AND long IS NOT NULL").select(F.col("station_id").alias("source_id"), place.alias("_place"), F.col("elev").alias("elev2"), F.col("lcz").alias("lcz2"), F.col("lat").alias("lat2"), F.col("long").alias("long2"))
+    s = s.withColumn("_first", by_id("source_id")).where(F.col("_first") <= k + 1).drop("_first", "_place")
+    at = t.select("_place").distinct().select("_place", "_place.lat", "_place.long")
+    widest = _narrowest(at, s.select(F.col("lat2").alias("lat")))
+    grid = _cells(s.withColumnsRenamed({"lat2": "lat", "long2": "long"}), radius_km, widest, 0).withColumnsRenamed({"lat": "lat2", "long": "long2"})
 
     def met(rows: DataFrame) -> DataFrame:
-        p = rows.join(grid, ["level", "_y", "_x"]).where(F.col("station_id") != F.col("source_id"))
-        return p.withColumn("km", F.round(haversine(F.col("lat"), F.col("long"), F.col("lat2"), F.col("long2")), 6))
-
-    inside = met(around.where("level = 0")).where(F.col("km") <= radius_km)
-    alone = around.join(inside.select("station_id").distinct(), "station_id", "left_anti")
+        p = rows.join(grid, ["level", "_y", "_x"]).withColumn("km", F.round(haversine(F.col("lat"), F.col("long"), F.col("lat2"), F.col("long2")), 6))
+        return p.select("_place", "source_id", "elev2", "lcz2", "km")
+
+    def first(found: DataFrame, rows: DataFrame) -> DataFrame:
+        """Each target with the first of its place, less itself. An id counts once, by its nearest row."""
+        nearest = found.withColumn("_km", F.min("km").over(W.partitionBy("_place", "source_id")))
+        few = nearest.withColumn("_rank", by_id("_km", "source_id")).where(F.col("_rank") <= k + 1).drop("_rank", "_km")
+        return rows.join(few, "_place").where(F.col("station_id") != F.col("source_id"))
+
+    inside = first(met(_cells(at, radius_km, widest, 1, 0)).where(F.col("km") <= radius_km), t)
+    alone = t.join(inside.select("station_id").distinct(), "station_id", "left_anti")
+    around = _cells(alone.select("_place").distinct().select("_place", "_place.lat", "_place.long"), radius_km, widest, 1)
     held = grid.groupBy("level", "_y", "_x").agg(F.count("*").alias("_held"))
     # One more than k, for the target may be a source itself.
-    enough = alone.join(held, ["level", "_y", "_x"]).groupBy("station_id", "level").agg(F.sum("_held").alias("_held"))
-    level = enough.groupBy("station_id").agg(F.least(F.lit(LEVELS), F.coalesce(F.min(F.when(F.col("_held") > k, F.col("level"))) + 2, F.lit(LEVELS))).alias("_level"))
-    outside = met(alone.join(level, "station_id").where("level = _level").drop("_level"))
+    enough = around.join(held, ["level", "_y", "_x"]).groupBy("_place", "level").agg(F.sum("_held").alias("_held"))
+    level = enough.groupBy("_place").agg(F.least(F.lit(LEVELS), F.coalesce(F.min(F.when(F.col("_held") > k, F.col("level"))) + 2, F.lit(LEVELS))).alias("_level"))
+    outside = first(met(around.join(level, "_place").where("level = _level").drop("_level")), alone)
     own = W.partitionBy("station_id")
     p = inside.unionByName(outside).withColumn("rank", F.row_number().over(own.orderBy("km", "source_id"))).where(F.col("rank") <= k)
     p = p.withColumn("weight", 1 / F.pow(F.greatest("km", F.lit(0.05)), 2))

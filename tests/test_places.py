@@ -55,3 +55,16 @@ def test_a_station_of_two_places_and_one_without_height(spark):
     found = {r["station_id"]: sorted(r["near_ids"]) for r in ft.radius_counts(m, m, 2).collect()}
     assert found == {1: [2, 3], 2: [1], 3: [1]}
     assert {tuple(r) for r in chain.buddy_pairs(m, least=1).collect()} == {(1, 3), (3, 1)}
+
+
+def test_nearest_of_crowded_places(spark):
+    m = crowded(spark, 30)
+    p = ft.neighbours(m, m, k=3, radius_km=0.5)
+    got = {}
+    for r in p.orderBy("station_id", "rank").collect():
+        got.setdefault(r["station_id"], []).append(r["source_id"])
+    assert got[0] == [2, 4, 6] and got[4] == [0, 2, 6] and got[59] == [1, 3, 5] and got[1000] == [1001]
+    assert 2000 not in got and p.groupBy("station_id").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-5").isEmpty()
+    # Nothing but itself at its place and within the radius: the nearest wherever they are.
+    far = {r["source_id"] for r in ft.neighbours(m.where("station_id < 1001"), m.where("station_id < 1001"), k=3, radius_km=0.5).where("station_id = 1000").collect()}
+    assert far == {1, 3, 5}
