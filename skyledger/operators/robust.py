@@ -29,8 +29,23 @@ def with_block(df: DataFrame, unit: str = "station", name: str = "block") -> Dat
 
 def drawn(blocks: DataFrame, draws: int = DRAWS, seed: str = SEED) -> DataFrame:
     """blocks: distinct ``block``. b, block, w: how often each draw (with replacement, as many as there
-    are) has each block. Blocks are numbered by their hash: within the 4,096 ranges of its first digits,
-    behind the counts of the ranges before, so that no task sees them all."""
+    are) has each block."""
+    numbered, slots = _numbered(blocks, draws, seed)
+    return slots.groupBy("b", "i").agg(F.count("*").alias("w")).join(numbered, "i").select("b", "block", "w")
+
+
+def drawn_sums(blocks: DataFrame, sums: DataFrame, by: list[str], cols: list[str], draws: int = DRAWS, seed: str = SEED) -> DataFrame:
+    """b, by, ``cols``: the sums of each draw over the blocks that it has, as often as it has them. A draw's
+    pick goes to its block once, past a hash table of the blocks' own sums, and is added up at once: no task
+    sorts or counts picks, and what is exchanged after is a row a draw and group."""
+    numbered, slots = _numbered(blocks, draws, seed)
+    own = numbered.join(sums.withColumnRenamed("block", "_own_block"), F.col("block").eqNullSafe(F.col("_own_block"))).select("i", *by, *cols)
+    return slots.join(own.hint("shuffle_hash"), "i").groupBy("b", *by).agg(*(F.sum(c).alias(c) for c in cols))
+
+
+def _numbered(blocks: DataFrame, draws: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks with a number i each, and the picks: b, i. Blocks are numbered by their hash: within the
+    4,096 ranges of its first digits, behind the counts of the ranges before, so that no task sees them all."""
     hashed = blocks.withColumn("_h", F.md5(F.coalesce("block", F.lit("")).cast("binary"))).withColumn("_range", F.substring("_h", 1, 3))
     before = hashed.groupBy("_range").agg(F.count("*").alias("_n"))  # 4,096 rows at most
     before = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -39,7 +54,7 @@ def drawn(blocks: DataFrame, draws: int = DRAWS, seed: str = SEED) -> DataFrame:
     size = blocks.agg(F.count("*").alias("m"))  # one row
     slots = numbered.select(F.col("i").alias("slot")).join(F.broadcast(size)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "slot").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("m")
-    return slots.groupBy("b", pick.alias("i")).agg(F.count("*").alias("w")).join(numbered, "i").select("b", "block", "w")
+    return numbered, slots.select("b", pick.alias("i"))
 
 
 def bootstrap_metrics(df: DataFrame, block: str, group: str, draws: int = DRAWS, seed: str = SEED) -> DataFrame:
@@ -48,8 +63,7 @@ def bootstrap_metrics(df: DataFrame, block: str, group: str, draws: int = DRAWS,
     df = df.where("resid IS NOT NULL").withColumn("block", F.col(block).cast("string"))
     r = F.col("resid")
     sums = df.groupBy("block", group).agg(F.count("*").alias("n"), F.sum(F.abs(r)).alias("a"), F.sum(r * r).alias("q"), F.sum(r).alias("s"))
-    d = drawn(sums.select("block").distinct(), draws, seed).join(sums, "block")
-    part = d.groupBy("b", group).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in "naqs"))
+    part = drawn_sums(sums.select("block").distinct(), sums, [group], [*"naqs"], draws, seed)
     part = part.withColumn("all", F.sum("n").over(W.partitionBy("b")))
     m = {"share": F.col("n") / F.col("all"), "mae": F.col("a") / F.col("n"), "rmse": F.sqrt(F.col("q") / F.col("n")), "bias": F.col("s") / F.col("n")}
     part = part.withColumns(m)
@@ -68,9 +82,11 @@ def bootstrap_policies(df: DataFrame, rules: dict, draws: int = DRAWS, seed: str
     df = df.where("resid IS NOT NULL").withColumn("block", F.col("station_id").cast("string"))
     whole = df.groupBy("block").agg(F.count("*").alias("m"))
     kept = exploded_policies(df, rules).groupBy("block", "policy").agg(F.count("*").alias("n"), F.sum(F.abs("resid")).alias("a"))
-    draws_of = drawn(whole.select("block"), draws, seed)
-    total = draws_of.join(whole, "block").groupBy("b").agg(F.sum(F.col("w") * F.col("m")).alias("m"))
-    part = draws_of.join(kept, "block").groupBy("b", "policy").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("a")).alias("a")).join(total, "b")
+    # All rows of a block are a policy without a name: one look at the draws gives both sums.
+    sums = kept.unionByName(whole.select("block", F.lit(None).cast("string").alias("policy"), F.col("m").alias("n"), F.lit(0.0).alias("a")))
+    part = drawn_sums(whole.select("block"), sums, ["policy"], ["n", "a"], draws, seed)
+    total = part.where("policy IS NULL").select("b", F.col("n").alias("m"))  # a row a draw
+    part = part.where("policy IS NOT NULL").join(F.broadcast(total), "b")
     part = part.withColumns({"retention": F.col("n") / F.col("m"), "mae": F.col("a") / F.col("n")})
     at = {"low": 0.025, "mid": 0.5, "high": 0.975}
     return part.groupBy("policy").agg(F.count("*").alias("draws"), *(F.round(F.percentile(c, F.lit(q)), 6).alias(f"{c}_{k}") for c in ("retention", "mae") for k, q in at.items()))
