@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .qc import KEY, series
-from .ranks import attach, counted, quantiles
+from .ranks import attach, counted, quantiles, quantiles_of_few
 
 EARTH_KM = 6371.0088
 
@@ -227,3 +227,17 @@ def robust_sigma(df: DataFrame, by: list[str], value: str, floor: float = 0.2) -
     mad = quantiles(away.withColumn("_off", F.abs("_off")), by, "_off", {"_mad": 0.5}, "_n").drop("n")
     mad, g = 1.4826 * F.col("_mad"), attach(g, mad, by)
     return g.select(*by, "n", F.round(F.greatest(F.when(mad > 0, mad).otherwise(F.col("_sd")), F.lit(floor)), 6).alias("sigma"))
+
+
+def robust_sigma_of_few(df: DataFrame, by: list[str], value: str, floor: float = 0.2) -> DataFrame:
+    """``robust_sigma`` of groups that are few, whatever their size: the rows are read four times, for sums by bucket and
+    for the values of the buckets around the two medians, so exchanges do not grow with the rows."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    # A row a group; kept, for all that follows reads it.
+    med = quantiles_of_few(rows, by, "_v", {"_med": 0.5}).drop("n").persist()
+    away = attach(rows, F.broadcast(med), by).select(*by, (F.col("_v") - F.col("_med")).alias("_off"))
+    n, total, square = F.count("*"), F.sum("_off"), F.sum(F.col("_off") * F.col("_off"))
+    g = away.groupBy(*by).agg(n.alias("n"), F.sqrt(F.greatest(F.lit(0.0), square / n - (total / n) * (total / n))).alias("_sd"))
+    mad = quantiles_of_few(away.withColumn("_off", F.abs("_off")), by, "_off", {"_mad": 0.5}).drop("n")
+    mad, g = 1.4826 * F.col("_mad"), attach(g, mad, by)
+    return g.select(*by, "n", F.round(F.greatest(F.when(mad > 0, mad).otherwise(F.col("_sd")), F.lit(floor)), 6).alias("sigma"))

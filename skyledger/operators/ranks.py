@@ -10,6 +10,7 @@ values of a large group differ by less than a thousandth of their size; subtract
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Buckets to a doubling of the magnitude, and the magnitude around 0 below which values are not told apart.
 PER_OCTAVE, SMALL = 512, 2.0**-20
+#: Buckets to a doubling where the rows are read again for the wanted ones: a bucket may hold many values.
+FEW_OCTAVE = 64
 
 
 def _same(left: DataFrame, right: DataFrame, by: list[str], prefix: str) -> Column:
@@ -35,10 +38,10 @@ def attach(df: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -
     return df.join(s if by else F.broadcast(s), _same(df, s, by, "_of_"), how).drop(*(f"_of_{c}" for c in by))
 
 
-def bucket(value: Column) -> Column:
+def bucket(value: Column, per_octave: int = PER_OCTAVE) -> Column:
     """A whole number that does not fall as the value rises."""
     x = value.cast("double")
-    return (F.signum(x) * F.floor(PER_OCTAVE * F.log2(1 + F.abs(x) / SMALL))).cast("long")
+    return (F.signum(x) * F.floor(per_octave * F.log2(1 + F.abs(x) / SMALL))).cast("long")
 
 
 def _before(counts: DataFrame, by: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
@@ -77,7 +80,27 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], we
     """Exact, linearly interpolated quantiles of the values that are not null: a row a group with a
     column for each name in ``at``, and n, the number of values. With ``weight`` a row counts so often."""
     counts = counted(df, by, value, weight).withColumn("_bucket", bucket(F.col("_v")))
-    each = _before(counts, by, {"_upto": "_n"})
+    return _looked_up(lambda each: counts, _before(counts, by, {"_upto": "_n"}), by, at)
+
+
+def quantiles_of_few(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``quantiles`` of groups that are few, whatever their size, by two readings of the rows: they are
+    counted by bucket, and then by value in the buckets that hold a wanted place. What is exchanged and
+    broadcast grows with the groups and not with the rows."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), bucket(F.col(value), FEW_OCTAVE).alias("_bucket"))
+    each = _before(rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")), by, {"_upto": "_n"})
+
+    def wanted(some: DataFrame) -> DataFrame:
+        keys = [*by, "_bucket"]
+        s = _renamed(some.select(*keys), keys, "_of_")
+        held = rows.join(F.broadcast(s), _same(rows, s, keys, "_of_"), "left_semi")  # a few buckets a group
+        return held.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+
+    return _looked_up(wanted, each, by, at)
+
+
+def _looked_up(counts: Callable[[DataFrame], DataFrame], each: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
+    """Quantiles from the buckets' sums (``_before``) and the counts by value in some of them."""
     # The wanted places, from 0, as data: the plan does not grow with their number.
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at.values())))
     place = lambda x: x["q"] * (F.col("_all__upto") - 1)
@@ -86,7 +109,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], we
     # Only the buckets that one of the places lies in are looked into, then only such values.
     first = F.col("_before__upto")
     each = each.where(F.exists(wanted, lambda x: within(x, first, first + F.col("_own__upto")))).drop("_own__upto")
-    rows = _inside(counts, each, by, "_v", {"_upto": "_n"})
+    rows = _inside(counts(each), each, by, "_v", {"_upto": "_n"})
     low, high = F.col("_upto") - F.col("_n"), F.col("_upto")
     rows = rows.select(*by, "_all__upto", "_v", "_upto", "_n", F.explode(F.filter(wanted, lambda x: within(x, low, high))).alias("_w"))
     w = F.col("_w")

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import robust_sigma
-from .ranks import quantiles
+from .features import robust_sigma_of_few
+from .ranks import quantiles_of_few
 from .support import BIN_EDGES, CLASS_EDGES, cut_bins, support
 
 # Least number of rows of a group, floor of sigma, quantiles of the thresholds, bands.
@@ -22,6 +22,8 @@ BANDS = ("high_confidence_low_risk", "ambiguous", "high_confidence_high_risk")
 DIFFICULTY = BIN_EDGES | {"cover_differs": BIN_EDGES["lcz_differs"]}
 #: Codes of each table, from 0.
 SIZES = {"all": 1, "month": 13, "hour": 25, "month_hour": 13 * 25} | {c: len(e) + 2 for c, e in DIFFICULTY.items()} | {"support": len(CLASS_EDGES) + 2}
+#: More than any code.
+APART = 1000
 TIMES = ("all", "month", "hour", "month_hour")
 
 
@@ -40,9 +42,11 @@ def sigma_tables(calibration: DataFrame, resid: str = "resid", least: int = LEAS
     """name, code, n, sigma: a row a group that has residuals. Groups of under ``least`` have none,
     but for all rows together."""
     rows, code = codes(calibration.where(F.col(resid).isNotNull()))
-    each = F.array(*(F.struct(F.lit(t).alias("name"), c.alias("code")) for t, c in code.items()))
-    rows = rows.select(F.col(resid).alias("_r"), F.explode(each).alias("_t")).select("_t.name", "_t.code", "_r")
-    fitted = robust_sigma(rows, ["name", "code"], "_r", floor)
+    # A table and its code are one whole number while the rows are counted.
+    first = F.create_map(*(F.lit(x) for i, t in enumerate(SIZES) for x in (i, t)))
+    each = F.array(*(F.lit(i * APART) + code[t] for i, t in enumerate(SIZES)))
+    rows = rows.select(F.col(resid).alias("_r"), F.explode(each).alias("_group"))
+    fitted = robust_sigma_of_few(rows, ["_group"], "_r", floor).select(first[(F.col("_group") / APART).cast("int")].alias("name"), (F.col("_group") % APART).alias("code"), "n", "sigma")
     return fitted.withColumn("sigma", F.when((F.col("n") >= least) | (F.col("name") == "all"), F.col("sigma")))
 
 
@@ -63,7 +67,7 @@ def apply_sigma(df: DataFrame, tables: DataFrame, resid: str = "resid", floor: f
 
 def thresholds(scored: DataFrame, resid: str = "resid", high: float = HIGH, low: float = LOW) -> DataFrame:
     """One row: the high and low quantile of |residual| and of |z|."""
-    at = lambda c, n: quantiles(scored.select(F.abs(c).alias("_a")), [], "_a", {f"{n}_high": high, f"{n}_low": low}).drop("n")
+    at = lambda c, n: quantiles_of_few(scored.select(F.abs(c).alias("_a")), [], "_a", {f"{n}_high": high, f"{n}_low": low}).drop("n")
     return at(resid, "resid").join(F.broadcast(at("z", "z")))
 
 

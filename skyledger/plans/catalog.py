@@ -141,7 +141,7 @@ SELECT station_id, network, gap, strftime(min(date), '%Y-%m-%d %H:%M:%S') AS fir
         f"WITH {OBS} SELECT {DAY}, station_id, network, temp, CAST(hour(obs.date) AS INTEGER) AS hour, CAST(month(obs.date) AS INTEGER) AS month, CAST(dayofyear(obs.date) AS INTEGER) AS day_of_year, CAST(isodow(obs.date) - 1 AS INTEGER) AS weekday, round(sin(2 * pi() * hour(obs.date) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(obs.date) / 24), 6) + 0.0 AS hour_cos FROM obs",
     ),
     "robust_sigma_groups": (
-        lambda spark, d: ft.robust_sigma(scored(spark, d), ["split", "lenient"], "resid"),
+        lambda spark, d: ft.robust_sigma_of_few(scored(spark, d), ["split", "lenient"], "resid"),
         f"WITH {SCORED}, m AS (SELECT split, lenient, quantile_cont(resid, 0.5) AS med FROM scored GROUP BY 1, 2), g AS (SELECT s.split, s.lenient, quantile_cont(abs(resid - med), 0.5) AS mad, stddev_pop(resid) AS sd, count(resid) AS n FROM scored s JOIN m ON s.split = m.split AND s.lenient IS NOT DISTINCT FROM m.lenient GROUP BY 1, 2) SELECT split, lenient, n, round(greatest(CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END, 0.2), 6) AS sigma FROM g",
     ),
     "weak_labels": (
