@@ -53,8 +53,16 @@ def levels(strict: DataFrame, lenient: DataFrame, keys: list[str]) -> DataFrame:
 
 def weak_labels(strict: DataFrame, lenient: DataFrame, keys: list[str]) -> DataFrame:
     """Inner one-to-one join of the levels: 1 if both flag, 0 if neither does, else null. A flag that
-    is not 0 or 1 is an error."""
-    both = unique(strict, keys).withColumnRenamed("flag", "strict").join(unique(lenient, keys).withColumnRenamed("flag", "lenient"), keys)
+    is not 0 or 1 is an error. Both sides meet in one count by key, so no task sorts or holds two tables."""
+    both = None
+    for side, own in (("strict", strict), ("lenient", lenient)):
+        part = own.withColumns({c: F.col("flag") if c == side else F.lit(None) for c in ("strict", "lenient")} | {f"_n_{c}": F.lit(int(c == side)) for c in ("strict", "lenient")}).select(*keys, "strict", "lenient", "_n_strict", "_n_lenient")
+        both = part if both is None else both.unionByName(part)
+    n = [F.sum(f"_n_{c}").alias(f"_n_{c}") for c in ("strict", "lenient")]
+    both = both.groupBy(*keys).agg(F.max("strict").alias("strict"), F.max("lenient").alias("lenient"), *n)
+    if twice := both.where("_n_strict > 1 OR _n_lenient > 1").limit(1).collect():
+        raise ValueError(f"rows share the key {[twice[0][k] for k in keys]} of {keys}")
+    both = both.where("_n_strict = 1 AND _n_lenient = 1").where(F.forall(F.array(*(F.col(k).isNotNull() for k in keys)), lambda x: x)).drop("_n_strict", "_n_lenient")
     ok = lambda c: F.when(F.col(c).isin(0, 1), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c}: not a flag: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("int"))
     s, n = ok("strict"), ok("lenient")
     return both.withColumn("label", F.when((s == 1) & (n == 1), 1).when((s == 0) & (n == 0), 0))
@@ -114,12 +122,18 @@ def modes(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def samples(df: DataFrame, by: str, keys: list[str], n: int, seed: str = "42") -> DataFrame:
-    """``n`` rows of each group, the first by a hash of their key: the feature is the sample. Groups may
-    be large: rows are ranked within slices of the hash first, so no task sorts a whole group."""
+    """``n`` rows of each group, the first by a hash of their key: the feature is the sample. Rows that are
+    equal count once. Groups may be large but are few: the rows are read twice. The first reading takes the
+    least and the greatest hash of each of 4,096 ranges of it: a range with rows has one hash at least, and
+    two if these differ, so the first ranges that have ``n`` so counted hold the sample. Only rows of these
+    are exchanged in the second."""
     h = F.md5(F.concat_ws("|", F.lit(seed), *keys).cast("binary"))
-    df = df.withColumn("_h", h)
-    inner = W.partitionBy(by, F.substring("_h", -2, 2)).orderBy("_h", *keys)
-    df = df.withColumn("_i", F.row_number().over(inner)).where(F.col("_i") <= n)
+    df = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
+    found = df.groupBy(by, "_range").agg((1 + (F.min("_h") != F.max("_h")).cast("int")).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    last = found.withColumn("_upto", F.coalesce(upto, F.lit(0))).where(F.col("_upto") < n).groupBy(by).agg(F.max("_range").alias("_last"))
+    last = last.withColumnRenamed(by, "_by")  # a row a group
+    df = df.join(F.broadcast(last), df[by].eqNullSafe(last["_by"]) & (df["_range"] <= last["_last"])).drop("_by", "_last", "_range").distinct()
     return df.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy("_h", *keys))).where(F.col("_i") <= n).drop("_i", "_h")
 
 

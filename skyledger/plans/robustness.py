@@ -238,7 +238,7 @@ FROM j LEFT JOIN ow ON ow.station_id = j.station_id AND ow.m = month(date) AND o
         f"WITH {SCORED}, g AS (SELECT split, station_id, round(avg(abs(resid)), 1) AS mae FROM scored GROUP BY 1, 2) SELECT *, CAST(dense_rank() OVER (PARTITION BY split ORDER BY mae DESC NULLS LAST) AS INTEGER) AS rank FROM g",
     ),
     "category_samples": (
-        lambda spark, d: tb.samples(fused(spark, d).select("category", "station_id", "row_key", "line").distinct(), "category", ["station_id", "row_key", "line"], 5),
+        lambda spark, d: tb.samples(fused(spark, d).select("category", "station_id", "row_key", "line"), "category", ["station_id", "row_key", "line"], 5),
         f"WITH {FUSED}, v AS (SELECT DISTINCT category, station_id, row_key, line FROM fused), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || station_id || '|' || row_key || '|' || line), station_id, row_key, line) AS k FROM v) SELECT category, station_id, row_key, line FROM r WHERE k <= 5",
     ),
     "pivot_counts": (
