@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import running
-from .robust import DRAWS, SEED, drawn
+from .robust import DRAWS, SEED, drawn_sums
 
 #: Residuals over which (absolutely) the share of rows is told.
 OVER = (1, 2, 3)
@@ -95,9 +95,9 @@ def bootstrap_frontier(test: DataFrame, specs: DataFrame, scores: list[str], res
     which a method keeps nothing count in its retention. The draws see sums of block and method only."""
     sums = policy_sums(test.withColumn("block", F.col(block).cast("string")), specs, scores, residuals, ["block"])
     blocks = sums.where(F.col("method") == ALL).select("block")
-    picked = drawn(blocks, draws, seed).select("b", "block", "w").unionByName(blocks.select(F.lit(0).alias("b"), "block", F.lit(1).cast("long").alias("w")))
-    own = sums.withColumnRenamed("block", "_own_block")
-    part = picked.join(own, F.col("block").eqNullSafe(F.col("_own_block"))).groupBy("b", "method").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS), F.count("*").alias("n_blocks"))
+    every = sums.groupBy("method").agg(*(F.sum(c).alias(c) for c in SUMS), F.count("*").alias("n_blocks"))
+    picked = drawn_sums(blocks, sums, ["method"], list(SUMS), draws, seed).withColumn("n_blocks", F.lit(None).cast("long"))
+    part = picked.unionByName(every.withColumn("b", F.lit(0)))  # draw 0: all blocks once
     whole = part.where(F.col("method") == ALL).select("b", F.col("n").alias("n_total"), "n_blocks")  # a row a draw
     part = part.where(F.col("method") != ALL).drop("n_blocks").join(F.broadcast(whole), "b").withColumns(_metrics("n_total"))
     point = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
