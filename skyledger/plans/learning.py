@@ -64,7 +64,7 @@ def _audits(spark, d):
 
 
 def _risk(spark, d, mode):
-    rows, target = le.training_target(risk_rows(spark, d), "hard")
+    rows, target = le.training_target(risk_rows(spark, d, history=mode != cl.STATIC_MODE), "hard")
     return rows, le.fit_risk(rows, target, *cl.checked_features(rows, mode), **QUICK)
 
 
