@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import robust_sigma
+from .features import robust_sigma_of_few
 from .ranks import attach, quantiles, running
 
 
@@ -25,14 +25,22 @@ def residual_metrics(df: DataFrame, by: list[str]) -> DataFrame:
 def with_sigma(df: DataFrame, levels: list[list[str]], least: int = 200, floor: float = 0.2) -> DataFrame:
     """sigma and z of each row. The sigma of the last of the ``levels`` that has ``least`` train rows
     for the row's group counts, else that of all train rows; nulls are a group of their own. The
-    tables have a row a group of flags, hours or months; their joins are null-safe equi-joins."""
-    train = df.where("split = 'train'").select("resid", *sorted({c for cols in levels for c in cols}))
+    tables have a row a group of flags, hours or months, so they go with the tasks and the rows are not
+    exchanged; their joins are null-safe equi-joins."""
+    # One fit of all levels and of all rows: a row counts in a group of each, and what a level does not tell
+    # apart is null there.
+    names = sorted({c for cols in levels for c in cols})
+    train, every = df.where("split = 'train'"), [*levels, []]
+    kinds = {c: train.schema[c].dataType for c in names}
+    own = [F.struct(F.lit(i).alias("_level"), *((F.col(c) if c in cols else F.lit(None).cast(kinds[c])).alias(c) for c in names)) for i, cols in enumerate(every)]
+    rows = train.select("resid", F.explode(F.array(*own)).alias("_g")).select("resid", "_g.*")
+    fitted = robust_sigma_of_few(rows, ["_level", *names], "resid", floor).persist()  # a row a group
     out = df
     for i, cols in enumerate(levels):
-        s = robust_sigma(train, cols, "resid", floor)
+        s = fitted.where(F.col("_level") == i)
         s = s.select(*(F.col(c).alias(f"_{i}{c}") for c in cols), F.when(F.col("n") >= least, F.col("sigma")).alias(f"_s{i}"))
-        out = out.join(s, reduce(lambda a, b: a & b, [out[c].eqNullSafe(s[f"_{i}{c}"]) for c in cols]), "left").drop(*(f"_{i}{c}" for c in cols))
-    whole = robust_sigma(train.withColumn("_one", F.lit(1)), ["_one"], "resid", floor).select(F.col("sigma").alias("_s"))  # one row
+        out = out.join(F.broadcast(s), reduce(lambda a, b: a & b, [out[c].eqNullSafe(s[f"_{i}{c}"]) for c in cols]), "left").drop(*(f"_{i}{c}" for c in cols))
+    whole = fitted.where(F.col("_level") == len(levels)).select(F.col("sigma").alias("_s"))  # one row
     out = out.join(F.broadcast(whole), F.lit(True), "left")  # without train rows: the floor
     names = [f"_s{i}" for i in reversed(range(len(levels)))]
     return out.withColumn("sigma", F.coalesce(*names, "_s", F.lit(floor))).drop(*names, "_s").withColumn("z", F.col("resid") / F.col("sigma"))
