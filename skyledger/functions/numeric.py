@@ -46,6 +46,79 @@ def qn_scale(column: str):
     return F.pandas_udf(scale, "double")(column)
 
 
+def beyond_qn(u: np.ndarray, values: np.ndarray, low: float, high: float, held: bool = True) -> np.ndarray:
+    """Which of ``values`` are less than ``low`` or more than ``high`` Qn from the median of all others. u:
+    sorted; with ``held`` it has each of the values too, which is none of its own others. A Qn of 0, or
+    fewer than two others, takes nothing out.
+
+    The order of the Qn and a bound is told by the number of pairs within a distance, so no Qn is
+    made; it is where a distance lies so close to the bound that rounding may decide."""
+    n = len(u) - held
+    out = np.zeros(len(values), bool)
+    if n < 2 or not len(values):
+        return out
+    if not (np.isfinite(u[0]) and np.isfinite(u[-1]) and np.isfinite(values).all()):
+        return np.array([beyond_one(without(u, v) if held else u, v, low, high) for v in values], bool)
+    k = (n // 2 + 1) * (n // 2) // 2
+    own = u.searchsorted(values) if held else np.full(len(values), len(u))
+    a, b = (n - 1) // 2, n // 2
+    mid = u[a + (own <= a)]
+    if b > a:
+        upper = u[b + (own <= b)]
+        mid = np.where(mid == upper, mid, 0.5 * mid + 0.5 * upper)
+    away = values - mid
+    # Out where the k-th distance is less than this.
+    bound = away / (np.where(away > 0, high, low) * QN_FACTOR)
+    slack = 1e-12 * bound + 4e-15 * max(abs(u[0]), abs(u[-1]))
+    equal = int((u[1:] == u[:-1]).sum())
+    if equal * (equal + 1) // 2 >= k:  # the Qn may be 0
+        return np.array([beyond_one(without(u, v) if held else u, v, low, high) for v in values], bool)
+    at = np.arange(1, len(u) + 1).sum()
+
+    def within(d: float) -> int:
+        """Pairs of u up to d apart."""
+        return int(u.searchsorted(u + d, side="right").sum() - at) if d >= 0 else 0
+
+    order = np.argsort(bound)
+    # Below ``first`` too few pairs are within the bound even with the value's own; from ``sure`` on enough without.
+    first = _first(0, len(order), lambda i: within(bound[order[i]] + slack[order[i]]) >= k)
+    sure = _first(first, len(order), lambda i: within(bound[order[i]] - slack[order[i]]) >= k + n * held)
+    out[order[sure:]] = True
+    for i in order[first:sure]:
+        v, d, s = values[i], bound[i], slack[i]
+        near = [int(u.searchsorted(v + x, side="right") - u.searchsorted(v - x)) - 1 if held and x >= 0 else 0 for x in (d - s, d + s)]
+        if within(d + s) - near[0] >= k:
+            out[i] = within(d - s) - near[1] >= k or beyond_one(without(u, v) if held else u, v, low, high)
+    return out
+
+
+def _first(low: int, high: int, holds) -> int:
+    """The first of low..high for which ``holds``, which then does for all behind it; high if none."""
+    while low < high:
+        mid = (low + high) // 2
+        if holds(mid):
+            high = mid
+        else:
+            low = mid + 1
+    return low
+
+
+def without(u: np.ndarray, *values: float) -> np.ndarray:
+    for v in values:
+        u = np.delete(u, u.searchsorted(v))
+    return u
+
+
+def beyond_one(others: np.ndarray, v: float, low: float, high: float) -> bool:
+    """The same for one value, by its Qn. A score that is no number counts as a large one."""
+    scale = qn(others)
+    if not scale:
+        return False
+    a, b = others[(len(others) - 1) // 2], others[len(others) // 2]
+    z = (v - (a if a == b else 0.5 * a + 0.5 * b)) / scale
+    return bool(z < low or z > high or np.isnan(z))
+
+
 def t_quantile(q: float, df: int) -> float:
     """Quantile of Student's t: the distribution function's integral is a finite sum in the angle
     atan(t / sqrt(df)), and is inverted by bisection."""

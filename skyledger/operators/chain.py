@@ -9,18 +9,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import qn_scale, t_quantile
+from ..functions.numeric import beyond_one, beyond_qn, qn_scale, t_quantile, without
 from . import qc
 from .features import near_places, placed, station_pairs
 from .qc import KEY
 
 # Bounds of the buddy test, and its least number of buddies, reach and height.
 BUDDY_LOW, BUDDY_HIGH, BUDDIES, BUDDY_METRES, BUDDY_HEIGHT = 0.075, 0.925, 5, 2000.0, 100.0
+#: Side of a tile of places in reaches, and groups of dates to which a tile's work is dealt.
+TILE, DEALT = 4, 16
 
 
 def normal(q: float) -> float:
@@ -108,6 +113,123 @@ def buddy_test(obs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.withColumn("temp", F.when(~out, F.col("temp"))).drop("_mid", "_qn")
 
 
+def buddy_test_near(obs: DataFrame, meta: DataFrame, metres: float = BUDDY_METRES, height: float = BUDDY_HEIGHT, least: int = BUDDIES) -> DataFrame:
+    """``buddy_test`` of the ``buddy_pairs`` of ``meta``, without a row a pair and date: values go to the tile
+    of their place and to those tiles that have a place in reach, once each. There the values of
+    a date are sorted once, and a place's are picked from them for all of its stations."""
+    spark = obs.sparkSession
+    m = placed(meta)
+    places = _reach(m, metres, height)
+    enough = _with_enough(m, places, least)
+    # Whoever has several rows has the buddies of all of them, each as often as rows meet.
+    several = m.groupBy("station_id").agg(F.count("*").alias("_n")).where("_n > 1").select("station_id")
+    single = enough.join(several, "station_id", "left_anti")
+    cell = lambda c: F.floor(F.col(c) / F.lit(TILE * metres / 110_000))
+    tile = F.shiftleft(cell("_place.lat"), 32) + cell("_place.long")
+    near = places.join(single.select("_place").distinct(), "_place").withColumn("_tile", tile)
+    # Places are numbered in each tile.
+    number = near.select("_tile", F.explode(F.array("_place", "_place2")).alias("_place")).distinct()
+    number = number.withColumn("_no", F.row_number().over(W.partitionBy("_tile").orderBy("_place")))
+    lists = near.join(number.withColumnsRenamed({"_place": "_place2", "_no": "_no2"}), ["_tile", "_place2"]).groupBy("_tile", "_place").agg(F.collect_list("_no2").alias("_near"))
+    lists = lists.join(number, ["_tile", "_place"]).select("_tile", "_no", "_near", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_deal"))
+    tested = single.select("station_id", tile.alias("_home"))
+    at = m.join(number, "_place").join(tested, "station_id", "left").select("station_id", F.struct("_tile", "_no", F.col("_tile").eqNullSafe(F.col("_home")).alias("_own")).alias("_to"))
+    at = at.groupBy("station_id").agg(F.collect_list("_to").alias("_at"), F.max("_to._own").alias("_tested"))
+    # What is not tested passes by.
+    passes = F.array(F.struct(F.lit(None).cast("long").alias("_tile"), F.lit(None).cast("int").alias("_no"), F.lit(True).alias("_own")))
+    to = F.when(F.col("date").isNull() | F.col("_at").isNull(), passes).when(F.col("_tested"), F.col("_at")).otherwise(F.concat("_at", passes))
+    rows = obs.join(at, "station_id", "left").withColumn("_to", F.explode(to)).select(*obs.columns, "_to.*").where("_own OR temp IS NOT NULL")
+    rows = rows.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in obs.columns if c not in ("date", "temp")})
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64("date"), F.lit(DEALT)).cast("int")).unionByName(lists, allowMissingColumns=True)
+    # A number of its own, so that small inputs are not put together: the work is in the tasks.
+    laid = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_tile", "_deal").sortWithinPartitions("_tile", "_deal", "date")
+    tests = laid.mapInArrow(_tested_by_tile(obs.columns), obs.schema)
+    odd = enough.join(several, "station_id", "left_semi")
+    if odd.isEmpty():
+        return tests
+    ids = odd.select("station_id").distinct()
+    pairs = station_pairs(places, odd, m).withColumnRenamed("source_id", "buddy_id")
+    return tests.join(ids, "station_id", "left_anti").select(*obs.columns).unionByName(buddy_test(obs, pairs).join(ids, "station_id", "left_semi").select(*obs.columns))
+
+
+def _tested_by_tile(columns: list[str]) -> Callable:
+    """Rows sorted by tile, deal and date, those of a date one after the other; before them, without a date,
+    the tile's lists of places. One date of one tile is held at once."""
+
+    def changes(column: pa.ChunkedArray) -> np.ndarray:
+        code = pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        return code[1:] != code[:-1]
+
+    def run(batches):
+        near: dict[int, np.ndarray] = {}
+        reach = np.zeros(0, bool)
+
+        def tested(t: pa.Table, starts: np.ndarray) -> pa.Table:
+            nonlocal reach
+            no = pc.fill_null(t["_no"], 0).to_numpy()
+            temp = t["temp"].cast(pa.float64())
+            valid, temp = temp.is_valid().to_numpy(), temp.fill_null(0.0).to_numpy()
+            listed, own = t["_near"].is_valid().to_numpy(), pc.fill_null(t["_own"], False).to_numpy()
+            at_tile = t["_tile"].is_valid().to_numpy()
+            ids = t["station_id"].combine_chunks().dictionary_encode().indices
+            ids = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False)
+            out = np.zeros(t.num_rows, bool)
+            for i, j in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                if listed[i]:
+                    near.clear()
+                    part = t["_near"].slice(i, j - i).combine_chunks()
+                    ends = np.cumsum(part.value_lengths().to_numpy())
+                    near.update(zip(no[i:j].tolist(), np.split(part.flatten().to_numpy(), ends[:-1]), strict=True))
+                    reach = np.zeros(1 + max(no[i:j].max(), max(x.max() for x in near.values())), bool)
+                elif at_tile[i]:
+                    rows = i + np.flatnonzero(valid[i:j])
+                    out[rows] = _far_from_buddies(no[rows], temp[rows], np.where(own[rows], ids[rows], -1), near, reach)
+            t = t.append_column("_out", pa.array(out))
+            t = t.filter(pa.array(own))
+            return t.set_column(t.column_names.index("temp"), "temp", pc.if_else(t["_out"], pa.scalar(None, t["temp"].type), t["temp"])).select(columns)
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], changes(t["_tile"]) | changes(t["_deal"]) | changes(t["date"])]))
+            last = int(starts[-1])
+            if last:
+                yield from tested(t.slice(0, last).combine_chunks(), starts[:-1]).to_batches()
+            rest = t.slice(last)
+        if rest is not None:
+            yield from tested(rest.combine_chunks(), np.array([0])).to_batches()
+
+    return run
+
+
+def _far_from_buddies(no: np.ndarray, temp: np.ndarray, station: np.ndarray, near: dict[int, np.ndarray], reach: np.ndarray) -> np.ndarray:
+    """The values of one date. no: of their places; station: of those that are tested, else -1; near: the
+    places in reach of those that have such stations; reach: False for each place, to be marked in."""
+    low, high = normal(BUDDY_LOW), normal(BUDDY_HIGH)
+    out = np.zeros(len(temp), bool)
+    order = np.argsort(temp, kind="stable")
+    value, place = temp[order], no[order]
+    tested = np.flatnonzero(station >= 0)
+    tested = tested[np.argsort(no[tested], kind="stable")]
+    starts = np.flatnonzero(np.diff(no[tested], prepend=-1))
+    again = np.bincount(station[tested])[station[tested]] > 1
+    for i, j in zip(starts, [*starts[1:], len(tested)], strict=True):
+        at = int(no[tested[i]])
+        reach[near[at]] = True
+        u, itself = value[reach[place]], bool(reach[at])
+        reach[near[at]] = False
+        rows, twice = tested[i:j], again[i:j]
+        one = rows[~twice]
+        out[one] = beyond_qn(u, temp[one], low, high, itself)
+        for r in rows[twice]:  # several values of the station at the date: none is of its buddies
+            others = without(u, *temp[rows[station[rows] == station[r]]]) if itself else u
+            out[r] = beyond_one(others, temp[r], low, high)
+    return out
+
+
 def outliers(obs: DataFrame, before: str, after: str = "temp") -> DataFrame:
     """``_out``: the value became null between two columns."""
     return obs.withColumn("_out", F.col(before).isNotNull() & F.col(after).isNull())

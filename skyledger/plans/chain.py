@@ -48,9 +48,10 @@ _SPREAD = "spread AS (SELECT date, m.station_id, round(avg(temp) + m.station_id
 
 
 def _spread(spark, d):
-    m = stations(spark, d).select("station_id", (F.col("station_id") % 10).alias("_of"))
-    o = observations(spark, d).withColumnRenamed("station_id", "_of")
-    return m.join(o, "_of").groupBy("date", "station_id").agg(F.round(F.avg("temp") + F.first("station_id") / 100.0, 6).alias("temp"))
+    m = stations(spark, d).select("station_id", (F.col("station_id") % 10).alias("_of")).distinct()
+    # The hours of ten stations, whatever the number of places.
+    o = observations(spark, d).withColumnRenamed("station_id", "_of").groupBy("date", "_of").agg(F.avg("temp").alias("temp"))
+    return m.join(F.broadcast(o), "_of").select("date", "station_id", F.round(F.col("temp") + F.col("station_id") / 100.0, 6).alias("temp"))
 
 
 def _chain(spark, d):
@@ -97,7 +98,7 @@ y AS (SELECT z.*, high FROM z LEFT JOIN t ON t.m = n) """
         f"WITH {_BUDDIES} SELECT station_id, buddy_id FROM buddies",
     ),
     "g5b_buddies": (
-        lambda spark, d: _stamp(ch.buddy_test(_spread(spark, d), ch.buddy_pairs(stations(spark, d), REACH))),
+        lambda spark, d: _stamp(ch.buddy_test_near(_spread(spark, d), stations(spark, d), REACH)),
         f"""WITH {OBS}, {_BUDDIES}, {_SPREAD}, bv AS (SELECT b.station_id, s.date, s.temp FROM buddies b JOIN spread s ON s.station_id = b.buddy_id),
 mid AS (SELECT station_id, date, quantile_cont(temp, 0.5) AS mid FROM bv GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY station_id, date ORDER BY temp) AS i, count(*) OVER (PARTITION BY station_id, date) AS n FROM bv),
