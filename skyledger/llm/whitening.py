@@ -192,6 +192,15 @@ def subspace(multiply, dim: int, k: int, block: int, basis_most: int = BASIS, to
     raise RuntimeError(f"{passes} passes left a residual of {worst:.3g} at a greatest eigenvalue of {values[0]:.3g}")
 
 
+def projected(x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """x @ on, summed in the order of the dimensions, so that equal rows give equal values wherever they
+    stand; a matrix product may round a row by its place among the others."""
+    out = np.zeros((len(x), on.shape[1]))
+    for d in range(on.shape[0]):
+        out += x[:, d, None] * on[d]
+    return out
+
+
 def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = COMPONENTS, block: int | None = None) -> DataFrame:
     """One row per row and component: key, component, n, deviation, whitened, explained,
     identity_error, eigenvalue."""
@@ -221,7 +230,7 @@ def whiten(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: i
 
     def run(batches):
         for part, x in slices(batches, dim, 1):
-            y, m = centre.rows(x) @ scaled, len(x)
+            y, m = projected(centre.rows(x), scaled), len(x)
             repeated = np.repeat(np.arange(m), top)
             cols = [
                 part.column(0).take(pa.array(repeated)),

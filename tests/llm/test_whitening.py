@@ -85,3 +85,14 @@ def test_defined_cases(spark):
         assert w.whiten(few).collect() == []
     huge = spark.createDataFrame([(1, [3e38, 0.0]), (2, [-3e38, 0.0]), (3, [0.0, 1e9])], "vec_id long, embedding array<double>")
     assert {r["vec_id"] for r in w.whiten(huge).collect()} == {1, 2, 3}
+
+
+def test_equal_rows_give_equal_values_wherever_they_stand():
+    rng = np.random.default_rng(1)
+    row, on = rng.normal(0, 1e5, 64), rng.normal(0, 1, (64, 16))
+    want = w.projected(row[None], on).tobytes()
+    for n in (1, 2, 3, 5, 17, 100):
+        x = rng.normal(0, 1e5, (n + 1, 64))
+        x[n] = x[0] = row
+        got = w.projected(x, on)
+        assert got[0].tobytes() == got[n].tobytes() == want and np.allclose(got, x @ on)
