@@ -26,7 +26,8 @@ parts of the rows to be among a bounded number of candidates, and those that are
 counted; (2) counts of which frequent word is the next one after which; (3) counts of (word, state), a table that
 grows with the corpus, and of the byte contexts, whose number is bounded by the bytes and the classes,
 in hashed tables of fixed size, summed as whole numbers. The contexts of the word so far have exact
-counts: words that begin with the same three bytes are in one task, which sorts their contexts. Words
+counts: words that begin with the same three bytes, or with more where too many do, are in one task,
+which sorts their contexts; what is shared by several tasks is counted from those beginnings. Words
 that only held-out rows have are in the table with count 0. All counts of a decision (of 0 and of 1)
 are kept in one byte, in 16 steps each. The distinct (word, state) of a block of documents are joined
 with the table and meet the block's documents in one task.
@@ -67,8 +68,9 @@ OFFSETS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 CHUNK_BITS = 16
 #: Counts from which a step begins.
 STEPS = np.array([0, 1, 2, 3, 4, 6, 9, 14, 22, 40, 80, 200, 600, 2500, 15000, 100000])
-#: Bytes of a word that decide where it is learned.
-LOCAL = 3
+#: Bytes of a word that decide where it is learned; pairs of word and state with one such beginning from
+#: which a byte more does, and the longest beginning.
+LOCAL, CROWDED, DEEPEST = 3, 20_000, 64
 #: Tokens of a task, or distinct contexts, after which it gives out its counts.
 FLUSH_TOKENS, FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 2_500_000, 300_000
 #: Bytes of text of a task that learns, of a block of documents that is scored, of a piece of a long
@@ -128,6 +130,7 @@ class Tree:
         self.node = np.array([n for p in paths for n, _ in p], np.int64)
         self.bit = np.array([b for p in paths for _, b in p], np.int64)
         self.node32, self.bit8 = self.node.astype(np.int32), self.bit.astype(np.uint8)
+        self.length16, self.first32 = self.length.astype(np.int16), self.first.astype(np.int32)
         #: Bytes in the order of the tree's leaves: below a node they are neighbours.
         self.rank = np.empty(256, np.uint64)
         self.rank[order] = np.arange(256, dtype=np.uint64)
@@ -479,20 +482,22 @@ def exact(context: np.ndarray, data: np.ndarray, weight: np.ndarray, tree: Tree)
     order of the leaves, so a sorted run is a node."""
     key = (context << np.uint64(8)) | tree.rank[data]
     order = np.argsort(key)
-    key, w = key[order], weight[order].astype(np.float64)
-    sym = data[order].astype(np.int64)
-    length, first = tree.length[sym], tree.first[sym]
-    ends = np.cumsum(tree.length[data])
-    begin = ends - tree.length[data]
+    ctx = key[order] >> np.uint64(8)
+    del key
+    ctx = np.cumsum(np.concatenate([[False], ctx[1:] != ctx[:-1]]), dtype=np.int32) if len(ctx) else ctx
+    w, sym = weight[order].astype(np.float64), data[order]
+    length, first = tree.length16[sym], tree.first32[sym]
+    ends = np.cumsum(tree.length16[data], dtype=np.int64)
+    begin = ends - tree.length16[data]
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    ctx = key >> np.uint64(8)
-    at = np.arange(len(sym))
+    del ends
+    at = np.arange(len(sym), dtype=np.int32)
     for t in range(int(length.max()) if len(sym) else 0):
         at = at[length[at] > t]
-        place = first[at] + t
-        node = tree.node[place]
-        start = np.flatnonzero(np.concatenate([[True], (ctx[at][1:] != ctx[at][:-1]) | (node[1:] != node[:-1])]))
-        every, one = np.add.reduceat(w[at], start), np.add.reduceat(w[at] * tree.bit[place], start)
+        place = first[at] + np.int32(t)
+        node, own, mass = tree.node32[place], ctx[at], w[at]
+        start = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (node[1:] != node[:-1])]))
+        every, one = np.add.reduceat(mass, start), np.add.reduceat(mass * tree.bit8[place], start)
         out[begin[order[at]] + t] = np.repeat(state_byte(every - one, one), np.diff(np.append(start, len(at))))
     return out, begin
 
@@ -517,7 +522,7 @@ def keys_of(tokens: list[bytes], before) -> np.ndarray:
 
 
 class Heads:
-    """State bytes of the first LOCAL bytes of words, counted over the whole corpus."""
+    """State bytes of the heads of words (``crowded``), counted over the whole corpus."""
 
     def __init__(self, rows: list, tree: Tree):
         # The state 0 counts all words, whatever stood before them.
@@ -542,16 +547,58 @@ class Heads:
         out[squeeze(begin, size)] = self.states[squeeze(at, size)]
 
 
-def parts_by_head(slices):
-    """Rows sorted by word, cut anew so that words with the same first LOCAL bytes are together."""
+def crowded(pairs: DataFrame, most: int = CROWDED) -> list[set[bytes]]:
+    """Beginnings of words that more than ``most`` pairs have, of LOCAL bytes, LOCAL + 1 and so on. A word's
+    head is its shortest beginning of LOCAL bytes or more, its blank counted, that is none of them: so
+    few pairs have the same, and heads are few more than the pairs by ``most``, times the bytes."""
+    levels: list[set[bytes]] = []
+    size, step, rows = LOCAL, 1, pairs.select("w")
+    while size <= DEEPEST:
+        sizes = F.explode(F.sequence(F.lit(size), F.least(F.lit(size + step - 1), F.length("w"))))
+        cuts = rows.where(F.length("w") >= size).withColumn("_size", sizes).groupBy("_size", F.expr("substring(w, 1, _size)").alias("_b")).agg(F.count("*").alias("_n"))
+        found: dict[int, set[bytes]] = {}
+        for r in cuts.where(F.col("_n") > most).select("_size", "_b").collect():
+            found.setdefault(r["_size"], set()).add(bytes(r["_b"]))
+        levels += [found[k] for k in range(size, size + step) if k in found]
+        size += step
+        if size - 1 not in found:
+            break
+        rows = rows.where(F.expr(f"substring(w, 1, {size - 1})").isin([bytearray(b) for b in found[size - 1]]))
+        step = 8
+    return levels[: DEEPEST - LOCAL + 1]
+
+
+def head_size(word: bytes, levels: list[set[bytes]]) -> int:
+    size = LOCAL
+    for level in levels:
+        if word[:size] not in level:
+            break
+        size += 1
+    return size
+
+
+def head_col(levels: list[set[bytes]]):
+    """The head of ``w``."""
+    size = F.lit(LOCAL + len(levels))
+    for k in reversed(range(len(levels))):
+        size = F.when(F.expr(f"substring(w, 1, {LOCAL + k})").isin([bytearray(b) for b in levels[k]]), size).otherwise(F.lit(LOCAL + k))
+    return F.substring(F.expr("concat(w, binary(' '))"), F.lit(1), size)
+
+
+def parts_by_head(slices, levels: list[set[bytes]]):
+    """Rows sorted by word, cut anew so that words with the same head are together."""
+
+    def head(word: bytes) -> bytes:
+        return (word + b" ")[: head_size(word, levels)]
+
     w, before, c = [], [], []
     for s in slices:
         w += s["w"]
         before += s["before"]
         c += s["c"]
         if len(w) >= PART_PAIRS:
-            end = len(w)
-            while end and w[end - 1][:LOCAL] == w[-1][:LOCAL]:
+            end, last = len(w), head(w[-1])
+            while end and head(w[end - 1]) == last:
                 end -= 1
             if end:
                 yield w[:end], np.array(before[:end]), np.array(c[:end])
@@ -565,8 +612,8 @@ def price(pairs: DataFrame, sent) -> DataFrame:
     the decisions of the word behind the state."""
 
     def run(slices):
-        heads, tree = sent.value
-        for tokens, before, c in parts_by_head(slices):
+        heads, tree, levels = sent.value
+        for tokens, before, c in parts_by_head(slices, levels):
             first = np.flatnonzero([not i or w != tokens[i - 1] for i, w in enumerate(tokens)])
             total = np.add.reduceat(c, first)
             word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tokens))))
@@ -580,11 +627,16 @@ def price(pairs: DataFrame, sent) -> DataFrame:
             size = np.bincount(row, tree.length[data], len(every)).astype(np.int64)
             ends = np.cumsum(size)
             out = np.zeros(int(ends[-1]), np.uint8)
-            late = place >= LOCAL
+            sizes = np.fromiter((head_size(tokens[i], levels) for i in first), np.int64, len(first))
+            sizes = np.concatenate([sizes, sizes[word[own]]])
+            late = place >= sizes[row]
             early_size = np.bincount(row[~late], tree.length[data[~late]], len(every)).astype(np.int64)
-            states, _ = exact(ctx[late], data[late], weight[row[late]], tree)
+            of, weight = row[late], weight.astype(np.float64)
+            del row, place
+            states, _ = exact(ctx[late], data[late], weight[of], tree)
+            del of, ctx, data, late
             out[squeeze(ends - size + early_size, size - early_size)] = states
-            heads.fill(out, ends - size, early_size, [(w + b" ")[:LOCAL] for w in every], behind)
+            heads.fill(out, ends - size, early_size, [(w + b" ")[:n] for w, n in zip(every, sizes.tolist(), strict=True)], behind)
             count = np.concatenate([total, total[word[own]]])
             for i in range(0, len(every), 20_000):
                 j = min(len(every), i + 20_000)
@@ -829,14 +881,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     table_of = tables(learned.where("chunk IS NOT NULL").select("chunk", "data"), min(8, parts(spark)))
     pairs = cut(learned.where("w IS NOT NULL").groupBy("w", "before").agg(F.sum("c").alias("c")))
     release(learned)
-    # Bounded by the bytes and states: LOCAL bytes a head.
-    head = F.expr(f"substring(concat(w, binary(' ')), 1, {LOCAL})").alias("head")
-    heads = Heads(pairs.groupBy(head, "before").agg(F.sum("c").alias("c")).orderBy("head", "before").collect(), tree)
+    # Bounded by the bytes and states: LOCAL bytes a head, and more of them a CROWDED pairs.
+    levels = crowded(pairs)
+    head = head_col(levels)
+    heads = Heads(pairs.groupBy(head.alias("head"), "before").agg(F.sum("c").alias("c")).orderBy("head", "before").collect(), tree)
     tasks = max(1, -(-pairs.count() // TASK_PAIRS))
-    laid = pairs.repartition(tasks, F.expr(f"substring(w, 1, {LOCAL})")).sortWithinPartitions("w", "before")
+    laid = pairs.repartition(tasks, head).sortWithinPartitions("w", "before")
     totals = pairs.groupBy("w").agg(F.sum("c").alias("c")).agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = (int(x or 0) for x in totals)
-    priced = cut(price(laid, spark.sparkContext.broadcast((heads, tree))))
+    priced = cut(price(laid, spark.sparkContext.broadcast((heads, tree, levels))))
     release(pairs)
     model = spark.sparkContext.broadcast((states, tree, table_of, total, distinct))  # the tables' fixed size
     blocks = max(1, -(-size // BLOCK_BYTES))
