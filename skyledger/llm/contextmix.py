@@ -29,8 +29,9 @@ in hashed tables of fixed size, summed as whole numbers. The contexts of the wor
 counts: words that begin with the same three bytes, or with more where too many do, are in one task,
 which sorts their contexts; what is shared by several tasks is counted from those beginnings. Words
 that only held-out rows have are in the table with count 0. All counts of a decision (of 0 and of 1)
-are kept in one byte, in 16 steps each. The distinct (word, state) of a block of documents are joined
-with the table and meet the block's documents in one task.
+are kept in one byte, in 16 steps each. Documents are dealt to blocks; what is learned keeps, beside the
+count of a (word, state), the blocks that have it, so the task that counts a word's contexts sends
+their counts to just those blocks, where they meet the documents in one task.
 
 Defined cases: null and empty texts are the end alone; a null doc_id counts as the empty text for
 held_out; repeated rows are learned from and scored each, alike; of ties among classes the first
@@ -44,17 +45,18 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, crc_mod_col, cut, map_arrow, mix64, parts, release, table
+from .common import crc_mod, crc_mod_col, cut, map_arrow, mix64, parts, release, signed, table
 
 HELD_OUT = (5, 1)
 #: Share of all tokens from which a word is frequent; there are at most 1 / FREQUENT of them.
@@ -75,7 +77,9 @@ LOCAL, CROWDED, DEEPEST = 3, 20_000, 64
 FLUSH_TOKENS, FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 2_500_000, 300_000
 #: Bytes of text of a task that learns, of a block of documents that is scored, of a piece of a long
 #: text and of the texts that are read side by side.
-LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 32 << 20, 1 << 20, 1 << 19
+LEARN_BYTES, BLOCK_BYTES, SEGMENT, BATCH_BYTES = 64 << 20, 16 << 20, 1 << 20, 1 << 18
+#: Neighbouring blocks whose marks are one long.
+SPAN = 64
 #: Pairs of word and state of a task that counts the words so far, and of a part of it at least.
 TASK_PAIRS, PART_PAIRS = 400_000, 50_000
 #: Decisions of the first window; later ones have an eighth of those before, up to the second figure.
@@ -130,7 +134,7 @@ class Tree:
         self.node = np.array([n for p in paths for n, _ in p], np.int64)
         self.bit = np.array([b for p in paths for _, b in p], np.int64)
         self.node32, self.bit8 = self.node.astype(np.int32), self.bit.astype(np.uint8)
-        self.length16, self.first32 = self.length.astype(np.int16), self.first.astype(np.int32)
+        self.length16, self.length32, self.first32 = self.length.astype(np.int16), self.length.astype(np.int32), self.first.astype(np.int32)
         #: Bytes in the order of the tree's leaves: below a node they are neighbours.
         self.rank = np.empty(256, np.uint64)
         self.rank[order] = np.arange(256, dtype=np.uint64)
@@ -138,10 +142,12 @@ class Tree:
 
     def decisions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For all decisions of the bytes: the byte's place in data, the place in node and bit."""
-        n = self.length[data]
-        end = np.cumsum(n)
-        byte = np.repeat(np.arange(len(data)), n)
-        return byte, np.arange(len(byte)) + np.repeat(self.first[data] - end + n, n)
+        n = self.length32.take(data)
+        end = np.cumsum(n, dtype=np.int32)
+        byte = np.repeat(np.arange(len(data), dtype=np.int32), n)
+        path = (self.first32.take(data) - end + n).take(byte)
+        path += np.arange(len(byte), dtype=np.int32)
+        return byte, path
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -158,15 +164,19 @@ _N0, _N1 = np.repeat(STEPS, 16), np.tile(STEPS, 16)
 STRETCH = np.log((_N1 + 0.4) / (_N0 + 0.4)).astype(np.float32)
 GATE = np.searchsorted([1, 3, 9], np.maximum(_N0, _N1), side="right").astype(np.uint8)
 SIGN = np.array([-1, 1], np.float32)
-#: Whether a context has settled a decision: SETTLED times or more one way, never the other; and the
-#: cost (in nats) of a settled decision, by bit and state byte.
+#: Whether a context has settled a decision: SETTLED times or more one way, never the other.
 SURE = (np.minimum(_N0, _N1) == 0) & (np.maximum(_N0, _N1) >= SETTLED)
-SURE_COST = np.stack([np.log1p(np.exp(STRETCH)), np.log1p(np.exp(-STRETCH))]).astype(np.float32)
+#: State bytes of words are kept with the count of the bit that the word has itself first: so those of
+#: rare words are all alike. The state byte by bit, and the cost (in nats) of a decision if settled.
+TURNED = np.stack([np.arange(256), (np.arange(256) & 15) << 4 | np.arange(256) >> 4]).astype(np.uint8).ravel()
+SURE_COST = np.where(SURE, np.log1p(np.exp(STRETCH)), 0).astype(np.float32)
 
 
 def squeeze(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All numbers of the ranges start..start + length, one range after the other."""
-    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    out = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    out += np.arange(len(out))
+    return out
 
 
 # --- frequent words and their classes -----------------------------------------------------------
@@ -343,22 +353,24 @@ def slots(last: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
 
 
 def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
-    """Two kinds of rows: (w, before, c), how often each word follows each state in the training rows
-    of ``docs``, 0 for those that only held-out rows have; and (chunk, data), counts of the slots of
-    the byte contexts, a part of a table a row."""
+    """docs: text, apart, block; rows of a block together. Two kinds of rows: (w, before, span, mask, c), how
+    often each word follows each state in the training rows of a block, 0 for those that only held-out rows
+    have, with the block as a bit of the mask of SPAN blocks; and (chunk, data), counts of the slots of the
+    byte contexts, a part of a table a row."""
     size = int(OFFSETS[-1])
 
     def run(slices):
-        names, held, n, keys = states.names(), ([], []), 0, []
+        names, held, n, keys, now = states.names(), ([], []), 0, [], None
 
         def words_out():
-            key, c = np.unique(np.concatenate([*held[0], np.empty(0, np.int64)]), return_counts=True)
+            key, c = counted(np.concatenate([*held[0], np.empty(0, np.int64)]))
             rest = np.setdiff1d(np.concatenate([*held[1], np.empty(0, np.int64)]), key)
             key, c = np.concatenate([key, rest]), np.concatenate([c, np.zeros(len(rest), np.int64)])
             of = list(names)
-            for i in range(0, len(key), 100_000):
-                k = key[i : i + 100_000]
-                yield {"w": [of[j] for j in (k >> 3).tolist()], "before": (k & 7).astype(np.int32), "c": c[i : i + 100_000], "chunk": [None] * len(k), "data": [None] * len(k)}
+            for i in range(0, len(key), 50_000):
+                k = key[i : i + 50_000]
+                m = len(k)
+                yield {"w": [of[j] for j in (k >> 3).tolist()], "before": (k & 7).astype(np.int32), "span": np.full(m, now // SPAN, np.int32), "mask": np.full(m, signed(1 << now % SPAN)), "c": c[i : i + 50_000], "chunk": pa.nulls(m), "data": pa.nulls(m)}
 
         def slots_out():
             key, c = merged(keys)
@@ -373,33 +385,35 @@ def learn(docs: DataFrame, states: States, tree: Tree) -> DataFrame:
                 part = count[:, chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS]
                 at = np.flatnonzero(part.any(0))
                 if len(at):
-                    yield {"w": [None], "before": [None], "c": [None], "chunk": [chunk], "data": [at.astype(np.uint16).tobytes() + part[:, at].tobytes()]}
+                    yield {n: [None] for n in ("w", "before", "span", "mask", "c")} | {"chunk": [chunk], "data": [at.astype(np.uint16).tobytes() + part[:, at].tobytes()]}
 
         for s in slices:
-            for apart in (False, True):
-                for group, lasts in batches([t for t, a in zip(s["text"], s["apart"], strict=True) if a == apart]):
-                    ids, before = lasts(group, names, states)
-                    held[apart].append((ids << 3) | before)
-                    n += len(ids)
-                    if not apart:
-                        data, lengths, last = spans(group, lasts.bytes)
-                        key = (np.repeat(before.astype(np.uint64), lengths) << np.uint64(40)) | (last.astype(np.uint64) << np.uint64(8)) | data
-                        keys.append(counted(key))
-                    lasts.end(group)
-            if sum(len(k) for k, _ in keys) > FLUSH_KEYS:
-                keys = [merged(keys)]
-                if len(keys[0][0]) > FLUSH_KEYS:
-                    yield from slots_out()
-                    keys = []
-            if n >= FLUSH_TOKENS or len(names) >= FLUSH_WORDS:
-                yield from words_out()
-                names, held, n = states.names(), ([], []), 0
+            for block, rows in groupby(zip(s["block"], s["text"], s["apart"], strict=True), lambda r: r[0]):
+                if n and (block != now or n >= FLUSH_TOKENS or len(names) >= FLUSH_WORDS):
+                    yield from words_out()
+                    names, held, n = states.names(), ([], []), 0
+                now, rows = block, list(rows)
+                for apart in (False, True):
+                    for group, lasts in batches([t for _, t, a in rows if a == apart]):
+                        ids, before = lasts(group, names, states)
+                        held[apart].append((ids << 3) | before)
+                        n += len(ids)
+                        if not apart:
+                            data, lengths, last = spans(group, lasts.bytes)
+                            key = (np.repeat(before.astype(np.uint64), lengths) << np.uint64(40)) | (last.astype(np.uint64) << np.uint64(8)) | data
+                            keys.append(counted(key))
+                        lasts.end(group)
+                if sum(len(k) for k, _ in keys) > FLUSH_KEYS:
+                    keys = [merged(keys)]
+                    if len(keys[0][0]) > FLUSH_KEYS:
+                        yield from slots_out()
+                        keys = []
         if n:
             yield from words_out()
         if keys:
             yield from slots_out()
 
-    return map_arrow(docs, run, "w binary, before int, c long, chunk int, data binary")
+    return map_arrow(docs, run, "w binary, before int, span int, mask long, c long, chunk int, data binary")
 
 
 class Carried:
@@ -421,7 +435,7 @@ class Carried:
         self.bytes = (self.bytes + b" ".join(group[-1][-5:]) + b" ")[-4:]
 
 
-def batches(texts: list) -> Iterator[tuple[list[list[bytes]], Carried]]:
+def batches(texts: Iterable[str | None]) -> Iterator[tuple[list[list[bytes]], Carried]]:
     """Groups of texts of BATCH_BYTES together, as lists of tokens; a long text piece by piece, with
     what is carried from one to the next."""
     group, size = [], 0
@@ -444,7 +458,7 @@ def counted(key: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, n
     """Distinct keys, sorted, and their counts."""
     if c is None:
         key = np.sort(key)
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         return key[start], np.diff(np.append(start, len(key)))
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -585,71 +599,116 @@ def head_col(levels: list[set[bytes]]):
     return F.substring(F.expr("concat(w, binary(' '))"), F.lit(1), size)
 
 
-def parts_by_head(slices, levels: list[set[bytes]]):
-    """Rows sorted by word, cut anew so that words with the same head are together."""
+def parts_by_head(slices, levels: list[set[bytes]], *more: str):
+    """Rows sorted by word, cut anew so that words with the same head are together: w, before, c, and the
+    columns ``more``."""
+    names = ("before", "c", *more)
 
     def head(word: bytes) -> bytes:
         return (word + b" ")[: head_size(word, levels)]
 
-    w, before, c = [], [], []
+    w, rest = [], [[] for _ in names]
     for s in slices:
         w += s["w"]
-        before += s["before"]
-        c += s["c"]
+        for own, name in zip(rest, names, strict=True):
+            own += s[name]
         if len(w) >= PART_PAIRS:
             end, last = len(w), head(w[-1])
             while end and head(w[end - 1]) == last:
                 end -= 1
             if end:
-                yield w[:end], np.array(before[:end]), np.array(c[:end])
-                del w[:end], before[:end], c[:end]
+                yield w[:end], *(np.array(own[:end]) for own in rest)
+                for own in (w, *rest):
+                    del own[:end]
     if w:
-        yield w, np.array(before), np.array(c)
+        yield w, *(np.array(own) for own in rest)
+
+
+class Part:
+    """The decisions of words behind states, counted. tokens, before, c: in the order of the words, those of one
+    head together; a word and state may be there again. key, count (of the word, whatever stood before
+    it), begin and size of their decisions in ``states``, by number; ``number``: of each row."""
+
+    def __init__(self, tokens: list[bytes], before: np.ndarray, c: np.ndarray, sent):
+        heads, tree, levels = sent
+        word = np.cumsum([i > 0 and w != tokens[i - 1] for i, w in enumerate(tokens)])
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        total = np.add.reduceat(c, first)
+        # Behind the state 0 all of a word's counts; behind the others its own.
+        code, again = np.unique(word[before > 0] * (CLASSES + 1) + before[before > 0], return_inverse=True)
+        own = code // (CLASSES + 1)
+        every = [tokens[i] for i in first.tolist()]
+        every += [every[i] for i in own.tolist()]
+        behind = np.concatenate([np.zeros(len(first), np.int64), code % (CLASSES + 1)])
+        weight = np.concatenate([total, np.bincount(again, c[before > 0], len(code)).astype(np.int64)])
+        self.number = word.copy()
+        self.number[before > 0] = len(first) + again
+        data, row, place, ctx = prefixes(every, behind)
+        size = np.bincount(row, tree.length[data], len(every)).astype(np.int64)
+        ends = np.cumsum(size)
+        sizes = np.fromiter((head_size(w, levels) for w in every[: len(first)]), np.int64, len(first))
+        sizes = np.concatenate([sizes, sizes[own]])
+        late = place >= sizes[row]
+        early_size = np.bincount(row[~late], tree.length[data[~late]], len(every)).astype(np.int64)
+        of, weight = row[late], weight.astype(np.float64)
+        del row, place
+        states, _ = exact(ctx[late], data[late], weight[of], tree)
+        del of, ctx, late
+        out = np.zeros(int(ends[-1]), np.uint8)
+        out[squeeze(ends - size + early_size, size - early_size)] = states
+        del states
+        heads.fill(out, ends - size, early_size, [(w + b" ")[:n] for w, n in zip(every, sizes.tolist(), strict=True)], behind)
+        turn = tree.bit8.take(tree.decisions(data)[1]).astype(np.int16) << 8
+        turn += out
+        self.states = TURNED.take(turn)
+        self.key, self.count = keys_of(every, behind).view(np.int64), np.concatenate([total, total[own]])
+        self.begin, self.size = ends - size, size
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The state bytes of the numbers."""
+        return self.states[squeeze(self.begin[rows], self.size[rows])]
 
 
 def price(pairs: DataFrame, sent) -> DataFrame:
     """pairs: w, before, c, sorted by word. key, c (of the word, whatever stood before it), states: of
-    the decisions of the word behind the state."""
+    the decisions of the word behind the state, the count of its own bits first."""
 
     def run(slices):
-        heads, tree, levels = sent.value
-        for tokens, before, c in parts_by_head(slices, levels):
-            first = np.flatnonzero([not i or w != tokens[i - 1] for i, w in enumerate(tokens)])
-            total = np.add.reduceat(c, first)
-            word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tokens))))
-            # Behind the state 0 all of a word's counts; behind the others its own.
-            own = np.flatnonzero(before > 0)
-            every = [tokens[i] for i in first] + [tokens[i] for i in own]
-            behind = np.concatenate([np.zeros(len(first), np.int64), before[own]])
-            weight = np.concatenate([total, c[own]])
-            wanted = np.concatenate([np.isin(np.arange(len(first)), word[before == 0]), np.ones(len(own), bool)])
-            data, row, place, ctx = prefixes(every, behind)
-            size = np.bincount(row, tree.length[data], len(every)).astype(np.int64)
-            ends = np.cumsum(size)
-            out = np.zeros(int(ends[-1]), np.uint8)
-            sizes = np.fromiter((head_size(tokens[i], levels) for i in first), np.int64, len(first))
-            sizes = np.concatenate([sizes, sizes[word[own]]])
-            late = place >= sizes[row]
-            early_size = np.bincount(row[~late], tree.length[data[~late]], len(every)).astype(np.int64)
-            of, weight = row[late], weight.astype(np.float64)
-            del row, place
-            states, _ = exact(ctx[late], data[late], weight[of], tree)
-            del of, ctx, data, late
-            out[squeeze(ends - size + early_size, size - early_size)] = states
-            heads.fill(out, ends - size, early_size, [(w + b" ")[:n] for w, n in zip(every, sizes.tolist(), strict=True)], behind)
-            count = np.concatenate([total, total[word[own]]])
-            for i in range(0, len(every), 20_000):
-                j = min(len(every), i + 20_000)
-                rows = np.flatnonzero(wanted[i:j]) + i
-                if len(rows):
-                    flat = out[squeeze((ends - size)[rows], size[rows])]
-                    offsets = np.concatenate([[0], np.cumsum(size[rows])]).astype(np.int32)
-                    column = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
-                    yield {"key": keys_of([every[r] for r in rows.tolist()], behind[rows]).view(np.int64), "c": count[rows], "states": column}
+        for tokens, before, c in parts_by_head(slices, sent.value[2]):
+            part = Part(tokens, before, c, sent.value)
+            wanted = np.unique(part.number)
+            for i in range(0, len(wanted), 20_000):
+                rows = wanted[i : i + 20_000]
+                offsets = np.concatenate([[0], np.cumsum(part.size[rows])]).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(part.of(rows).tobytes())])
+                yield {"key": part.key[rows], "c": part.count[rows], "states": column}
 
     return map_arrow(pairs, run, "key long, c long, states binary")
 
 
+PACKED = "block int, key binary, c binary, sizes binary, states binary"
+
+
+def price_blocks(pairs: DataFrame, sent) -> DataFrame:
+    """As ``price``, for each block that has the pairs: pairs: w, before, span, mask, c, sorted by word. Of a part
+    of the pairs a row a block, of packed, compressed arrays."""
+
+    def run(slices):
+        squash = zstandard.ZstdCompressor(level=1).compress
+        for tokens, before, c, span, mask in parts_by_head(slices, sent.value[2], "span", "mask"):
+            part = Part(tokens, before, c, sent.value)
+            order = np.argsort(span, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(span[order])) + 1):
+                marks, number = mask[rows].view(np.uint64), part.number[rows]
+                for bit in range(SPAN):
+                    own = number[(marks >> np.uint64(bit) & np.uint64(1)).astype(bool)]
+                    if len(own):
+                        arrays = part.key[own], part.count[own], part.size[own].astype(np.int32), part.of(own)
+                        yield {"block": [int(span[rows[0]]) * SPAN + bit]} | {n: [squash(x.tobytes())] for n, x in zip(("key", "c", "sizes", "states"), arrays, strict=True)}
+
+    return map_arrow(pairs, run, PACKED)
+
+
 # --- scores -------------------------------------------------------------------------------------
 
 
@@ -683,10 +742,11 @@ class Readers:
         np.clip(z, -30, 30, out=z)
         z *= -sign
         np.exp(z, out=z)  # odds against what came
-        self.cost[text] += np.add.reduceat(np.log1p(z), starts, dtype=np.float64)
-        away = z / (1 + z)
-        bend = away / (1 + z)
+        one = z + 1
+        away = z / one
+        bend = away / one
         away *= sign
+        self.cost[text] += np.add.reduceat(np.log(one, out=one), starts, dtype=np.float64)
         self.seen[part] += np.bincount(vector, minlength=n * GATES)
         step = RATE / (PRIOR + CURVE * self.seen[part])
         for k in range(K):
@@ -707,33 +767,41 @@ def borders(start: int, end: int) -> list[int]:
 
 def read(readers: Readers, tree: Tree, table_of: np.ndarray, data: np.ndarray, at_slot: list[np.ndarray], words: np.ndarray, begin: np.ndarray, size: np.ndarray, ends: np.ndarray) -> None:
     """Reads texts side by side. data: their bytes; at_slot: places in the tables for each byte;
-    words: state bytes of words, of which each token's are ``size`` from ``begin``; ends: of each
+    words: state bytes of words, own bits first, of which each token's are ``size`` from ``begin``; ends: of each
     text's tokens."""
-    byte, path = tree.decisions(data)
-    bit = tree.bit8[path]
-    word = words[squeeze(begin, size)]
+    kind = np.int32 if len(words) < 1 << 31 else np.int64
+    word = words.take(squeeze(begin.astype(kind), size.astype(kind)))
     # Decisions that the word so far has settled are priced by its counts alone.
-    sure = SURE[word]
     texts = np.concatenate([[0], np.cumsum(size)[ends - 1]])
-    readers.cost += np.add.reduceat(np.where(sure, SURE_COST[bit, word], np.float32(0)), texts[:-1], dtype=np.float64)
-    own = np.flatnonzero(~sure)
+    readers.cost += np.add.reduceat(SURE_COST.take(word), texts[:-1], dtype=np.float64)
+    own = np.flatnonzero(~SURE.take(word))
     upto = np.searchsorted(own, texts)
     sizes = np.diff(upto)
-    byte, bit, node = byte[own], bit[own], tree.node32[path[own]]
-    states = np.empty((K, len(own)), np.uint8)
-    for k in range(K - 1):
-        np.take(table_of, at_slot[k].take(byte) ^ node, out=states[k], mode="clip")
-    states[K - 1] = word[own]
-    del byte, path, node, own, word, sure
     done = int(readers.read[0])
     edge = np.array(borders(done, done + int(sizes.max()))) - done
+    windows = []
     for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         text = np.flatnonzero(sizes > low)
-        lengths = np.minimum(sizes[text], high) - low
-        at = squeeze(upto[text] + low, lengths)
-        own = states.take(at, axis=1)
-        x = [STRETCH.take(own[k], mode="clip") for k in range(K)]
-        readers.window(x, SIGN.take(bit.take(at)), GATE.take(own[K - 1]), text, lengths)
+        windows.append((text, np.minimum(sizes[text], high) - low, upto[text] + low))
+    # From here on the decisions are in the order of the windows.
+    own = own.take(np.concatenate([squeeze(starts, lengths) for _, lengths, starts in windows])) if windows else own
+    byte, path = (x.take(own) for x in tree.decisions(data))
+    bit, node = tree.bit8.take(path), tree.node32.take(path)
+    states = np.empty((K, len(own)), np.uint8)
+    turn = bit.astype(np.int16) << 8
+    turn += word.take(own)
+    np.take(TURNED, turn, out=states[K - 1], mode="clip")
+    del path, own, word, turn
+    for k in range(K - 1):
+        place = at_slot[k].take(byte)
+        place ^= node
+        np.take(table_of, place, out=states[k], mode="clip")
+    del byte, node, place
+    at = 0
+    for text, lengths, _ in windows:
+        part = slice(at, at := at + int(lengths.sum()))
+        x = [STRETCH.take(states[k, part], mode="clip") for k in range(K)]
+        readers.window(x, SIGN.take(bit[part], mode="clip"), GATE.take(states[K - 1, part], mode="clip"), text, lengths)
     readers.read += sizes
 
 
@@ -754,7 +822,7 @@ class Block:
         """Room for new words, and their decisions."""
         since, self.known = self.known, self.known + len(new)
         if self.known > len(self.size):
-            more = max(self.known, 2 * len(self.size)) - len(self.size)
+            more = max(self.known, len(self.size) * 5 // 4) - len(self.size)
             self.found = np.concatenate([self.found, np.full((more, CLASSES + 1), -1, np.int32)])
             self.size = np.concatenate([self.size, np.zeros(more, np.int64)])
         data = np.frombuffer(b" ".join(new) + b" ", np.uint8)
@@ -777,7 +845,7 @@ class Block:
             at = self.found[ids, state]
         return ids, state, at
 
-    def score(self, texts: list) -> dict[str, list]:
+    def score(self, texts: Iterable[str | None]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
         mass = self.total + 0.5 * (self.distinct + 1)
         readers, sums = None, np.zeros((4, 0))
@@ -809,58 +877,6 @@ class Block:
         return out
 
 
-def together(found):
-    """Rows of (block, key, c, states) as a few rows a block of packed, compressed arrays."""
-    squash = zstandard.ZstdCompressor(level=1).compress
-    for batch in found:
-        block = batch["block"].to_numpy()
-        order = np.argsort(block, kind="stable")
-        t = batch.take(pa.array(order))
-        block = block[order]
-        ends = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
-        key, c, sizes = t["key"].to_numpy(), t["c"].to_numpy(), None
-        sizes = np.diff(np.frombuffer(t["states"].buffers()[1], np.int32, len(block) + 1, t["states"].offset * 4)) if len(block) else np.empty(0, np.int32)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.frombuffer(t["states"].buffers()[2], np.uint8) if len(block) and starts[-1] else np.empty(0, np.uint8)
-        cols: list[list] = [[], [], [], [], []]
-        for i, j in zip(ends, ends[1:], strict=False):
-            packed = (squash(x.tobytes()) for x in (key[i:j], c[i:j], sizes[i:j].astype(np.int32), flat[starts[i] : starts[j]]))
-            for col, v in zip(cols, (int(block[i]), *packed), strict=True):
-                col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "key", "c", "sizes", "states"])
-
-
-def wanted_pairs(states: States):
-    """block, key of the distinct (word, state) of each block, as far as a task sees them."""
-
-    def run(slices):
-        names, held, n = states.names(), {}, 0
-
-        def out():
-            of = list(names)
-            for block, codes in held.items():
-                code = np.unique(np.concatenate(codes))
-                yield {"block": np.full(len(code), block, np.int32), "key": keys_of([of[i] for i in (code >> 3).tolist()], code & 7).view(np.int64)}
-
-        for s in slices:
-            texts: dict[int, list] = {}
-            for block, text in zip(s["block"], s["text"], strict=True):
-                texts.setdefault(block, []).append(text)
-            for block, own in texts.items():
-                for group, carried in batches(own):
-                    ids, before = carried(group, names, states)
-                    code = np.unique((ids << 3) | before)
-                    held.setdefault(block, []).append(code)
-                    n += len(code)
-            if n >= FLUSH_TOKENS or len(names) >= FLUSH_WORDS:
-                yield from out()
-                names, held, n = states.names(), {}, 0
-        if held:
-            yield from out()
-
-    return run
-
-
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -877,9 +893,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     release(found)
     states = States(names, classes(near))
     tree = Tree(np.array([sums.get((2, b), (0, 0))[0] for b in range(256)]))
-    learned = cut(learn(marked.coalesce(max(1, -(-size // LEARN_BYTES), 2)), states, tree))
+    blocks, tasks = max(1, -(-size // BLOCK_BYTES)), max(2, -(-size // LEARN_BYTES))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    dealt = docs.select("text", apart.alias("apart"), block).repartitionById(tasks, F.col("block") % tasks)
+    learned = cut(learn(dealt.sortWithinPartitions("block"), states, tree))
     table_of = tables(learned.where("chunk IS NOT NULL").select("chunk", "data"), min(8, parts(spark)))
-    pairs = cut(learned.where("w IS NOT NULL").groupBy("w", "before").agg(F.sum("c").alias("c")))
+    # Of a word and state a row, and one more for each further SPAN of blocks that have it.
+    pairs = cut(learned.where("w IS NOT NULL").groupBy("w", "before", "span").agg(F.sum("c").alias("c"), F.bit_or("mask").alias("mask")))
     release(learned)
     # Bounded by the bytes and states: LOCAL bytes a head, and more of them a CROWDED pairs.
     levels = crowded(pairs)
@@ -889,29 +909,25 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     laid = pairs.repartition(tasks, head).sortWithinPartitions("w", "before")
     totals = pairs.groupBy("w").agg(F.sum("c").alias("c")).agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = (int(x or 0) for x in totals)
-    priced = cut(price(laid, spark.sparkContext.broadcast((heads, tree, levels))))
-    release(pairs)
+    known = price_blocks(laid, spark.sparkContext.broadcast((heads, tree, levels)))
     model = spark.sparkContext.broadcast((states, tree, table_of, total, distinct))  # the tables' fixed size
-    blocks = max(1, -(-size // BLOCK_BYTES))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"key": np.uint64, "c": np.int64, "sizes": np.int32, "states": np.uint8}
         key, c, sizes, flat = (np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, right[n].to_pylist())), kind) for n, kind in kinds.items())
-        found = Block(model.value, key, c, np.cumsum(sizes) - sizes, flat)
+        found = Block(model.value, key, c, np.cumsum(sizes, dtype=np.int64) - sizes, flat)
+        del right, key, c, sizes, flat
         # Long texts first, then the others by size, so that texts read side by side are alike.
-        texts = left["text"]
-        order = np.argsort([-(len(t.as_py() or "")) for t in texts], kind="stable")
-        left = left.take(pa.array(order))
-        ids = left["doc_id"].to_pylist()
-        cols = found.score(left["text"].to_pylist())
+        length = pc.fill_null(pc.utf8_length(left["text"]), 0)
+        order = np.argsort(-length.to_numpy(), kind="stable")
+        ids = left["doc_id"].take(pa.array(order)).to_pylist()
+        text = left["text"]  # one at a time: as Python objects all of them take twice the block
+        cols = found.score(text[i].as_py() for i in order.tolist())
         held_out = [crc_mod(d, HELD_OUT[0]) == HELD_OUT[1] for d in ids]
         rest = [pa.array(cols[n], t) for n, t in (("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))]
         return pa.table([pa.array(ids, pa.int64()), pa.array(held_out), pa.array(cols["n_tokens"], pa.int64()), pa.array(cols["n_known"], pa.int64()), pa.array([total] * len(ids), pa.int64()), *rest], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    # Both uses have the same columns, so that the plan has this exchange once (ReusedExchange).
-    rows = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(parts(spark), "block")
-    known = map_arrow(rows, wanted_pairs(states), "block int, key long").join(priced, "key").select("block", "key", "c", "states")
-    known = known.mapInArrow(together, "block int, key binary, c binary, sizes binary, states binary")
+    rows = docs.select("doc_id", "text", block).repartition(parts(spark), "block")
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCHEMA)
 
 
