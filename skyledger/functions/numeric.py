@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 QN_FACTOR = 1 / (np.sqrt(2) * NormalDist().inv_cdf(5 / 8))
 #: Values up to which all pairs are formed at once.
 QN_DIRECT = 1500
+#: Values from which pairs are counted roughly first, and bins by which they are, then and from more values on.
+ROUGH_FROM, ROUGH_BINS, MANY, MANY_BINS = 3000, 512, 6000, 2048
 
 
 def qn(values) -> float | None:
@@ -52,7 +54,8 @@ def beyond_qn(u: np.ndarray, values: np.ndarray, low: float, high: float, held:
     fewer than two others, takes nothing out.
 
     The order of the Qn and a bound is told by the number of pairs within a distance, so no Qn is
-    made; it is where a distance lies so close to the bound that rounding may decide."""
+    made; it is where a distance lies so close to the bound that rounding may decide. Most bounds are far
+    from it: counts of values by bin tell their order, and pairs are counted for the others alone."""
     n = len(u) - held
     out = np.zeros(len(values), bool)
     if n < 2 or not len(values):
@@ -73,16 +76,21 @@ def beyond_qn(u: np.ndarray, values: np.ndarray, low: float, high: float, held:
     equal = int((u[1:] == u[:-1]).sum())
     if equal * (equal + 1) // 2 >= k:  # the Qn may be 0
         return np.array([beyond_one(without(u, v) if held else u, v, low, high) for v in values], bool)
-    at = np.arange(1, len(u) + 1).sum()
-
-    def within(d: float) -> int:
-        """Pairs of u up to d apart."""
-        return int(u.searchsorted(u + d, side="right").sum() - at) if d >= 0 else 0
-
+    within = lambda d: _pairs_within(u, d)
     order = np.argsort(bound)
+    above, below = bound[order] + slack[order], bound[order] - slack[order]
     # Below ``first`` too few pairs are within the bound even with the value's own; from ``sure`` on enough without.
-    first = _first(0, len(order), lambda i: within(bound[order[i]] + slack[order[i]]) >= k)
-    sure = _first(first, len(order), lambda i: within(bound[order[i]] - slack[order[i]]) >= k + n * held)
+    enough = k + n * held
+    low_first, high_first, low_sure, high_sure = 0, len(order), 0, len(order)
+    if len(u) >= ROUGH_FROM:
+        width, least, most = _rough_pairs(u)
+        if width > 0:
+            steps = lambda d: np.clip(np.floor(d / width), -1, len(least) - 2).astype(int)
+            a, b = steps(above), steps(below)
+            low_first, high_first = (int(np.searchsorted(a, s)) for s in (most.searchsorted(k) - 1, least.searchsorted(k) - 1))
+            low_sure, high_sure = (int(np.searchsorted(b, s)) for s in (most.searchsorted(enough) - 1, least.searchsorted(enough) - 1))
+    first = _first(low_first, high_first, lambda i: within(above[i]) >= k)
+    sure = _first(max(first, low_sure), max(first, high_sure), lambda i: within(below[i]) >= enough)
     out[order[sure:]] = True
     for i in order[first:sure]:
         v, d, s = values[i], bound[i], slack[i]
@@ -92,6 +100,30 @@ def beyond_qn(u: np.ndarray, values: np.ndarray, low: float, high: float, held:
     return out
 
 
+def _pairs_within(u: np.ndarray, d: float) -> int:
+    """Pairs of u, sorted, up to d apart."""
+    return int(u.searchsorted(u + d, side="right").sum()) - len(u) * (len(u) + 1) // 2 if d >= 0 else 0
+
+
+def _rough_pairs(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The width of a bin, and the least and the most pairs that can be within a distance of -1, 0, 1, ... whole
+    widths and less than one more. A bin to each side is allowed for, beyond what bins can hide, and a
+    pair, so that no rounding matters."""
+    bins = MANY_BINS if len(u) >= MANY else ROUGH_BINS
+    width = float(u[-1] - u[0]) / bins
+    upto = u.searchsorted(u[0] + width * np.arange(bins + 1))
+    upto[-1] = len(u)
+    c = np.diff(upto).astype(float)
+    pairs = np.rint(np.fft.irfft(np.abs(np.fft.rfft(c, 2 * bins)) ** 2, 2 * bins)[:bins])  # by how many bins apart
+    pairs[0] = (c * (c - 1) / 2).sum()
+    pairs = np.maximum.accumulate(np.cumsum(pairs))  # up to so many bins apart
+    slack = 1 + 1e-12 * pairs[-1] * np.log2(bins)
+    t = np.arange(bins + 4)  # of -1 there are none
+    least = np.where(t >= 2, pairs[np.clip(t - 2, 0, bins - 1)] - slack, 0)
+    most = pairs[np.clip(t + 2, 0, bins - 1)] + slack
+    return width, np.concatenate([[0], np.maximum(least, 0)]), np.concatenate([[0], most])
+
+
 def _first(low: int, high: int, holds) -> int:
     """The first of low..high for which ``holds``, which then does for all behind it; high if none."""
     while low < high:

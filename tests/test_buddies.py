@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from skyledger.functions import numeric
 from skyledger.functions.numeric import beyond_one, beyond_qn, without
 from skyledger.operators import chain
 
@@ -21,6 +22,24 @@ def test_bound_by_counts_is_the_bound_by_qn(n):
             assert beyond_qn(u, far, low, high, False).tolist() == [beyond_one(u, v, low, high) for v in far]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_most_bounds_need_no_count_of_pairs(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    n = 1200
+    monkeypatch.setattr(numeric, "ROUGH_FROM", 200)
+    monkeypatch.setattr(numeric, "MANY", 1000 if seed % 2 else 1 << 30)
+    u = np.sort([rng.normal(10, 3, n), np.round(rng.normal(0, 1, n), 2), rng.random(n) ** 4, np.append(rng.normal(0, 1, n - 1), 1e7), rng.integers(0, 60, n) / 4, np.concatenate([rng.normal(0, 1, n // 2), rng.normal(50, 1, n // 2)])][seed])
+    values, made = rng.choice(u, 60, replace=False), []
+    for held, v in ((True, values), (False, np.concatenate([values + 0.37, rng.normal(0, 40, 20)]))):
+        got = numeric.beyond_qn(u, v, -1.4, 1.1, held)
+        assert got.tolist() == [beyond_one(without(u, x) if held else u, x, -1.4, 1.1) for x in v]
+    pairs = numeric._pairs_within
+    monkeypatch.setattr(numeric, "_pairs_within", lambda *a: made.append(1) or pairs(*a))
+    for x in values.reshape(12, 5):
+        numeric.beyond_qn(u, x, -1.4, 1.1)
+    assert seed == 3 or len(made) < 2 * 12  # seed 3: one value far out makes wide bins
+
+
 def panel(spark, stations, odd=()):
     """Several places in several tiles, values of few levels, gaps, repeated rows, and stations without a place."""
     rng = np.random.default_rng(5)
